@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, urls
+from . import decontaminate, language_model, licenses, mixing, quality, secrets, simhash, substrings, token_counts, urls
 
 
 def _over(table: str, run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,7 +18,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": _over("documents", quality.query),
         "op2_secret_scans": _over("documents", secrets.query),
         "op3_url_filters": _over("pages", urls.judge),
+        "op4_token_counts": _over("documents", token_counts.query),
         "op5_source_mixing": _over("documents", mixing.query),
+        "op6_substring_dedup": _over("documents", substrings.query),
+        "op7_decontamination": lambda spark, sf_dir: decontaminate.links(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
+        "op8_license_scans": _over("documents", licenses.query),
+        "op9_language_model": _over("documents", language_model.query),
+        "op10_simhash": _over("documents", simhash.query),
     }
 
 
