@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-BLOCK, STRIDE, CONTAINMENT = 64, 32, 0.8
+BLOCK, STRIDE, CONTAINMENT = 64, 32, 0.9
 #: Phrases and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 #: Label and the words of a notice.
