@@ -30,7 +30,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p = k / m
     centre = (p + z * z / (2 * m)) / (1 + z * z / m)
     margin = z * F.sqrt((p * (1 - p) + z * z / (4 * m)) / m) / (1 + z * z / m)
-    return F.greatest(F.lit(0.0), centre - margin), F.least(F.lit(1.0), centre + margin)
+    return F.when(m.isNotNull(), F.greatest(F.lit(0.0), centre - margin)), F.when(m.isNotNull(), F.least(F.lit(1.0), centre + margin))
 
 
 def binomial_tail(n: Column, k: Column) -> Column:
