@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -15,6 +14,8 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 #: Rows in one Arrow batch. Texts can be very long, so batches hold few rows.
 ARROW_ROWS = 256
+#: Has Spark delete a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def python_words(text: str | None) -> list[bytes]:
@@ -77,11 +78,18 @@ class Scratch:
         atexit.register(_remove, spark, self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Writes df and gives it back as a plain scan. Shuffle files of the phase are released."""
+        """Writes df and gives it back as a plain scan. The shuffle files of this write go as soon as it has ended."""
         path = f"{self.root}/{self.frames}"
         self.frames += 1
-        df.write.parquet(path)
-        release(self.spark)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -91,12 +99,6 @@ class Scratch:
             _remove(self.spark, df._scratch_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files that no live DataFrame refers to."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
