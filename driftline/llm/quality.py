@@ -21,8 +21,10 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: Rounds of expectation-maximisation, the first guess, and the pseudo-votes that keep accuracies off 0 and 1.
 ROUNDS, PRIOR, ACCURACY, RIGHT, WRONG = 25, 0.7, 0.8, 8.0, 2.0
-#: A rule is taken to be better than a coin; this also fixes which of the two classes is the good one.
-LEAST, MOST = 0.55, 0.99
+#: A rule is taken to be right in at least three of four votes; this also fixes which of the two classes is the good one.
+LEAST, MOST = 0.75, 0.99
+#: The share of good documents is kept from running off to all or none, which few bad documents couldn't counter.
+FEWEST_GOOD, MOST_GOOD = 0.15, 0.85
 
 #: name, bad if, good if; SQL that Spark and other engines read alike. Bad is looked at first.
 RULES = [
@@ -147,8 +149,8 @@ def learn(patterns: DataFrame) -> DataFrame:
             rated,
             lambda rows: F.struct(
                 F.least(
-                    F.greatest((total(rows, lambda r: r["n"] * r["q"]) + RIGHT) / (total(rows, lambda r: r["n"] * F.lit(1.0)) + RIGHT + WRONG), F.lit(0.05)),
-                    F.lit(0.95),
+                    F.greatest((total(rows, lambda r: r["n"] * r["q"]) + RIGHT) / (total(rows, lambda r: r["n"] * F.lit(1.0)) + RIGHT + WRONG), F.lit(FEWEST_GOOD)),
+                    F.lit(MOST_GOOD),
                 ).alias("prior"),
                 F.array(*[accuracy(j)(rows) for j in range(len(RULES))]).alias("acc"),
             ),
@@ -234,7 +236,7 @@ WITH RECURSIVE split AS (
 ), em(i, prior, acc) AS (
   SELECT 0, {PRIOR}::DOUBLE, [{", ".join([f"{ACCURACY}::DOUBLE"] * len(RULES))}]
   UNION ALL
-  SELECT i + 1, least(greatest((sum(n * q) + {RIGHT}) / (sum(n) + {RIGHT + WRONG}), 0.05), 0.95), [{acc}]
+  SELECT i + 1, least(greatest((sum(n * q) + {RIGHT}) / (sum(n) + {RIGHT + WRONG}), {FEWEST_GOOD}), {MOST_GOOD}), [{acc}]
   FROM (SELECT i, votes, n, 1 / (1 + exp(-({logit}))) AS q FROM em, patterns WHERE i < {ROUNDS}) GROUP BY i
 ), model AS (SELECT * FROM em WHERE i = {ROUNDS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
