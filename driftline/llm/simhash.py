@@ -6,6 +6,10 @@ have counts that differ by no more than the radius in all, so tile pairs beyond
 whole with exclusive-or and bit counts. Large tiles are split into parts of TILE_ROWS and every pair of parts is
 compared, so that no task holds more than a bounded number of rows whatever a tile holds.
 
+keep_one() is for near copies in general: five-word shingles at a similarity of 0.8 or more. One word of fingerprint can't tell
+that from less, so it takes four words of it, and its tiles are classes of length: texts of that similarity differ in
+length by no more than a factor of 1.25, so all tile pairs but neighbours are skipped.
+
 A pair of parts doesn't give its links, which grow with the square of a group, but a star for each of its connected
 groups: at most one edge a row. Joining the stars gives the same components as all links would.
 """
@@ -25,25 +29,38 @@ from .common import Scratch, components, small_batches
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 TILE_ROWS = 2048
+#: For near copies: shingle, similarity, words of fingerprint, the radius that stands for the similarity in all of its bits (a pair at
+#: 0.8 differs in 38.7 of 256 on average, deviation 5.7) and in its first word, where it only spares looking at the others.
+NEAR_SHINGLE, SIMILARITY, WIDTH, NEAR_RADIUS, FIRST_RADIUS, NEAR_ROWS = 5, 0.8, 4, 44, 19, 32768
 #: Cells of one comparison and hashes counted at once.
 CELLS, HASHES = 1 << 20, 1 << 16
 QUARTERS = 4
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned fingerprint of a whole text: bit k is set if it is set in over half of the shingles' hashes."""
+def fingerprint_words(text: str | None, shingle: int, seed: int = SEED, width: int = 1) -> tuple[list[int], int]:
+    """The fingerprint of a whole text in unsigned words, and how many shingles it has: bit k of word i is set if it is set in
+    over half of the shingles' i-th hashes. The first hash is XXH64, the others are mixed from it."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return [0] * width, 0
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[len(words) - n :].tolist()
-    count, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    count, digest = np.zeros((width, 64), np.int64), xxhash.xxh64_intdigest
     for at in range(0, n, HASHES):
         h = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[at : at + HASHES], ends[at : at + HASHES], strict=True)), "<u8")
-        count += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
+        for i in range(width):
+            if i:
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                h = h ^ (h >> np.uint64(31))
+            count[i] += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
+    return np.packbits(2 * count > n, axis=1, bitorder="little").view("<u8").reshape(-1).tolist(), n
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return fingerprint_words(text, shingle, seed)[0][0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -60,17 +77,27 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def stars(own: np.ndarray, all_: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join own fingerprints with all those of all_ (own first) within radius, a star for each group.
+def stars(own: int, words: list[np.ndarray], radii: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, as places, that join the first so many fingerprints with all that are near, a star for each group.
+
+    words hold the fingerprints' first words, second words and so on; near means that the words up to each one differ in no
+    more bits than its radius says.
 
     Works block by block. Each block's links are mapped to the groups found so far before they are looked at, so only
     links that still join two groups are followed.
     """
-    root = np.arange(len(all_))
-    rows = max(1, CELLS // max(1, len(all_)))
-    for at in range(0, len(own), rows):
-        near = np.bitwise_count(own[at : at + rows, None] ^ all_[None, :]) <= radius
-        i, j = np.nonzero(near)
+    first, size = words[0], len(words[0])
+    root = np.arange(size)
+    rows = max(1, CELLS // max(1, size))
+    for at in range(0, own, rows):
+        far = np.bitwise_count(first[at : min(own, at + rows), None] ^ first[None, :])
+        i, j = np.nonzero(far <= radii[0])
+        if len(words) > 1:
+            bits = far[i, j].astype(np.int64)
+            for word, radius in zip(words[1:], radii[1:], strict=True):
+                bits += np.bitwise_count(word[i + at] ^ word[j])
+                near = bits <= radius
+                i, j, bits = i[near], j[near], bits[near]
         i, j = root[i + at], root[j]
         new = i != j
         if not new.any():
@@ -89,12 +116,12 @@ def stars(own: np.ndarray, all_: np.ndarray, radius: int = RADIUS) -> tuple[np.n
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        moved = np.arange(len(all_))
+        moved = np.arange(size)
         for x in parent:
             moved[x] = find(x)
         root = moved[root]
-    apart = np.nonzero(root != np.arange(len(all_)))[0]
-    return all_[apart], all_[root[apart]]
+    apart = np.flatnonzero(root != np.arange(size))
+    return apart, root[apart]
 
 
 def neighbours(radius: int) -> list[tuple[int, ...]]:
@@ -127,9 +154,9 @@ def links(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     def compare(group: pa.Table) -> pa.Table:
         fp = group.column("fp").to_numpy().view(np.uint64)
         mine = group.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        first = np.sort(fp[mine])
-        a, b = stars(first, np.concatenate([first, np.sort(fp[~mine])]), radius) if len(first) else (fp[:0], fp[:0])
-        return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
+        fp = np.concatenate([np.sort(fp[mine]), np.sort(fp[~mine])])
+        a, b = stars(int(mine.sum()), [fp], [radius])
+        return pa.table({"a": pa.array(fp[a].view(np.int64), pa.int64()), "b": pa.array(fp[b].view(np.int64), pa.int64())})
 
     return own.unionByName(sent).groupBy("at", "at_part").applyInArrow(compare, "a bigint, b bigint")
 
@@ -156,14 +183,52 @@ def query(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Data
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs (its own columns) that are first in their group: least doc_id, nulls last, then one row of several."""
+def near_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges a, b between nodes (rid, fp as an array of words, n shingles) that are near copies of each other, as stars."""
+    tiled = nodes.select("rid", "fp", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(1 / SIMILARITY))).cast("int").alias("tile"))
+    # one row for each class of length: a few hundred for texts of any size that fits a row
+    tiles = scratch.keep(tiled.groupBy("tile").agg(F.ceil(F.count("*") / NEAR_ROWS).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("rid"), F.col("parts").cast("long")).cast("int")
+    split = scratch.keep(tiled.join(F.broadcast(tiles), "tile").select("rid", "fp", "tile", part.alias("part")))
+    to = tiles.select(F.col("tile").alias("at"), F.col("parts").alias("to_parts"))
+    own = split.select(F.col("tile").alias("at"), F.col("part").alias("at_part"), "rid", "fp", F.lit(True).alias("own"))
+    near = split.withColumn("at", F.explode(F.array(F.col("tile"), F.col("tile") + 1))).join(F.broadcast(to), "at")
+    sent = near.where("at != tile OR to_parts > 1").withColumn("at_part", F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)))
+    sent = sent.where("at != tile OR at_part > part").select("at", "at_part", "rid", "fp", F.lit(False).alias("own"))
+    radii = [FIRST_RADIUS, *[NEAR_RADIUS] * (WIDTH - 1)]
+
+    def compare(group: pa.Table) -> pa.Table:
+        mine, rid = group.column("own").to_numpy(zero_copy_only=False).astype(bool), group.column("rid").to_numpy()
+        order = np.lexsort((rid, ~mine))
+        fp = group.column("fp").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, WIDTH)[order]
+        a, b = stars(int(mine.sum()), [np.ascontiguousarray(fp[:, k]) for k in range(WIDTH)], radii)
+        rid = rid[order]
+        return pa.table({"a": pa.array(rid[a], pa.int64()), "b": pa.array(rid[b], pa.int64())})
+
+    return own.unionByName(sent).groupBy("at", "at_part").applyInArrow(compare, "a bigint, b bigint")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs (its own columns) that are first in their group of near copies: least doc_id, nulls last, then one
+    row of several. Null, empty and blank texts are copies of each other."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "keep-one")
     held = scratch.keep(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")))
-    own = scratch.keep(fingerprints(held.select(F.col("row.doc_id").alias("doc_id"), "rid", F.col("row.text").alias("text")), shingle))
-    # groups by component root, since component_id is null for members without doc_id
-    nodes = scratch.keep(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")))
-    roots = components(scratch.keep(links(nodes, radius, scratch)), scratch)
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("rid"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = [fingerprint_words(t, NEAR_SHINGLE, width=WIDTH) for t in b.column("text").to_pylist()]
+            words = pa.array(np.asarray([w for p, _ in prints for w in p], np.uint64).view(np.int64))
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * WIDTH), words)
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), fp, pa.array([n for _, n in prints], pa.int64())], names=["rid", "doc_id", "fp", "n"])
+
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    texts = held.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    own = texts.mapInArrow(run, f"rid bigint, doc_id {doc_id}, fp array<bigint>, n bigint")
+    # one node for each distinct fingerprint, however many copies there are
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    nodes = scratch.keep(own.groupBy("fp").agg(F.min(place).alias("least"), F.min("n").alias("n")).withColumn("rid", F.col("least.rid")))
+    roots = components(scratch.keep(near_links(nodes, scratch)), scratch)
+    rooted = nodes.select("rid", "least").join(roots, nodes.rid == roots.node, "left").select("least", F.coalesce("root", "rid").alias("root"))
+    first = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("rid")))
     return held.join(first, "rid", "left_semi").select("row.*")

@@ -76,8 +76,19 @@ def simhash(docs, radius=2):
     return [(d, f"{p:016x}", least[g]) for (d, _), p, g in zip(docs, prints, group, strict=True)]
 
 
-def first_of_groups(docs):
-    return list(groups(docs)[2].values())
+def near_groups(docs, similarity=0.8):
+    """Groups of texts whose sets of five-word shingles have at least this similarity, directly or through others."""
+    sets = []
+    for _, t in docs:
+        w = words(lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if not either or both >= similarity * either:
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
 
 
 def licenses(text):

@@ -97,7 +97,31 @@ def test_simhash_tiles_of_several_parts(monkeypatch, spark):
 def test_keep_one_of_each_group(docs, rows):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(brute.first_of_groups([(d, t) for d, t, *_ in rows]))
+    least = {}
+    for (d, *_), g in zip(rows, brute.near_groups([(d, t) for d, t, *_ in rows]), strict=True):
+        least[g] = d if least.get(g) is None else min(d, least[g]) if d is not None else least[g]
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(least.values())
+
+
+def test_near_copies_go_and_others_stay(spark):
+    import random
+
+    from .conftest import prose, vocabulary
+
+    rng, w = random.Random(11), vocabulary(12, 2000)
+    docs, family = [], []
+    for f in range(40):
+        first = prose(rng, w, rng.randint(80, 900)).split()
+        for c in range(4):
+            own = list(first)
+            for _ in range(len(own) * (0, 5, 15, 120)[c] // 1000):  # similarities of about 1, 0.95, 0.86 and 0.4
+                own[rng.randrange(len(own))] = rng.choice(w)
+            docs.append((len(docs), " ".join(own)))
+            family.append((f, c == 3))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    kept = Counter(family[r.doc_id] for r in simhash.keep_one(frame).collect())
+    assert set(kept) == set(family)
+    assert sum(kept.values()) <= len(kept) + 2
 
 
 def test_licenses(docs, rows):
