@@ -89,7 +89,8 @@ def difference(pre: DataFrame | dict[str, Table], post: DataFrame | dict[str, Ta
         events, gone, new = step(pre, post, gone, new)
         out += events
     out += [{"op": "TABLE_REMOVE", "table": t} for t in gone] + [{"op": "TABLE_ADD", "table": t} for t in new]
-    for name in sorted(set(pre) & set(post)):
+    changed = [n for n in set(pre) & set(post) if pre[n].columns != post[n].columns]
+    for name in sorted(changed):
         out += _columns(pre[name], post[name], name, strict_merge)
     return out
 
