@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,12 +66,27 @@ def holm(rows: DataFrame, name: str = "name", p: str = "p_value") -> DataFrame:
     return placed.select(name, p, F.round(F.least(F.lit(1.0), running), 6).alias("adjusted"))
 
 
+def ranked(rows: DataFrame, group: str) -> DataFrame:
+    """rows of group and v with i, the rank of v in its group (from 1), and n, the group's size. Rows are sorted by range over
+    all partitions and ranked from counts of the partitions before, so that no task holds a group; repeats of one value stay
+    together."""
+    context = rows.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="driftline-"))
+    # the partition must not change between the two uses, so it is written with the row
+    placed = rows.repartitionByRange(group, "v").withColumn("part", F.spark_partition_id()).checkpoint()
+    counted = placed.groupBy(group, "part").agg(F.count("*").alias("k"))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select(F.col(group).alias("g"), F.col("part").alias("p"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"), F.sum("k").over(Window.partitionBy(group)).alias("n"))
+    own = F.row_number().over(Window.partitionBy("part", group).orderBy("v"))
+    return placed.withColumn("own", own).join(offsets, F.col(group).eqNullSafe(F.col("g")) & (F.col("part") == F.col("p"))).select(group, "v", "n", (F.col("own") + F.col("before")).alias("i"))
+
+
 def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
     """For each group: n, mean, median, quartiles as medians of the lower and upper half (the middle left out), iqr,
     95th percentile by nearest rank, min and max; 6 digits. Rows are ranked within groups, never gathered."""
     v = F.col(value).cast("double")
-    known = rows.where(v.isNotNull()).select(group, v.alias("v"))
-    placed = known.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy("v"))).withColumn("n", F.count("*").over(Window.partitionBy(group)))
+    placed = ranked(rows.where(v.isNotNull()).select(group, v.alias("v")), group)
     half = F.floor(F.col("n") / 2)
     i, n = F.col("i"), F.col("n")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import stats, text
-from .operators import evaluate, evolve
+from .operators import evaluate, evolve, joins
 from .plans import relink, schema
 from .sources import catalog, results
 
@@ -63,7 +63,6 @@ both("rel_text_date", "SELECT o_orderkey, substr(CAST(o_orderdate AS VARCHAR(30)
 both("rel_join2", "SELECT c_mktsegment, COUNT(*) AS n, ROUND(AVG(o_totalprice), 4) AS mean_price FROM {customer} JOIN {orders} ON c_custkey = o_custkey GROUP BY c_mktsegment")
 both("rel_join3", "SELECT n_name, COUNT(*) AS n, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {nation} JOIN {customer} ON n_nationkey = c_nationkey JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY n_name")
 both("rel_left_join", "SELECT c_custkey, COUNT(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey")
-both("rel_not_in", "SELECT o_orderkey FROM {orders} WHERE o_orderkey NOT IN (SELECT l_orderkey FROM {lineitem})")
 both("rel_agg_global", "SELECT COUNT(*) AS n, ROUND(AVG(l_quantity), 6) AS mean_quantity, MIN(l_extendedprice) AS least, MAX(l_extendedprice) AS most FROM {lineitem}")
 both("rel_group_count", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, ROUND(AVG(l_discount), 6) AS mean_discount FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
 both("rel_count_distinct", "SELECT COUNT(DISTINCT l_partkey) AS parts, COUNT(DISTINCT l_suppkey) AS suppliers FROM {lineitem}")
@@ -78,6 +77,11 @@ both("rel_cast_coalesce", "SELECT l_returnflag, SUM(CAST(COALESCE(l_linenumber,
 ORACLE["rel_cast_coalesce"] = "SELECT l_returnflag, SUM(COALESCE(l_linenumber, 0))::BIGINT AS lines FROM lineitem GROUP BY l_returnflag"
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def rel_not_in(spark: SparkSession, t: Tables) -> DataFrame:
+    return joins.not_in(t["orders"].select("o_orderkey"), "o_orderkey", t["lineitem"], "l_orderkey")
+
+
 # Evolution of data.
 STALE = "SELECT c_mktsegment, ROUND(AVG(c_acctbal), 6) AS mean_balance, COUNT(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment"
 

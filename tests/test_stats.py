@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from driftline.functions import stats
-from driftline.operators import evaluate, evolve
+from driftline.operators import evaluate, evolve, joins
 from driftline.sources import results
 
 
@@ -49,6 +49,11 @@ def test_latency_against_lists(spark, values):
     assert all(got[k] == pytest.approx(w, abs=1e-6) if isinstance(w, float) else got[k] == w for k, w in want.items())
 
 
+def test_latency_of_no_group_and_of_nulls(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None), ("b", 2.0)], "g string, v double")
+    assert {r.g: (r.n, r.median) for r in stats.latency(rows, "g", "v").collect()} == {None: (2, 2.0), "b": (1, 2.0)}
+
+
 def test_recovery_and_truth(spark):
     got = spark.range(1).select(stats.recovery(F.lit(0.2), F.lit(0.7), F.lit(0.6)), stats.recovery(F.lit(0.5), F.lit(0.5), F.lit(0.9)), stats.truth(F.lit("Yes")), stats.truth(F.lit(None))).first()
     assert got[0] == pytest.approx(0.8) and tuple(got)[1:] == (None, True, False)
@@ -112,6 +117,13 @@ def test_evolution_guards(spark):
     assert len(hashes) == 1 and len(hashes.pop()) == 16
 
 
+@pytest.mark.parametrize(("left", "right"), [([1, 2, None], [2]), ([1, None], [2, None]), ([1, None], []), ([], [1]), ([1, 1, 3], [3, 3])])
+def test_not_in_means_what_sql_means(spark, left, right):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "k int") for xs in (left, right))
+    want = spark.sql("SELECT k FROM {a} WHERE k NOT IN (SELECT k FROM {b})", a=a, b=b)
+    assert sorted(map(str, joins.not_in(a, "k", b, "k").collect())) == sorted(map(str, want.collect()))
+
+
 def test_stratified_sample_takes_all_merges(spark):
     rows = [("TABLE_RENAME", "d", i) for i in range(9)] + [("COLUMN_MERGE", "d", i) for i in range(9)]
     got = evolve.stratified(spark.createDataFrame(rows, "op string, db_id string, train_idx int"))
