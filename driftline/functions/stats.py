@@ -74,12 +74,15 @@ def ranked(rows: DataFrame, group: str) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="driftline-"))
     # the partition must not change between the two uses, so it is written with the row
-    placed = rows.repartitionByRange(group, "v").withColumn("part", F.spark_partition_id()).checkpoint()
-    counted = placed.groupBy(group, "part").agg(F.count("*").alias("k"))
-    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select(F.col(group).alias("g"), F.col("part").alias("p"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"), F.sum("k").over(Window.partitionBy(group)).alias("n"))
-    own = F.row_number().over(Window.partitionBy("part", group).orderBy("v"))
-    return placed.withColumn("own", own).join(offsets, F.col(group).eqNullSafe(F.col("g")) & (F.col("part") == F.col("p"))).select(group, "v", "n", (F.col("own") + F.col("before")).alias("i"))
+    rows = rows.select(F.col(group).alias("of"), "v").repartitionByRange("of", "v")
+    placed = rows.withColumn("part", F.spark_partition_id()).checkpoint()
+    counted = placed.groupBy("of", "part").agg(F.count("*").alias("k"))
+    before = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("of")
+    offsets = counted.select(F.col("of").alias("to"), F.col("part").alias("at"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"), F.sum("k").over(whole).alias("n"))
+    own = F.row_number().over(Window.partitionBy("part", "of").orderBy("v"))
+    met = placed.withColumn("own", own).join(offsets, F.col("of").eqNullSafe(F.col("to")) & (F.col("part") == F.col("at")))
+    return met.select(F.col("of").alias(group), "v", "n", (F.col("own") + F.col("before")).alias("i"))
 
 
 def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
