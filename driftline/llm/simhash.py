@@ -231,4 +231,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     roots = components(scratch.keep(near_links(nodes, scratch)), scratch)
     rooted = nodes.select("rid", "least").join(roots, nodes.rid == roots.node, "left").select("least", F.coalesce("root", "rid").alias("root"))
     first = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("rid")))
-    return held.join(first, "rid", "left_semi").select("row.*")
+    # as many rows as texts that stay: too many to broadcast at scale, and so never broadcast
+    return held.join(first.hint("merge"), "rid", "left_semi").select("row.*")
