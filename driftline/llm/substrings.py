@@ -213,21 +213,23 @@ def locate(docs: DataFrame) -> DataFrame:
     least = same.groupBy("sha").agg(F.min("doc_id").alias("least"))
     copies = scratch.keep(same.join(least, "sha").where("least < doc_id").select("key").distinct())
 
-    # what Python makes is made twice, for the counts and for the join, which is cheaper than writing it
+    # what Python makes is made twice, for the counts and for the join, which takes less disk than writing it
     rows = known.mapInArrow(_anchor_rows, "h bigint, doc_id bigint, key bigint")
     twice = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    twice = scratch.keep(twice)  # so that both sides of the join come straight from a shuffle and hot keys can be split
     wanted = rows.select("h", "key").join(twice, "h").groupBy("key").agg(F.collect_set("h").alias("anchors"))
     wanted = scratch.keep(wanted.join(copies, "key", "left_anti"))
-    scratch.drop(same)
+    scratch.drop(same, twice)
 
     marked = scratch.keep(known.join(wanted, "key").select("doc_id", "text", "key", "anchors"))
     scratch.drop(wanted)
     windows = marked.mapInArrow(_window_rows, "w bigint, v bigint, doc_id bigint, key bigint, at int")
     held = windows.groupBy("w", "v").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("b")).where("first < b").drop("b")
+    held = scratch.keep(held)
     found = windows.join(held, ["w", "v"]).where("first < doc_id")
     listed = found.groupBy("key").agg(F.collect_list(F.struct("at", "first")).alias("x"))
     listed = scratch.keep(listed.select("key", F.col("x.at").alias("at"), F.col("x.first").alias("first"), F.lit(False).alias("copy")))
-    scratch.drop(marked)
+    scratch.drop(marked, held)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("at", "array<int>"), ("first", "array<bigint>"))]
     marks = listed.unionByName(copies.select("key", *none, F.lit(True).alias("copy")))
     return docs.withColumn("key", _key()).join(marks, "key", "left").select("doc_id", "text", "copy", "at", "first")
