@@ -1,19 +1,20 @@
 """A hierarchical Pitman-Yor model of tokens, trained by Gibbs sampling, and scores of whole texts.
 
-The top restaurant seats every training token at tables of its word. Its parent spells words: each table sends one
-customer, the spelled word, to a hierarchy of restaurants over letters, whose contexts are the last three, two, one and
-no letters, each sharing its parent with all contexts that end alike; the last parent is uniform. As in the base score,
-words that training never saw are one type, the unknown word: its share of the parent is what the spellings of known
-words leave over.
+Restaurants of the two words before seat every training token at tables of its word. Each table sends one customer to the
+restaurant of the one word before, shared by all contexts that end alike, and each table there one to the restaurant
+without context. Its parent spells words: each table sends one customer, the spelled word, to a hierarchy of restaurants
+over letters, whose contexts are the last three, two, one and no letters; the last parent is uniform. As in the base
+score, words that training never saw are one type, the unknown word: its share of the parent is what the spellings of
+known words leave over.
 
 Seating is sampled by blocked Gibbs: given the tables of all others and the parent's predictions, the number of a word's
 tables is drawn from its exact conditional distribution (generalised Stirling numbers) for up to EXACT customers, and
 customers beyond are seated in order, in growing blocks. One sweep draws all restaurants in turn. The predictions of the
-last KEPT states are averaged.
+last KEPT states are averaged. The restaurants of word contexts start with one table for each word and are drawn anew
+CONTEXT_SWEEPS times, each time followed by a sampler of words and letters; the last state of them predicts.
 
-What follows the corpus stays distributed: word counts are one shuffled aggregate, sweeps are passes over the table of
-distinct words, and texts meet their words' scores in a join. The COMMON most frequent words, a bounded number, are
-scored where the texts are read, so that they don't make hot keys of the join. The letter restaurants have at most
+What follows the corpus stays distributed: counts of words in their contexts are shuffled aggregates, sweeps are passes
+over these tables, and places of texts meet their predictions in a join. The letter restaurants have at most
 32 ** 3 * 257 cells whatever the corpus holds, which bounds what sweeps send to the driver and back.
 """
 
@@ -24,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, Scratch, ascii_lower, words
+from .common import Scratch, ascii_lower, small_batches, words
 from .substrings import hashed_words
 
 SWEEPS, KEPT, SEED = 4, 2, 42
+CONTEXT_SWEEPS, CONTEXT_STRENGTH = 2, 1.0
 EXACT = 64
-COMMON = 1 << 16
+#: Stands for the words before a text's first, apart from all hashes of words but for chance.
+START = 0
 WORD_STRENGTH, LETTER_STRENGTH, LETTER_DISCOUNT = 10.0, 1.0, 0.6
 #: Letters are bytes and one that ends a word; contexts know them by class: 26 letters, digits, other ASCII, first and
 #: further bytes of other characters, and 0 for what precedes a word.
@@ -45,6 +48,8 @@ _CLASS[128:192], _CLASS[192:256] = 30, 29  # a word's end is never part of a con
 DEPTH = 3
 #: Distinct words in one Arrow batch.
 WORD_ROWS = 8192
+#: Places in one Arrow batch.
+SPOT_ROWS = 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -65,8 +70,9 @@ def stirling(discount: float, n: int = EXACT) -> np.ndarray:
     return out
 
 
-def seat(count: np.ndarray, opening: np.ndarray, discount: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Draws how many tables serve each dish of count customers; opening is the weight of a new table."""
+def seat(count: np.ndarray, opening: np.ndarray, discount: float, table: np.ndarray, rng: np.random.Generator | None, uniform: np.ndarray | None = None) -> np.ndarray:
+    """Draws how many tables serve each dish of count customers; opening is the weight of a new table. uniform, where given,
+    decides for dishes of up to EXACT customers."""
     tables = np.minimum(count, 1)
     opening = np.maximum(opening, 1e-300)
     for c in np.unique(np.minimum(count, EXACT)).tolist():
@@ -76,7 +82,7 @@ def seat(count: np.ndarray, opening: np.ndarray, discount: float, table: np.ndar
         for part in np.array_split(at, max(1, len(at) * c >> 20)):
             weight = table[c, 1 : c + 1][None, :] + np.log(opening[part])[:, None] * np.arange(1, c + 1)[None, :]
             weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
-            tables[part] = 1 + (weight < rng.random(len(part))[:, None] * weight[:, -1:]).sum(1)
+            tables[part] = 1 + (weight < (rng.random(len(part)) if uniform is None else uniform[part])[:, None] * weight[:, -1:]).sum(1)
     at, seated = np.flatnonzero(count > EXACT), EXACT
     while len(at):
         block = np.minimum(count[at], seated + max(1, seated // 8)) - seated
@@ -180,30 +186,34 @@ def _words(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
 
 
 class Model:
-    """States of the sampler, and what base scores need."""
+    """States of the sampler of words and letters."""
 
-    def __init__(self, tokens: int, distinct: int, discount: float):
-        self.tokens, self.distinct, self.discount, self.states = tokens, distinct, discount, []
+    def __init__(self, customers: int, discount: float):
+        self.customers, self.discount, self.states = customers, discount, []
 
-    def scores(self, texts: list[bytes], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probabilities of words under the base and under the averaged states."""
-        base = np.log10((count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
+    def chances(self, texts: list[bytes], count: np.ndarray) -> np.ndarray:
+        """Probabilities of words without context, averaged over the states; count is of customers."""
         total = np.zeros(len(texts))
         for state in self.states:
             tables, spelling, _, _ = _draw(texts, count, state, self.discount)
             spelling = np.where(count > 0, spelling, state["unknown"])
             own = np.maximum(count - self.discount * tables, 0)
-            total += (own + (WORD_STRENGTH + self.discount * state["tables"]) * spelling) / (WORD_STRENGTH + self.tokens)
-        return base, np.log10(np.maximum(total / len(self.states), 1e-300))
+            total += (own + (WORD_STRENGTH + self.discount * state["tables"]) * spelling) / (WORD_STRENGTH + self.customers)
+        return total / len(self.states)
+
+
+def discount_of(rows: DataFrame) -> float:
+    """A restaurant's discount, from how many dishes have one customer and how many two (c)."""
+    ones, twos = (x or 0 for x in rows.agg(*[F.sum((F.col("c") == k).cast("long")) for k in (1, 2)]).first())
+    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
 def train(vocabulary: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> Model:
-    """Samples seats for the words and training counts (word, c) of vocabulary."""
+    """Samples seats for the words and customers (word, c) of vocabulary."""
     spark = vocabulary.sparkSession
-    one, two = F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))
-    n, v, ones, twos = (x or 0 for x in vocabulary.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), one, two).first())
-    discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-    model, letters, rng = Model(n, v, discount), Letters(), np.random.default_rng(SEED)
+    n, v = (x or 0 for x in vocabulary.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first())
+    discount = discount_of(vocabulary)
+    model, letters, rng = Model(n, discount), Letters(), np.random.default_rng(SEED)
     state = {"sweep": 0, "tables": float(v), "seats": letters.seats}
     for sweep in range(1, sweeps + 1):
         sent = spark.sparkContext.broadcast(state)
@@ -247,10 +257,112 @@ def train(vocabulary: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> Mode
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """word, c (how often training documents hold it) and n (all documents), for every token; the end is the empty word."""
+    """word and c (how often training documents hold it), for every token of all documents; the end is the empty word."""
     token = F.explode(F.concat(words(ascii_lower(F.col("text"))), F.array(F.lit("")))).alias("word")
     rows = docs.select((~held_out(F.col("doc_id"))).cast("long").alias("train"), token)
-    return rows.groupBy("word").agg(F.sum("train").alias("c"), F.count("*").alias("n"))
+    return rows.groupBy("word").agg(F.sum("train").alias("c"))
+
+
+def word_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORD_ROWS))
+
+
+def spots(tokens: DataFrame) -> DataFrame:
+    """A row for each place of tokens' texts (rid, train, h, hashes of words in a row): rid, train, the hashes of the word
+    before the last, the last word and the word that stands there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h")
+            w, size = h.flatten().to_numpy(), np.diff(h.offsets.to_numpy())
+            of = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+            before = [np.where(place >= k, np.concatenate((np.full(min(k, len(w)), START), w[:-k])), START) for k in (2, 1)]
+            columns = [batch.column("rid").take(pa.array(of)), batch.column("train").take(pa.array(of)), *map(pa.array, [*before, w])]
+            whole = pa.RecordBatch.from_arrays(columns, names=["rid", "train", "a", "b", "w"])
+            yield from (whole.slice(at, SPOT_ROWS) for at in range(0, whole.num_rows, SPOT_ROWS))
+
+    return tokens.select("rid", "train", "h").mapInArrow(run, "rid bigint, train bigint, a bigint, b bigint, w bigint")
+
+
+def totals(rows: DataFrame, *context: str) -> DataFrame:
+    """rows and their context's customers (held) and tables (tables)."""
+    over = Window.partitionBy(*context)
+    return rows.withColumn("held", F.sum("c").over(over)).withColumn("tables", F.sum("t").over(over))
+
+
+def chance(discount: float) -> Column:
+    """Probability of a word in its context, from c, t, held, tables and up, its probability in the parent."""
+    back = (CONTEXT_STRENGTH + discount * F.col("tables")) * F.col("up")
+    return (F.greatest(F.col("c") - discount * F.col("t"), F.lit(0.0)) + back) / (CONTEXT_STRENGTH + F.col("held"))
+
+
+def redraw(rows: DataFrame, keys: list[str], discount: float, sweep: int) -> DataFrame:
+    """keys, c and t, the number of tables drawn anew, of rows (keys, c, tables of the context, up). What is drawn follows from
+    row and sweep, not from a row's place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = stirling(discount)
+        for batch in batches:
+            count, tables, up, key = (batch.column(n).to_numpy() for n in ("c", "tables", "up", "key"))
+            opening, drawn = (CONTEXT_STRENGTH + discount * tables) * up, np.minimum(count, 1)
+            more = np.flatnonzero(count > 1)
+            if len(more):
+                uniform = (key[more].view(np.uint64) >> np.uint64(11)) * 2.0**-53
+                drawn[more] = seat(np.minimum(count[more], EXACT), opening[more], discount, table, None, uniform)
+            for i in np.flatnonzero(count > EXACT).tolist():
+                drawn[i] = seat(count[i : i + 1], opening[i : i + 1], discount, table, np.random.default_rng([SEED, int(key.view(np.uint64)[i])]))[0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("c"), pa.array(drawn)], names=[*keys, "c", "t"])
+
+    key = F.xxhash64(F.lit(sweep), *keys).alias("key")
+    return rows.select(*keys, "c", "tables", "up", key).mapInArrow(run, ", ".join(f"{k} bigint" for k in [*keys, "c", "t"]))
+
+
+def unigrams(vocabulary: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """w and up, the probability without context, of all words of vocabulary, given the seats t of pairs."""
+    spark = vocabulary.sparkSession
+    sent_up = pairs.groupBy("w").agg(F.sum("t").alias("k"))
+    words_ = scratch.keep(vocabulary.join(sent_up, vocabulary.h == sent_up.w, "left").select("word", "h", F.coalesce("k", F.lit(0)).alias("c")))
+    model = spark.sparkContext.broadcast(train(words_))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(model.value.chances(*_words(b)))], names=["w", "up"])
+
+    out = scratch.keep(words_.mapInArrow(rate, "w bigint, up double"))
+    model.destroy()
+    scratch.drop(words_)
+    return out
+
+
+def predicted(tokens: DataFrame, vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
+    """w, key (of a word and the two before) and p, its probability there, for every such three of all texts."""
+    small_batches(tokens.sparkSession)
+    counted = scratch.keep(spots(tokens).groupBy("a", "b", "w").agg(F.sum("train").alias("c")))
+    word_batches(tokens.sparkSession)
+    first = F.least("c", F.lit(1)).alias("t")
+    d3 = discount_of(counted)
+    triples = scratch.keep(totals(counted.select("a", "b", "w", "c", first), "a", "b"))
+    scratch.drop(counted)
+    sent_up = lambda: triples.groupBy("b", "w").agg(F.sum("t").alias("c"))
+    counted = scratch.keep(sent_up())
+    d2 = discount_of(counted)
+    pairs = scratch.keep(totals(counted.select("b", "w", "c", first), "b"))
+    scratch.drop(counted)
+    for sweep in range(CONTEXT_SWEEPS + 1):
+        alone = unigrams(vocabulary, pairs, scratch)
+        over = scratch.keep(pairs.join(alone, "w").select("b", "w", "tables", "up", chance(d2).alias("p")))
+        scratch.drop(pairs, alone)
+        met = triples.join(over.select("b", "w", F.col("p").alias("up")), ["b", "w"])
+        if sweep == CONTEXT_SWEEPS:
+            out = scratch.keep(met.select("w", F.xxhash64("a", "b", "w").alias("key"), chance(d3).alias("p")))
+            scratch.drop(triples, over)
+            return out
+        following = scratch.keep(totals(redraw(met, ["a", "b", "w"], d3, sweep), "a", "b"))
+        scratch.drop(triples)
+        triples = following
+        pairs = scratch.keep(totals(redraw(sent_up().join(over.select("b", "w", "tables", "up"), ["b", "w"]), ["b", "w"], d2, sweep), "b"))
+        scratch.drop(over)
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -261,59 +373,41 @@ def query(docs: DataFrame) -> DataFrame:
     No rows give no rows. Other columns are not looked at. Texts are read whole.
     """
     spark = docs.sparkSession
-    batch = lambda n: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
     scratch = Scratch(spark, "language-model")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    batch(WORD_ROWS)
-    vocabulary = scratch.keep(count_tokens(own))
-    model = spark.sparkContext.broadcast(train(vocabulary))
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, count = _words(b)
-            base, score = model.value.scores(texts, count)
-            # the empty word stands apart from what any text can hold
-            hashes = hashed_words([t or b"\0" for t in texts])[0]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(count > 0), pa.array(base), pa.array(score), b.column("n")], names=["h", "known", "base", "score", "n"])
-
-    rated = scratch.keep(vocabulary.mapInArrow(rate, "h bigint, known boolean, base double, score double, n bigint"))
-    scratch.drop(vocabulary)
-    tokens = model.value.tokens
-    model.destroy()
-    top = rated.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()  # a bounded number of rows
-    order = np.argsort(top.column("h").to_numpy())
-    common = spark.sparkContext.broadcast([top.column(c).to_numpy(zero_copy_only=False)[order] for c in ("h", "known", "base", "score")])
+    # the empty word, a text's end, stands apart from what any text can hold
     end = int(hashed_words([b"\0"])[0].view(np.int64)[0])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_h, *values = common.value
         for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
-                h, n = np.unique(np.append(hashed_words([raw])[0].view(np.int64), end), return_counts=True)
-                at = np.minimum(np.searchsorted(known_h, h), max(0, len(known_h) - 1))
-                hit = known_h[at] == h if len(known_h) else np.zeros(len(h), bool)
-                out.append((int(n.sum()), *(float((n[hit] * v[at[hit]]).sum()) for v in values), h[~hit], n[~hit]))
-            sums = [pa.array([r[k] for r in out], pa.float64() if k else pa.int64()) for k in range(4)]
-            lists = [pa.array([r[k] for r in out], pa.list_(pa.int64())) for k in (4, 5)]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), *sums, *lists], names=["rid", "doc_id", "n_tokens", "known", "base", "score", "h", "n"])
-
-    batch(ARROW_ROWS)
-    schema = "rid bigint, doc_id bigint, n_tokens bigint, known double, base double, score double, h array<bigint>, n array<bigint>"
-    texts = scratch.keep(own.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(read, schema))
-    common.destroy()
-    rest = texts.select("rid", F.explode(F.arrays_zip("h", "n")).alias("x")).select("rid", "x.h", F.col("x.n").alias("k"))
-    met = rest.join(rated.select("h", "known", "base", "score"), "h")
-    sums = met.groupBy("rid").agg(F.sum(F.col("known").cast("long") * F.col("k")).alias("k1"), F.sum(F.col("base") * F.col("k")).alias("b1"), F.sum(F.col("score") * F.col("k")).alias("s1"))
-    out = texts.drop("h", "n").join(scratch.keep(sums), "rid", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(
+            raw = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in b.column("text").to_pylist()]
+            h = pa.array([np.append(hashed_words([t])[0].view(np.int64), end) for t in raw], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), b.column("train"), h], names=["rid", "doc_id", "train", "h"])
+
+    small_batches(spark)
+    train_ = (~held_out(F.col("doc_id"))).cast("long").alias("train")
+    placed = own.select(F.monotonically_increasing_id().alias("rid"), "doc_id", train_, "text")
+    tokens = scratch.keep(placed.mapInArrow(read, "rid bigint, doc_id bigint, train bigint, h array<bigint>"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = hashed_words([t or b"\0" for t in _words(b)[0]])[0]
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(h.view(np.int64)), b.column("c")], names=["word", "h", "c"])
+
+    word_batches(spark)
+    vocabulary = scratch.keep(count_tokens(own).mapInArrow(named, "word string, h bigint, c bigint"))
+    n, v = (x or 0 for x in vocabulary.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first())
+    base = vocabulary.select(F.col("h").alias("w"), F.log10((F.col("c") + 0.1) / (n + 0.1 * (v + 1))).alias("base"), (F.col("c") > 0).cast("long").alias("known"))
+    rated = scratch.keep(predicted(tokens, vocabulary, scratch).join(base, "w").select("key", "known", "base", F.log10(F.greatest("p", F.lit(1e-300))).alias("score")))
+    small_batches(spark)
+    met = spots(tokens).select("rid", F.xxhash64("a", "b", "w").alias("key")).join(rated, "key")
+    sums = scratch.keep(met.groupBy("rid").agg(F.count("*").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("known", "base", "score")]))
+    return tokens.select("rid", "doc_id").join(sums, "rid").select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",
-        (F.col("known").cast("long") + zero("k1")).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("b1")).alias("base_score"),
-        (F.col("score") + zero("s1")).alias("score"),
+        F.col("known").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
     )

@@ -172,6 +172,34 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert got.s > got.b
 
 
+def test_the_order_of_words_counts(spark):
+    import random
+    import zlib
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    follows = {w: rng.sample(words, 2) for w in words}
+
+    def chain(n):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(rng.choice(follows[out[-1]]))
+        return out
+
+    texts = [chain(80) for _ in range(150)]
+    texts += [rng.sample(t, len(t)) for t in texts]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts[:150])]
+    # each text's shuffle stands under an id that is held out
+    held = [d for d in range(1000, 9000) if zlib.crc32(str(d).encode()) % 10 == 0][:150]
+    rows += [(d, " ".join(t)) for d, t in zip(held, texts[150:], strict=True)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in language_model.query(frame).collect()}
+    out = [(got[k], got[d]) for k, d in zip(range(150), held, strict=True) if got[k].held_out]
+    assert len(out) > 5 and all(b.held_out for _, b in out)
+    assert all(a.base_score == pytest.approx(b.base_score) for a, b in out)
+    assert all(a.score > b.score + 10 for a, b in out)
+
+
 def test_seats_are_drawn_from_the_exact_distribution():
     import numpy as np
 
