@@ -15,7 +15,12 @@ from .common import Scratch, ascii_lower, components
 
 #: Verdict, host and path prefix. Fixed values.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: The two links that make aliases, in either order of attributes. Quoted values only.
+#: A tag that may hold a link, and an attribute of it (name, value with its quotes).
+TAG = r"""(?i)<(?:link|meta)\b(?:[^>"']++|"[^"]*+"|'[^']*+'){0,256}+>"""
+ATTRIBUTE = r"""([^\s"'<>/=]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+#: What a refresh leads to: after the seconds, with or without a name and quotes of its own.
+REFRESH = r"""(?is)^\s*[^;,\s]*(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|([^"'].*))"""
+#: The links that oracle() knows: quoted values, the first of a page.
 LINKS = [
     r"""(?i)<link\b[^>]*?\brel\s*=\s*["']?canonical\b["']?[^>]*?\bhref\s*=\s*["']([^"']*)""",
     r"""(?i)<link\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*?\brel\s*=\s*["']?canonical\b""",
@@ -45,14 +50,48 @@ def ruled(frame: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     return out.withColumn("rule", rule).withColumn("own", own)
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of this name, without quotes; null if there is none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
+    value = F.get(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)), F.array_position(names, name).cast("int") - 1)
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The address that target names on the page url; null if it is the page itself, or neither is an address of a host."""
+    home = F.nullif(F.regexp_extract(url, r"^((?s:.*?)://[^/?#]*)", 1), F.lit(""))
+    scheme = F.regexp_extract(url, r"^((?s:.*?):)//", 1)
+    path = F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1)
+    own, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    full = F.when(own.startswith("/"), own).otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/")), own))
+    parts_ = F.split(F.substr(full, F.lit(2)), "/")
+    last = F.element_at(parts_, -1)
+    none = F.array().cast("array<string>")
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    plain = F.aggregate(parts_, none, step)
+    tail = F.when(last.isin(".", "..") & (F.size(plain) > 0), "/").otherwise("")
+    placed = F.concat(home, F.lit("/"), F.array_join(plain, "/"), tail, rest)
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | target.startswith("#") | (target == ""), None)
+        .when(target.startswith("//"), F.concat(F.nullif(scheme, F.lit("")), target))
+        .when(target.startswith("?"), F.concat(home, path, target))
+        .otherwise(placed)
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """Edges a, b between different addresses that pages declare to be one. Relative targets are taken from the page's host."""
-    target = F.coalesce(*[F.nullif(F.trim(F.regexp_extract("html", p, 1)), F.lit("")) for p in LINKS])
-    home = F.regexp_extract("url", r"^((?s:.*?)://[^/?#]*)", 1)
-    scheme = F.regexp_extract("url", r"^((?s:.*?):)//", 1)
-    full = F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(home, target))
+    """Edges a, b between different addresses that pages declare to be one: all canonical links and refreshes of a page, whatever
+    the order of attributes and quotes. Relative targets are taken from the page's address."""
     seen = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).where(F.col("html").rlike("(?i)canonical|http-equiv"))
-    return seen.select(F.col("url").alias("a"), full.alias("b")).where("b IS NOT NULL AND a != b").distinct()
+    tags = seen.select("url", F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag")).where(F.col("tag").rlike("(?i)canonical|http-equiv"))
+    tag = F.col("tag")
+    canonical = tag.rlike("(?i)^<link") & F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "canonical")
+    refresh = tag.rlike("(?i)^<meta") & (F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh")
+    led = F.concat(*[F.regexp_extract(attribute(tag, "content"), REFRESH, k) for k in (1, 2, 3)])
+    target = F.regexp_replace(F.when(canonical, attribute(tag, "href")).when(refresh, led), r"^\s+|\s+$", "")
+    found = tags.select("url", target.alias("target")).where("target IS NOT NULL")
+    return found.select(F.col("url").alias("a"), resolved(F.col("target"), F.col("url")).alias("b")).where("b IS NOT NULL AND a != b").distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -305,6 +305,22 @@ def test_urls(spark):
     assert urls.judge(frame.limit(0)).count() == 0
 
 
+def test_every_link_of_a_page_is_an_edge(spark):
+    pages = [
+        ("https://a.io/d/p", '<link rel="canonical" href="https://a.io/c"><META content="0; URL=https://x.org/es/1" http-equiv=Refresh>', {"https://a.io/c", "https://x.org/es/1"}),
+        ("https://b.io/d/p?q", "<link href=page2 rel=canonical><link rel='x canonical' href='../x/./y?z'>", {"https://b.io/d/page2", "https://b.io/x/y?z"}),
+        ("https://c.io", "<link rel=canonical href=one><meta http-equiv=refresh content='5;url=\"//d.io/e\"'>", {"https://c.io/one", "https://d.io/e"}),
+        ("https://e.io/f/", """<meta http-equiv="refresh" content="0; url='/g>h?u=http://y.io'"><link rel=canonical href="?k">""", {"https://e.io/g>h?u=http://y.io", "https://e.io/f/?k"}),
+        ("https://f.io/a/b/", '<link rel=canonical href=".."><meta http-equiv=refresh content=30><link rel=stylesheet href="s" title="rel=canonical">', {"https://f.io/a/"}),
+        ("https://g.io/", '<link rel=canonical href="#top"><link rel=canonical href="mailto:x@y.z">', set()),
+        ("nothing", '<link rel=canonical href="/home">', set()),
+    ]
+    frame = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = urls.links(frame).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted((u, b) for u, _, want in pages for b in want)
+    assert {r.page_id for r in urls.judge(frame).where("verdict = 'block'").collect()} == {0}
+
+
 def test_components_of_chains_and_hubs(spark):
     from driftline.llm.common import Scratch, components
 
