@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,16 +137,31 @@ def bootstrap(rows: DataFrame, key: str, value: str, draws: int = 200, alpha: fl
     return whole.join(bounds)
 
 
+def choices(n: int, seed: int) -> Iterator[np.ndarray]:
+    """Without end, the n places that n calls of choice() of Python's generator take of n values."""
+    bits, (*key, pos) = np.random.MT19937(), random.Random(seed).getstate()[1]
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": pos}}
+    shift, left = np.uint64(32 - n.bit_length()), np.zeros(0, np.uint64)
+    while True:
+        while len(left) < n:
+            raw = bits.random_raw(2 * n) >> shift
+            left = np.concatenate((left, raw[raw < n]))
+        yield left[:n]
+        left = left[n:]
+
+
 def bootstrap_exact(rows: DataFrame, group: str, value: str, draws: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """The interval that resampling with Python's generator gives, group by group; for groups that fit one task."""
+    """The interval that resampling a group's sorted values with Python's generator gives, group by group; for groups that fit
+    one task."""
 
     def run(names: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        values, rng = [float(v) for v in x[value].dropna()], random.Random(seed)
-        if not values:
+        values = np.sort(x[value].dropna().to_numpy(np.float64))
+        if not len(values):
             return pd.DataFrame([(names[0], 0, None, None, None)], columns=[group, "n", "estimate", "lower", "upper"])
-        means = sorted(sum(rng.choice(values) for _ in values) / len(values) for _ in range(max(1, draws)))
+        mean = lambda v: math.fsum(v.tolist()) / len(v)
+        means = sorted(mean(values[i]) for i in itertools.islice(choices(len(values), seed), max(1, draws)))
         at = lambda i: round(means[max(0, min(len(means) - 1, i))], 6)
-        return pd.DataFrame([(names[0], len(values), round(sum(values) / len(values), 6), at(int(alpha / 2 * len(means))), at(int((1 - alpha / 2) * len(means)) - 1))], columns=[group, "n", "estimate", "lower", "upper"])
+        return pd.DataFrame([(names[0], len(values), round(mean(values), 6), at(int(alpha / 2 * len(means))), at(int((1 - alpha / 2) * len(means)) - 1))], columns=[group, "n", "estimate", "lower", "upper"])
 
     kind = rows.schema[group].dataType.simpleString()
     return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, n bigint, estimate double, lower double, upper double")

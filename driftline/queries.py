@@ -419,10 +419,15 @@ def stat_bootstrap_hash(spark: SparkSession, t: Tables) -> DataFrame:
     return got.select("n", *[F.round(c, 4).alias(c) for c in ("estimate", "lower", "upper")])
 
 
+@query()
+def stat_bootstrap_interval(spark: SparkSession, t: Tables) -> DataFrame:
+    """The same with the reference's number of draws."""
+    return stats.bootstrap(t["orders"], "o_orderkey", "o_totalprice", 1000).select("n", *[F.round(c, 4).alias(c) for c in ("estimate", "lower", "upper")])
+
+
 @query()
 def stat_bootstrap_exact(spark: SparkSession, t: Tables) -> DataFrame:
-    own = t["events"].where("user_id < 20").select("event_type", "value")
-    return stats.bootstrap_exact(own, "event_type", "value", 200)
+    return stats.bootstrap_exact(t["events"].select("event_type", "value"), "event_type", "value")
 
 
 _BAG = "SELECT COUNT(*) AS differing FROM ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a))"

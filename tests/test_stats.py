@@ -1,4 +1,5 @@
 import math
+import random
 from statistics import mean, median
 
 import pytest
@@ -65,6 +66,26 @@ def test_exact_bootstrap_is_reproducible(spark):
     assert a == b and a.lower <= a.estimate <= a.upper
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 100])
+def test_exact_bootstrap_is_that_of_the_generator(spark, n):
+    rng, values = random.Random(0), [i * 1.25 for i in range(n)]
+    means = sorted(mean([rng.choice(values) for _ in values]) for _ in range(1000))
+    rows = spark.createDataFrame([("a", v) for v in reversed(values)], "g string, v double")
+    got = stats.bootstrap_exact(rows, "g", "v").first()
+    assert tuple(got) == ("a", n, round(mean(values), 6), round(means[25], 6), round(means[974], 6))
+
+
+def test_registered_bootstraps_take_whole_tables_and_a_thousand_draws(spark, monkeypatch):
+    from driftline import queries
+
+    root, seen = "/root/testdata/sf0.001", []
+    own = stats.bootstrap
+    monkeypatch.setattr(stats, "bootstrap", lambda *a: seen.append(a[3]) or own(*a))
+    exact = queries.QUERIES["stat_bootstrap_exact"](spark, root).agg(F.sum("n")).first()[0]
+    assert exact == spark.read.parquet(f"{root}/events.parquet").where("value IS NOT NULL").count()
+    assert queries.QUERIES["stat_bootstrap_interval"](spark, root).first().n and seen == [1000]
+
+
 def test_bag_equality(spark):
     make = lambda rows, kind="a int, b string": spark.createDataFrame(rows, kind)
     assert evaluate.same_rows(make([(1, None), (2, "x")]), make([(2, "x"), (1, None)], "p int, q string"))
