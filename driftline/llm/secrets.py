@@ -33,7 +33,15 @@ LONG_HEX = re.compile(r"[0-9a-f]{24}")
 #: Runs that may be encoded; two or more dots make a signed token, other runs are base64 or hex. 40 characters hold 30 bytes.
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9_-]+){2}|[A-Za-z0-9+/_-]{40,}={0,2}")
 LONG = re.compile(r"[A-Za-z0-9+/_-]{16}")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----((?:[A-Za-z0-9+/=\s]++|\\[nrt/])*+)-----END \1-----")
+#: What starts a JSON object, a DER sequence or an SSH blob inside of a run; and runs with the lines that go on with them, where line
+#: ends may be written as escapes.
+HEADER = re.compile(r"e(?=[w-z0-3][A-Za-z0-9+/_-]{9})")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+INNER = re.compile(r"M(?=[A-P])|A(?=AAA)|b(?=3BlbnNzaC1rZXktdjEA)")
+SSH_START = re.compile(rb"\0\0\0[\x07-\x40](?:ssh|ecdsa|sk)-|openssh")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{40,}+(?:(?:[\x20\t]*+(?:\r?\n|\\[nr]))++[\x20\t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
+BREAK = re.compile(r"\\[nr]|[\s=]")
 DEEPEST = 12
 
 
@@ -122,6 +130,51 @@ def confirmed(run: str) -> str | None:
     return None
 
 
+def inner_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Signed tokens wherever their header starts, also behind other characters of the alphabet."""
+    upto = 0
+    for m in HEADER.finditer(text):
+        at = m.start()
+        if at < upto or not re.match(rb"\{\s*\"", unbase64(text[at : at + 12]) or b""):
+            continue
+        if (t := TOKEN.match(text, at)) and is_signed_token(t[0]):
+            upto = t.end()
+            yield at, upto
+
+
+def der_size(data: bytes) -> int:
+    """How many bytes the DER value that data starts with has in all, as its header says; 0 if it says none."""
+    if len(data) < 2 or data[1] < 0x80:
+        return 2 + data[1] if len(data) > 1 else 0
+    n = data[1] & 0x7F
+    return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 and len(data) >= 2 + n else 0
+
+
+def inner_keys(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys wherever they start in a run, whatever follows them there, and also over the ends of lines."""
+    for m in WRAPPED.finditer(text):
+        gone = {i for b in BREAK.finditer(m[0]) for i in range(b.start(), b.end())}
+        places = [i for i in range(len(m[0])) if i not in gone]
+        run, upto = "".join(m[0][i] for i in places), 0
+        for start in INNER.finditer(run):
+            at = start.start()
+            if at < upto:
+                continue
+            head, kind, end = unbase64(run[at : at + 12]) or b"", None, len(run)
+            if run[at] == "M":
+                size = der_size(head)
+                end = at + -(-size * 4 // 3)
+                if 24 <= size and end <= len(run) and is_der_key(unbase64(run[at:end]) or b""):
+                    kind = "der"
+            elif SSH_START.match(head):  # it ends where its line or one of those that follow does
+                ends = [i + 1 for i in range(at, len(run)) if i + 1 == len(run) or places[i + 1] > places[i] + 1]
+                end = next((e for e in reversed(ends) if is_ssh_key(unbase64(run[at:e]) or b"")), 0)
+                kind = "ssh" if end else None
+            if kind:
+                upto, last = end, m.start() + places[end - 1] + 1
+                yield kind, m.start() + places[at], last + len(re.match("={0,2}", text[last : last + 2])[0])
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a whole text, by start and then kind; end exclusive, in code points."""
     if not text:
@@ -133,13 +186,18 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     if LONG_HEX.search(text):
         out += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST_HEX]
+    sure = []
     if LONG.search(text):
-        out += [(kind, m.start(), m.end()) for m in ENCODED.finditer(text) if (kind := confirmed(m[0]))]
+        sure += [(kind, m.start(), m.end()) for m in ENCODED.finditer(text) if (kind := confirmed(m[0]))]
     if "-----BEGIN " in text:
         for m in ARMOUR.finditer(text):
-            body = unbase64("".join(m[2].split()))
+            body = unbase64(re.sub(r"\\[nrt]|\s", "", m[2]).replace("\\/", "/"))
             if body and (is_der_key(body) or is_ssh_key(body)):
-                out.append(("pem", m.start(), m.end()))
+                sure.append(("pem", m.start(), m.end()))
+    if LONG.search(text):
+        more = [("jwt", *span) for span in inner_tokens(text)] + list(inner_keys(text))
+        sure += [(k, s, e) for k, s, e in more if not any(x <= s and e <= y for _, x, y in sure)]
+    out += sure
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

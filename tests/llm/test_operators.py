@@ -42,6 +42,34 @@ def test_secrets(docs, rows):
     assert got == want
 
 
+def test_secrets_behind_and_across_other_characters(spark):
+    import base64
+    import json
+
+    code = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    token = ".".join([code(json.dumps({"alg": "HS256"}).encode()), code(b'{"sub":1}'), code(b"s" * 32)])
+    value = lambda tag, b: bytes([tag, 0x82, len(b) >> 8, len(b) & 255]) + b
+    key = base64.b64encode(value(0x30, b"\x02\x01\x00" + value(0x02, bytes(range(1, 251)) * 2) + value(0x04, b"k" * 300))).decode()
+    lines = [key[i : i + 64] for i in range(0, len(key), 64)]
+    ssh = base64.b64encode(b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + b"z" * 32).decode()
+    armour = "-----BEGIN PRIVATE KEY-----\\n" + "\\n".join(lines) + "\\n-----END PRIVATE KEY-----"
+    cases = [
+        (f"https://app.example.com/verify/{token} x", "jwt", token),
+        (f"averylongnameofahost.{token}", "jwt", token),
+        (f'{{"k": "{armour}\\n"}}', "pem", armour),
+        ("see\n" + "\n".join(lines) + "\nand more", "der", "\n".join(lines)),
+        ("see\n" + "\r\n  ".join(lines) + "\n", "der", "\r\n  ".join(lines)),
+        (f"https://app.example.com/v1/{key}", "der", key),
+        (f"/keys/{ssh} me", "ssh", ssh),
+        (f"/keys/{ssh}\nmore words", "ssh", ssh),
+    ]
+    for text, kind, want in cases:
+        assert [(k, text[s:e]) for k, s, e in secrets.find(text)] == [(kind, want)], kind
+    frame = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(frame).collect()} == {k: t.replace(w, "[SECRET]") for k, (t, _, w) in enumerate(cases)}
+    assert secrets.find("A" * 200 + "\n" + "MII" * 100 + "/eyJ" * 50) == []
+
+
 def test_substrings(docs, rows):
     got = bag(substrings.query(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == Counter(brute.substrings([(d, t) for d, t, *_ in rows]))
