@@ -61,17 +61,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def hashed_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each span of bytes."""
+    power, unpower = (_POWER, _UNPOWER) if len(data) <= len(_POWER) else (_powers(_BASE, len(data)), _powers(_INVERSE, len(data)))
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(_LETTER[data] * power[: len(data)], dtype=_U)))
+    return _mix((sums[ends] - sums[starts]) * unpower[starts] + (ends - starts).astype(_U))
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes that end with a blank."""
+    edge = np.flatnonzero(np.diff(_BLANK[data], prepend=True))  # word starts and ends take turns
+    return edge[::2], edge[1::2]
+
+
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of the texts in a row, and for each text how many words it has. Vectorised over bytes."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    power, unpower = (_POWER, _UNPOWER) if len(data) <= len(_POWER) else (_powers(_BASE, len(data)), _powers(_INVERSE, len(data)))
-    blank = _BLANK[data]
-    edge = np.flatnonzero(np.diff(blank, prepend=True))  # word starts and ends take turns
-    starts, ends = edge[::2], edge[1::2]
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum(_LETTER[data] * power[: len(data)], dtype=_U)))
-    hashes = _mix((sums[ends] - sums[starts]) * unpower[starts] + (ends - starts).astype(_U))
+    starts, ends = word_spans(data)
     limits = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(starts, limits), prepend=0)
+    return hashed_spans(data, starts, ends), np.diff(np.searchsorted(starts, limits), prepend=0)
 
 
 def rolled(hashes: np.ndarray, length: int, step: np.uint64) -> np.ndarray:

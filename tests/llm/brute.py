@@ -111,3 +111,91 @@ def judge_url(url):
     host, path = (lower(m[1]), m[2]) if m else ("", "")
     fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return host, path, *(max(fit)[1:] if fit else (None, None))
+
+
+UNITS = "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years percent % $ usd eur dollar dollars euro euros cent cents mph kph km/h degree degrees celsius fahrenheit watt watts volt volts".split()
+SPELLED = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+
+
+def template(text):
+    """Tokens (kind, value, first word, end word) of a text, and its plain words."""
+    plain, tokens, stop, was = [], [], True, None
+    for line in (text or "").split("\n"):
+        stop = True
+        for word in words(line):
+            core = word.strip("!\"'()*,-./:;<>?[]_`{|}~#&") or word
+            low = core.lower()
+            if re.fullmatch(r"[0-9.,:/+$%-]*[0-9][0-9.,:/+$%-]*", core):
+                kind = "digits"
+            elif low in SPELLED:
+                kind = "spelled"
+            elif low in UNITS:
+                kind = "unit"
+            elif len(core.encode()) > 1 and core[0] != core[0].lower() and not re.search("[A-Z]", core[1:]):
+                kind = "name"
+            else:
+                kind = "word"
+            i = len(plain)
+            joined = not stop and tokens and ((kind, was) in (("name", "name"), ("spelled", "spelled"), ("unit", "digits"), ("unit", "spelled")))
+            if joined:
+                tokens[-1][1] += " " + low
+                tokens[-1][3] = i + 1
+            else:
+                tokens.append([{"digits": "number", "spelled": "number"}.get(kind, kind), low, i, i + 1])
+            plain.append(low)
+            was = kind
+            stop = word[-1] in ".!?:|" or (word[-1] in "\"')]" and word[-2:-1] in tuple(".!?:|"))
+    return plain, tokens
+
+
+def passages(text, item):
+    """Places of an item in a text: first word, end word, first word in the item, words found, slots that differ."""
+    (plain, tokens), (item_plain, item_tokens) = template(text), template(item)
+    size = len(item_plain)
+    if size < 5:
+        return []
+    found = []
+    for kind in ("plain", "template"):
+        a = [("word", w, i, i + 1) for i, w in enumerate(plain)] if kind == "plain" else tokens
+        b = [("word", w, i, i + 1) for i, w in enumerate(item_plain)] if kind == "plain" else item_tokens
+        n = min(8, len(b))
+        same = lambda x, y: x[0] == y[0] and (x[0] != "word" or x[1] == y[1])
+        for shift in range(-len(b), len(a)):
+            spots = []
+            for j in range(len(b) - n + 1):
+                literal = sum(t[0] == "word" for t in b[j : j + n])
+                if kind == "template" and (literal < min(4, n) or literal == n):
+                    continue
+                if 0 <= shift + j and shift + j + n <= len(a) and all(same(a[shift + j + o], b[j + o]) for o in range(n)):
+                    spots.append(j)
+            while spots:
+                run = [spots.pop(0)]
+                while spots and spots[0] <= run[-1] + n:
+                    run.append(spots.pop(0))
+                inside = sorted({j + o for j in run for o in range(n)})
+                pairs = {(b[j][0], b[j][1], a[shift + j][1]) for j in inside if b[j][0] != "word"}
+                if one_to_one(pairs):
+                    last = run[-1] + n - 1
+                    found.append((a[shift + run[0]][2], a[shift + last][3], b[run[0]][2], b[last][3], pairs))
+    found.sort(key=lambda f: f[:3])
+    groups = []
+    for f in found:
+        if groups and f[0] <= max(x[1] for x in groups[-1]) + size:
+            groups[-1].append(f)
+        else:
+            groups.append([f])
+    out = []
+    for g in groups:
+        pairs, spots, taken = set(), set(), []
+        for f in sorted(g, key=lambda f: (f[2] - f[3], f[0], f[2])):
+            if one_to_one(pairs | f[4]):
+                pairs |= f[4]
+                spots |= set(range(f[2], f[3]))
+                taken.append(f)
+        if len(spots) >= min(size, 13) or 2 * len(spots) >= size:
+            out.append((min(f[0] for f in taken), max(f[1] for f in taken), min(spots), len(spots), sum(a != b for _, a, b in pairs)))
+    return out
+
+
+def one_to_one(pairs):
+    return len({p[:2] for p in pairs}) == len(pairs) == len({(p[0], p[2]) for p in pairs})

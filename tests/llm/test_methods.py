@@ -8,6 +8,7 @@ import pytest
 
 from driftline.llm import decontaminate, secrets
 
+from . import brute
 from .conftest import prose, vocabulary
 
 
@@ -93,20 +94,78 @@ def test_long_documents_are_read_whole(spark, benchmark):
     assert found(spark, benchmark, [prose(rng, w, 30_000) + " " + ITEM, prose(rng, w, 30_000)]) == [(0, 1, 0)]
 
 
-def test_blocks_of_the_benchmark_change_nothing(spark, benchmark, monkeypatch):
-    texts = [ITEM, "x one two three four five six y", "clean text"]
-    whole = found(spark, benchmark, texts)
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
-    assert found(spark, benchmark, texts) == whole
-
-
-def test_words_beyond_what_is_remembered(monkeypatch):
-    texts = [ITEM, "é 5 kg Alice of " * 40, "a b c. D e"]
-    free = [decontaminate.Reader().read(t.encode()) for t in texts]
-    monkeypatch.setattr(decontaminate, "REMEMBERED", 8)
-    small = decontaminate.Reader()
-    for t, want in zip(texts, free, strict=True):
-        assert all((a == b).all() for a, b in zip(small.read(t.encode()), want, strict=True))
+NAMES = "Ann Bob Carol Mary Tom Zoë Ravi Ivan Olga Élan".split()
+
+
+def question(rng, words):
+    """A question with numbers, names and units, and one that asks the same with others."""
+    n = rng.randint(14, 40)
+    kinds = [rng.choice(["word"] * 7 + ["name", "number", "amount"]) for _ in range(n)]
+    plain = [rng.choice(words) for _ in range(n)]
+    who, count = [rng.randrange(5) for _ in range(n)], [rng.randint(2, 30) for _ in range(n)]
+
+    def told(names, factor, unit):
+        out = []
+        for i, kind in enumerate(kinds):
+            out.append({"word": plain[i], "name": names[who[i]], "number": str(count[i] * factor), "amount": f"{count[i] * factor} {unit}"}[kind])
+            if i % 9 == 8:
+                out[-1] += "."
+        text = " ".join(out)
+        return text[0].upper() + text[1:]
+
+    first, second = rng.sample(NAMES, 5), rng.sample(NAMES, 5)
+    second[0] = "Mary Ann Lee"  # a name may have several words
+    return told(first, 1, "miles"), told(second, 7, "kg")
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(11)
+    w = vocabulary(5, 60)
+    pairs = [question(rng, w) for _ in range(12)]
+    items = [(i, p[0]) for i, p in enumerate(pairs)] + [(90, None), (91, ""), (92, "one two three four five"), (93, "a b c d"), (94, "Ann Bob Tom Ann 5 miles 6 kg"), (0, pairs[0][0])]
+    texts = [None, "", " \n", "one two three four five", "Ann Bob Tom Ann 5 miles 6 kg", "a\x1cb"]
+    for i, (a, b) in enumerate(pairs):
+        half = b.split()
+        texts += [f"{prose(rng, w, 30)} {a} {prose(rng, w, 5)}", f"Said. {b}", a.lower(), " ".join(half[: len(half) // 2 + 2]), b.replace("7", "8", 1), a + "\n" + pairs[i - 1][1]]
+        cut = a.split()
+        cut.insert(len(cut) // 2, "indeed")
+        texts.append(" ".join(cut))
+    texts.append(prose(rng, w, 20_000) + " " + pairs[3][1])
+    docs = [(i, t) for i, t in enumerate(texts)] + [(5, texts[6]), (5, texts[6]), (None, texts[7])]
+    frame = spark.createDataFrame([(*d, "c", "c", "c") for d in docs], "doc_id bigint, text string, item_id string, rid string, h string").repartition(3)
+    benchmark = spark.createDataFrame([(*i, "c") for i in items], "item_id bigint, text string, k string")
+    got = sorted(map(str, ((r.doc_id, r.item_id, r.start_word, r.end_word, r.item_start, round(r.share, 9), r.n_slots) for r in decontaminate.links(frame, benchmark).collect())))
+    want = []
+    for d, t in docs:
+        for k, item in items:
+            want += [(d, k, s, e, at, round(n / len(item.split()), 9), slots) for s, e, at, n, slots in brute.passages(t, item)]
+    assert got == sorted(map(str, want)) and len(got) > 60
+    kept = decontaminate.clean(frame, benchmark)
+    bad = {t for d, t in docs for _, item in items if brute.passages(t, item)}
+    assert kept.columns == frame.columns and sorted(str(r.text) for r in kept.collect()) == sorted(str(t) for _, t in docs if t not in bad)
+
+
+def test_reparameterised_questions_are_found(spark):
+    rng = random.Random(3)
+    w = vocabulary(8, 300)
+    pairs = [question(rng, w) for _ in range(150)]
+    docs = spark.createDataFrame([(i, f"{prose(rng, w, 60)}. {b} {prose(rng, w, 60)}") for i, (_, b) in enumerate(pairs)] + [(1000 + i, prose(rng, w, 200)) for i in range(150)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.links(docs, spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "item_id bigint, text string")).collect()}
+    assert len(got & {(i, i) for i in range(150)}) >= 0.9 * 150 and not [g for g in got if g[0] != g[1]]
+
+
+def test_names_do_not_depend_on_the_rest_of_a_text(spark):
+    a = "Tom bought 12 apples at the market for 3 dollars each. Tom sold 7 of them for 5 euros each. Tom lost the rest."
+    b = "Mary Ann bought thirty apples at the market for $4 each. Mary Ann sold 9 of them for 6 pounds each. Mary Ann lost the rest."
+    items = spark.createDataFrame([(1, a)], "item_id bigint, text string")
+    texts = [b, "mary ann is here, " + b, a.replace("12", "twelve"), b.replace("Mary Ann lost", "Bob lost")]
+    got = {r.doc_id: r for r in decontaminate.links(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), items).collect()}
+    assert set(got) >= {0, 1, 2} and got[0].n_slots >= 4 and got[0].share > 0.9 and got[2].n_slots == 1
+
+
+def test_ids_of_any_type(spark, benchmark):
+    docs = spark.createDataFrame([("x", ITEM)], "doc_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.links(docs, benchmark).collect()] == [("x", 1)]
 
 
 def test_decontamination_of_nothing(spark, benchmark, empty):
