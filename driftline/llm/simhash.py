@@ -6,9 +6,11 @@ have counts that differ by no more than the radius in all, so tile pairs beyond
 whole with exclusive-or and bit counts. Large tiles are split into parts of TILE_ROWS and every pair of parts is
 compared, so that no task holds more than a bounded number of rows whatever a tile holds.
 
-keep_one() is for near copies in general: five-word shingles at a similarity of 0.8 or more. One word of fingerprint can't tell
-that from less, so it takes four words of it, and its tiles are classes of length: texts of that similarity differ in
-length by no more than a factor of 1.25, so all tile pairs but neighbours are skipped.
+keep_one() is for near copies in general: five-word shingles at a similarity of 0.8 or more. Fingerprints of four words that
+count each different shingle once give candidates, within a radius that pairs of that similarity hardly ever exceed; their tiles
+are classes of length, as texts of that similarity differ in length by no more than a factor of 1.25. Candidates' groups are then
+compared by their shingle sets, and a link only counts if these have the similarity. Groups of any size are cut into parts of
+bounded rows and words, and every pair of parts is compared.
 
 A pair of parts doesn't give its links, which grow with the square of a group, but a star for each of its connected
 groups: at most one edge a row. Joining the stars gives the same components as all links would.
@@ -26,41 +28,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, small_batches
+from .substrings import _STEP, _mix, hashed_words, rolled
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 TILE_ROWS = 2048
-#: For near copies: shingle, similarity, words of fingerprint, the radius that stands for the similarity in all of its bits (a pair at
-#: 0.8 differs in 38.7 of 256 on average, deviation 5.7) and in its first word, where it only spares looking at the others.
-NEAR_SHINGLE, SIMILARITY, WIDTH, NEAR_RADIUS, FIRST_RADIUS, NEAR_ROWS = 5, 0.8, 4, 44, 19, 32768
+#: For near copies: shingle, similarity, words of fingerprint, the radius within which pairs are candidates (a pair at 0.8 differs in
+#: 38.7 of 256 bits on average, deviation 5.7; very short ones in 48, deviation 6.2) and that of its first word, where it only
+#: spares looking at the others; rows of a tile part; rows and words of a part of a group.
+NEAR_SHINGLE, SIMILARITY, WIDTH, NEAR_RADIUS, FIRST_RADIUS, NEAR_ROWS = 5, 0.8, 4, 64, 23, 32768
+GROUP_ROWS, GROUP_WORDS = 4096, 4_000_000
 #: Cells of one comparison and hashes counted at once.
 CELLS, HASHES = 1 << 20, 1 << 16
 QUARTERS = 4
 
 
-def fingerprint_words(text: str | None, shingle: int, seed: int = SEED, width: int = 1) -> tuple[list[int], int]:
-    """The fingerprint of a whole text in unsigned words, and how many shingles it has: bit k of word i is set if it is set in
-    over half of the shingles' i-th hashes. The first hash is XXH64, the others are mixed from it."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of a whole text: a bit is set if it is set in over half of the shingles' hashes."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return [0] * width, 0
+        return 0
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[len(words) - n :].tolist()
-    count, digest = np.zeros((width, 64), np.int64), xxhash.xxh64_intdigest
+    count, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for at in range(0, n, HASHES):
         h = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[at : at + HASHES], ends[at : at + HASHES], strict=True)), "<u8")
-        for i in range(width):
-            if i:
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                h = h ^ (h >> np.uint64(31))
-            count[i] += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
-    return np.packbits(2 * count > n, axis=1, bitorder="little").view("<u8").reshape(-1).tolist(), n
+        count += _set_bits(h)
+    return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    return fingerprint_words(text, shingle, seed)[0][0]
+def _set_bits(h: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set."""
+    return np.add.reduce(np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text; the whole text is one if it has fewer words, and none if it has no words."""
+    h = hashed_words([text.encode("utf-8", "surrogatepass").lower()])[0] if text else np.zeros(0, np.uint64)
+    return np.unique(rolled(h, min(NEAR_SHINGLE, len(h)), _STEP[1])) if len(h) else h
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """WIDTH words: bit k of word i is set if it is set in over half of the i-th hashes, each mixed from the one before."""
+    out = np.zeros(WIDTH, np.uint64)
+    for i in range(WIDTH if len(h) else 0):
+        h = _mix(h + np.uint64(0x9E3779B97F4A7C15))
+        out[i] = np.packbits(2 * _set_bits(h) > len(h), bitorder="little").view("<u8")[0]
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -208,28 +223,108 @@ def near_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return own.unionByName(sent).groupBy("at", "at_part").applyInArrow(compare, "a bigint, b bigint")
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, as sorted arrays, have the similarity."""
+    few, many = sorted((len(a), len(b)))
+    if few < SIMILARITY * many:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILARITY * (few + many - both)
+
+
+def confirmed(own: int, prints: np.ndarray, sets: list[np.ndarray], across: bool) -> list[tuple[int, int]]:
+    """Links, as places, that join the first so many rows with each other (or only with the rest, if across) into the groups
+    that all pairs within the radius and of the similarity make: at most one a row. A pair that wouldn't join two groups isn't looked at."""
+    root, out = np.arange(len(prints)), []
+    for i in range(own):
+        j = np.arange(own if across else i + 1, len(prints))
+        j = j[root[j] != root[i]]
+        for k in range(WIDTH):  # bit counts of a row against all that may still be near
+            bits = np.bitwise_count(prints[i, k] ^ prints[j, k]) + (bits if k else np.int64(0))
+            near = bits <= (FIRST_RADIUS if k == 0 else NEAR_RADIUS)
+            j, bits = j[near], bits[near]
+        j = j[np.argsort(bits, kind="stable")]
+        while len(j):
+            if alike(sets[i], sets[j[0]]):
+                out.append((i, int(j[0])))
+                root[root == root[j[0]]] = root[i]
+                j = j[root[j] != root[i]]
+            else:
+                j = j[1:]
+    return out
+
+
+def one_row_each(docs: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs, as struct row, that keys name by digest of the text and id, each once; copies says how many there are."""
+    own = docs.select(F.struct("*").alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("d"), F.col("doc_id").alias("i"))
+    keys = keys.withColumnRenamed("digest", "kd").withColumnRenamed("id", "ki")
+    met = own.join(keys.hint("merge"), (F.col("d") == F.col("kd")) & F.col("i").eqNullSafe(F.col("ki"))).drop("d", "i")
+    rest = [c for c in keys.columns if c not in ("kd", "ki")]
+    if keys.where("copies > 1").isEmpty():
+        return met.select("row", *rest)
+    # rows alike in all that is looked at: one of each task goes on, so that any number of them can be met
+    many = met.where("copies > 1").groupBy("kd", "ki").agg(*[F.first(c).alias(c) for c in ["row", *rest]])
+    return met.where("copies = 1").select("row", *rest).unionByName(many.select("row", *rest))
+
+
+def near_groups(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """node and root for all nodes (rid, digest, id, copies, fp, n) that are near copies of another, by their shingle sets."""
+    candidates = components(scratch.keep(near_links(nodes, scratch)), scratch).withColumnRenamed("root", "cand")
+    members = scratch.keep(nodes.join(candidates, F.col("rid") == F.col("node")).drop("node"))
+    parts = F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_WORDS)).cast("int")
+    sizes = scratch.keep(members.groupBy("cand").agg(parts.alias("parts")))
+    placed = scratch.keep(members.join(sizes, "cand").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts").cast("long")).cast("int")))
+    texts = one_row_each(docs.select("doc_id", "text"), placed.select("digest", "id", "copies", "rid", "fp", "cand", "part", "parts"), scratch)
+    # a part meets itself and every other part of its group
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    sent = texts.select("cand", "rid", "fp", "part", F.col("row.text").alias("text"), other)
+    sent = sent.select("cand", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "rid", "fp", "part", "text")
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        p, q = key[1].as_py(), key[2].as_py()
+        rid, part = group.column("rid").to_numpy(), group.column("part").to_numpy()
+        order = np.lexsort((rid, part))
+        prints = group.column("fp").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, WIDTH)[order]
+        text, rid = group.column("text"), rid[order]
+        sets = [shingle_set(text[i].as_py()) for i in order.tolist()]
+        found = confirmed(len(rid) if p == q else int((part == p).sum()), prints, sets, p != q)
+        return pa.table({c: pa.array([int(rid[f[k]]) for f in found], pa.int64()) for k, c in enumerate("ab")})
+
+    edges = scratch.keep(sent.groupBy("cand", "p", "q").applyInArrow(compare, "a bigint, b bigint"))
+    out = components(edges, scratch)
+    scratch.drop(members, sizes, placed)
+    return out
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs (its own columns) that are first in their group of near copies: least doc_id, nulls last, then one
-    row of several. Null, empty and blank texts are copies of each other."""
+    row of several that are alike in doc_id and text. Groups are those that all links make, directly or through others.
+
+    Null, empty and blank texts are copies of each other. Repeated rows are copies too. No rows give no rows. Other columns ride
+    along whatever their names.
+    """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "keep-one")
-    held = scratch.keep(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [fingerprint_words(t, NEAR_SHINGLE, width=WIDTH) for t in b.column("text").to_pylist()]
-            words = pa.array(np.asarray([w for p, _ in prints for w in p], np.uint64).view(np.int64))
-            fp = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * WIDTH), words)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), fp, pa.array([n for _, n in prints], pa.int64())], names=["rid", "doc_id", "fp", "n"])
+            sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+            words = pa.array(np.asarray([wide_fingerprint(x) for x in sets], np.uint64).reshape(-1).view(np.int64))
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WIDTH), words)
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("id"), fp, pa.array([len(x) for x in sets], pa.int64())], names=["digest", "id", "fp", "n"])
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    texts = held.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    own = texts.mapInArrow(run, f"rid bigint, doc_id {doc_id}, fp array<bigint>, n bigint")
-    # one node for each distinct fingerprint, however many copies there are
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    nodes = scratch.keep(own.groupBy("fp").agg(F.min(place).alias("least"), F.min("n").alias("n")).withColumn("rid", F.col("least.rid")))
-    roots = components(scratch.keep(near_links(nodes, scratch)), scratch)
-    rooted = nodes.select("rid", "least").join(roots, nodes.rid == roots.node, "left").select("least", F.coalesce("root", "rid").alias("root"))
-    first = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("rid")))
-    # as many rows as texts that stay: too many to broadcast at scale, and so never broadcast
-    return held.join(first.hint("merge"), "rid", "left_semi").select("row.*")
+    texts = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.col("doc_id").alias("id"), "text")
+    own = texts.mapInArrow(run, f"digest string, id {doc_id}, fp array<bigint>, n bigint")
+    # one node for each distinct text, however many copies there are
+    rows = own.groupBy("digest", "id").agg(F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "copies")
+    nodes = rows.groupBy("digest").agg(F.min(place).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    nodes = scratch.keep(nodes.select("least", "fp", "n", F.monotonically_increasing_id().alias("rid")))
+    named = nodes.where("n > 0").select("rid", "fp", "n", "least.digest", "least.id", "least.copies")
+    roots = near_groups(named, docs, scratch)
+    root = F.when(F.col("n") == 0, F.lit(-1)).otherwise(F.coalesce("root", "rid"))
+    rooted = nodes.join(roots, F.col("rid") == F.col("node"), "left").select("least", root.alias("root"))
+    first = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.digest", "least.id", "least.copies"))
+    scratch.drop(nodes)
+    return one_row_each(docs, first, scratch).select("row.*")

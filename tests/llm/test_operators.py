@@ -149,7 +149,34 @@ def test_near_copies_go_and_others_stay(spark):
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
     kept = Counter(family[r.doc_id] for r in simhash.keep_one(frame).collect())
     assert set(kept) == set(family)
-    assert sum(kept.values()) <= len(kept) + 2
+    assert sum(kept.values()) == len(set(brute.near_groups(docs)))
+
+
+@pytest.mark.parametrize(("rows_", "words_"), [(4096, 4_000_000), (3, 4_000_000), (4096, 300)])
+def test_links_are_those_of_the_similarity(monkeypatch, spark, rows_, words_):
+    """Chains, links just above and below the similarity, short texts, and groups in several parts."""
+    import random
+
+    from .conftest import prose, vocabulary
+
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows_)
+    monkeypatch.setattr(simhash, "GROUP_WORDS", words_)
+    rng, w, docs = random.Random(5), vocabulary(6, 500), []
+    for size in (1, 3, 5, 6, 8, 12, 30, 100, 100, 200):
+        own = prose(rng, w, size).split()
+        for step in range(9):
+            docs.append((rng.randrange(10**6), " ".join(own)))
+            own = list(own)
+            if step % 3 == 2:
+                own += [rng.choice(w)]
+            else:
+                own[rng.randrange(len(own))] = rng.choice(w)
+    docs += [(docs[3][0], docs[3][1])] * 2 + [(None, docs[40][1].upper()), (None, "x y"), (7, "  "), (8, None)]
+    kept = Counter(r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)).collect())
+    least = {}
+    for (d, _), g in zip(docs, brute.near_groups(docs), strict=True):
+        least[g] = d if least.get(g) is None else min(d, least[g]) if d is not None else least[g]
+    assert kept == Counter(least.values())
 
 
 def test_licenses(docs, rows):
