@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
 next stage's docs. All but the last return docs' columns.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, ties, tables without rows, and other columns of any
+name, which ride along. What each makes of them is stated at the operator that it calls.
 """
 
 from __future__ import annotations
@@ -49,5 +52,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         following = stage(spark, docs, sf_dir)
-        docs = following if k == len(STAGES) - 1 else scratch.keep(following)
-    return docs
+        if k == len(STAGES) - 1:
+            return following
+        before, docs = docs, scratch.keep(following)
+        if k:
+            scratch.drop(before)  # no later stage reads it
