@@ -24,8 +24,8 @@ DIGITS = 3
 
 
 def seeded(seed: int) -> Column:
-    """The place of a document in its source's order. Depends on doc_id alone, so that reruns agree."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    """The place of a document in its source's order. Depends on doc_id alone, or the text where there is none, so that reruns agree."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))).cast("binary"))
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -90,7 +90,12 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: docs' columns, a row for each repetition and its number (from 1); the last of a document may be a
-    part, its first words. Documents of which nothing is taken go; n_chars, if there, follows a cut text."""
+    part, its first words. Documents of which nothing is taken go, and so do null and empty texts; n_chars, if there, follows a
+    cut text. The number's column is repetition, with as many underscores after it as docs' own columns make necessary.
+    Nulls, ties, repeated rows and tables without rows are as in taken()."""
+    number = "repetition"
+    while number.lower() in map(str.lower, docs.columns):
+        number += "_"
     t = taken(docs, **how).where("taken > 0")
     text, size = F.col("row.text"), F.col("size")
     each = t.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / size).cast("int"))))
@@ -100,7 +105,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
         cut.alias(c) if c == "text" else F.when(part >= size, F.col("row.n_chars")).otherwise(F.length(cut)).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
         for c in docs.columns
     ]
-    return each.select(*kept, "repetition")
+    return each.select(*kept, F.col("repetition").alias(number))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -113,7 +118,7 @@ def oracle() -> str:
     return rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS place
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS place
   FROM documents
 ), weighed AS (
   SELECT source, source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1)::BIGINT AS pos,

@@ -190,5 +190,8 @@ def test_pipeline(spark, docs, empty, tmp_path):
     for k, (_, run) in enumerate(corpus_pipeline.STAGES):
         for frame in (docs, empty):
             got = run(spark, frame, root)
-            got.count()
-            assert k == len(corpus_pipeline.STAGES) - 1 or got.columns == frame.columns
+            got.write.mode("overwrite").parquet(f"{tmp_path}/out")
+            back = spark.read.parquet(f"{tmp_path}/out")
+            last = k == len(corpus_pipeline.STAGES) - 1
+            assert back.columns[: len(frame.columns)] == frame.columns and len(back.columns) == len(frame.columns) + last
+            assert back.count() == 0 if frame is empty else back.count() > 0
