@@ -1,21 +1,22 @@
 """A hierarchical Pitman-Yor model of tokens, trained by Gibbs sampling, and scores of whole texts.
 
-Restaurants of the two words before seat every training token at tables of its word. Each table sends one customer to the
-restaurant of the one word before, shared by all contexts that end alike, and each table there one to the restaurant
-without context. Its parent spells words: each table sends one customer, the spelled word, to a hierarchy of restaurants
-over letters, whose contexts are the last three, two, one and no letters; the last parent is uniform. As in the base
-score, words that training never saw are one type, the unknown word: its share of the parent is what the spellings of
-known words leave over.
-
-Seating is sampled by blocked Gibbs: given the tables of all others and the parent's predictions, the number of a word's
-tables is drawn from its exact conditional distribution (generalised Stirling numbers) for up to EXACT customers, and
-customers beyond are seated in order, in growing blocks. One sweep draws all restaurants in turn. The predictions of the
-last KEPT states are averaged. The restaurants of word contexts start with one table for each word and are drawn anew
-CONTEXT_SWEEPS times, each time followed by a sampler of words and letters; the last state of them predicts.
-
-What follows the corpus stays distributed: counts of words in their contexts are shuffled aggregates, sweeps are passes
-over these tables, and places of texts meet their predictions in a join. The letter restaurants have at most
-32 ** 3 * 257 cells whatever the corpus holds, which bounds what sweeps send to the driver and back.
+A restaurant for each word before seats every training token at tables of its word. Each table sends one customer to the
+restaurant without context, which all contexts share as their parent. Its own parent spells words: each table sends one customer,
+the spelled word, to a hierarchy of restaurants over letters, whose contexts are the last three, two, one and no letters; the last
+parent is uniform. As in the base score, words that training never saw are one type, the unknown word: its share of the parent is
+what the spellings of known words leave over.
+
+Seating is sampled by blocked Gibbs: given the tables of all others and the parent's predictions, the number of a dish's
+tables is drawn from its exact conditional distribution (generalised Stirling numbers) for up to EXACT customers, and customers
+beyond are seated in order, in growing blocks. A draw follows from the dish, its context and the sweep, not from where a row
+lies, so that scores don't depend on partitions. The contexts are drawn anew SWEEPS times, each time followed by sweeps of words
+and letters, and the predictions of the last KEPT states are averaged.
+
+What follows the corpus stays distributed, as blocks of numbers rather than rows. Documents are read once into chunks, whose
+tokens are numbers of words. Words are dealt to shards by hash, and pairs of words to shards by the first word (those of a very
+frequent first word by both, with their context's sums added up apart). A chunk sends each of its pairs once, whatever their
+number, and gets probabilities back. The letter restaurants have at most 32 ** 3 * 257 cells whatever the corpus holds, which
+bounds what sweeps send to the driver and back.
 """
 
 from __future__ import annotations
@@ -25,18 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, small_batches, words
-from .substrings import hashed_words
+from .common import Scratch, small_batches
+from .substrings import _mix, chunks, hashed_spans, word_spans
 
-SWEEPS, KEPT, SEED = 4, 2, 42
-CONTEXT_SWEEPS, CONTEXT_STRENGTH = 2, 1.0
+SWEEPS, KEPT = 2, 2
+#: Sweeps of words and letters before the first and the later sweeps of contexts.
+FIRST_WORD_SWEEPS, WORD_SWEEPS = 4, 2
+CONTEXT_STRENGTH, WORD_STRENGTH, LETTER_STRENGTH, LETTER_DISCOUNT = 1.0, 10.0, 1.0, 0.6
 EXACT = 64
-#: Stands for the words before a text's first, apart from all hashes of words but for chance.
-START = 0
-WORD_STRENGTH, LETTER_STRENGTH, LETTER_DISCOUNT = 10.0, 1.0, 0.6
 #: Letters are bytes and one that ends a word; contexts know them by class: 26 letters, digits, other ASCII, first and
 #: further bytes of other characters, and 0 for what precedes a word.
 SYMBOLS, END, CLASSES = 257, 256, 32
@@ -46,10 +47,13 @@ _CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CLASS[ord("0") : ord("9") + 1] = 27
 _CLASS[128:192], _CLASS[192:256] = 30, 29  # a word's end is never part of a context
 DEPTH = 3
-#: Distinct words in one Arrow batch.
-WORD_ROWS = 8192
-#: Places in one Arrow batch.
-SPOT_ROWS = 1 << 16
+#: Tokens of a chunk (but a text is never cut), of a shard of pairs, and of a shard of words, and how many shards there are at least.
+CHUNK_TOKENS, PAIR_TOKENS, WORD_TOKENS, PAIR_SHARDS, WORD_SHARDS = 1 << 21, 1 << 20, 1 << 22, 64, 16
+#: A word that stands more often is a hot context, but never so many words that they'd be more than HOT_WORDS.
+HOT, HOT_WORDS = 1 << 18, 1 << 20
+#: Stands for a text's end among the hashes of words.
+END_HASH = 1
+_U = np.uint64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -70,24 +74,56 @@ def stirling(discount: float, n: int = EXACT) -> np.ndarray:
     return out
 
 
-def seat(count: np.ndarray, opening: np.ndarray, discount: float, table: np.ndarray, rng: np.random.Generator | None, uniform: np.ndarray | None = None) -> np.ndarray:
-    """Draws how many tables serve each dish of count customers; opening is the weight of a new table. uniform, where given,
-    decides for dishes of up to EXACT customers."""
+def uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
+    """Numbers between 0 and 1 that follow from keys and salt."""
+    x = keys.astype(_U)
+    for k in salt:
+        x = _mix(x + _U((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return ((_mix(x) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def binomial(n: np.ndarray, p: np.ndarray, keys: np.ndarray, salt: int) -> np.ndarray:
+    """How many of n succeed, by inversion; by the normal distribution where the variance is large."""
+    u, spread = uniform(keys, salt, 0), n * p * (1 - p)
+    z = np.sqrt(-2 * np.log(u)) * np.cos(2 * math.pi * uniform(keys, salt, 1))
+    out = np.clip(np.rint(n * p + z * np.sqrt(spread)), 0, n).astype(np.int64)
+    at = np.flatnonzero(spread <= 30)
+    # few of what is rarer
+    less = np.minimum(p[at], 1 - p[at])
+    mass = np.exp(n[at] * np.log1p(-less))
+    below, got = mass.copy(), np.zeros(len(at), np.int64)
+    going = np.flatnonzero(u[at] > below)
+    k = 0
+    while len(going):
+        k += 1
+        mass[going] *= (n[at[going]] - k + 1) / k * less[going] / (1 - less[going])
+        below[going] += mass[going]
+        got[going] = k
+        going = going[(u[at[going]] > below[going]) & (k < n[at[going]])]
+    out[at] = np.where(p[at] <= 0.5, got, n[at] - got)
+    return out
+
+
+def seat(count: np.ndarray, opening: np.ndarray, discount: float, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Draws how many tables serve each dish of count customers; opening is the weight of a new table, and what is drawn follows
+    from keys."""
     tables = np.minimum(count, 1)
     opening = np.maximum(opening, 1e-300)
-    for c in np.unique(np.minimum(count, EXACT)).tolist():
-        if c < 2:
-            continue
-        at = np.flatnonzero(np.minimum(count, EXACT) == c)
-        for part in np.array_split(at, max(1, len(at) * c >> 20)):
+    near = np.minimum(count, EXACT)
+    order = np.argsort(near, kind="stable")
+    limits = np.searchsorted(near[order], np.arange(2, EXACT + 2))
+    for c in range(2, EXACT + 1):
+        at = order[limits[c - 2] : limits[c - 1]]
+        for part in np.array_split(at, len(at) * c // (1 << 20) + 1) if len(at) else ():
             weight = table[c, 1 : c + 1][None, :] + np.log(opening[part])[:, None] * np.arange(1, c + 1)[None, :]
             weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
-            tables[part] = 1 + (weight < (rng.random(len(part)) if uniform is None else uniform[part])[:, None] * weight[:, -1:]).sum(1)
-    at, seated = np.flatnonzero(count > EXACT), EXACT
+            tables[part] = 1 + (weight < uniform(keys[part], 0)[:, None] * weight[:, -1:]).sum(1)
+    at, seated, block = np.flatnonzero(count > EXACT), EXACT, 0
     while len(at):
-        block = np.minimum(count[at], seated + max(1, seated // 8)) - seated
+        block += 1
+        more = np.minimum(count[at], seated + max(1, seated // 8)) - seated
         new = opening[at] / (opening[at] + seated - discount * tables[at])
-        tables[at] += rng.binomial(block, np.minimum(new, 1.0))
+        tables[at] += binomial(more, np.minimum(new, 1.0), keys[at], block)
         seated += max(1, seated // 8)
         at = at[count[at] > seated]
     return tables
@@ -103,7 +139,7 @@ class Letters:
         none = np.zeros(0, np.int64)
         self.seats: Seats = [(none.astype(np.int32), none, none)] * (DEPTH + 1)
 
-    def sweep(self, codes: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> None:
+    def sweep(self, codes: np.ndarray, counts: np.ndarray, number: int) -> None:
         """Seats the customers (sorted codes of context and symbol, and how many) anew, from the deepest contexts up, and
         predicts from the top down."""
         seats = []
@@ -112,7 +148,8 @@ class Letters:
             parent = codes % (CLASSES ** max(0, d - 1) * SYMBOLS)
             up = np.full(len(codes), 1 / SYMBOLS) if d == 0 else self.predict[d - 1][parent]
             opened = np.bincount(context, minlength=CLASSES**d) if self.opened[d] is None else self.opened[d]
-            tables = seat(counts, (self.strength + self.discount * opened[context]) * up, self.discount, self.table, rng)
+            keys = _mix(codes.astype(_U) + _U(number * 8 + d << 32))
+            tables = seat(counts, (self.strength + self.discount * opened[context]) * up, self.discount, self.table, keys)
             self.opened[d] = np.bincount(context, weights=tables, minlength=CLASSES**d)
             seats.append((codes.astype(np.int32), counts, tables.astype(np.int64)))
             codes, where = np.unique(parent, return_inverse=True)
@@ -148,20 +185,21 @@ def log_letters(state: dict) -> np.ndarray:
     """The deepest predictions of a state, as logarithms; a task keeps those of the states it works with."""
     name = (state["sweep"], len(state["seats"][-1][0]), state["tables"])
     if name not in _DENSE:
-        while len(_DENSE) >= KEPT:
+        while len(_DENSE) >= 2:
             _DENSE.pop(next(iter(_DENSE)))
         _DENSE[name] = np.log(predictions(state["seats"])[-1])
     return _DENSE[name]
 
 
-def spelled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of context and symbol for every letter of the words and their ends, in a row, and where each word starts."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+def spelled(letters: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of context and symbol for every letter of words in a row, of so many letters each, and their ends, and where each
+    word starts."""
+    size = size.astype(np.int64) + 1
     start = np.cumsum(size) - size
     symbol = np.full(size.sum(), END, np.int64)
     inner = np.ones(len(symbol), bool)
     inner[start + size - 1] = False
-    symbol[inner] = np.frombuffer(b"".join(texts), np.uint8)
+    symbol[inner] = letters
     place, kind = np.arange(len(symbol)) - np.repeat(start, size), _CLASS[symbol]
     code = np.zeros(len(symbol), np.int64)
     for back in range(DEPTH, 0, -1):
@@ -171,198 +209,463 @@ def spelled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code * SYMBOLS + symbol, start
 
 
-def _draw(texts: list[bytes], count: np.ndarray, state: dict, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of each word given a state, the words' spelling probabilities, and their codes and starts."""
-    codes, start = spelled(texts)
-    spelling = np.exp(np.add.reduceat(log_letters(state)[codes].astype(np.float64), start)) if len(texts) else np.zeros(0)
-    hashes = hashed_words([t or b"\0" for t in texts])[0]
-    rng = np.random.default_rng([SEED, state["sweep"], int(np.bitwise_xor.reduce(hashes)) if len(hashes) else 0])
-    tables = seat(count, (WORD_STRENGTH + discount * state["tables"]) * spelling, discount, stirling(discount), rng)
-    return tables, spelling, codes, start
+def pack(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest needs; the last byte says how many."""
+    kind = np.min_scalar_type(int(a.max())) if len(a) else np.dtype(np.uint8)
+    return a.astype(kind.newbyteorder("<")).tobytes() + bytes([kind.itemsize])
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[-1]}", (len(b) - 1) // b[-1]).astype(np.int64)
+
+
+def grouped(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes (below 2 ** bits), sorted, and for each place which of them stands there."""
+    wide = max(1, len(code) - 1).bit_length()
+    if bits + wide > 64:
+        return np.unique(code, return_inverse=True)
+    both = np.sort(code.astype(_U) << _U(wide) | np.arange(len(code), dtype=_U))  # one sort of plain numbers
+    code, place = both >> _U(wide), (both & _U((1 << wide) - 1)).astype(np.int64)
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
+    which = np.empty(len(code), np.int64)
+    which[place] = np.cumsum(new) - 1
+    return code[new], which
+
+
+def cut(data: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The bytes of some of the pieces of data, which have so many bytes each, in a row."""
+    start, size = (np.cumsum(size) - size)[which], size[which]
+    return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (rid, doc_id, held, text) as chunks."""
+    ids, helds, rids, counts, hashes, sizes, letters = [], [], [], [], [], [], []
+    tokens = 0
+
+    def whole() -> pa.RecordBatch:
+        count, h, size, data = np.concatenate(counts), np.concatenate(hashes), np.concatenate(sizes), np.concatenate(letters)
+        ends = np.cumsum(count)
+        h, size = np.insert(h, ends, _U(END_HASH)), np.insert(size, ends, 0)
+        # all but the lowest bits tell words of a chunk apart, hardly ever not
+        low = max(1, len(h) - 1).bit_length()
+        distinct, which = grouped(h >> _U(low), 64 - low)
+        first = np.full(len(distinct), len(h))
+        np.minimum.at(first, which[::-1], np.arange(len(h))[::-1])
+        if (h[first][which] != h).any():
+            distinct, which = np.unique(h, return_inverse=True)
+            np.minimum.at(first := np.full(len(distinct), len(h)), which, np.arange(len(h)))
+        train = np.repeat(~np.concatenate(helds), count + 1)
+        held = pa.array([np.concatenate(helds)], pa.list_(pa.bool_()))
+        columns = {
+            "cid": pa.array([rids[0]], pa.int64()),
+            "doc_id": pa.ListArray.from_arrays(pa.array([0, len(count)], pa.int32()), pa.concat_arrays(ids)),
+            "held": held,
+            "size": pa.array([count + 1], pa.list_(pa.int64())),
+            "token": pa.array([pack(which)], pa.binary()),
+            "h": pa.array([h[first].astype("<u8").tobytes()], pa.binary()),
+            "c": pa.array([pack(np.bincount(which, weights=train, minlength=len(distinct)).astype(np.int64))], pa.binary()),
+            "letters": pa.array([pack(size[first])], pa.binary()),
+            "spelled": pa.array([cut(data, size, first).tobytes()], pa.binary()),
+        }
+        for x in (ids, helds, rids, counts, hashes, sizes, letters):
+            x.clear()
+        return pa.RecordBatch.from_pydict(columns)
+
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        for first, group in chunks(texts):
+            data = np.frombuffer(b" ".join(group).lower() + b" ", np.uint8)
+            starts, ends = word_spans(data)
+            limits = np.cumsum([len(t) + 1 for t in group])
+            ids.append(b.column("doc_id").slice(first, len(group)))
+            helds.append(b.column("held").slice(first, len(group)).to_numpy(zero_copy_only=False).astype(bool))
+            rids.append(b.column("rid")[first].as_py())
+            counts.append(np.diff(np.searchsorted(starts, limits), prepend=0))
+            hashes.append(hashed_spans(data, starts, ends))
+            sizes.append(ends - starts)
+            blank = np.diff(np.concatenate(([0], np.stack([starts, ends], 1).reshape(-1), [len(data)])))
+            letters.append(data[np.repeat(np.arange(len(blank)) % 2 == 1, blank)])
+            tokens += len(starts) + len(group)
+            if tokens >= CHUNK_TOKENS:
+                tokens = 0
+                yield whole()
+    if ids:
+        yield whole()
+
+
+def _shard_limits(h: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's part of sorted hashes ends; shards are equal ranges of the first 32 bits."""
+    return np.searchsorted(((h >> _U(32)) * _U(shards)) >> _U(32), np.arange(shards + 1))
+
+
+def _rows(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
+
+
+_LONG, _BIN = pa.int64(), pa.binary()
+
+
+def vocabulary(chunked: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
+    """Blocks of words, sorted by hash (cid null: h, c, letters, spelled, v how many, types and tokens of training), and for each
+    chunk which of them its words are and their counts (cid, h, c)."""
+    schema = [("ws", _LONG), ("cid", _LONG), ("h", _BIN), ("c", _BIN), ("letters", _BIN), ("spelled", _BIN)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cid, h, c, size, data in zip(*(b.column(n).to_pylist() for n in ("cid", "h", "c", "letters", "spelled")), strict=True):
+                h, c, size, data = np.frombuffer(h, "<u8"), unpack(c), unpack(size), np.frombuffer(data, np.uint8)
+                limits, at = _shard_limits(h, shards), np.concatenate(([0], np.cumsum(size)))
+                yield _rows(schema, [(k, cid, h[s:e].tobytes(), pack(c[s:e]), pack(size[s:e]), data[at[s] : at[e]].tobytes()) for k, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
+
+    out = [*schema, ("v", _LONG), ("types", _LONG), ("tokens", _LONG)]
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        each = [np.frombuffer(r["h"], "<u8") for r in rows]
+        c, size = np.concatenate([unpack(r["c"]) for r in rows]), np.concatenate([unpack(r["letters"]) for r in rows])
+        h, first, which = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+        total = np.bincount(which, weights=c, minlength=len(h)).astype(np.int64)
+        data = cut(np.frombuffer(b"".join([r["spelled"] for r in rows]), np.uint8), size, first)
+        ws = key[0].as_py()
+        found = [(ws, None, h.tobytes(), pack(total), pack(size[first]), data.tobytes(), len(h), int((total > 0).sum()), int(total.sum()))]
+        ends = np.cumsum([len(x) for x in each]).tolist()
+        for r, s, e in zip(rows, [0, *ends], ends):
+            found.append((ws, r["cid"], pack(which[s:e]), pack(total[which[s:e]]), None, None, None, None, None))
+        return pa.Table.from_batches([_rows(out, found)])
+
+    ddl = "ws bigint, cid bigint, h binary, c binary, letters binary, spelled binary"
+    dealt = chunked.select("cid", "h", "c", "letters", "spelled").mapInArrow(deal, ddl)
+    return scratch.keep(dealt.groupBy("ws").applyInArrow(merge, ddl + ", v bigint, types bigint, tokens bigint"))
+
+
+def _numbered(chunked: DataFrame, words_: DataFrame, offsets: np.ndarray, n: int, v: int, scratch: Scratch) -> DataFrame:
+    """Chunks with the numbers of their words, and known and base for each document."""
+    doc_ids = chunked.schema["doc_id"].dataType.simpleString()
+
+    def number(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        got = sorted(right.to_pylist(), key=lambda r: r["ws"])
+        ids = np.concatenate([offsets[r["ws"]] + unpack(r["h"]) for r in got])
+        c = np.concatenate([unpack(r["c"]) for r in got])
+        token, size = unpack(left.column("token")[0].as_py()), np.asarray(left.column("size")[0].as_py())
+        at = np.cumsum(size) - size
+        known = np.add.reduceat((c > 0).astype(np.int64)[token], at)
+        base = np.add.reduceat(np.log10((c + 0.1) / (n + 0.1 * (v + 1)))[token], at)
+        more = {"known": pa.array([known], pa.list_(pa.int64())), "base": pa.array([base], pa.list_(pa.float64())), "id": pa.array([pack(ids)], pa.binary())}
+        return pa.table({c: left.column(c) for c in ("cid", "doc_id", "held", "size", "token")} | more)
+
+    left = chunked.select("cid", "doc_id", "held", "size", "token").groupBy("cid")
+    right = words_.where("cid IS NOT NULL").select("cid", "ws", "h", "c").groupBy("cid")
+    return scratch.keep(left.cogroup(right).applyInArrow(number, f"cid bigint, doc_id {doc_ids}, held array<boolean>, size array<bigint>, token binary, known array<bigint>, base array<double>, id binary"))
+
+
+class Deal:
+    """Where pairs go. Words have numbers from 0 on in the order of their hashes; start stands for what precedes a text."""
+
+    def __init__(self, start: int, hot: np.ndarray, shards: int):
+        self.start, self.hot, self.shards, self.bits = start, hot, shards, (start + 1).bit_length()
+
+    def is_hot(self, b: np.ndarray) -> np.ndarray:
+        return np.isin(b, self.hot)
+
+    def pairs(self, size: np.ndarray, token: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The different pairs of a chunk, sorted by shard: first word, second word, shard limits; and for each token its pair."""
+        none = len(ids)
+        before = np.concatenate(([none], token[:-1]))
+        before[np.cumsum(size) - size] = none
+        code, which = grouped(before * (none + 1) + token, 2 * (none + 1).bit_length())
+        code = code.astype(np.int64)
+        b, w = np.append(ids, self.start)[code // (none + 1)], ids[code % (none + 1)]
+        shard = _mix(b.astype(_U))
+        hot = self.is_hot(b)
+        shard[hot] = _mix(shard[hot] + w[hot].astype(_U))
+        shard = ((shard >> _U(40)) * _U(self.shards) >> _U(24)).astype(np.int64)
+        order = np.argsort(shard.astype(np.uint16) if self.shards < 1 << 16 else shard, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return b[order], w[order], np.searchsorted(shard[order], np.arange(self.shards + 1)), place[which]
+
+
+def _runs(b: np.ndarray) -> tuple[bytes, bytes]:
+    """A column with equal neighbours, as values and lengths of runs."""
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(b)), bool), b[1:] != b[:-1])))
+    return pack(b[new]), pack(np.diff(np.append(new, len(b))))
+
+
+_PAIRS = "shard bigint, b binary, n binary, w binary, c binary, t binary, p binary, hot_b binary, hot_c binary, hot_t binary, ones bigint, twos bigint"
+_PAIR_SCHEMA = [(x.split()[0], _LONG if x.endswith("bigint") else _BIN) for x in _PAIRS.split(", ")]
+
+
+def _pair_row(shard: int, b: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray, p: np.ndarray, deal: Deal) -> pa.Table:
+    """A shard's pairs, sorted, and what it adds to the sums of hot contexts."""
+    first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+    own = b[first]
+    hot = deal.is_hot(own)
+    sums = [np.add.reduceat(x, first)[hot] for x in (c, t)]
+    row = (shard, *_runs(b), pack(w), pack(c), pack(t), p.astype("<f4").tobytes(), pack(own[hot]), *map(pack, sums), int((c == 1).sum()), int((c == 2).sum()))
+    return pa.Table.from_batches([_rows(_PAIR_SCHEMA, [row])])
+
+
+def _first_seats(chunked: DataFrame, deal: Deal, scratch: Scratch) -> DataFrame:
+    """Each shard's pairs with counts; one table for each that training holds."""
+    schema = [("shard", _LONG), ("b", _BIN), ("n", _BIN), ("w", _BIN), ("c", _BIN)]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held, size, token, ids in zip(*(batch.column(n).to_pylist() for n in ("held", "size", "token", "id")), strict=True):
+                size = np.asarray(size)
+                b, w, limits, pair = deal.pairs(size, unpack(token), unpack(ids))
+                c = np.bincount(pair, weights=np.repeat(~np.asarray(held), size), minlength=len(b)).astype(np.int64)
+                yield _rows(schema, [(k, *_runs(b[s:e]), pack(w[s:e]), pack(c[s:e])) for k, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
+
+    def gather(key: tuple, group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        b = np.concatenate([np.repeat(unpack(r["b"]), unpack(r["n"])) for r in rows])
+        w, c = (np.concatenate([unpack(r[k]) for r in rows]) for k in "wc")
+        order = _pair_order(b, w, deal)
+        b, w, c = b[order], w[order], c[order]
+        new = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (w[1:] != w[:-1]))))
+        c = np.add.reduceat(c, new)
+        return _pair_row(key[0].as_py(), b[new], w[new], c, np.minimum(c, 1), np.zeros(0), deal)
+
+    sent = chunked.select("held", "size", "token", "id").mapInArrow(send, "shard bigint, b binary, n binary, w binary, c binary")
+    return scratch.keep(sent.groupBy("shard").applyInArrow(gather, _PAIRS))
+
+
+def _key(b: np.ndarray, w: np.ndarray, deal: Deal) -> np.ndarray | None:
+    """Pairs as one number that sorts alike, if there are few enough words for that."""
+    return b.astype(_U) << _U(deal.bits) | w.astype(_U) if 2 * deal.bits <= 64 else None
+
+
+def _pair_order(b: np.ndarray, w: np.ndarray, deal: Deal) -> np.ndarray:
+    key = _key(b, w, deal)
+    return np.lexsort((w, b)) if key is None else np.argsort(key)
+
+
+def _places(b: np.ndarray, w: np.ndarray, ask_b: np.ndarray, ask_w: np.ndarray, deal: Deal) -> np.ndarray:
+    """Where sorted pairs hold those asked for, which are among them."""
+    key = _key(b, w, deal)
+    if key is not None:
+        return np.searchsorted(key, _key(ask_b, ask_w, deal))
+    both = np.lexsort((np.repeat([0, 1], [len(b), len(ask_b)]), np.append(w, ask_w), np.append(b, ask_b)))
+    own = both < len(b)
+    out = np.empty(len(ask_b), np.int64)
+    out[both[~own] - len(b)] = (np.cumsum(own) - 1)[~own]
+    return out
+
 
+class Sums:
+    """Customers and tables of hot contexts."""
 
-def _words(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
-    return [w.encode("utf-8", "surrogatepass") for w in batch.column("word").to_pylist()], batch.column("c").to_numpy(zero_copy_only=False)
+    def __init__(self, pairs: DataFrame):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = [np.concatenate([np.zeros(0, np.int64), *map(unpack, batch.column(n).to_pylist())]) for n in ("hot_b", "hot_c", "hot_t")]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["b", "c", "t"])
 
+        rows = pairs.select("hot_b", "hot_c", "hot_t").mapInArrow(each, "b bigint, c bigint, t bigint")
+        got = rows.groupBy("b").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).orderBy("b").toArrow()  # at most HOT_WORDS + 1 rows
+        self.b, self.c, self.t = (got.column(n).to_numpy() for n in "bct")
 
-class Model:
-    """States of the sampler of words and letters."""
+    def of(self, b: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each pair's context, given all of a shard's pairs."""
+        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        run, own = np.diff(np.append(first, len(b))), b[first]
+        held, tables = np.add.reduceat(c, first), np.add.reduceat(t, first)
+        if len(self.b):
+            at = np.minimum(np.searchsorted(self.b, own), len(self.b) - 1)
+            hot = self.b[at] == own
+            held[hot], tables[hot] = self.c[at[hot]], self.t[at[hot]]
+        return np.repeat(held, run), np.repeat(tables, run)
 
-    def __init__(self, customers: int, discount: float):
-        self.customers, self.discount, self.states = customers, discount, []
 
-    def chances(self, texts: list[bytes], count: np.ndarray) -> np.ndarray:
-        """Probabilities of words without context, averaged over the states; count is of customers."""
-        total = np.zeros(len(texts))
-        for state in self.states:
-            tables, spelling, _, _ = _draw(texts, count, state, self.discount)
-            spelling = np.where(count > 0, spelling, state["unknown"])
-            own = np.maximum(count - self.discount * tables, 0)
-            total += (own + (WORD_STRENGTH + self.discount * state["tables"]) * spelling) / (WORD_STRENGTH + self.customers)
-        return total / len(self.states)
+def chance(c: np.ndarray, t: np.ndarray, held: np.ndarray, tables: np.ndarray, up: np.ndarray, discount: float) -> np.ndarray:
+    """Probability of words in their contexts, given theirs in the parent."""
+    return (np.maximum(c - discount * t, 0) + (CONTEXT_STRENGTH + discount * tables) * up) / (CONTEXT_STRENGTH + held)
 
 
 def discount_of(rows: DataFrame) -> float:
-    """A restaurant's discount, from how many dishes have one customer and how many two (c)."""
-    ones, twos = (x or 0 for x in rows.agg(*[F.sum((F.col("c") == k).cast("long")) for k in (1, 2)]).first())
+    """A restaurant's discount, from how many dishes have one customer and how many two."""
+    ones, twos = (x or 0 for x in rows.agg(F.sum("ones"), F.sum("twos")).first())
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def train(vocabulary: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> Model:
-    """Samples seats for the words and customers (word, c) of vocabulary."""
-    spark = vocabulary.sparkSession
-    n, v = (x or 0 for x in vocabulary.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first())
-    discount = discount_of(vocabulary)
-    model, letters, rng = Model(n, discount), Letters(), np.random.default_rng(SEED)
-    state = {"sweep": 0, "tables": float(v), "seats": letters.seats}
-    for sweep in range(1, sweeps + 1):
-        sent = spark.sparkContext.broadcast(state)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, first: bool = sweep == 1) -> Iterator[pa.RecordBatch]:
-            cells, opened = np.zeros(CLASSES**DEPTH * SYMBOLS), 0
+class Words:
+    """The restaurant without context and its parent of letters, as the sampler goes on."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.letters, self.sweep, self.state, self.discount = scratch, Letters(), 0, None, 0.5
+
+    @staticmethod
+    def _draw(block: dict, state: dict, discount: float) -> tuple[np.ndarray, np.ndarray]:
+        """Tables of each word in the sweep after a state, and codes of its letters."""
+        codes, start = spelled(np.frombuffer(block["spelled"], np.uint8), unpack(block["letters"]))
+        count = unpack(block["c"])
+        if state["tables"] is None:  # each word starts with one table
+            return np.minimum(count, 1), codes
+        spelling = Words._spelling(codes, start, state)
+        keys = _mix(np.frombuffer(block["h"], "<u8") + _U(state["sweep"] + 1))
+        return seat(count, (WORD_STRENGTH + discount * state["tables"]) * spelling, discount, stirling(discount), keys), codes
+
+    @staticmethod
+    def _spelling(codes: np.ndarray, start: np.ndarray, state: dict) -> np.ndarray:
+        return np.exp(np.add.reduceat(log_letters(state)[codes].astype(np.float64), start))
+
+    def train(self, words_: DataFrame, sweeps: int) -> None:
+        """Sweeps over blocks of words (h, letters, spelled, c customers, ones, twos)."""
+        sc = words_.sparkSession.sparkContext
+        self.discount = discount = discount_of(words_)
+        self.customers = words_.agg(F.sum("held")).first()[0] or 0
+        state = self.state or {"sweep": 0, "tables": None, "seats": self.letters.seats}
+        for _ in range(sweeps):
+            self.sweep += 1
+            sent = sc.broadcast(state)
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                cells, opened = np.zeros(CLASSES**DEPTH * SYMBOLS), 0
+                for b in batches:
+                    for block in b.to_pylist():
+                        tables, codes = Words._draw(block, sent.value, discount)
+                        cells += np.bincount(codes, weights=np.repeat(tables, unpack(block["letters"]) + 1), minlength=len(cells))
+                        opened += int(tables.sum())
+                at = np.flatnonzero(cells)
+                codes, sums = np.append(at, -1), np.append(cells[at].astype(np.int64), opened)
+                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(sums, pa.int64())], names=["code", "n"])
+
+            cells = words_.select("h", "letters", "spelled", "c").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+            got = cells.orderBy("code").toArrow()  # at most CLASSES ** DEPTH * SYMBOLS + 1 rows
+            codes, counts = got.column("code").to_numpy(), got.column("n").to_numpy()
+            sent.destroy()
+            self.letters.sweep(codes[codes >= 0], counts[codes >= 0], self.sweep)
+            before = {k: v for k, v in state.items() if k != "before"}
+            state = {"sweep": self.sweep, "tables": float(counts[codes < 0].sum()), "seats": self.letters.seats, "before": before}
+        self.state = state
+
+    def rated(self, words_: DataFrame) -> DataFrame:
+        """ws and up, each word's probability without context, from the seats of the last sweep; words without customers are the
+        unknown one."""
+        sent = words_.sparkSession.sparkContext.broadcast(self.state)
+        discount, customers = self.discount, self.customers
+
+        def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = []
             for b in batches:
-                texts, count = _words(b)
-                tables, _, codes, start = _draw(texts, count, sent.value, discount)
-                tables = np.minimum(count, 1) if first else tables  # the first sweep gives each word one table
-                np.add.at(cells, codes, np.repeat(tables, np.diff(np.append(start, len(codes)))))
-                opened += int(tables.sum())
-            at = np.flatnonzero(cells)
-            codes, sums = np.append(at, -1), np.append(cells[at].astype(np.int64), opened)
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(sums, pa.int64())], names=["code", "n"])
-
-        cells = vocabulary.where("c > 0").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-        got = cells.orderBy("code").toArrow()  # at most CLASSES ** DEPTH * SYMBOLS + 1 rows
-        codes, counts = got.column("code").to_numpy(), got.column("n").to_numpy()
-        sent.destroy()
-        letters.sweep(codes[codes >= 0], counts[codes >= 0], rng)
-        state = {"sweep": sweep, "tables": float(counts[codes < 0].sum()), "seats": letters.seats}
-        if sweep > sweeps - kept:
-            model.states.append(state)
-    sent = spark.sparkContext.broadcast(model.states)
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(kept)
-        for b in batches:
-            codes, start = spelled(_words(b)[0])
-            if len(start):
-                sums += [np.exp(np.add.reduceat(log_letters(s)[codes].astype(np.float64), start)).sum() for s in sent.value]
-        yield pa.RecordBatch.from_arrays([pa.array(range(kept), pa.int32()), pa.array(sums)], names=["state", "p"])
-
-    sums = vocabulary.where("c > 0").mapInArrow(known, "state int, p double").groupBy("state").agg(F.sum("p").alias("p")).collect()
-    spelt = {r.state: r.p for r in sums}
-    for k, state in enumerate(model.states):
-        state["unknown"] = max(1.0 - spelt.get(k, 0.0), 1e-6)
-    sent.destroy()
-    return model
-
-
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """word and c (how often training documents hold it), for every token of all documents; the end is the empty word."""
-    token = F.explode(F.concat(words(ascii_lower(F.col("text"))), F.array(F.lit("")))).alias("word")
-    rows = docs.select((~held_out(F.col("doc_id"))).cast("long").alias("train"), token)
-    return rows.groupBy("word").agg(F.sum("train").alias("c"))
-
-
-def word_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORD_ROWS))
+                for block in b.to_pylist():
+                    codes, start = spelled(np.frombuffer(block["spelled"], np.uint8), unpack(block["letters"]))
+                    spelling = Words._spelling(codes, start, sent.value)
+                    out.append((block["ws"], spelling.astype("<f8").tobytes(), float(spelling[unpack(block["c"]) > 0].sum())))
+            yield _rows([("ws", _LONG), ("spelling", _BIN), ("p", pa.float64())], out)
 
+        rows = words_.select("ws", "letters", "spelled", "c").mapInArrow(known, "ws bigint, spelling binary, p double")
+        spelling = self.scratch.keep(rows)
+        unknown = max(1.0 - (spelling.agg(F.sum("p")).first()[0] or 0.0), 1e-6)
 
-def spots(tokens: DataFrame) -> DataFrame:
-    """A row for each place of tokens' texts (rid, train, h, hashes of words in a row): rid, train, the hashes of the word
-    before the last, the last word and the word that stands there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for block in b.to_pylist():
+                    state, count = sent.value, unpack(block["c"])
+                    tables, _ = Words._draw(block, state["before"], discount)
+                    p = np.where(count > 0, np.frombuffer(block["spelling"], "<f8"), unknown)
+                    own = np.maximum(count - discount * tables, 0)
+                    up = (own + (WORD_STRENGTH + discount * state["tables"]) * p) / (WORD_STRENGTH + customers)
+                    out.append((block["ws"], up.astype("<f8").tobytes()))
+                yield _rows([("ws", _LONG), ("up", _BIN)], out)
+
+        return words_.join(spelling.select("ws", "spelling"), "ws").select("ws", "h", "letters", "spelled", "c", "spelling").mapInArrow(rate, "ws bigint, up binary")
+
+
+def _parents(pairs: DataFrame, blocks: DataFrame, offsets: np.ndarray, model: Words, scratch: Scratch) -> DataFrame:
+    """Sends pairs' tables to the restaurant without context, goes on with its sampler, and gives each shard (shard, ws, up) the
+    probabilities of its words back, in the order of their numbers."""
+    shards = len(offsets) - 1
+    schema = [("ws", _LONG), ("shard", _LONG), ("rank", _BIN), ("k", _BIN)]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column("h")
-            w, size = h.flatten().to_numpy(), np.diff(h.offsets.to_numpy())
-            of = np.repeat(np.arange(len(size)), size)
-            place = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-            before = [np.where(place >= k, np.concatenate((np.full(min(k, len(w)), START), w[:-k])), START) for k in (2, 1)]
-            columns = [batch.column("rid").take(pa.array(of)), batch.column("train").take(pa.array(of)), *map(pa.array, [*before, w])]
-            whole = pa.RecordBatch.from_arrays(columns, names=["rid", "train", "a", "b", "w"])
-            yield from (whole.slice(at, SPOT_ROWS) for at in range(0, whole.num_rows, SPOT_ROWS))
-
-    return tokens.select("rid", "train", "h").mapInArrow(run, "rid bigint, train bigint, a bigint, b bigint, w bigint")
-
+            for shard, w, t in zip(*(batch.column(n).to_pylist() for n in ("shard", "w", "t")), strict=True):
+                w, which = grouped(unpack(w), int(offsets[-1]).bit_length())
+                w, k = w.astype(np.int64), np.bincount(which, weights=unpack(t), minlength=len(w)).astype(np.int64)
+                limits = np.searchsorted(w, offsets)
+                yield _rows(schema, [(ws, shard, pack(w[s:e] - offsets[ws]), pack(k[s:e])) for ws, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
+
+    sent = scratch.keep(pairs.select("shard", "w", "t").mapInArrow(send, "ws bigint, shard bigint, rank binary, k binary"))
+
+    def customers(key: tuple, group: pa.Table) -> pa.Table:
+        ws = key[0].as_py()
+        c = np.zeros(offsets[ws + 1] - offsets[ws], np.int64)
+        for r in group.select(["rank", "k"]).to_pylist():
+            c[unpack(r["rank"])] += unpack(r["k"])
+        return pa.Table.from_batches([_rows([("ws", _LONG), ("c", _BIN), ("held", _LONG), ("ones", _LONG), ("twos", _LONG)], [(ws, pack(c), int(c.sum()), int((c == 1).sum()), int((c == 2).sum()))])])
+
+    seated = sent.groupBy("ws").applyInArrow(customers, "ws bigint, c binary, held bigint, ones bigint, twos bigint")
+    words_ = scratch.keep(blocks.select("ws", "h", "letters", "spelled").join(seated, "ws"))
+    model.train(words_, FIRST_WORD_SWEEPS if model.state is None else WORD_SWEEPS)
+
+    def answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        up = np.frombuffer(right.column("up")[0].as_py(), "<f8")
+        out = [(r["shard"], r["ws"], up[unpack(r["rank"])].tobytes()) for r in left.select(["shard", "ws", "rank"]).to_pylist()]
+        return pa.Table.from_batches([_rows([("shard", _LONG), ("ws", _LONG), ("up", _BIN)], out)])
+
+    rated = scratch.keep(model.rated(words_))
+    out = scratch.keep(sent.select("ws", "shard", "rank").groupBy("ws").cogroup(rated.groupBy("ws")).applyInArrow(answer, "shard bigint, ws bigint, up binary"))
+    scratch.drop(sent, words_, rated)
+    return out
 
-def totals(rows: DataFrame, *context: str) -> DataFrame:
-    """rows and their context's customers (held) and tables (tables)."""
-    over = Window.partitionBy(*context)
-    return rows.withColumn("held", F.sum("c").over(over)).withColumn("tables", F.sum("t").over(over))
 
+def _opened(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:
+    """A shard's pairs (b, w, c, t) and up, the parent's probability of each w."""
+    row = left.to_pylist()[0]
+    b, w, c, t = np.repeat(unpack(row["b"]), unpack(row["n"])), *(unpack(row[k]) for k in "wct")
+    got = sorted((r["ws"], r["up"]) for r in right.select(["ws", "up"]).to_pylist())
+    up = np.concatenate([np.frombuffer(u, "<f8") for _, u in got])
+    distinct = np.unique(w)
+    return b, w, c, t, up[np.searchsorted(distinct, w)], np.frombuffer(row["p"], "<f4")
 
-def chance(discount: float) -> Column:
-    """Probability of a word in its context, from c, t, held, tables and up, its probability in the parent."""
-    back = (CONTEXT_STRENGTH + discount * F.col("tables")) * F.col("up")
-    return (F.greatest(F.col("c") - discount * F.col("t"), F.lit(0.0)) + back) / (CONTEXT_STRENGTH + F.col("held"))
 
+def _redrawn(pairs: DataFrame, ups: DataFrame, deal: Deal, discount: float, sweep: int, keep: bool, scratch: Scratch) -> DataFrame:
+    """Pairs with tables drawn anew; if keep, p grows by the predictions of the state before."""
+    sums = pairs.sparkSession.sparkContext.broadcast(Sums(pairs))
 
-def redraw(rows: DataFrame, keys: list[str], discount: float, sweep: int) -> DataFrame:
-    """keys, c and t, the number of tables drawn anew, of rows (keys, c, tables of the context, up). What is drawn follows from
-    row and sweep, not from a row's place."""
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        b, w, c, t, up, p = _opened(left, right)
+        held, tables = sums.value.of(b, c, t)
+        if keep:
+            p = chance(c, t, held, tables, up, discount) + (p if len(p) else 0)
+        keys = _mix(_mix(b.astype(_U) + _U(sweep << 40)) + w.astype(_U))
+        t = seat(c, (CONTEXT_STRENGTH + discount * tables) * up, discount, stirling(discount), keys)
+        return _pair_row(key[0].as_py(), b, w, c, t, p, deal)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = stirling(discount)
-        for batch in batches:
-            count, tables, up, key = (batch.column(n).to_numpy() for n in ("c", "tables", "up", "key"))
-            opening, drawn = (CONTEXT_STRENGTH + discount * tables) * up, np.minimum(count, 1)
-            more = np.flatnonzero(count > 1)
-            if len(more):
-                uniform = (key[more].view(np.uint64) >> np.uint64(11)) * 2.0**-53
-                drawn[more] = seat(np.minimum(count[more], EXACT), opening[more], discount, table, None, uniform)
-            for i in np.flatnonzero(count > EXACT).tolist():
-                drawn[i] = seat(count[i : i + 1], opening[i : i + 1], discount, table, np.random.default_rng([SEED, int(key.view(np.uint64)[i])]))[0]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("c"), pa.array(drawn)], names=[*keys, "c", "t"])
-
-    key = F.xxhash64(F.lit(sweep), *keys).alias("key")
-    return rows.select(*keys, "c", "tables", "up", key).mapInArrow(run, ", ".join(f"{k} bigint" for k in [*keys, "c", "t"]))
-
-
-def unigrams(vocabulary: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """w and up, the probability without context, of all words of vocabulary, given the seats t of pairs."""
-    spark = vocabulary.sparkSession
-    sent_up = pairs.groupBy("w").agg(F.sum("t").alias("k"))
-    words_ = scratch.keep(vocabulary.join(sent_up, vocabulary.h == sent_up.w, "left").select("word", "h", F.coalesce("k", F.lit(0)).alias("c")))
-    model = spark.sparkContext.broadcast(train(words_))
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(model.value.chances(*_words(b)))], names=["w", "up"])
+    return scratch.keep(pairs.groupBy("shard").cogroup(ups.groupBy("shard")).applyInArrow(run, _PAIRS))
 
-    out = scratch.keep(words_.mapInArrow(rate, "w bigint, up double"))
-    model.destroy()
-    scratch.drop(words_)
-    return out
 
+def _answers(pairs: DataFrame, ups: DataFrame, chunked: DataFrame, deal: Deal, discount: float, kept: int, scratch: Scratch) -> DataFrame:
+    """cid, shard and p: for each chunk and shard the logarithms of the probabilities of the chunk's pairs, in their order."""
+    sums = pairs.sparkSession.sparkContext.broadcast(Sums(pairs))
+    schema = [("shard", _LONG), ("ws", _LONG), ("up", _BIN), ("cid", _LONG), ("b", _BIN), ("n", _BIN), ("w", _BIN)]
 
-def predicted(tokens: DataFrame, vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
-    """w, key (of a word and the two before) and p, its probability there, for every such three of all texts."""
-    small_batches(tokens.sparkSession)
-    counted = scratch.keep(spots(tokens).groupBy("a", "b", "w").agg(F.sum("train").alias("c")))
-    word_batches(tokens.sparkSession)
-    first = F.least("c", F.lit(1)).alias("t")
-    d3 = discount_of(counted)
-    triples = scratch.keep(totals(counted.select("a", "b", "w", "c", first), "a", "b"))
-    scratch.drop(counted)
-    sent_up = lambda: triples.groupBy("b", "w").agg(F.sum("t").alias("c"))
-    counted = scratch.keep(sent_up())
-    d2 = discount_of(counted)
-    pairs = scratch.keep(totals(counted.select("b", "w", "c", first), "b"))
-    scratch.drop(counted)
-    for sweep in range(CONTEXT_SWEEPS + 1):
-        alone = unigrams(vocabulary, pairs, scratch)
-        over = scratch.keep(pairs.join(alone, "w").select("b", "w", "tables", "up", chance(d2).alias("p")))
-        scratch.drop(pairs, alone)
-        met = triples.join(over.select("b", "w", F.col("p").alias("up")), ["b", "w"])
-        if sweep == CONTEXT_SWEEPS:
-            out = scratch.keep(met.select("w", F.xxhash64("a", "b", "w").alias("key"), chance(d3).alias("p")))
-            scratch.drop(triples, over)
-            return out
-        following = scratch.keep(totals(redraw(met, ["a", "b", "w"], d3, sweep), "a", "b"))
-        scratch.drop(triples)
-        triples = following
-        pairs = scratch.keep(totals(redraw(sent_up().join(over.select("b", "w", "tables", "up"), ["b", "w"]), ["b", "w"], d2, sweep), "b"))
-        scratch.drop(over)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, size, token, ids in zip(*(batch.column(n).to_pylist() for n in ("cid", "size", "token", "id")), strict=True):
+                b, w, limits, _ = deal.pairs(np.asarray(size), unpack(token), unpack(ids))
+                yield _rows(schema, [(k, None, None, cid, *_runs(b[s:e]), pack(w[s:e])) for k, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        isup = right.column("ws").is_valid()
+        b, w, c, t, up, p = _opened(left, right.filter(isup))
+        held, tables = sums.value.of(b, c, t)
+        p = np.log10((chance(c, t, held, tables, up, discount) + (p if len(p) else 0)) / kept).astype("<f4")
+        shard, out = key[0].as_py(), []
+        for r in right.select(["cid", "b", "n", "w"]).filter(pc.invert(isup)).to_pylist():
+            ask_b, ask_w = np.repeat(unpack(r["b"]), unpack(r["n"])), unpack(r["w"])
+            out.append((r["cid"], shard, p[_places(b, w, ask_b, ask_w, deal)].tobytes()))
+        return pa.Table.from_batches([_rows([("cid", _LONG), ("shard", _LONG), ("p", _BIN)], out)])
+
+    ddl = "shard bigint, ws bigint, up binary, cid bigint, b binary, n binary, w binary"
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("cid", "bigint"), ("b", "binary"), ("n", "binary"), ("w", "binary"))]
+    asked = chunked.select("cid", "size", "token", "id").mapInArrow(ask, ddl).unionByName(ups.select("shard", "ws", "up", *none))
+    return scratch.keep(pairs.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(run, "cid bigint, shard bigint, p binary"))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -374,40 +677,57 @@ def query(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "language-model")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the empty word, a text's end, stands apart from what any text can hold
-    end = int(hashed_words([b"\0"])[0].view(np.int64)[0])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in b.column("text").to_pylist()]
-            h = pa.array([np.append(hashed_words([t])[0].view(np.int64), end) for t in raw], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), b.column("train"), h], names=["rid", "doc_id", "train", "h"])
-
     small_batches(spark)
-    train_ = (~held_out(F.col("doc_id"))).cast("long").alias("train")
-    placed = own.select(F.monotonically_increasing_id().alias("rid"), "doc_id", train_, "text")
-    tokens = scratch.keep(placed.mapInArrow(read, "rid bigint, doc_id bigint, train bigint, h array<bigint>"))
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {doc_id}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out(F.col("doc_id")).alias("held"), "text")
+    ddl = f"cid bigint, doc_id array<{doc_id}>, held array<boolean>, size array<bigint>, token binary, h binary, c binary, letters binary, spelled binary"
+    read = scratch.keep(own.mapInArrow(_chunk, ddl))
+    sizes = read.select(F.aggregate("size", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"), F.size("size").alias("d"))
+    tokens, n_docs = sizes.agg(F.sum("n"), F.sum("d")).first()
+    if not tokens:
+        return spark.createDataFrame([], schema)
+    _few_rows(spark)
+    word_shards, pair_shards = (max(least, -(-tokens // each)) for least, each in ((WORD_SHARDS, WORD_TOKENS), (PAIR_SHARDS, PAIR_TOKENS)))
+    words_ = vocabulary(read, word_shards, scratch)
+    blocks = words_.where("cid IS NULL")
+    counted = {r.ws: r for r in blocks.select("ws", "v", "types", "tokens").collect()}  # a row a shard
+    offsets = np.concatenate(([0], np.cumsum([counted[k].v if k in counted else 0 for k in range(word_shards)])))
+    n, v, start = sum(r.tokens for r in counted.values()), sum(r.types for r in counted.values()), int(offsets[-1])
+    chunked = _numbered(read, words_, offsets, n, v, scratch)
+    most = max(HOT, tokens // HOT_WORDS)
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = hashed_words([t or b"\0" for t in _words(b)[0]])[0]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(h.view(np.int64)), b.column("c")], names=["word", "h", "c"])
-
-    word_batches(spark)
-    vocabulary = scratch.keep(count_tokens(own).mapInArrow(named, "word string, h bigint, c bigint"))
-    n, v = (x or 0 for x in vocabulary.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first())
-    base = vocabulary.select(F.col("h").alias("w"), F.log10((F.col("c") + 0.1) / (n + 0.1 * (v + 1))).alias("base"), (F.col("c") > 0).cast("long").alias("known"))
-    rated = scratch.keep(predicted(tokens, vocabulary, scratch).join(base, "w").select("key", "known", "base", F.log10(F.greatest("p", F.lit(1e-300))).alias("score")))
-    small_batches(spark)
-    met = spots(tokens).select("rid", F.xxhash64("a", "b", "w").alias("key")).join(rated, "key")
-    sums = scratch.keep(met.groupBy("rid").agg(F.count("*").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("known", "base", "score")]))
-    return tokens.select("rid", "doc_id").join(sums, "rid").select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        "n_tokens",
-        F.col("known").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"),
-        "score",
-    )
+            found = [offsets[ws] + np.flatnonzero(unpack(c) > most) for ws, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["id"])
+
+    hot = np.sort(blocks.select("ws", "c").mapInArrow(frequent, "id bigint").toArrow().column(0).to_numpy())  # at most HOT_WORDS
+    deal = Deal(start, np.append(hot, start) if n_docs > most else hot, pair_shards)
+    scratch.drop(read)
+    pairs = _first_seats(chunked, deal, scratch)
+    discount, model = discount_of(pairs), Words(scratch)
+    for sweep in range(SWEEPS + 1):
+        ups = _parents(pairs, blocks, offsets, model, scratch)
+        if sweep < SWEEPS:
+            following = _redrawn(pairs, ups, deal, discount, sweep, sweep > SWEEPS - KEPT, scratch)
+            scratch.drop(pairs, ups)
+            pairs = following
+    answers = _answers(pairs, ups, chunked, deal, discount, KEPT, scratch)
+    scratch.drop(pairs, ups, words_)
+
+    def scored(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        size, token, ids = np.asarray(left.column("size")[0].as_py()), *(unpack(left.column(c)[0].as_py()) for c in ("token", "id"))
+        got = sorted((r["shard"], r["p"]) for r in right.select(["shard", "p"]).to_pylist())
+        p = np.concatenate([np.frombuffer(x, "<f4") for _, x in got]).astype(np.float64)
+        score = np.add.reduceat(p[deal.pairs(size, token, ids)[3]], np.cumsum(size) - size)
+        flat = lambda c: left.column(c).combine_chunks().flatten()
+        columns = [flat("doc_id"), flat("held"), flat("size"), flat("known"), pa.array(np.full(len(size), n), pa.int64()), flat("base"), pa.array(score)]
+        return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return chunked.groupBy("cid").cogroup(answers.groupBy("cid")).applyInArrow(scored, schema)
+
+
+def _few_rows(spark: SparkSession) -> None:
+    """Rows are blocks from here on: few to a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")

@@ -258,28 +258,88 @@ def test_the_order_of_words_counts(spark):
 def test_seats_are_drawn_from_the_exact_distribution():
     import numpy as np
 
-    table, rng = language_model.stirling(0.5), np.random.default_rng(1)
+    table, keys = language_model.stirling(0.5), np.arange(40_000, dtype=np.uint64)
     # three customers, new table weight a: one table (1-d)(2-d), two 3a(1-d) less da, three a*a
     a = 0.8
     weight = np.array([0.5 * 1.5, a * (0.5 + 2 - 2 * 0.5), a * a])
-    drawn = language_model.seat(np.full(40_000, 3), np.full(40_000, a), 0.5, table, rng)
+    drawn = language_model.seat(np.full(40_000, 3), np.full(40_000, a), 0.5, table, keys)
     assert np.bincount(drawn, minlength=4)[1:] / 40_000 == pytest.approx(weight / weight.sum(), abs=0.01)
-    many = language_model.seat(np.full(200, 5000), np.full(200, 2.0), 0.5, table, rng)
-    assert (many >= 1).all() and (many <= 5000).all()
+    many = language_model.seat(np.full(200, 5000), np.full(200, 2.0), 0.5, table, keys[:200])
+    assert (many >= 1).all() and (many <= 5000).all() and len(set(many.tolist())) > 10
+    order = np.random.default_rng(1).permutation(40_000)
+    assert (language_model.seat(np.full(40_000, 3), np.full(40_000, a), 0.5, table, keys[order]) == drawn[order]).all()
+
+
+@pytest.mark.parametrize(("n", "p"), [(8, 0.3), (40, 0.9), (5000, 0.001), (5000, 0.4)])
+def test_binomial_draws(n, p):
+    import numpy as np
+
+    got = language_model.binomial(np.full(50_000, n), np.full(50_000, p), np.arange(50_000, dtype=np.uint64), 1)
+    assert got.mean() == pytest.approx(n * p, rel=0.02) and got.std() == pytest.approx((n * p * (1 - p)) ** 0.5, rel=0.03)
 
 
 def test_letter_predictions_sum_to_one():
     import numpy as np
 
-    letters, rng = language_model.Letters(), np.random.default_rng(1)
-    codes, _ = language_model.spelled([b"the", b"then", b"", "é".encode()])
+    letters, texts = language_model.Letters(), [b"the", b"then", b"", "é".encode()]
+    codes, start = language_model.spelled(np.frombuffer(b"".join(texts), np.uint8), np.asarray(list(map(len, texts))))
+    assert start.tolist() == [0, 4, 9, 10]
     codes, counts = np.unique(codes, return_counts=True)
-    for _ in range(3):
-        letters.sweep(codes, counts, rng)
+    for k in range(3):
+        letters.sweep(codes, counts, k)
     for p in letters.predict:
         assert p.reshape(-1, language_model.SYMBOLS).sum(1) == pytest.approx(1.0, abs=1e-4)
 
 
+def _held_out(n):
+    import zlib
+
+    return [d for d in range(10_000, 10_000 + 20 * n + 200) if zlib.crc32(str(d).encode()) % 10 == 0][:n]
+
+
+def test_probabilities_of_all_texts_sum_to_one(spark):
+    """All texts up to seven words of two known and one unknown word; training texts are so short that longer ones hardly count."""
+    import itertools
+
+    texts = [" ".join(t) for k in range(8) for t in itertools.product(["ab", "cd", "new"], repeat=k)]
+    rows = [(k, ["", "ab", "ab cd", "cd", "", "ab"][k % 6]) for k in range(600)] + list(zip(_held_out(len(texts)), texts, strict=True))
+    got = language_model.query(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id >= 10000 AND held_out").collect()
+    assert len(got) == len(texts) and 0.995 < sum(10**r.score for r in got) < 1.0005
+
+
+def test_scores_do_not_depend_on_partitions(monkeypatch, spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scores = []
+    for parts, shuffles, hot in ((1, "4", 1 << 18), (9, "13", 1 << 18), (5, "8", 20)):
+        monkeypatch.setattr(language_model, "HOT", hot)
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        scores.append({r.doc_id: r.score for r in language_model.query(docs.repartition(parts)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for other in scores[1:]:
+        assert scores[0] == pytest.approx(other, rel=1e-6)
+
+
+def test_blocks_of_numbers():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for most in (1, 300, 70_000, 1 << 40):
+        a = rng.integers(0, most, 50)
+        assert (language_model.unpack(language_model.pack(a)) == a).all()
+        for bits in (42, 60):
+            got, which = language_model.grouped(a.astype(np.uint64), bits)
+            assert (got == np.unique(a)).all() and (got[which] == a).all()
+    assert not len(language_model.unpack(language_model.pack(np.zeros(0, int))))
+    deal = language_model.Deal(1000, np.zeros(0, int), 4)
+    b, w = np.repeat(np.arange(30), 20), np.tile(np.arange(20) * 3, 30)
+    ask = rng.integers(0, 600, 100)
+    want = language_model._places(b, w, b[ask], w[ask], deal)
+    deal.bits = 40  # more words than fit a key
+    assert (want == ask).all() and (language_model._places(b, w, b[ask], w[ask], deal) == ask).all()
+    order = rng.permutation(600)
+    assert (b[order][language_model._pair_order(b[order], w[order], deal)] == b).all()
+
+
 def test_token_counts(docs, rows):
     from tokenizers import Tokenizer
     from tokenizers.models import Unigram
