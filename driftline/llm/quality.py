@@ -1,8 +1,11 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Each rule looks at a few counts of one text and votes good (1), bad (-1) or abstains (0). The rules' accuracies aren't
-set by hand: expectation-maximisation over all documents' votes estimates them together with the share of good
-documents, and a document stays if its posterior probability of being good is at least one half.
+Each rule looks at a few counts of one text and votes good (1), bad (-1) or abstains (0). How often each rule votes so on good
+documents and on bad ones isn't set by hand: expectation-maximisation over all documents' votes estimates these probabilities
+together with the share of good documents, and a document stays if its posterior probability of being good is at least one half.
+
+What is believed beforehand counts as a share of all votes, so that estimates behave alike at every size: on good documents a rule
+hardly ever votes bad; on bad ones, which come in many kinds, it does so more often. This also tells which class is the good one.
 
 The corpus enters the estimate only as counts of distinct vote patterns, at most 3 ** len(RULES) rows whatever the
 corpus holds; the rounds run as one aggregate over that array, so no data pass is made per round.
@@ -19,25 +22,23 @@ from .common import BLANK_RUN, BLANKS, Scratch, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: Rounds of expectation-maximisation, the first guess, and the pseudo-votes that keep accuracies off 0 and 1.
-ROUNDS, PRIOR, ACCURACY, RIGHT, WRONG = 25, 0.7, 0.8, 8.0, 2.0
-#: A rule is taken to be right in at least three of four votes; this also fixes which of the two classes is the good one.
-LEAST, MOST = 0.75, 0.99
-#: The share of good documents is kept from running off to all or none, which few bad documents couldn't counter.
-FEWEST_GOOD, MOST_GOOD = 0.15, 0.85
+#: Rounds of expectation-maximisation, and the first guess of the share of good documents.
+ROUNDS, PRIOR = 25, 0.7
+#: What is believed of every rule beforehand: shares of bad votes, of none, and of good ones, on good and on bad documents; and how
+#: many documents that is worth, as a share of all and besides.
+GOOD, BAD = (0.01, 0.04, 0.95), (0.2, 0.1, 0.7)
+STRENGTH, LEAST = 0.05, 4.0
 
 #: name, bad if, good if; SQL that Spark and other engines read alike. Bad is looked at first.
 RULES = [
-    ("symbols", "8 * n_symbols > n_words", "false"),
-    ("plain", "4 * n_plain < 3 * n_words", "false"),
-    ("shouting", "3 * n_upper > word_chars", "false"),
-    ("bangs", "10 * n_bangs > n_words", "false"),
-    ("lines", "4 * n_dup_lines > n_lines", "false"),
-    ("windows", "5 * n_repeat_words > n_words", "false"),
-    ("variety", "n_words < 2000 AND 4 * n_distinct < n_words", "false"),
-    ("stutter", "10 * n_stutter > n_words", "false"),
-    ("short", "n_words < 20", "false"),
-    ("prose", "false", "10 * n_plain >= 9 * n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 6 * n_upper <= word_chars"),
+    ("symbols", "8 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    ("plain", "4 * n_plain < 3 * n_words", "20 * n_plain >= 19 * n_words"),
+    ("case", "4 * n_upper > word_chars OR 10 * n_bangs > n_words", "15 * n_upper <= word_chars AND n_bangs = 0"),
+    ("lines", "5 * n_dup_lines > 2 * n_lines", "10 * n_dup_lines <= n_lines"),
+    ("passages", "4 * n_repeat_words > n_words", "20 * n_repeat_words <= n_words"),
+    ("stutter", "10 * n_stutter > n_words", "30 * n_stutter <= n_words"),
+    ("shape", "word_chars < 3 * n_words OR word_chars > 9 * n_words", "word_chars BETWEEN 4 * n_words AND 7 * n_words"),
+    ("length", "n_words < 20", "n_words >= 40"),
 ]
 
 
@@ -99,13 +100,12 @@ def measure(docs: DataFrame) -> DataFrame:
         lambda w: F.struct(
             F.size(w).alias("n_words"),
             repeated(w).alias("n_repeat_words"),
-            F.size(F.array_distinct(w)).alias("n_distinct"),
             F.size(F.filter(w, lambda x, i: F.get(w, i - 1) == x)).alias("n_stutter"),
         ),
     )
     by_line = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
     own = docs.select("doc_id", by_word.alias("w"), by_line.alias("l"), *[c.cast("long").alias(k) for k, c in counts.items()])
-    flat = [F.col(f"w.{k}").cast("long").alias(k) for k in ("n_words", "n_repeat_words", "n_distinct", "n_stutter")]
+    flat = [F.col(f"w.{k}").cast("long").alias(k) for k in ("n_words", "n_repeat_words", "n_stutter")]
     flat += [F.col(f"l.{k}").cast("long").alias(k) for k in ("n_lines", "n_dup_lines")]
     return own.select("doc_id", *flat, *counts)
 
@@ -118,43 +118,45 @@ def vote(measured: DataFrame) -> DataFrame:
 
 
 def odds(model: Column, votes: Column) -> Column:
-    """Posterior probability of good, for the model struct<prior, acc> and one array of votes."""
-    weigh = F.zip_with(votes, model["acc"], lambda v, a: v * F.log(a / (1 - a)))
+    """Posterior probability of good, for a model and one array of votes."""
+    weigh = F.zip_with(votes, model["weights"], lambda v, w: F.get(w, v + 1))
     start = F.log(model["prior"] / (1 - model["prior"]))
     return 1 / (1 + F.exp(-F.aggregate(weigh, start, lambda s, x: s + x)))
 
 
 def learn(patterns: DataFrame) -> DataFrame:
-    """One row: the patterns (votes, n), sorted, and the model that expectation-maximisation ends with.
+    """One row: the patterns (votes, n), sorted, and the model that expectation-maximisation ends with: prior, the share of good
+    documents, and for each rule and vote the probabilities on good and bad documents and their ratio's logarithm (weights).
 
-    At most 3 ** len(RULES) patterns come in, so that one row can hold them. No patterns give the first guess.
+    At most 3 ** len(RULES) patterns come in, so that one row can hold them. No patterns give what is believed beforehand.
     """
     held = patterns.agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("patterns"))
-    clamp = lambda c: F.least(F.greatest(c, F.lit(LEAST)), F.lit(MOST))
     total = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda s, r: s + f(r))
-    first = F.struct(F.lit(PRIOR).alias("prior"), F.array_repeat(F.lit(ACCURACY), len(RULES)).alias("acc"))
+    number = lambda c: c.cast("double")
+    cast = lambda r, j, vote: F.when(r["v"][j] == vote, number(r["n"])).otherwise(0.0)
 
-    def round_(model: Column, _: Column) -> Column:
-        rated = F.transform(
-            F.col("patterns"), lambda p: F.struct(p["votes"].alias("v"), p["n"].alias("n"), odds(model, p["votes"]).alias("q"))
-        )
+    def model(prior: Column, good: list[list[Column]], bad: list[list[Column]]) -> Column:
+        nested = lambda table: F.array(*[F.array(*row) for row in table])
+        weights = [[F.log(g) - F.log(b) for g, b in zip(*pair, strict=True)] for pair in zip(good, bad, strict=True)]
+        return F.struct(prior.alias("prior"), nested(good).alias("good"), nested(bad).alias("bad"), nested(weights).alias("weights"))
 
-        def accuracy(j: int) -> Column:
-            right = lambda r: r["n"] * F.when(r["v"][j] == 1, r["q"]).when(r["v"][j] == -1, 1 - r["q"]).otherwise(0.0)
-            return lambda rows: clamp(
-                (total(rows, right) + RIGHT) / (total(rows, lambda r: r["n"] * F.abs(r["v"][j]) * F.lit(1.0)) + RIGHT + WRONG)
-            )
+    first = model(F.lit(PRIOR), [[F.lit(x) for x in GOOD]] * len(RULES), [[F.lit(x) for x in BAD]] * len(RULES))
 
-        return let(
-            rated,
-            lambda rows: F.struct(
-                F.least(
-                    F.greatest((total(rows, lambda r: r["n"] * r["q"]) + RIGHT) / (total(rows, lambda r: r["n"] * F.lit(1.0)) + RIGHT + WRONG), F.lit(FEWEST_GOOD)),
-                    F.lit(MOST_GOOD),
-                ).alias("prior"),
-                F.array(*[accuracy(j)(rows) for j in range(len(RULES))]).alias("acc"),
-            ),
-        )
+    def round_(now: Column, _: Column) -> Column:
+        rated = F.transform(F.col("patterns"), lambda p: F.struct(p["votes"].alias("v"), p["n"].alias("n"), odds(now, p["votes"]).alias("q")))
+
+        def estimate(rows: Column, sums: Column) -> Column:
+            worth = STRENGTH * sums["n"] + LEAST
+            good, bad = [], []
+            for j in range(len(RULES)):
+                own = [total(rows, lambda r, j=j, v=v: cast(r, j, v) * r["q"]) for v in (-1, 0, 1)]
+                every = [total(rows, lambda r, j=j, v=v: cast(r, j, v)) for v in (-1, 0, 1)]
+                good.append([(x + worth * p) / (sums["good"] + worth) for x, p in zip(own, GOOD, strict=True)])
+                bad.append([(n - x + worth * p) / (sums["n"] - sums["good"] + worth) for n, x, p in zip(every, own, BAD, strict=True)])
+            return model((sums["good"] + worth * PRIOR) / (sums["n"] + worth), good, bad)
+
+        sums = lambda rows: F.struct(total(rows, lambda r: number(r["n"])).alias("n"), total(rows, lambda r: r["n"] * r["q"]).alias("good"))
+        return let(rated, lambda rows: let(sums(rows), lambda s: estimate(rows, s)))
 
     return held.select("patterns", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, round_).alias("model"))
 
@@ -170,7 +172,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id and text; other columns are left alone. A null or blank text has no words, fails the base rule
     and isn't kept. Repeated rows are judged alike, row by row, and a null doc_id is carried through. No rows give no
-    rows. Ties (a posterior of exactly one half) stay.
+    rows. Ties (a posterior of exactly one half) stay. Texts are read whole.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     voted = scratch.keep(vote(measure(docs)))
@@ -206,10 +208,15 @@ def oracle(table: str = "documents") -> str:
     blanks = r"[^\x20\x09-\x0D]+"
     votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for _, bad, good in RULES)
     k = range(1, len(RULES) + 1)
-    logit = "ln(prior / (1 - prior))" + "".join(f" + votes[{j}] * ln(acc[{j}] / (1 - acc[{j}]))" for j in k)
-    acc = ", ".join(
-        f"least(greatest((sum(n * CASE votes[{j}] WHEN 1 THEN q WHEN -1 THEN 1 - q ELSE 0 END) + {RIGHT}) / (sum(n * abs(votes[{j}])) + {RIGHT + WRONG}), {LEAST}), {MOST})" for j in k
+    logit = "ln(prior / (1 - prior))" + "".join(f" + weights[{j}][votes[{j}] + 2]" for j in k)
+    worth = f"({STRENGTH} * sum(n) + {LEAST})"
+    cast = lambda j, v, x: f"sum(CASE WHEN votes[{j}] = {v} THEN {x} ELSE 0 END)"
+    weight = lambda j, v: (
+        f"ln(({cast(j, v, 'n * q')} + {worth} * {GOOD[v + 1]}) / (sum(n * q) + {worth}))"
+        f" - ln(({cast(j, v, 'n')} - {cast(j, v, 'n * q')} + {worth} * {BAD[v + 1]}) / (sum(n) - sum(n * q) + {worth}))"
     )
+    weights = ", ".join("[" + ", ".join(weight(j, v) for v in (-1, 0, 1)) + "]" for j in k)
+    start = "[" + ", ".join(f"ln({g}::DOUBLE) - ln({b}::DOUBLE)" for g, b in zip(GOOD, BAD, strict=True)) + "]"
     return rf"""
 WITH RECURSIVE split AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{blanks}') AS w,
@@ -226,17 +233,17 @@ WITH RECURSIVE split AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-         len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x, i: i > 1 AND w[i - 1] = x)) AS n_stutter,
+         len(list_filter(w, lambda x, i: i > 1 AND w[i - 1] = x)) AS n_stutter,
          len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(list_filter(w, lambda x: regexp_full_match(x, '\p{{L}}+[.,;:!?]?'))) AS n_plain, len(regexp_extract_all(text, '!!')) AS n_bangs
   FROM split LEFT JOIN covered USING (r)
 ), voted AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, [{votes}] AS votes FROM measured
 ), patterns AS (
   SELECT votes, count(*)::DOUBLE AS n FROM voted GROUP BY votes
-), em(i, prior, acc) AS (
-  SELECT 0, {PRIOR}::DOUBLE, [{", ".join([f"{ACCURACY}::DOUBLE"] * len(RULES))}]
+), em(i, prior, weights) AS (
+  SELECT 0, {PRIOR}::DOUBLE, [{", ".join([start] * len(RULES))}]
   UNION ALL
-  SELECT i + 1, least(greatest((sum(n * q) + {RIGHT}) / (sum(n) + {RIGHT + WRONG}), {FEWEST_GOOD}), {MOST_GOOD}), [{acc}]
+  SELECT i + 1, (sum(n * q) + {worth} * {PRIOR}) / (sum(n) + {worth}), [{weights}]
   FROM (SELECT i, votes, n, 1 / (1 + exp(-({logit}))) AS q FROM em, patterns WHERE i < {ROUNDS}) GROUP BY i
 ), model AS (SELECT * FROM em WHERE i = {ROUNDS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
