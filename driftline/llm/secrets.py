@@ -1,9 +1,10 @@
 """Secrets in texts: fixed shapes, and candidates that are reported only once their structure is confirmed.
 
 The fixed shapes (assignments, access keys, long hex runs) are reported as they stand. Anything that merely looks like
-base64 or hex is decoded first and must then parse: a signed token's header must be JSON that names an algorithm, key
-material must be DER whose nested lengths fill the buffer exactly, an SSH blob must be length-prefixed fields that start
-with a key type, and an armoured block must hold such a body.
+base64 or hex is decoded first and must then parse: a signed token's header must be JSON that names an algorithm, a private
+key must be DER whose nested lengths fill the buffer exactly down to the innermost value and whose values are those of a kind of
+private key, an SSH private key must be the frame with all of its length-prefixed fields, and an armoured block must hold such a
+body. Public keys and certificates are no secrets and aren't reported.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,12 +35,12 @@ LONG_HEX = re.compile(r"[0-9a-f]{24}")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9_-]+){2}|[A-Za-z0-9+/_-]{40,}={0,2}")
 LONG = re.compile(r"[A-Za-z0-9+/_-]{16}")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----((?:[A-Za-z0-9+/=\s]++|\\[nrt/])*+)-----END \1-----")
-#: What starts a JSON object, a DER sequence or an SSH blob inside of a run; and runs with the lines that go on with them, where line
+#: What starts a JSON object, a DER sequence or an SSH frame inside of a run; and runs with the lines that go on with them, where line
 #: ends may be written as escapes.
 HEADER = re.compile(r"e(?=[w-z0-3][A-Za-z0-9+/_-]{9})")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-INNER = re.compile(r"M(?=[A-P])|A(?=AAA)|b(?=3BlbnNzaC1rZXktdjEA)")
-SSH_START = re.compile(rb"\0\0\0[\x07-\x40](?:ssh|ecdsa|sk)-|openssh")
+INNER = re.compile(r"M(?=[A-P])|b(?=3BlbnNzaC1rZXktdjEA)")
+SSH_FRAME = b"openssh-key-v1\0"
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{40,}+(?:(?:[\x20\t]*+(?:\r?\n|\\[nr]))++[\x20\t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
 BREAK = re.compile(r"\\[nr]|[\s=]")
 DEEPEST = 12
@@ -56,9 +57,13 @@ def unbase64(s: str) -> bytes | None:
         return None
 
 
-def der_fields(data: bytes, depth: int = 0) -> list[int] | None:
-    """Tags found if data is a row of DER values whose nested lengths fill it exactly, else None."""
-    tags, at = [], 0
+Der = tuple[int, "bytes | list[Der]"]
+
+
+def der_values(data: bytes, depth: int = 0) -> list[Der] | None:
+    """Tags and contents (of sequences and sets, their values) if data is a row of DER values whose nested lengths fill it exactly,
+    else None."""
+    out, at = [], 0
     while at < len(data):
         if at + 2 > len(data) or depth > DEEPEST:
             return None
@@ -72,38 +77,69 @@ def der_fields(data: bytes, depth: int = 0) -> list[int] | None:
                 return None
         if at + length > len(data):
             return None
-        tags.append(tag)
-        if tag in (0x30, 0x31):
-            inner = der_fields(data[at : at + length], depth + 1)
-            if inner is None:
+        content: bytes | list[Der] | None = data[at : at + length]
+        if tag in (0x30, 0x31) or 0xA0 <= tag <= 0xAF:
+            content = der_values(content, depth + 1)
+            if content is None:
                 return None
-            tags += inner
-        elif tag not in (0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0A, 0x0C, 0x13, 0x16, 0x17, 0x18) and not 0xA0 <= tag <= 0xAF and not 0x80 <= tag <= 0x8F:
+        elif tag == 0x02:  # a whole number in as few bytes as it needs
+            if not content or len(content) > 1 and (content[0] == 0 and content[1] < 0x80 or content[0] == 0xFF and content[1] >= 0x80):
+                return None
+        elif tag not in (0x01, 0x03, 0x04, 0x05, 0x06, 0x0A, 0x0C, 0x13, 0x16, 0x17, 0x18) and not 0x80 <= tag <= 0x8F:
             return None
+        out.append((tag, content))
         at += length
-    return tags
+    return out
+
+
+def _algorithm(value: Der) -> bool:
+    return value[0] == 0x30 and bool(value[1]) and value[1][0][0] == 0x06
 
 
 def is_der_key(data: bytes) -> bool:
-    """One outer sequence that fills data and holds an integer with a string or another integer, or an object identifier."""
+    """One outer sequence that fills data and is a private key: a version, an algorithm and a string that is such a key or a bare one; a
+    version and other values, long numbers or strings among them; or an algorithm and an encrypted string."""
     if len(data) < 24 or data[0] != 0x30:
         return False
-    tags = der_fields(data)
-    return bool(tags) and tags[0] == 0x30 and (tags.count(0x02) >= 2 or (0x02 in tags and 0x04 in tags) or (0x06 in tags and (0x03 in tags or 0x04 in tags)))
+    outer = der_values(data)
+    if not outer or len(outer) != 1 or len(outer[0][1]) < 2:
+        return False
+    first, second, *rest = values = outer[0][1]
+    small = first[0] == 0x02 and len(first[1]) == 1 and first[1][0] < 3
+    if small and _algorithm(second):
+        inner = der_values(rest[0][1]) if rest and rest[0][0] == 0x04 and all(t in (0xA0, 0x81, 0xA1) for t, _ in rest[1:]) else None
+        return inner is not None and len(inner) == 1 and (inner[0][0] in (0x02, 0x04) and len(inner[0][1]) >= 16 or is_der_key(rest[0][1]))
+    if small:
+        return any(t in (0x02, 0x04) and len(c) >= 16 for t, c in values)
+    # an encrypted key is whole blocks; a public key in this place would be a bit string
+    return len(values) == 2 and _algorithm(first) and len(first[1]) == 2 and second[0] == 0x04 and len(second[1]) >= 32 and len(second[1]) % 8 == 0
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields that fill data, the first a key type; or the binary frame of a private key."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    fields, at = [], 0
-    while at + 4 <= len(data):
+    """The frame of a private key: names of cipher, derivation and its options, how many keys, that many public keys, each of fields that
+    start with a key type, and the private part, in whole blocks, all of which fill data."""
+    if not data.startswith(SSH_FRAME):
+        return False
+
+    def field(at: int) -> tuple[bytes, int] | None:
         n = int.from_bytes(data[at : at + 4], "big")
-        if n > len(data) - at - 4:
+        return (data[at + 4 : at + 4 + n], at + 4 + n) if at + 4 + n <= len(data) else None
+
+    at, heads = len(SSH_FRAME), []
+    for _ in range(3):
+        if (got := field(at)) is None:
+            return False
+        heads.append(got[0])
+        at = got[1]
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not re.fullmatch(rb"[a-z0-9@.-]+", heads[0]) or heads[1] not in (b"none", b"bcrypt") or not 1 <= keys <= 16:
+        return False
+    for _ in range(keys):
+        if (got := field(at)) is None or not re.match(rb"\0\0\0[\x07-\x40](?:ssh|ecdsa|sk-ssh|sk-ecdsa)-", got[0]):
             return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(data) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk-ssh|sk-ecdsa)-[a-z0-9@.-]+$", fields[0]) is not None
+        at = got[1]
+    got = field(at)
+    return got is not None and got[1] == len(data) and len(got[0]) >= 32 and len(got[0]) % 8 == 0
 
 
 def is_signed_token(s: str) -> bool:
@@ -166,7 +202,7 @@ def inner_keys(text: str) -> Iterator[tuple[str, int, int]]:
                 end = at + -(-size * 4 // 3)
                 if 24 <= size and end <= len(run) and is_der_key(unbase64(run[at:end]) or b""):
                     kind = "der"
-            elif SSH_START.match(head):  # it ends where its line or one of those that follow does
+            else:  # it ends where its line or one of those that follow does
                 ends = [i + 1 for i in range(at, len(run)) if i + 1 == len(run) or places[i + 1] > places[i] + 1]
                 end = next((e for e in reversed(ends) if is_ssh_key(unbase64(run[at:e]) or b"")), 0)
                 kind = "ssh" if end else None
@@ -201,22 +237,28 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id and spans, an array of (kind, start, end, value).
-
-    docs needs doc_id and text, whatever else it has. A null or empty text has no spans; a null doc_id is carried
-    through; repeated rows and ties give repeated rows; no rows give no rows. Texts are searched whole.
-    """
+def _each(docs: DataFrame, schema: str, types: dict[str, pa.DataType], row: Callable[[str | None, list[tuple[str, int, int]]], tuple]) -> DataFrame:
+    """doc_id and what row makes of a text and its spans, one row for each row of docs."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
         for b in batches:
-            found = [[{"kind": k, "start": s, "end": e, "value": t[s:e]} for k, s, e in find(t)] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
+            found = [row(t, find(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i] for f in found], t) for i, t in enumerate(types.values()))], names=["doc_id", *types])
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, spans array<struct<kind: string, start: bigint, end: bigint, value: string>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, {schema}")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id and spans, an array of (kind, start, end, value).
+
+    docs needs doc_id and text, whatever else it has. A null or empty text has no spans; a null doc_id is carried
+    through; repeated rows and ties give repeated rows; no rows give no rows. Texts are searched whole.
+    """
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
+    values = lambda t, spans: ([{"kind": k, "start": s, "end": e, "value": t[s:e]} for k, s, e in spans],)
+    return _each(docs, "spans array<struct<kind: string, start: bigint, end: bigint, value: string>>", {"spans": kind}, values)
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
@@ -226,7 +268,8 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span found replaced by mark (overlapping spans by one) and n_chars, if there, set to match.
 
-    Columns, rows and their order of columns stay. A text without secrets, or null, stays as it is.
+    Columns, rows and their order of columns stay, whatever other columns there are. A text without secrets, empty or null, stays as it
+    is; repeated rows are each treated so; a table without rows gives one without rows. Texts are searched whole.
     """
     small_batches(docs.sparkSession)
     names = docs.columns
@@ -255,21 +298,12 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Counts and digests of the spans that scan() finds, one row for each row of docs."""
+    """Counts and digests of the spans that scan() finds, one row for each row of docs; nulls and the like as there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [[(s["kind"], s["start"], s["end"]) for s in x] for x in b.column(1).to_pylist()]
-            base = [[s for s in r if s[0] in KINDS[:3]] for r in rows]
-            count = [pa.array([sum(s[0] == k for s in r) for r in rows], pa.int64()) for k in KINDS[:3]]
-            hashes = pa.array([hashlib.sha256(digest(r).encode()).hexdigest() for r in base], pa.string())
-            rest = pa.array([len(r) - len(x) for r, x in zip(rows, base, strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *count, hashes, pa.array([digest(r) for r in rows], pa.string()), rest],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"],
-            )
-
-    found = scan(docs)
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {doc_id}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_confirmed bigint")
+    def row(text: str | None, spans: list[tuple[str, int, int]]) -> tuple:
+        base = [s for s in spans if s[0] in KINDS[:3]]
+        counts = [sum(s[0] == k for s in base) for k in KINDS[:3]]
+        return *counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans), len(spans) - len(base)
 
+    types = dict.fromkeys(["n_assign", "n_access", "n_hex"], pa.int64()) | {"base_sha256": pa.string(), "spans": pa.string(), "n_confirmed": pa.int64()}
+    return _each(docs, "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_confirmed bigint", types, row)
