@@ -24,8 +24,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import chunks, hashed_spans, hashed_words, mix, word_spans
 from .common import Scratch, small_batches
-from .substrings import _mix, chunks, hashed_spans, hashed_words, word_spans
 
 #: Tokens of a window; plain words that a template window needs; shortest item in words; words that count, or half the item.
 WINDOW, LITERAL, SHORTEST, ENOUGH = 8, 4, 5, 13
@@ -162,7 +162,7 @@ def rolled(h: np.ndarray, length: int, reading: int) -> np.ndarray:
     out = np.zeros(max(0, len(h) - length + 1), _U)
     for j in range(length):
         out = out * _STEP + h[j : j + len(out)]
-    return _mix(out + _U(2 * length + reading))
+    return mix(out + _U(2 * length + reading))
 
 
 def within(counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +216,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return h >> _U(64 - BITS), _mix(h + _STEP) >> _U(64 - BITS)
+    return h >> _U(64 - BITS), mix(h + _STEP) >> _U(64 - BITS)
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

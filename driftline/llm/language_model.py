@@ -27,13 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BINARY, LONG, batch_of, chunks, cut, few_rows, grouped, hashed_spans, mix, pack, shard_limits, unpack, word_spans
 from .common import Scratch, small_batches
-from .substrings import _mix, chunks, hashed_spans, word_spans
 
-SWEEPS, KEPT = 2, 2
+SWEEPS, KEPT = 2, 2  # a row of pairs has the tables of two states
 #: Sweeps of words and letters before the first and the later sweeps of contexts.
 FIRST_WORD_SWEEPS, WORD_SWEEPS = 4, 2
 CONTEXT_STRENGTH, WORD_STRENGTH, LETTER_STRENGTH, LETTER_DISCOUNT = 1.0, 10.0, 1.0, 0.6
@@ -48,9 +49,10 @@ _CLASS[ord("0") : ord("9") + 1] = 27
 _CLASS[128:192], _CLASS[192:256] = 30, 29  # a word's end is never part of a context
 DEPTH = 3
 #: Tokens of a chunk (but a text is never cut), of a shard of pairs, and of a shard of words, and how many shards there are at least.
-CHUNK_TOKENS, PAIR_TOKENS, WORD_TOKENS, PAIR_SHARDS, WORD_SHARDS = 1 << 21, 1 << 20, 1 << 22, 64, 16
+CHUNK_TOKENS, PAIR_TOKENS, WORD_TOKENS, PAIR_SHARDS, WORD_SHARDS = 1 << 20, 1 << 19, 1 << 22, 64, 16
 #: A word that stands more often is a hot context, but never so many words that they'd be more than HOT_WORDS.
 HOT, HOT_WORDS = 1 << 18, 1 << 20
+PASSES = 3
 #: Stands for a text's end among the hashes of words.
 END_HASH = 1
 _U = np.uint64
@@ -78,8 +80,8 @@ def uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
     """Numbers between 0 and 1 that follow from keys and salt."""
     x = keys.astype(_U)
     for k in salt:
-        x = _mix(x + _U((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    return ((_mix(x) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
+        x = mix(x + _U((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return ((mix(x) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def binomial(n: np.ndarray, p: np.ndarray, keys: np.ndarray, salt: int) -> np.ndarray:
@@ -148,7 +150,7 @@ class Letters:
             parent = codes % (CLASSES ** max(0, d - 1) * SYMBOLS)
             up = np.full(len(codes), 1 / SYMBOLS) if d == 0 else self.predict[d - 1][parent]
             opened = np.bincount(context, minlength=CLASSES**d) if self.opened[d] is None else self.opened[d]
-            keys = _mix(codes.astype(_U) + _U(number * 8 + d << 32))
+            keys = mix(codes.astype(_U) + _U(number * 8 + d << 32))
             tables = seat(counts, (self.strength + self.discount * opened[context]) * up, self.discount, self.table, keys)
             self.opened[d] = np.bincount(context, weights=tables, minlength=CLASSES**d)
             seats.append((codes.astype(np.int32), counts, tables.astype(np.int64)))
@@ -209,36 +211,6 @@ def spelled(letters: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return code * SYMBOLS + symbol, start
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Whole numbers from 0 on in as few bytes each as the largest needs; the last byte says how many."""
-    kind = np.min_scalar_type(int(a.max())) if len(a) else np.dtype(np.uint8)
-    return a.astype(kind.newbyteorder("<")).tobytes() + bytes([kind.itemsize])
-
-
-def unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[-1]}", (len(b) - 1) // b[-1]).astype(np.int64)
-
-
-def grouped(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different codes (below 2 ** bits), sorted, and for each place which of them stands there."""
-    wide = max(1, len(code) - 1).bit_length()
-    if bits + wide > 64:
-        return np.unique(code, return_inverse=True)
-    both = np.sort(code.astype(_U) << _U(wide) | np.arange(len(code), dtype=_U))  # one sort of plain numbers
-    code, place = both >> _U(wide), (both & _U((1 << wide) - 1)).astype(np.int64)
-    new = np.ones(len(code), bool)
-    new[1:] = code[1:] != code[:-1]
-    which = np.empty(len(code), np.int64)
-    which[place] = np.cumsum(new) - 1
-    return code[new], which
-
-
-def cut(data: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The bytes of some of the pieces of data, which have so many bytes each, in a row."""
-    start, size = (np.cumsum(size) - size)[which], size[which]
-    return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-
-
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (rid, doc_id, held, text) as chunks."""
     ids, helds, rids, counts, hashes, sizes, letters = [], [], [], [], [], [], []
@@ -256,6 +228,9 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (h[first][which] != h).any():
             distinct, which = np.unique(h, return_inverse=True)
             np.minimum.at(first := np.full(len(distinct), len(h)), which, np.arange(len(h)))
+        # tokens are places in the order of how often words stand, so that most of them are small
+        rank = np.empty(len(distinct), np.int64)
+        rank[np.argsort(-np.bincount(which), kind="stable")] = np.arange(len(distinct))
         train = np.repeat(~np.concatenate(helds), count + 1)
         held = pa.array([np.concatenate(helds)], pa.list_(pa.bool_()))
         columns = {
@@ -263,7 +238,8 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "doc_id": pa.ListArray.from_arrays(pa.array([0, len(count)], pa.int32()), pa.concat_arrays(ids)),
             "held": held,
             "size": pa.array([count + 1], pa.list_(pa.int64())),
-            "token": pa.array([pack(which)], pa.binary()),
+            "token": pa.array([pack(rank[which])], pa.binary()),
+            "rank": pa.array([pack(rank)], pa.binary()),
             "h": pa.array([h[first].astype("<u8").tobytes()], pa.binary()),
             "c": pa.array([pack(np.bincount(which, weights=train, minlength=len(distinct)).astype(np.int64))], pa.binary()),
             "letters": pa.array([pack(size[first])], pa.binary()),
@@ -295,31 +271,19 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole()
 
 
-def _shard_limits(h: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part of sorted hashes ends; shards are equal ranges of the first 32 bits."""
-    return np.searchsorted(((h >> _U(32)) * _U(shards)) >> _U(32), np.arange(shards + 1))
-
-
-def _rows(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
-
-
-_LONG, _BIN = pa.int64(), pa.binary()
-
-
 def vocabulary(chunked: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
     """Blocks of words, sorted by hash (cid null: h, c, letters, spelled, v how many, types and tokens of training), and for each
     chunk which of them its words are and their counts (cid, h, c)."""
-    schema = [("ws", _LONG), ("cid", _LONG), ("h", _BIN), ("c", _BIN), ("letters", _BIN), ("spelled", _BIN)]
+    schema = [("ws", LONG), ("cid", LONG), ("h", BINARY), ("c", BINARY), ("letters", BINARY), ("spelled", BINARY)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cid, h, c, size, data in zip(*(b.column(n).to_pylist() for n in ("cid", "h", "c", "letters", "spelled")), strict=True):
                 h, c, size, data = np.frombuffer(h, "<u8"), unpack(c), unpack(size), np.frombuffer(data, np.uint8)
-                limits, at = _shard_limits(h, shards), np.concatenate(([0], np.cumsum(size)))
-                yield _rows(schema, [(k, cid, h[s:e].tobytes(), pack(c[s:e]), pack(size[s:e]), data[at[s] : at[e]].tobytes()) for k, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
+                limits, at = shard_limits(h, shards), np.concatenate(([0], np.cumsum(size)))
+                yield batch_of(schema, [(k, cid, h[s:e].tobytes(), pack(c[s:e]), pack(size[s:e]), data[at[s] : at[e]].tobytes()) for k, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
 
-    out = [*schema, ("v", _LONG), ("types", _LONG), ("tokens", _LONG)]
+    out = [*schema, ("v", LONG), ("types", LONG), ("tokens", LONG)]
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -333,7 +297,7 @@ def vocabulary(chunked: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
         ends = np.cumsum([len(x) for x in each]).tolist()
         for r, s, e in zip(rows, [0, *ends], ends):
             found.append((ws, r["cid"], pack(which[s:e]), pack(total[which[s:e]]), None, None, None, None, None))
-        return pa.Table.from_batches([_rows(out, found)])
+        return pa.Table.from_batches([batch_of(out, found)])
 
     ddl = "ws bigint, cid bigint, h binary, c binary, letters binary, spelled binary"
     dealt = chunked.select("cid", "h", "c", "letters", "spelled").mapInArrow(deal, ddl)
@@ -346,8 +310,10 @@ def _numbered(chunked: DataFrame, words_: DataFrame, offsets: np.ndarray, n: int
 
     def number(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         got = sorted(right.to_pylist(), key=lambda r: r["ws"])
-        ids = np.concatenate([offsets[r["ws"]] + unpack(r["h"]) for r in got])
-        c = np.concatenate([unpack(r["c"]) for r in got])
+        rank = unpack(left.column("rank")[0].as_py())
+        ids, c = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+        ids[rank] = np.concatenate([offsets[r["ws"]] + unpack(r["h"]) for r in got])
+        c[rank] = np.concatenate([unpack(r["c"]) for r in got])
         token, size = unpack(left.column("token")[0].as_py()), np.asarray(left.column("size")[0].as_py())
         at = np.cumsum(size) - size
         known = np.add.reduceat((c > 0).astype(np.int64)[token], at)
@@ -355,7 +321,7 @@ def _numbered(chunked: DataFrame, words_: DataFrame, offsets: np.ndarray, n: int
         more = {"known": pa.array([known], pa.list_(pa.int64())), "base": pa.array([base], pa.list_(pa.float64())), "id": pa.array([pack(ids)], pa.binary())}
         return pa.table({c: left.column(c) for c in ("cid", "doc_id", "held", "size", "token")} | more)
 
-    left = chunked.select("cid", "doc_id", "held", "size", "token").groupBy("cid")
+    left = chunked.select("cid", "doc_id", "held", "size", "token", "rank").groupBy("cid")
     right = words_.where("cid IS NOT NULL").select("cid", "ws", "h", "c").groupBy("cid")
     return scratch.keep(left.cogroup(right).applyInArrow(number, f"cid bigint, doc_id {doc_ids}, held array<boolean>, size array<bigint>, token binary, known array<bigint>, base array<double>, id binary"))
 
@@ -377,9 +343,9 @@ class Deal:
         code, which = grouped(before * (none + 1) + token, 2 * (none + 1).bit_length())
         code = code.astype(np.int64)
         b, w = np.append(ids, self.start)[code // (none + 1)], ids[code % (none + 1)]
-        shard = _mix(b.astype(_U))
+        shard = mix(b.astype(_U))
         hot = self.is_hot(b)
-        shard[hot] = _mix(shard[hot] + w[hot].astype(_U))
+        shard[hot] = mix(shard[hot] + w[hot].astype(_U))
         shard = ((shard >> _U(40)) * _U(self.shards) >> _U(24)).astype(np.int64)
         order = np.argsort(shard.astype(np.uint16) if self.shards < 1 << 16 else shard, kind="stable")
         place = np.empty(len(order), np.int64)
@@ -393,23 +359,23 @@ def _runs(b: np.ndarray) -> tuple[bytes, bytes]:
     return pack(b[new]), pack(np.diff(np.append(new, len(b))))
 
 
-_PAIRS = "shard bigint, b binary, n binary, w binary, c binary, t binary, p binary, hot_b binary, hot_c binary, hot_t binary, ones bigint, twos bigint"
-_PAIR_SCHEMA = [(x.split()[0], _LONG if x.endswith("bigint") else _BIN) for x in _PAIRS.split(", ")]
+_PAIRS = "shard bigint, b binary, n binary, w binary, c binary, t binary, s binary, hot_b binary, hot_c binary, hot_t binary, ones bigint, twos bigint"
+_PAIR_SCHEMA = [(x.split()[0], LONG if x.endswith("bigint") else BINARY) for x in _PAIRS.split(", ")]
 
 
-def _pair_row(shard: int, b: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray, p: np.ndarray, deal: Deal) -> pa.Table:
-    """A shard's pairs, sorted, and what it adds to the sums of hot contexts."""
+def _pair_row(shard: int, b: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray, before: np.ndarray, deal: Deal) -> pa.Table:
+    """A shard's pairs, sorted, with their tables and those of the sweep before, and what it adds to the sums of hot contexts."""
     first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
     own = b[first]
     hot = deal.is_hot(own)
     sums = [np.add.reduceat(x, first)[hot] for x in (c, t)]
-    row = (shard, *_runs(b), pack(w), pack(c), pack(t), p.astype("<f4").tobytes(), pack(own[hot]), *map(pack, sums), int((c == 1).sum()), int((c == 2).sum()))
-    return pa.Table.from_batches([_rows(_PAIR_SCHEMA, [row])])
+    row = (shard, *_runs(b), pack(w), pack(c), pack(t), pack(before), pack(own[hot]), *map(pack, sums), int((c == 1).sum()), int((c == 2).sum()))
+    return pa.Table.from_batches([batch_of(_PAIR_SCHEMA, [row])])
 
 
 def _first_seats(chunked: DataFrame, deal: Deal, scratch: Scratch) -> DataFrame:
     """Each shard's pairs with counts; one table for each that training holds."""
-    schema = [("shard", _LONG), ("b", _BIN), ("n", _BIN), ("w", _BIN), ("c", _BIN)]
+    schema = [("shard", LONG), ("b", BINARY), ("n", BINARY), ("w", BINARY), ("c", BINARY)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,7 +383,7 @@ def _first_seats(chunked: DataFrame, deal: Deal, scratch: Scratch) -> DataFrame:
                 size = np.asarray(size)
                 b, w, limits, pair = deal.pairs(size, unpack(token), unpack(ids))
                 c = np.bincount(pair, weights=np.repeat(~np.asarray(held), size), minlength=len(b)).astype(np.int64)
-                yield _rows(schema, [(k, *_runs(b[s:e]), pack(w[s:e]), pack(c[s:e])) for k, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
+                yield batch_of(schema, [(k, *_runs(b[s:e]), pack(w[s:e]), pack(c[s:e])) for k, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
 
     def gather(key: tuple, group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -427,7 +393,7 @@ def _first_seats(chunked: DataFrame, deal: Deal, scratch: Scratch) -> DataFrame:
         b, w, c = b[order], w[order], c[order]
         new = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (w[1:] != w[:-1]))))
         c = np.add.reduceat(c, new)
-        return _pair_row(key[0].as_py(), b[new], w[new], c, np.minimum(c, 1), np.zeros(0), deal)
+        return _pair_row(key[0].as_py(), b[new], w[new], c, np.minimum(c, 1), np.zeros(0, np.int64), deal)
 
     sent = chunked.select("held", "size", "token", "id").mapInArrow(send, "shard bigint, b binary, n binary, w binary, c binary")
     return scratch.keep(sent.groupBy("shard").applyInArrow(gather, _PAIRS))
@@ -505,7 +471,7 @@ class Words:
         if state["tables"] is None:  # each word starts with one table
             return np.minimum(count, 1), codes
         spelling = Words._spelling(codes, start, state)
-        keys = _mix(np.frombuffer(block["h"], "<u8") + _U(state["sweep"] + 1))
+        keys = mix(np.frombuffer(block["h"], "<u8") + _U(state["sweep"] + 1))
         return seat(count, (WORD_STRENGTH + discount * state["tables"]) * spelling, discount, stirling(discount), keys), codes
 
     @staticmethod
@@ -523,15 +489,15 @@ class Words:
             sent = sc.broadcast(state)
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                cells, opened = np.zeros(CLASSES**DEPTH * SYMBOLS), 0
+                cells, sums, opened = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
                 for b in batches:
                     for block in b.to_pylist():
                         tables, codes = Words._draw(block, sent.value, discount)
-                        cells += np.bincount(codes, weights=np.repeat(tables, unpack(block["letters"]) + 1), minlength=len(cells))
+                        own, which = grouped(codes, (CLASSES**DEPTH * SYMBOLS).bit_length())
+                        cells.append(own.astype(np.int64))
+                        sums.append(np.bincount(which, weights=np.repeat(tables, unpack(block["letters"]) + 1)).astype(np.int64))
                         opened += int(tables.sum())
-                at = np.flatnonzero(cells)
-                codes, sums = np.append(at, -1), np.append(cells[at].astype(np.int64), opened)
-                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(sums, pa.int64())], names=["code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.concatenate(cells), -1)), pa.array(np.append(np.concatenate(sums), opened))], names=["code", "n"])
 
             cells = words_.select("h", "letters", "spelled", "c").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
             got = cells.orderBy("code").toArrow()  # at most CLASSES ** DEPTH * SYMBOLS + 1 rows
@@ -555,7 +521,7 @@ class Words:
                     codes, start = spelled(np.frombuffer(block["spelled"], np.uint8), unpack(block["letters"]))
                     spelling = Words._spelling(codes, start, sent.value)
                     out.append((block["ws"], spelling.astype("<f8").tobytes(), float(spelling[unpack(block["c"]) > 0].sum())))
-            yield _rows([("ws", _LONG), ("spelling", _BIN), ("p", pa.float64())], out)
+            yield batch_of([("ws", LONG), ("spelling", BINARY), ("p", pa.float64())], out)
 
         rows = words_.select("ws", "letters", "spelled", "c").mapInArrow(known, "ws bigint, spelling binary, p double")
         spelling = self.scratch.keep(rows)
@@ -571,7 +537,7 @@ class Words:
                     own = np.maximum(count - discount * tables, 0)
                     up = (own + (WORD_STRENGTH + discount * state["tables"]) * p) / (WORD_STRENGTH + customers)
                     out.append((block["ws"], up.astype("<f8").tobytes()))
-                yield _rows([("ws", _LONG), ("up", _BIN)], out)
+                yield batch_of([("ws", LONG), ("up", BINARY)], out)
 
         return words_.join(spelling.select("ws", "spelling"), "ws").select("ws", "h", "letters", "spelled", "c", "spelling").mapInArrow(rate, "ws bigint, up binary")
 
@@ -580,7 +546,7 @@ def _parents(pairs: DataFrame, blocks: DataFrame, offsets: np.ndarray, model: Wo
     """Sends pairs' tables to the restaurant without context, goes on with its sampler, and gives each shard (shard, ws, up) the
     probabilities of its words back, in the order of their numbers."""
     shards = len(offsets) - 1
-    schema = [("ws", _LONG), ("shard", _LONG), ("rank", _BIN), ("k", _BIN)]
+    schema = [("ws", LONG), ("shard", LONG), ("rank", BINARY), ("k", BINARY)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -588,7 +554,7 @@ def _parents(pairs: DataFrame, blocks: DataFrame, offsets: np.ndarray, model: Wo
                 w, which = grouped(unpack(w), int(offsets[-1]).bit_length())
                 w, k = w.astype(np.int64), np.bincount(which, weights=unpack(t), minlength=len(w)).astype(np.int64)
                 limits = np.searchsorted(w, offsets)
-                yield _rows(schema, [(ws, shard, pack(w[s:e] - offsets[ws]), pack(k[s:e])) for ws, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
+                yield batch_of(schema, [(ws, shard, pack(w[s:e] - offsets[ws]), pack(k[s:e])) for ws, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
 
     sent = scratch.keep(pairs.select("shard", "w", "t").mapInArrow(send, "ws bigint, shard bigint, rank binary, k binary"))
 
@@ -597,7 +563,7 @@ def _parents(pairs: DataFrame, blocks: DataFrame, offsets: np.ndarray, model: Wo
         c = np.zeros(offsets[ws + 1] - offsets[ws], np.int64)
         for r in group.select(["rank", "k"]).to_pylist():
             c[unpack(r["rank"])] += unpack(r["k"])
-        return pa.Table.from_batches([_rows([("ws", _LONG), ("c", _BIN), ("held", _LONG), ("ones", _LONG), ("twos", _LONG)], [(ws, pack(c), int(c.sum()), int((c == 1).sum()), int((c == 2).sum()))])])
+        return pa.Table.from_batches([batch_of([("ws", LONG), ("c", BINARY), ("held", LONG), ("ones", LONG), ("twos", LONG)], [(ws, pack(c), int(c.sum()), int((c == 1).sum()), int((c == 2).sum()))])])
 
     seated = sent.groupBy("ws").applyInArrow(customers, "ws bigint, c binary, held bigint, ones bigint, twos bigint")
     words_ = scratch.keep(blocks.select("ws", "h", "letters", "spelled").join(seated, "ws"))
@@ -606,7 +572,7 @@ def _parents(pairs: DataFrame, blocks: DataFrame, offsets: np.ndarray, model: Wo
     def answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         up = np.frombuffer(right.column("up")[0].as_py(), "<f8")
         out = [(r["shard"], r["ws"], up[unpack(r["rank"])].tobytes()) for r in left.select(["shard", "ws", "rank"]).to_pylist()]
-        return pa.Table.from_batches([_rows([("shard", _LONG), ("ws", _LONG), ("up", _BIN)], out)])
+        return pa.Table.from_batches([batch_of([("shard", LONG), ("ws", LONG), ("up", BINARY)], out)])
 
     rated = scratch.keep(model.rated(words_))
     out = scratch.keep(sent.select("ws", "shard", "rank").groupBy("ws").cogroup(rated.groupBy("ws")).applyInArrow(answer, "shard bigint, ws bigint, up binary"))
@@ -614,58 +580,67 @@ def _parents(pairs: DataFrame, blocks: DataFrame, offsets: np.ndarray, model: Wo
     return out
 
 
-def _opened(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:
-    """A shard's pairs (b, w, c, t) and up, the parent's probability of each w."""
+def _opened(left: pa.Table) -> tuple[np.ndarray, ...]:
+    """A shard's pairs: b, w, c, t and the tables of the sweep before."""
     row = left.to_pylist()[0]
-    b, w, c, t = np.repeat(unpack(row["b"]), unpack(row["n"])), *(unpack(row[k]) for k in "wct")
-    got = sorted((r["ws"], r["up"]) for r in right.select(["ws", "up"]).to_pylist())
-    up = np.concatenate([np.frombuffer(u, "<f8") for _, u in got])
-    distinct = np.unique(w)
-    return b, w, c, t, up[np.searchsorted(distinct, w)], np.frombuffer(row["p"], "<f4")
+    return np.repeat(unpack(row["b"]), unpack(row["n"])), *(unpack(row[k]) for k in "wcts")
+
 
+def _ups(w: np.ndarray, rows: list[dict]) -> np.ndarray:
+    """The parent's probability of each w of a shard."""
+    up = np.concatenate([np.frombuffer(r["up"], "<f8") for r in sorted(rows, key=lambda r: r["ws"])])
+    return up[np.searchsorted(np.unique(w), w)]
 
-def _redrawn(pairs: DataFrame, ups: DataFrame, deal: Deal, discount: float, sweep: int, keep: bool, scratch: Scratch) -> DataFrame:
-    """Pairs with tables drawn anew; if keep, p grows by the predictions of the state before."""
-    sums = pairs.sparkSession.sparkContext.broadcast(Sums(pairs))
+
+def _redrawn(pairs: DataFrame, ups: DataFrame, sums: Broadcast, deal: Deal, discount: float, sweep: int, scratch: Scratch) -> DataFrame:
+    """Pairs with tables drawn anew."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        b, w, c, t, up, p = _opened(left, right)
-        held, tables = sums.value.of(b, c, t)
-        if keep:
-            p = chance(c, t, held, tables, up, discount) + (p if len(p) else 0)
-        keys = _mix(_mix(b.astype(_U) + _U(sweep << 40)) + w.astype(_U))
-        t = seat(c, (CONTEXT_STRENGTH + discount * tables) * up, discount, stirling(discount), keys)
-        return _pair_row(key[0].as_py(), b, w, c, t, p, deal)
+        b, w, c, t, _ = _opened(left)
+        _, tables = sums.value.of(b, c, t)
+        keys = mix(mix(b.astype(_U) + _U(sweep << 40)) + w.astype(_U))
+        drawn = seat(c, (CONTEXT_STRENGTH + discount * tables) * _ups(w, right.select(["ws", "up"]).to_pylist()), discount, stirling(discount), keys)
+        return _pair_row(key[0].as_py(), b, w, c, drawn, t, deal)
 
     return scratch.keep(pairs.groupBy("shard").cogroup(ups.groupBy("shard")).applyInArrow(run, _PAIRS))
 
 
-def _answers(pairs: DataFrame, ups: DataFrame, chunked: DataFrame, deal: Deal, discount: float, kept: int, scratch: Scratch) -> DataFrame:
-    """cid, shard and p: for each chunk and shard the logarithms of the probabilities of the chunk's pairs, in their order."""
-    sums = pairs.sparkSession.sparkContext.broadcast(Sums(pairs))
-    schema = [("shard", _LONG), ("ws", _LONG), ("up", _BIN), ("cid", _LONG), ("b", _BIN), ("n", _BIN), ("w", _BIN)]
+def _answers(pairs: DataFrame, ups: list[DataFrame], sums: list[Broadcast], chunked: DataFrame, deal: Deal, discount: float, scratch: Scratch) -> list[DataFrame]:
+    """cid, shard and p: for each chunk and shard the logarithms of the probabilities of the chunk's pairs, in their order, averaged
+    over the last states; ups and sums are those of each state, the last one last. Shards are asked in PASSES turns, a table each, as
+    the questions take more room than all else."""
+    schema = [("shard", LONG), ("state", LONG), ("ws", LONG), ("up", BINARY), ("cid", LONG), ("b", BINARY), ("n", BINARY), ("w", BINARY)]
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cid, size, token, ids in zip(*(batch.column(n).to_pylist() for n in ("cid", "size", "token", "id")), strict=True):
                 b, w, limits, _ = deal.pairs(np.asarray(size), unpack(token), unpack(ids))
-                yield _rows(schema, [(k, None, None, cid, *_runs(b[s:e]), pack(w[s:e])) for k, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
+                yield batch_of(schema, [(k, None, None, None, cid, *_runs(b[s:e]), pack(w[s:e])) for k, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e and k % PASSES == turn])
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         isup = right.column("ws").is_valid()
-        b, w, c, t, up, p = _opened(left, right.filter(isup))
-        held, tables = sums.value.of(b, c, t)
-        p = np.log10((chance(c, t, held, tables, up, discount) + (p if len(p) else 0)) / kept).astype("<f4")
+        b, w, c, *tables = _opened(left)
+        told = right.select(["state", "ws", "up"]).filter(isup).to_pylist()
+        p = np.zeros(len(b))
+        for k, (t, sent) in enumerate(zip(tables[len(sums) - 1 :: -1], sums, strict=True)):
+            p += chance(c, t, *sent.value.of(b, c, t), _ups(w, [r for r in told if r["state"] == k]), discount)
+        p = np.log10(p / len(sums)).astype("<f4")
         shard, out = key[0].as_py(), []
         for r in right.select(["cid", "b", "n", "w"]).filter(pc.invert(isup)).to_pylist():
             ask_b, ask_w = np.repeat(unpack(r["b"]), unpack(r["n"])), unpack(r["w"])
             out.append((r["cid"], shard, p[_places(b, w, ask_b, ask_w, deal)].tobytes()))
-        return pa.Table.from_batches([_rows([("cid", _LONG), ("shard", _LONG), ("p", _BIN)], out)])
+        return pa.Table.from_batches([batch_of([("cid", LONG), ("shard", LONG), ("p", BINARY)], out)])
 
-    ddl = "shard bigint, ws bigint, up binary, cid bigint, b binary, n binary, w binary"
+    ddl = "shard bigint, state bigint, ws bigint, up binary, cid bigint, b binary, n binary, w binary"
     none = [F.lit(None).cast(t).alias(c) for c, t in (("cid", "bigint"), ("b", "binary"), ("n", "binary"), ("w", "binary"))]
-    asked = chunked.select("cid", "size", "token", "id").mapInArrow(ask, ddl).unionByName(ups.select("shard", "ws", "up", *none))
-    return scratch.keep(pairs.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(run, "cid bigint, shard bigint, p binary"))
+    out = []
+    for turn in range(PASSES):
+        asked = chunked.select("cid", "size", "token", "id").mapInArrow(lambda batches, turn=turn: ask(batches, turn), ddl)
+        for k, frame in enumerate(ups):
+            asked = asked.unionByName(frame.where(F.col("shard") % PASSES == turn).select("shard", F.lit(k).cast("bigint").alias("state"), "ws", "up", *none))
+        own = pairs.where(F.col("shard") % PASSES == turn)
+        out.append(scratch.keep(own.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(run, "cid bigint, shard bigint, p binary")))
+    return out
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -681,16 +656,16 @@ def query(docs: DataFrame) -> DataFrame:
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc_id}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     own = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out(F.col("doc_id")).alias("held"), "text")
-    ddl = f"cid bigint, doc_id array<{doc_id}>, held array<boolean>, size array<bigint>, token binary, h binary, c binary, letters binary, spelled binary"
+    ddl = f"cid bigint, doc_id array<{doc_id}>, held array<boolean>, size array<bigint>, token binary, rank binary, h binary, c binary, letters binary, spelled binary"
     read = scratch.keep(own.mapInArrow(_chunk, ddl))
     sizes = read.select(F.aggregate("size", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"), F.size("size").alias("d"))
     tokens, n_docs = sizes.agg(F.sum("n"), F.sum("d")).first()
     if not tokens:
         return spark.createDataFrame([], schema)
-    _few_rows(spark)
+    few_rows(spark)
     word_shards, pair_shards = (max(least, -(-tokens // each)) for least, each in ((WORD_SHARDS, WORD_TOKENS), (PAIR_SHARDS, PAIR_TOKENS)))
     words_ = vocabulary(read, word_shards, scratch)
-    blocks = words_.where("cid IS NULL")
+    blocks = scratch.keep(words_.where("cid IS NULL").drop("cid"))
     counted = {r.ws: r for r in blocks.select("ws", "v", "types", "tokens").collect()}  # a row a shard
     offsets = np.concatenate(([0], np.cumsum([counted[k].v if k in counted else 0 for k in range(word_shards)])))
     n, v, start = sum(r.tokens for r in counted.values()), sum(r.types for r in counted.values()), int(offsets[-1])
@@ -704,17 +679,25 @@ def query(docs: DataFrame) -> DataFrame:
 
     hot = np.sort(blocks.select("ws", "c").mapInArrow(frequent, "id bigint").toArrow().column(0).to_numpy())  # at most HOT_WORDS
     deal = Deal(start, np.append(hot, start) if n_docs > most else hot, pair_shards)
-    scratch.drop(read)
+    scratch.drop(read, words_)
     pairs = _first_seats(chunked, deal, scratch)
     discount, model = discount_of(pairs), Words(scratch)
+    ups, sums = [], []  # of the states that are kept, the last one last
     for sweep in range(SWEEPS + 1):
-        ups = _parents(pairs, blocks, offsets, model, scratch)
+        ups.append(_parents(pairs, blocks, offsets, model, scratch))
+        sums.append(spark.sparkContext.broadcast(Sums(pairs)))  # at most HOT_WORDS + 1 rows
         if sweep < SWEEPS:
-            following = _redrawn(pairs, ups, deal, discount, sweep, sweep > SWEEPS - KEPT, scratch)
-            scratch.drop(pairs, ups)
+            following = _redrawn(pairs, ups[-1], sums[-1], deal, discount, sweep, scratch)
+            scratch.drop(pairs)
             pairs = following
-    answers = _answers(pairs, ups, chunked, deal, discount, KEPT, scratch)
-    scratch.drop(pairs, ups, words_)
+        while len(ups) > KEPT:
+            scratch.drop(ups.pop(0))
+            sums.pop(0)
+    answers = _answers(pairs, ups, sums, chunked, deal, discount, scratch)
+    scratch.drop(pairs, blocks, *ups)
+    answered = answers[0]
+    for more in answers[1:]:
+        answered = answered.unionByName(more)
 
     def scored(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         size, token, ids = np.asarray(left.column("size")[0].as_py()), *(unpack(left.column(c)[0].as_py()) for c in ("token", "id"))
@@ -725,9 +708,4 @@ def query(docs: DataFrame) -> DataFrame:
         columns = [flat("doc_id"), flat("held"), flat("size"), flat("known"), pa.array(np.full(len(size), n), pa.int64()), flat("base"), pa.array(score)]
         return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return chunked.groupBy("cid").cogroup(answers.groupBy("cid")).applyInArrow(scored, schema)
-
-
-def _few_rows(spark: SparkSession) -> None:
-    """Rows are blocks from here on: few to a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    return chunked.groupBy("cid").cogroup(answered.groupBy("cid")).applyInArrow(scored, schema)

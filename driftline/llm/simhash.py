@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import STEPS, hashed_words, mix, rolled
 from .common import Scratch, components, small_batches
-from .substrings import _STEP, _mix, hashed_words, rolled
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 TILE_ROWS = 2048
@@ -66,14 +66,14 @@ def _set_bits(h: np.ndarray) -> np.ndarray:
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted hashes of the different shingles of a text; the whole text is one if it has fewer words, and none if it has no words."""
     h = hashed_words([text.encode("utf-8", "surrogatepass").lower()])[0] if text else np.zeros(0, np.uint64)
-    return np.unique(rolled(h, min(NEAR_SHINGLE, len(h)), _STEP[1])) if len(h) else h
+    return np.unique(rolled(h, min(NEAR_SHINGLE, len(h)), STEPS[1])) if len(h) else h
 
 
 def wide_fingerprint(h: np.ndarray) -> np.ndarray:
     """WIDTH words: bit k of word i is set if it is set in over half of the i-th hashes, each mixed from the one before."""
     out = np.zeros(WIDTH, np.uint64)
     for i in range(WIDTH if len(h) else 0):
-        h = _mix(h + np.uint64(0x9E3779B97F4A7C15))
+        h = mix(h + np.uint64(0x9E3779B97F4A7C15))
         out[i] = np.packbits(2 * _set_bits(h) > len(h), bitorder="little").view("<u8")[0]
     return out
 

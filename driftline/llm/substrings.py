@@ -1,277 +1,311 @@
 """Removal of passages that an earlier document holds, with repeated-phrase automata.
 
 1. Anchors. Every window of 13 words has eight runs of six words; the run with the least hash is its anchor. Two equal
-   windows have equal anchors, so a window can only recur if its anchor does. Anchors are a fifth of all positions; only
-   their hashes are shuffled, to learn which stand in two or more documents.
-2. Confirmation. Windows with such an anchor are shuffled by a 128-bit hash; those that two or more documents hold are
-   recurring phrases, and the least doc_id is their first holder.
-3. Automata. Documents are dealt out in shards with the phrases that recur in them. Each shard compiles its phrases into
-   an Aho-Corasick automaton, a word being one letter, and streams its documents through it; every occurrence of a phrase
-   first held by a smaller doc_id covers its words. A shard's automaton is bounded by PATTERNS phrases; a document with
-   more goes through several.
-
-Nothing is broadcast, a phrase held by any number of documents is combined before the shuffle, and every phase ends in
-a written table. Documents whose whole text has an earlier exact copy skip the second phase: all their windows recur.
+   windows have equal anchors, so a window can only recur if its anchor does. Documents are read into chunks, which send each of
+   their anchors once to a shard by hash and hear which of them stand in two or more documents.
+2. Confirmation. Each different window with such an anchor goes, once a chunk, to a shard by a 128-bit hash; those that two or more
+   documents hold are recurring phrases, and the least doc_id is their first holder. Where they stand isn't sent.
+3. Automata. A chunk compiles the phrases that recur in it into Aho-Corasick automata, a word being one letter, PATTERNS phrases
+   in each, and streams all of its documents through them; every occurrence of a phrase first held by a smaller doc_id
+   covers its words.
+
+Nothing is broadcast or collected. A phrase held by any number of documents is one entry a chunk, so no shard follows from how often
+one phrase stands, and every phase ends in a written table. Documents whose whole text has an earlier exact copy skip the second
+phase: all their windows recur.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BINARY, LONG, STEPS, batch_of, chunks, few_rows, grouped, hashed_words, pack, rolled, shard_limits, unpack
 from .common import Scratch, small_batches
 
 WINDOW, ANCHOR = 13, 6
 PATTERNS = 30_000
-#: Bytes of texts whose words are hashed at once; a longer text is hashed alone.
-CHUNK = 1 << 20
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of a chunk (but a text is never cut), words of a shard, and how many shards there are at least.
+CHUNK_BYTES, SHARD_WORDS, SHARDS = 8 << 20, 1 << 22, 64
+#: Words become letters from here on, above all surrogates; FOREIGN stands for a word that no phrase of an automaton has, and for a
+#: text's end.
+FIRST, FOREIGN = 0x10000, 1
 _U = np.uint64
-_RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_LETTER = _RANDOM.integers(1, 2**63, 256, dtype=_U)
-_BASE = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_STEP = (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F))
-#: Words become letters from here on, above all surrogates; FOREIGN stands for a word that no phrase of a shard has.
-FIRST, FOREIGN = 0x10000, "\x01"
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.ones(n, _U)
-    if n > 1:
-        out[1:] = base
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-_POWER = _powers(_BASE, CHUNK + 1)
-_UNPOWER = _powers(_INVERSE, CHUNK + 1)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def hashed_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each span of bytes."""
-    power, unpower = (_POWER, _UNPOWER) if len(data) <= len(_POWER) else (_powers(_BASE, len(data)), _powers(_INVERSE, len(data)))
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum(_LETTER[data] * power[: len(data)], dtype=_U)))
-    return _mix((sums[ends] - sums[starts]) * unpower[starts] + (ends - starts).astype(_U))
-
-
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in bytes that end with a blank."""
-    edge = np.flatnonzero(np.diff(_BLANK[data], prepend=True))  # word starts and ends take turns
-    return edge[::2], edge[1::2]
-
-
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of the texts in a row, and for each text how many words it has. Vectorised over bytes."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    starts, ends = word_spans(data)
-    limits = np.cumsum([len(t) + 1 for t in texts])
-    return hashed_spans(data, starts, ends), np.diff(np.searchsorted(starts, limits), prepend=0)
-
-
-def rolled(hashes: np.ndarray, length: int, step: np.uint64) -> np.ndarray:
-    """Hashes of all runs of so many words."""
-    out = np.zeros(max(0, len(hashes) - length + 1), _U)
-    for j in range(length):
-        out = out * step + hashes[j : j + len(out)]
-    return _mix(out)
+_NONE = np.iinfo(np.int64).max
 
 
 def anchors(hashes: np.ndarray) -> np.ndarray:
     """For each window, the least hash of the runs in it."""
-    least, width = rolled(hashes, ANCHOR, _STEP[0]), WINDOW - ANCHOR + 1
+    least, width = rolled(hashes, ANCHOR, STEPS[0]), WINDOW - ANCHOR + 1
     while width > 1:
         least, width = np.minimum(least[: -(width // 2)], least[width // 2 :]), width - width // 2
     return least
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts as UTF-8 in groups of bounded size, each with the place of its first."""
-    group, size, first = [], 0, 0
-    for i, t in enumerate(texts):
-        raw = t.encode("utf-8", "surrogatepass") if t else b""
-        if group and size + len(raw) + 1 >= CHUNK:
-            yield first, group
-            group, size, first = [], 0, i
-        group.append(raw)
-        size += len(raw) + 1
-    if group:
-        yield first, group
-
-
-def inside(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts with so many words each, in a row: the places of windows that lie within one text, their text, and
-    their start in it."""
-    n = np.maximum(counts - WINDOW + 1, 0)
-    text = np.repeat(np.arange(len(counts)), n)
-    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return (np.cumsum(counts) - counts)[text] + start, text, start
+def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (rid, doc_id, text) as chunks: cid, their ids (the largest number for none), whether they have one, texts, and words."""
+    ids, texts, first, size = [], [], None, 0
 
+    def whole() -> pa.RecordBatch:
+        n = sum(len(t.split()) for t in texts)
+        lists = [pa.array([[_NONE if d is None else d for d in ids]], pa.list_(LONG)), pa.array([[d is not None for d in ids]], pa.list_(pa.bool_())), pa.array([texts], pa.list_(BINARY))]
+        return pa.RecordBatch.from_arrays([pa.array([first], LONG), *lists, pa.array([n], LONG)], names=["cid", "ids", "named", "texts", "n"])
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, keys = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("key").to_numpy(zero_copy_only=False)
-        for first, group in chunks(b.column("text").to_pylist()):
-            hashes, counts = hashed_words(group)
-            place, text, _ = inside(counts)
-            if not len(place):
-                continue
-            least = anchors(hashes)[place]
-            new = np.ones(len(least), bool)
-            new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
-            of = text[new] + first
-            yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(ids[of]), pa.array(keys[of])], names=["h", "doc_id", "key"])
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, keys, wanted = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("key").to_numpy(zero_copy_only=False), b.column("anchors")
-        for first, group in chunks(b.column("text").to_pylist()):
-            hashes, counts = hashed_words(group)
-            place, text, start = inside(counts)
-            if not len(place):
-                continue
-            least, ends = anchors(hashes)[place], np.searchsorted(text, np.arange(len(group) + 1))
-            hit = np.zeros(len(place), bool)
-            for i in range(len(group)):
-                hit[ends[i] : ends[i + 1]] = np.isin(least[ends[i] : ends[i + 1]], wanted[first + i].values.to_numpy().view(_U))
-            place, of = place[hit], text[hit] + first
-            w, v = (rolled(hashes, WINDOW, s)[place].view(np.int64) for s in _STEP)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (w, v, ids[of], keys[of], start[hit].astype(np.int32)))], names=["w", "v", "doc_id", "key", "at"])
-
-
-def cover(rows: list[tuple[int, list[bytes], np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
-    """For a shard's documents (doc_id, words, starts of phrases that recur in it, their first holders): each one's place
-    in rows and which of its words are covered. The shard's phrases are compiled PATTERNS at a time, and all of its
-    documents are streamed through each automaton."""
-    covered = [np.zeros(len(words) + 1, np.int32) for _, words, _, _ in rows]
-    phrases: dict[tuple[bytes, ...], int] = {}
-    for _, words, starts, holders in rows:
-        for s, m in zip(starts.tolist(), holders.tolist(), strict=True):
-            p = tuple(words[s : s + WINDOW])
-            phrases[p] = min(m, phrases.get(p, m))
-    items = list(phrases.items())
-    for at in range(0, len(items), PATTERNS):
-        letters: dict[bytes, str] = {}
+        for rid, doc_id, text in zip(b.column("rid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            first = rid if first is None else first
+            ids.append(doc_id)
+            texts.append(text.encode("utf-8", "surrogatepass") if text else b"")
+            size += len(texts[-1])
+            if size >= CHUNK_BYTES:
+                yield whole()
+                ids, texts, first, size = [], [], None, 0
+    if texts:
+        yield whole()
+
+
+class Chunk:
+    """Windows of the documents that can give or take: the place among all words of the chunk, the document, and the anchor."""
+
+    def __init__(self, ids: list[int], named: list[bool], texts: list[bytes]):
+        self.ids, self.texts = np.asarray(ids, np.int64), texts
+        parts = [hashed_words(group) for _, group in chunks(texts)]
+        none = np.zeros(0, _U)
+        self.hashes = np.concatenate([none, *(h for h, _ in parts)])
+        self.counts = np.concatenate([none.astype(np.int64), *(c for _, c in parts)])
+        windows = np.where(np.asarray(named, bool), np.maximum(self.counts - WINDOW + 1, 0), 0)
+        self.doc = np.repeat(np.arange(len(texts)), windows)
+        begin = np.cumsum(self.counts) - self.counts
+        self.place = begin[self.doc] + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.anchor = anchors(self.hashes)[self.place] if len(self.place) else none
+        self.whole = np.flatnonzero(windows)  # texts that may be copies as a whole
+        digests = [xxhash.xxh128_intdigest(texts[i]) for i in self.whole.tolist()]
+        self.digest = np.asarray([[d >> 64, d & (1 << 64) - 1] for d in digests], _U).reshape(-1, 2)
+
+    def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Different anchors, sorted, and whether two or more documents of the chunk have them."""
+        new = np.ones(len(self.anchor), bool)
+        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.doc[1:] != self.doc[:-1])
+        h, doc = self.anchor[new], self.doc[new]
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], doc[order]
+        first = _starts(h)
+        return h[first], _spread(doc, first)
+
+    def distinct_texts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different digests of whole texts, sorted, the least id that has each; and for each text of whole which it is."""
+        order = np.lexsort((self.ids[self.whole], self.digest[:, 1], self.digest[:, 0]))
+        d = self.digest[order]
+        first = _starts(d[:, 0], d[:, 1])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        return d[first], self.ids[self.whole][order][first], which
+
+    def candidates(self, recurring: np.ndarray, copy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Different windows whose anchor recurs, of texts that aren't copies, sorted by their two hashes: these, the least id that has
+        each, whether another id has it too, and a place where it stands."""
+        at = np.flatnonzero(recurring & ~copy[self.doc])
+        w, v = (rolled(self.hashes, WINDOW, s)[self.place[at]] for s in STEPS) if len(at) else (self.anchor[:0], self.anchor[:0])
+        order = np.lexsort((v, w))
+        w, v, at = w[order], v[order], at[order]
+        first, ids = _starts(w, v), self.ids[self.doc[at]]
+        least = np.minimum.reduceat(ids, first) if len(at) else ids
+        return np.stack([w[first], v[first]], 1), least, _spread(ids, first), self.place[at[first]]
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins in sorted ones."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _spread(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether the groups that begin at first have two or more different values."""
+    return np.minimum.reduceat(values, first) != np.maximum.reduceat(values, first) if len(values) else values.astype(bool)
+
+
+def _whole(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+
+
+_ASK = [("shard", LONG), ("cid", LONG), ("kind", LONG), ("n", LONG), ("keys", BINARY), ("many", BINARY), ("least", BINARY)]
+_ASK_DDL = "shard bigint, cid bigint, kind bigint, n bigint, keys binary, many binary, least binary"
+_ANSWER = [("cid", LONG), ("shard", LONG), ("kind", LONG), ("n", LONG), ("many", BINARY), ("least", BINARY)]
+_ANSWER_DDL = "cid bigint, shard bigint, kind bigint, n bigint, many binary, least binary"
+ANCHORS, TEXTS, WINDOWS = range(3)
+
+
+def _ask(cid: int, kind: int, keys: np.ndarray, many: np.ndarray, least: np.ndarray | None, shards: int) -> list[tuple]:
+    """Rows that ask each shard about its part of sorted keys (a column for each half)."""
+    limits = shard_limits(keys if keys.ndim == 1 else keys[:, 0], shards).tolist()
+    own = lambda s, e: None if least is None else least[s:e].astype("<i8").tobytes()
+    return [(k, cid, kind, e - s, keys[s:e].astype("<u8").tobytes(), np.packbits(many[s:e]).tobytes(), own(s, e)) for k, (s, e) in enumerate(zip(limits[:-1], limits[1:], strict=True)) if s < e]
+
+
+def _answers(key: tuple, group: pa.Table) -> pa.Table:
+    """Tells every chunk which of its keys two or more documents have, in one chunk or several, and who is the first."""
+    asked, out = sorted(group.to_pylist(), key=lambda r: r["cid"]), []
+    kind, halves = key[1].as_py(), 1 if key[1].as_py() == ANCHORS else 2
+    size = np.asarray([r["n"] for r in asked])
+    keys = np.frombuffer(b"".join([r["keys"] for r in asked]), "<u8").reshape(-1, halves)
+    many = np.concatenate([_whole(r["many"], r["n"]) for r in asked])
+    # of an anchor it's enough that two chunks have it; else the ids tell
+    least = np.repeat(np.arange(len(asked)), size) if halves == 1 else np.frombuffer(b"".join([r["least"] for r in asked]), "<i8")
+    order = np.argsort(keys[:, 0], kind="stable") if halves == 1 else np.lexsort((keys[:, 1], keys[:, 0]))
+    first = _starts(*(keys[order, i] for i in range(halves)))
+    some = np.logical_or.reduceat(many[order], first) | _spread(least[order], first)
+    lowest = np.minimum.reduceat(least[order], first)
+    run = np.diff(np.append(first, len(order)))
+    every, holder = np.empty(len(order), bool), np.empty(len(order), np.int64)
+    every[order], holder[order] = np.repeat(some, run), np.repeat(lowest, run)
+    ends = np.cumsum(size).tolist()
+    for r, s, e in zip(asked, [0, *ends], ends):
+        out.append((r["cid"], r["shard"], kind, e - s, np.packbits(every[s:e]).tobytes(), None if halves == 1 else holder[s:e][every[s:e] | (kind == TEXTS)].astype("<i8").tobytes()))
+    return pa.Table.from_batches([batch_of(_ANSWER, out)])
+
+
+def _heard(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """What all shards say of a chunk's keys of one kind, in the order in which it asked."""
+    rows = sorted((r for r in answers.to_pylist() if r["kind"] == kind), key=lambda r: r["shard"])
+    many = np.concatenate([np.zeros(0, bool), *(_whole(r["many"], r["n"]) for r in rows)])
+    return many, np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["least"] or b"", "<i8") for r in rows)])
+
+
+def _first(chunk: Chunk, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For each window whether its anchor recurs, and for each document whether it is a copy of an earlier one."""
+    recurs, _ = _heard(answers, ANCHORS)
+    h, _ = chunk.distinct_anchors()
+    recurring = recurs[np.searchsorted(h, chunk.anchor)]
+    copy = np.zeros(len(chunk.texts), bool)
+    if len(chunk.whole):
+        _, least = _heard(answers, TEXTS)
+        copy[chunk.whole] = least[chunk.distinct_texts()[2]] < chunk.ids[chunk.whole]
+    return recurring, copy
+
+
+def occurrences(letters: np.ndarray, phrases: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where phrases (rows of WINDOW words as numbers) stand in a row of words: last places, and the phrases' holders.
+
+    The phrases are compiled PATTERNS at a time, and all words are streamed through each automaton.
+    """
+    ends, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(phrases), PATTERNS):
+        own = phrases[at : at + PATTERNS]
+        used, code = np.unique(own, return_inverse=True)
+        coded = (code.reshape(own.shape) + FIRST).astype("<u4")
         automaton = ahocorasick.Automaton()
-        for phrase, holder in items[at : at + PATTERNS]:
-            automaton.add_word("".join([letters.setdefault(w, chr(FIRST + len(letters))) for w in phrase]), holder)
+        for row, holder in zip(coded, holders[at : at + PATTERNS].tolist(), strict=True):
+            automaton.add_word(row.tobytes().decode("utf-32-le"), holder)
         automaton.make_automaton()
-        for (doc_id, words, _, _), marks in zip(rows, covered, strict=True):
-            text = "".join([letters.get(w, FOREIGN) for w in words])
-            ends = [end for end, holder in automaton.iter(text) if holder < doc_id]
-            if ends:
-                ends = np.asarray(ends)
-                np.add.at(marks, ends - (WINDOW - 1), 1)
-                np.add.at(marks, ends + 1, -1)
-    for i, marks in enumerate(covered):
-        yield i, np.cumsum(marks)[:-1] > 0
-
-
-def stripped(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """Of a batch with doc_id, text, copy, at and first: the place, words and covered words of each row, in any order."""
-    ids, copies, texts = batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").to_pylist()
-    shard, places, load = [], [], 0
-    for i, (doc_id, copy, text) in enumerate(zip(ids, copies, texts, strict=True)):
-        words = text.encode("utf-8", "surrogatepass").split() if text else []
-        at = batch.column("at")[i]
-        if copy or not at.is_valid or not len(words):
-            yield i, words, np.full(len(words), bool(copy) and len(words) >= WINDOW)
-            continue
-        starts = at.values.to_numpy()
-        if shard and load + len(starts) > PATTERNS:
-            yield from ((places[k], shard[k][1], mask) for k, mask in cover(shard))
-            shard, places, load = [], [], 0
-        shard.append((doc_id, words, starts, batch.column("first")[i].values.to_numpy()))
-        places.append(i)
-        load += len(starts)
-    yield from ((places[k], shard[k][1], mask) for k, mask in cover(shard))
-
-
-def _key() -> Column:
-    """Names a row by its id and text, so that rows that share only the id are kept apart."""
-    return F.xxhash64("doc_id", "text")
-
-
-def locate(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and text with what the automata need: copy (the whole text has an earlier copy), at and first
-    (starts of recurring phrases and their first holders).
-
-    A document without doc_id neither takes nor gives: nothing of it is removed. Null and short texts have no windows.
-    Rows that share a doc_id are one document as to order (neither is smaller) and are each judged on their own text.
-    """
-    small_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "substrings")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("key", _key())
-    same = scratch.keep(known.select("doc_id", "key", F.sha2("text", 256).alias("sha")))
-    least = same.groupBy("sha").agg(F.min("doc_id").alias("least"))
-    copies = scratch.keep(same.join(least, "sha").where("least < doc_id").select("key").distinct())
-
-    # what Python makes is made twice, for the counts and for the join, which takes less disk than writing it
-    rows = known.mapInArrow(_anchor_rows, "h bigint, doc_id bigint, key bigint")
-    twice = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    twice = scratch.keep(twice)  # so that both sides of the join come straight from a shuffle and hot keys can be split
-    wanted = rows.select("h", "key").join(twice, "h").groupBy("key").agg(F.collect_set("h").alias("anchors"))
-    wanted = scratch.keep(wanted.join(copies, "key", "left_anti"))
-    scratch.drop(same, twice)
-
-    marked = scratch.keep(known.join(wanted, "key").select("doc_id", "text", "key", "anchors"))
-    scratch.drop(wanted)
-    windows = marked.mapInArrow(_window_rows, "w bigint, v bigint, doc_id bigint, key bigint, at int")
-    held = windows.groupBy("w", "v").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("b")).where("first < b").drop("b")
-    held = scratch.keep(held)
-    found = windows.join(held, ["w", "v"]).where("first < doc_id")
-    listed = found.groupBy("key").agg(F.collect_list(F.struct("at", "first")).alias("x"))
-    listed = scratch.keep(listed.select("key", F.col("x.at").alias("at"), F.col("x.first").alias("first"), F.lit(False).alias("copy")))
-    scratch.drop(marked, held)
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("at", "array<int>"), ("first", "array<bigint>"))]
-    marks = listed.unionByName(copies.select("key", *none, F.lit(True).alias("copy")))
-    return docs.withColumn("key", _key()).join(marks, "key", "left").select("doc_id", "text", "copy", "at", "first")
+        letter = np.full(max(int(letters.max(initial=0)), int(used.max())) + 2, FOREIGN, "<u4")
+        letter[used] = np.arange(len(used)) + FIRST
+        found = list(automaton.iter(letter[letters].tobytes().decode("utf-32-le")))
+        if found:
+            pairs = np.asarray(found, np.int64)
+            ends.append(pairs[:, 0])
+            held.append(pairs[:, 1])
+    return np.concatenate(ends), np.concatenate(held)
+
+
+def covered(chunk: Chunk, answers: pa.Table) -> np.ndarray:
+    """For each word of a chunk whether it goes."""
+    recurring, copy = _first(chunk, answers)
+    recurs, held = _heard(answers, WINDOWS)
+    marks = np.zeros(len(chunk.hashes) + 1, np.int64)
+    if recurs.any():
+        place = chunk.candidates(recurring, copy)[3][recurs]
+        low = max(1, len(chunk.hashes) - 1).bit_length()
+        names, word = grouped(chunk.hashes >> _U(low), 64 - low)  # numbers of words; should the lower bits matter, all of them count
+        if len(names) != len(np.unique(chunk.hashes)):
+            names, word = np.unique(chunk.hashes, return_inverse=True)
+        phrases = word[place[:, None] + np.arange(WINDOW)]
+        # a word that no phrase has stands between texts
+        limits = np.cumsum(chunk.counts)
+        ends, holder = occurrences(np.insert(word, limits, len(names)), phrases, held)
+        owner = np.repeat(np.arange(len(limits)), chunk.counts + 1)[ends]
+        gone = (holder < chunk.ids[owner]) & ~copy[owner] & (chunk.ids[owner] != _NONE)
+        last = ends[gone] - owner[gone]
+        np.add.at(marks, last - (WINDOW - 1), 1)
+        np.add.at(marks, last + 1, -1)
+    mask = np.cumsum(marks)[:-1] > 0
+    return mask | np.repeat(copy, chunk.counts)
+
+
+def _stripped(docs: DataFrame, schema: str, row: Callable[[bytes, np.ndarray], tuple]) -> DataFrame:
+    """doc_id, n_words and what row makes of a text and which of its words go, for each row of docs."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "substrings")
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = scratch.keep(own.mapInArrow(_chunk, "cid bigint, ids array<bigint>, named array<boolean>, texts array<binary>, n bigint"))
+    n_words = held.agg(F.sum("n")).first()[0] or 0
+    shards = max(SHARDS, -(-n_words // SHARD_WORDS))
+    few_rows(spark)
+    names = ["cid", "ids", "named", "texts"]
+
+    def first_ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cid, ids, named, texts in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                chunk = Chunk(ids, named, texts)
+                h, many = chunk.distinct_anchors()
+                digests, least, _ = chunk.distinct_texts()
+                yield batch_of(_ASK, _ask(cid, ANCHORS, h, many, None, shards) + _ask(cid, TEXTS, digests, np.zeros(len(digests), bool), least, shards))
+
+    def second_ask(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = Chunk(*(left.column(c)[0].as_py() for c in names[1:]))
+        keys, least, many, _ = chunk.candidates(*_first(chunk, right))
+        return pa.Table.from_batches([batch_of(_ASK, _ask(key[0].as_py(), WINDOWS, keys, many, least, shards))])
+
+    def strip(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = Chunk(*(left.column(c)[0].as_py() for c in names[1:]))
+        mask = covered(chunk, right)
+        ends = np.cumsum(chunk.counts).tolist()
+        found = [row(t, mask[s:e]) for t, s, e in zip(chunk.texts, [0, *ends], ends)]
+        columns = [pa.array([None if d == _NONE else d for d in chunk.ids.tolist()], LONG), pa.array(chunk.counts)]
+        columns += [pa.array([f[i] for f in found], t) for i, t in enumerate(types)]
+        return pa.Table.from_arrays(columns, names=["doc_id", "n_words", *more])
+
+    kinds = {"bigint": LONG, "string": pa.string(), "spans": pa.list_(pa.struct([("start", LONG), ("end", LONG)]))}
+    more, types = zip(*((f.split()[0], kinds["spans" if "array" in f else f.split()[1]]) for f in schema.split("; ")), strict=True)
+    told = scratch.keep(held.select(*names).mapInArrow(first_ask, _ASK_DDL).groupBy("shard", "kind").applyInArrow(_answers, _ANSWER_DDL))
+    by_chunk = lambda frame: frame.groupBy("cid")
+    asked = by_chunk(held.select(*names)).cogroup(by_chunk(told)).applyInArrow(second_ask, _ASK_DDL)
+    more_told = scratch.keep(asked.groupBy("shard", "kind").applyInArrow(_answers, _ANSWER_DDL))
+    ddl = f"doc_id bigint, n_words bigint, {schema.replace('; ', ', ')}"
+    return by_chunk(held.select(*names)).cogroup(by_chunk(told.unionByName(more_told))).applyInArrow(strip, ddl)
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, spans (start and end of each removed run of words, end exclusive) and kept (the words left, joined
-    by single blanks) for each row of docs."""
+    by single blanks) for each row of docs. What query() says of nulls and the like holds here too."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            order, out = [], []
-            for i, words, mask in stripped(b):
-                edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
-                order.append(i)
-                out.append((len(words), [{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()], b" ".join(w for w, m in zip(words, mask.tolist(), strict=True) if not m).decode("utf-8", "replace")))
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            n, spans, kept = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(order, pa.int64())), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())], names=["doc_id", "n_words", "spans", "kept"])
+    def row(text: bytes, mask: np.ndarray) -> tuple:
+        edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
+        kept = b" ".join(w for w, m in zip(text.split(), mask.tolist(), strict=True) if not m)
+        return [{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()], kept.decode("utf-8", "replace")
 
-    return locate(docs).mapInArrow(run, "doc_id bigint, n_words bigint, spans array<struct<start: bigint, end: bigint>>, kept string")
+    return _stripped(docs, "spans array<struct<start: bigint, end: bigint>>; kept string", row)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 for each row of docs."""
+    """doc_id, n_words, n_removed and kept_sha256 for each row of docs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            order, out = [], []
-            for i, words, mask in stripped(b):
-                kept = [w for w, m in zip(words, mask.tolist(), strict=True) if not m] if mask.any() else words
-                order.append(i)
-                out.append((len(words), int(mask.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            n, gone, sha = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(order, pa.int64())), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return locate(docs).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    doc_id is a whole number, or can be cast to one. A document without doc_id neither takes nor gives: nothing of it is removed.
+    Null, empty and short texts have no windows. Rows that share a doc_id are one document as to order (neither is smaller) and are
+    each judged on their own text; repeated rows give repeated rows. No rows give no rows. Other columns are not looked at,
+    whatever their names. Texts are read whole.
+    """
+
+    def row(text: bytes, mask: np.ndarray) -> tuple:
+        words = text.split()
+        kept = [w for w, m in zip(words, mask.tolist(), strict=True) if not m] if mask.any() else words
+        return int(mask.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()
+
+    return _stripped(docs, "n_removed bigint; kept_sha256 string", row)
