@@ -1,7 +1,7 @@
 """URL verdicts: explicit rules, and block decisions that travel along redirects and canonical links.
 
 Pages name other addresses of themselves: a canonical link, or a refresh that redirects. Addresses joined by such
-links are aliases. An address that a block rule fits blocks its aliases too; an address that an allow rule fits stays
+links are aliases, whatever the case of their hosts and whatever part of a page they point to. An address that a block rule fits blocks its aliases too; an address that an allow rule fits stays
 allowed whatever its aliases are. The alias classes are connected components, found over links alone, so pages without
 links cost one scan.
 """
@@ -20,12 +20,6 @@ TAG = r"""(?i)<(?:link|meta)\b(?:[^>"']++|"[^"]*+"|'[^']*+'){0,256}+>"""
 ATTRIBUTE = r"""([^\s"'<>/=]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
 #: What a refresh leads to: after the seconds, with or without a name and quotes of its own.
 REFRESH = r"""(?is)^\s*[^;,\s]*(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|([^"'].*))"""
-#: The links that oracle() knows: quoted values, the first of a page.
-LINKS = [
-    r"""(?i)<link\b[^>]*?\brel\s*=\s*["']?canonical\b["']?[^>]*?\bhref\s*=\s*["']([^"']*)""",
-    r"""(?i)<link\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*?\brel\s*=\s*["']?canonical\b""",
-    r"""(?i)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b["']?[^>]*?\bcontent\s*=\s*["'][^"';]*;\s*url\s*=\s*([^"']*)""",
-]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -80,6 +74,13 @@ def resolved(target: Column, url: Column) -> Column:
     )
 
 
+def address(url: Column) -> Column:
+    """What names a page: scheme and host in lower case, no part of the page."""
+    whole = F.regexp_extract(url, r"(?s)^([^#]*)", 1)
+    head = F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.concat(ascii_lower(head), F.substr(whole, F.length(head) + 1))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """Edges a, b between different addresses that pages declare to be one: all canonical links and refreshes of a page, whatever
     the order of attributes and quotes. Relative targets are taken from the page's address."""
@@ -90,15 +91,18 @@ def links(pages: DataFrame) -> DataFrame:
     refresh = tag.rlike("(?i)^<meta") & (F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh")
     led = F.concat(*[F.regexp_extract(attribute(tag, "content"), REFRESH, k) for k in (1, 2, 3)])
     target = F.regexp_replace(F.when(canonical, attribute(tag, "href")).when(refresh, led), r"^\s+|\s+$", "")
+    target = F.regexp_replace(target, "(?i)&(?:amp|#38|#x26);", "&")
     found = tags.select("url", target.alias("target")).where("target IS NOT NULL")
-    return found.select(F.col("url").alias("a"), resolved(F.col("target"), F.col("url")).alias("b")).where("b IS NOT NULL AND a != b").distinct()
+    ends = found.select(address(F.col("url")).alias("a"), address(resolved(F.col("target"), F.col("url"))).alias("b"))
+    return ends.where("b IS NOT NULL AND a != b").distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, verdict, and alias_blocked (an alias' block decided).
 
     A rule of its own decides first, so an explicit allow stands against blocked aliases; then a block of any alias,
-    be it a page or only the target of a link; else allow. Null addresses have empty host and path, no rule, no aliases
+    be it a page or only the target of a link; else allow. Addresses are aliases whatever the case of their hosts and whatever follows
+    a #. Html of any length is searched whole. Null addresses have empty host and path, no rule, no aliases
     and are allowed; null html declares no links; repeated addresses are one node; empty tables give no rows; other
     columns are not looked at.
     """
@@ -110,42 +114,70 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
         .select("root")
         .distinct()
         .join(roots, "root")
-        .select(F.col("node").alias("url"), F.lit(True).alias("alias_blocked"))
+        .select("node", F.lit(True).alias("alias_blocked"))
     )
-    out = ruled(pages.select("page_id", "url"), rules).join(blocked, "url", "left")
+    out = ruled(pages.select("page_id", "url"), rules).join(blocked, address(F.col("url")) == F.col("node"), "left")
     alias = F.coalesce("alias_blocked", F.lit(False)) & F.col("own").isNull()
     verdict = F.coalesce("own", F.when(alias, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), alias.alias("alias_blocked"))
 
 
 def oracle(rules: list[tuple[str, str, str]] = RULES) -> str:
-    """The same for DuckDB, with components by a recursive walk over the links."""
+    """The same for DuckDB, with links, relative targets and components in its own way."""
     values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
-    quote = lambda p: "'" + p.replace("'", "''") + "'"
-    target = "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(html, {quote(p)}, 1)), '')" for p in LINKS) + ")"
-    split = """SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    split = f"""SELECT *, {lower("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path"""
     rest = "regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest"
     fit = lambda t: f"({t}.host = r.host OR ends_with({t}.host, '.' || r.host)) AND starts_with({t}.path, r.path)"
-    return f"""
+    node = lambda x: f"{lower(f"regexp_extract({x}, '(?s)^([^#]*?://[^/?#]*)', 1)")} || substr(split_part({x}, '#', 1), length(regexp_extract({x}, '(?s)^([^#]*?://[^/?#]*)', 1)) + 1)"
+    attribute = lambda name: rf"""list_extract(list_transform(list_filter(own, lambda x: lower(regexp_extract(x, '(?s)^([^\s=]+)', 1)) = '{name}'),
+      lambda x: regexp_replace(regexp_replace(x, '(?s)^[^\s=]+\s*=\s*', ''), '(?s)^["''](.*)["'']$', '\1')), 1)"""
+    return rf"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES {values}),
-link AS (
+tag AS (
+  SELECT url, lower(substr(tag, 2, 4)) AS kind, regexp_extract_all(tag, '[^\s"''<>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"''][^\s>]*)') AS own
+  FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)
+), named AS (
+  SELECT url, regexp_replace(trim(CASE
+      WHEN kind = 'link' AND list_contains(regexp_split_to_array(lower({attribute("rel")}), '\s+'), 'canonical') THEN {attribute("href")}
+      WHEN kind = 'meta' AND lower(trim({attribute("http-equiv")})) = 'refresh' THEN
+        regexp_replace(regexp_replace({attribute("content")}, '(?is)^\s*[^;,\s]*(\s*[;,]\s*|\s+)(url\s*=\s*)?', ''), '(?s)^["'']([^"'']*).*$', '\1')
+    END), '(?i)&(amp|#38|#x26);', '&', 'g') AS t
+  FROM tag
+), placed AS (
+  SELECT url, t, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS home, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(t, '^([^?#]*)', 1) AS own, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS tail
+  FROM named WHERE t IS NOT NULL AND t != '' AND NOT starts_with(t, '#')
+), walked AS (
+  SELECT *, string_split(CASE WHEN starts_with(own, '/') THEN own ELSE CASE WHEN contains(path, '/') THEN regexp_extract(path, '(?s)^(.*/)', 1) ELSE '/' END || own END, '/')[2:] AS steps
+  FROM placed
+), link AS (
   SELECT DISTINCT a, b FROM (
-    SELECT url AS a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
-                          WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t END AS b
-    FROM (SELECT url, {target} AS t FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)
-  ) WHERE b IS NOT NULL AND a != b
+    SELECT {node("url")} AS a, {node("b")} AS b FROM (
+      SELECT url, CASE
+          WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+          WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+          WHEN starts_with(t, '//') THEN nullif(regexp_extract(url, '(?s)^(.*?:)//', 1), '') || t
+          WHEN starts_with(t, '?') THEN nullif(home, '') || path || t
+          ELSE nullif(home, '') || '/' || array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(steps, lambda x: [x])),
+                 lambda kept, x: CASE x[1] WHEN '..' THEN kept[1:greatest(len(kept) - 1, 0)] WHEN '.' THEN kept ELSE list_concat(kept, x) END), '/')
+               || CASE WHEN steps[-1] IN ('.', '..') AND len(list_filter(steps, lambda x: x NOT IN ('.', '..'))) > 0 THEN '/' ELSE '' END || tail
+        END AS b
+      FROM walked
+    ) WHERE b IS NOT NULL
+  ) WHERE a != b
 ), both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
-named AS ({split} FROM (SELECT url, {rest} FROM (SELECT DISTINCT b AS url FROM reach))),
+known AS ({split} FROM (SELECT url, {rest} FROM (SELECT DISTINCT b AS url FROM reach))),
 bad AS (
-  SELECT url FROM (SELECT p.url, arg_max(r.verdict, length(r.host || r.path)) AS own FROM named p JOIN rules r ON {fit("p")} GROUP BY p.url) WHERE own = 'block'
-), caught AS (SELECT DISTINCT a AS url FROM reach WHERE b IN (SELECT url FROM bad)),
-page AS ({split} FROM (SELECT page_id, url, row_number() OVER () AS n, {rest} FROM pages)),
+  SELECT url FROM (SELECT p.url, arg_max(r.verdict, length(r.host || r.path)) AS own FROM known p JOIN rules r ON {fit("p")} GROUP BY p.url) WHERE own = 'block'
+), caught AS (SELECT DISTINCT a AS node FROM reach WHERE b IN (SELECT url FROM bad)),
+page AS ({split} FROM (SELECT page_id, url, {node("url")} AS node, row_number() OVER () AS n, {rest} FROM pages)),
 own AS (
   SELECT p.n, arg_max(r.verdict, length(r.host || r.path)) AS own, arg_max(r.host || r.path, length(r.host || r.path)) AS rule
   FROM page p JOIN rules r ON {fit("p")} GROUP BY p.n
 )
-SELECT page_id, host, path, rule, coalesce(own, CASE WHEN caught.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
-       own IS NULL AND caught.url IS NOT NULL AS alias_blocked
-FROM page LEFT JOIN own USING (n) LEFT JOIN caught ON page.url = caught.url"""
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN caught.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       own IS NULL AND caught.node IS NOT NULL AS alias_blocked
+FROM page LEFT JOIN own USING (n) LEFT JOIN caught USING (node)"""
