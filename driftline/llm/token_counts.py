@@ -17,8 +17,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import sentencepiece
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import small_batches
 
@@ -88,13 +88,13 @@ class Trie:
         return self.count[node]
 
 
-_TRIES: dict[str, tuple[Trie, dict[str, int]]] = {}
+_TRIES: dict[str, tuple[Trie, dict[bytes, int]]] = {}
 
 
-def _trie(path: str) -> tuple[Trie, dict[str, int]]:
+def _trie(path: str, scores: Broadcast) -> tuple[Trie, dict[bytes, int]]:
     """This worker's trie, and the counts stored at terminal nodes by pre-token."""
     if path not in _TRIES:
-        _TRIES[path] = Trie(pieces(path)), {}
+        _TRIES[path] = Trie(scores.value), {}
     return _TRIES[path]
 
 
@@ -117,14 +117,17 @@ def query(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, n_words and n_tokens for each row of docs.
 
     Null, empty and blank texts have neither; a null doc_id is carried through; repeated rows give repeated rows; no rows
-    give no rows; other columns are not looked at. Texts are counted whole. path must exist on every executor.
+    give no rows; other columns are not looked at. Texts are counted whole. Only the driver reads path; executors get its pieces,
+    of which a vocabulary file holds no more than fit in memory.
     """
     small_batches(docs.sparkSession)
+    scores = docs.sparkSession.sparkContext.broadcast(pieces(path))
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, terminal = _trie(path)
+        trie, terminal = _trie(path, scores)
         for b in batches:
             counts = [count(t, trie, terminal) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, n_words bigint, n_tokens bigint")
