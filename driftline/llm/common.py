@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -44,12 +45,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share. One of our own only where the session names none and they are one process, as in
+    tests; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="driftline-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -105,7 +109,8 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     edges: columns a and b of one orderable type, any direction, repeats and loops allowed. Returns node and root,
     root being the least node that can be reached, for every node that has an edge to another; no edges give no rows.
     Each round only takes minima (combined before the shuffle) and joins; no neighbour list is ever gathered, and the
-    number of edges never grows. Rows with a null end are ignored.
+    number of edges never grows. The minima are written before they are joined, so that both sides of a join come straight from a
+    shuffle and a node with any number of edges can be split. Rows with a null end are ignored.
     """
     now = scratch.keep(
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -113,13 +118,13 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     digest = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # large star: larger neighbours go to the least one
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        ).distinct()
+        large = scratch.keep(
+            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        )
         # small star: smaller neighbours and the node itself go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(low, "u")
             .select(F.col("v").alias("x"), "m")
@@ -130,7 +135,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         )
         following = scratch.keep(small)
         seen = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        scratch.drop(now)
+        scratch.drop(now, least, large, low)
         now = following
         if seen == digest or not seen[0]:
             break

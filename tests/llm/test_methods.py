@@ -22,7 +22,15 @@ RSA = der(0x30, der(0x02, b"\0") + b"".join(der(0x02, random.Random(k).randbytes
 EC = der(0x30, der(0x02, b"\x01") + der(0x04, bytes(range(32))) + der(0xA0, der(0x06, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")))
 url64 = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
 JWT = ".".join([url64(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()), url64(json.dumps({"sub": "1"}).encode()), url64(bytes(range(32)))])
-SSH = base64.b64encode(b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))).decode()
+field = lambda x: len(x).to_bytes(4, "big") + x
+PUBLIC = b"".join(map(field, (b"ssh-ed25519", bytes(range(32)))))
+FRAME = b"openssh-key-v1\0" + b"".join(map(field, (b"none", b"none", b""))) + (1).to_bytes(4, "big") + field(PUBLIC) + field(bytes(range(136)))
+SSH = base64.b64encode(FRAME).decode()
+WRAPPED = der(0x30, der(0x02, b"\0") + der(0x30, der(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(0x05, b"")) + der(0x04, RSA))
+BARE = der(0x30, der(0x02, b"\0") + der(0x30, der(0x06, b"\x2b\x65\x70")) + der(0x04, der(0x04, bytes(range(32)))))
+LOCKED = der(0x30, der(0x30, der(0x06, b"\x2a\x86\x48") + der(0x30, der(0x04, bytes(8)) + der(0x02, b"\x08\x00"))) + der(0x04, bytes(range(64))))
+OPEN_KEY = der(0x30, der(0x30, der(0x06, b"\x2a\x86\x48") + der(0x05, b"")) + der(0x03, b"\0" + der(0x30, der(0x02, bytes([1] * 64)) + der(0x02, b"\1\0\1"))))
+b64 = lambda b: base64.b64encode(b).decode()
 
 
 @pytest.mark.parametrize(
@@ -31,7 +39,11 @@ SSH = base64.b64encode(b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed
         (f"x {base64.b64encode(RSA).decode()} y", "der"),
         (f"x {EC.hex().upper()} y", "der"),
         (f"Bearer {JWT}", "jwt"),
-        (f"ssh-ed25519 {SSH} me", "ssh"),
+        (f"key {SSH} me", "ssh"),
+        (f"x {b64(WRAPPED)} y", "der"),
+        (f"x {b64(BARE)} y", "der"),
+        (f"x {LOCKED.hex()} y", "der"),
+        ("-----BEGIN OPENSSH PRIVATE KEY-----\n" + base64.encodebytes(FRAME).decode() + "-----END OPENSSH PRIVATE KEY-----", "pem"),
         ("é -----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(RSA).decode() + "-----END RSA PRIVATE KEY-----", "pem"),
     ],
 )
@@ -49,6 +61,13 @@ def test_structure_confirms(text, kind):
         JWT.replace(JWT.split(".")[0], url64(b'{"typ": "JWT", "pad": "xxxxxxxxx"}')),
         "word" * 20,
         "-----BEGIN RSA PRIVATE KEY-----\nnot a key\n-----END RSA PRIVATE KEY-----",
+        b64(WRAPPED.replace(b"\x02\x28", b"\x02\x27")),  # an inner length that doesn't fill what is around it
+        b64(der(0x30, der(0x02, b"\0") + der(0x30, der(0x06, b"\x2b\x65\x70")) + der(0x04, b"junk that is no value at all....."))),
+        b64(OPEN_KEY),
+        f"ssh-ed25519 {b64(PUBLIC)} me",
+        "-----BEGIN CERTIFICATE-----\n" + base64.encodebytes(OPEN_KEY).decode() + "-----END CERTIFICATE-----",
+        b64(b"openssh-key-v1\0 and then prose that goes on for long enough to be looked at"),
+        b64(FRAME[:-8]),
     ],
 )
 def test_structure_denies(text):

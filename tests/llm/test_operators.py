@@ -4,6 +4,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from driftline.llm import decontaminate, language_model, licenses, mixing, quality, secrets, simhash, substrings, token_counts, urls
 
 from ..compare import engine, rows as shown
@@ -23,6 +25,39 @@ def test_quality_rules_out_what_the_base_rules_out(docs):
     assert not quality.query(docs).where("base_failed AND kept").count()
 
 
+def test_estimates_are_no_fixed_values_and_no_rule_decides_alone(spark):
+    """Estimates against the same in plain Python; the verdict is that of no single rule and agrees with the labels."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    voted = quality.vote(quality.measure(docs)).cache()
+    model = quality.learn(voted.groupBy("votes").agg(F.count("*").alias("n"))).first().model
+    rows = [(tuple(r.votes), r.base_failed, r.doc_id) for r in voted.collect()]
+    count, k = Counter(v for v, _, _ in rows), range(len(quality.RULES))
+    prior, good, bad = quality.PRIOR, [quality.GOOD] * len(k), [quality.BAD] * len(k)
+    posterior = lambda v: 1 / (1 + (1 - prior) / prior * math.prod(bad[j][v[j] + 1] / good[j][v[j] + 1] for j in k))
+    worth = quality.STRENGTH * len(rows) + quality.LEAST
+    for _ in range(quality.ROUNDS):
+        q = {v: posterior(v) for v in count}
+        share = lambda side, before: [[(sum(n * side(q[v]) for v, n in count.items() if v[j] == o) + worth * before[o + 1]) / (sum(n * side(q[v]) for v, n in count.items()) + worth) for o in (-1, 0, 1)] for j in k]
+        good, bad = share(lambda x: x, quality.GOOD), share(lambda x: 1 - x, quality.BAD)
+        prior = (sum(n * q[v] for v, n in count.items()) + worth * quality.PRIOR) / (len(rows) + worth)
+    assert model.prior == pytest.approx(prior, rel=1e-9)
+    for j in k:
+        assert model.good[j] == pytest.approx(good[j], rel=1e-9) and model.bad[j] == pytest.approx(bad[j], rel=1e-9)
+    # good documents get fewer bad votes from every rule, and no estimate is what was believed beforehand
+    assert all(model.good[j][0] < model.bad[j][0] for j in k)
+    assert not any(x == y for row, before in [*((r, quality.GOOD) for r in model.good), *((r, quality.BAD) for r in model.bad)] for x, y in zip(row, before, strict=True))
+    kept = {d: posterior(v) >= 0.5 and not failed for v, failed, d in rows}
+    for j in k:
+        for alone in (lambda v: v[j] != -1, lambda v: v[j] == 1):
+            assert any(kept[d] != (alone(v) and not failed) for v, failed, d in rows)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    base = {d: not failed for _, failed, d in rows}
+    assert sum(kept[d] for d, q in labels.items() if q == 0) <= 1
+    assert sum(base[d] and not kept[d] for d, q in labels.items() if q == 1) <= 1
+
+
 def test_quality_of_repeats(spark):
     line = "a b c d e f g h"
     texts = ["x " * 40, f"{line}\n{line}\nz", f"{line} i {line}", f"{line} {line} {line}", "\n\n \n", "q\n" * 5, " ".join(map(str, range(50))) + " " + " ".join(map(str, range(9)))]
@@ -51,7 +86,9 @@ def test_secrets_behind_and_across_other_characters(spark):
     value = lambda tag, b: bytes([tag, 0x82, len(b) >> 8, len(b) & 255]) + b
     key = base64.b64encode(value(0x30, b"\x02\x01\x00" + value(0x02, bytes(range(1, 251)) * 2) + value(0x04, b"k" * 300))).decode()
     lines = [key[i : i + 64] for i in range(0, len(key), 64)]
-    ssh = base64.b64encode(b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + b"z" * 32).decode()
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    public = field(b"ssh-ed25519") + field(b"z" * 32)
+    ssh = base64.b64encode(b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(public) + field(b"q" * 144)).decode()
     armour = "-----BEGIN PRIVATE KEY-----\\n" + "\\n".join(lines) + "\\n-----END PRIVATE KEY-----"
     cases = [
         (f"https://app.example.com/verify/{token} x", "jwt", token),
@@ -82,14 +119,47 @@ def test_removed_spans_cover_what_is_counted(docs):
     assert all(len(r.kept.split(" ") if r.kept else []) == r.n_words - sum(s.end - s.start for s in r.spans) for r in got)
 
 
-def test_a_shard_of_many_phrases_takes_several_automata(monkeypatch, spark):
+def test_many_phrases_take_several_automata(monkeypatch):
+    import numpy as np
+
     monkeypatch.setattr(substrings, "PATTERNS", 5)
+    words = np.concatenate([np.arange(60), [99], np.arange(20, 50)])
+    phrases = np.arange(10, 30)[:, None] + np.arange(13)
+    ends, held = substrings.occurrences(words, phrases, np.arange(20) + 100)
+    got = Counter(zip(ends.tolist(), held.tolist(), strict=True))
+    want = Counter((int(e), int(p[0]) + 90) for p in phrases for e in range(12, len(words)) if (words[e - 12 : e + 1] == p).all())
+    assert got == want and len(got) == 30
+
+
+def test_it_is_the_automata_that_locate(monkeypatch, spark):
+    """Phrases come from one place of a chunk; without the automata nothing but whole copies would go."""
     import numpy as np
 
-    words = [str(i).encode() for i in range(60)]
-    shard = [(9, words, np.arange(10, 30), np.full(20, 2)), (1, words, np.arange(48), np.full(48, 20))]
-    masks = dict(substrings.cover(shard))
-    assert masks[0].nonzero()[0].tolist() == list(range(10, 42)) and not masks[1].any()
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [f"{i} a{i} {passage} b{i} {passage if i % 2 else ''} c" for i in range(6)]
+    ids, parts = list(range(6)), [t.encode() for t in texts]
+    chunk = substrings.Chunk(ids, [True] * 6, parts)
+    asked = substrings._ask(7, substrings.ANCHORS, *chunk.distinct_anchors(), None, 4)
+    keys, least, _ = chunk.distinct_texts()
+    asked += substrings._ask(7, substrings.TEXTS, keys, np.zeros(6, bool), least, 4)
+
+    def told(rows):
+        table = substrings.pa.Table.from_batches([substrings.batch_of(substrings._ASK, rows)])
+        out = []
+        for shard, kind in sorted({(r[0], r[2]) for r in rows}):
+            group = table.filter((substrings.pa.compute.equal(table["shard"], shard))).filter([r["kind"] == kind for r in table.filter(substrings.pa.compute.equal(table["shard"], shard)).to_pylist()])
+            out.append(substrings._answers((substrings.pa.scalar(shard), substrings.pa.scalar(kind)), group))
+        return substrings.pa.concat_tables(out)
+
+    first = told(asked)
+    keys, least, many, place = chunk.candidates(*substrings._first(chunk, first))
+    answers = substrings.pa.concat_tables([first, told(substrings._ask(7, substrings.WINDOWS, keys, many, least, 4))])
+    want = [n for _, _, n, _ in brute.substrings(list(zip(ids, texts, strict=True)))]
+    mask = substrings.covered(chunk, answers)
+    ends = np.cumsum(chunk.counts)
+    assert [int(m.sum()) for m in np.split(mask, ends[:-1])] == want and sum(want) > 5 * 40
+    monkeypatch.setattr(substrings, "occurrences", lambda *a: (np.zeros(0, int), np.zeros(0, int)))
+    assert not substrings.covered(chunk, answers).any()
 
 
 def test_simhash(docs, rows):
@@ -184,34 +254,68 @@ def test_licenses(docs, rows):
     assert got == Counter((d, *brute.licenses(t)) for d, t, *_ in rows)
 
 
-@pytest.mark.parametrize("containment", [0.5, 0.7, 0.9, 1.0])
+@pytest.mark.parametrize("containment", [0.6, 0.9, 1.0])
 def test_license_join_finds_every_pair(containment):
     import random
 
     rng = random.Random(5)
     pool = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
-    for _ in range(60):
+    for _ in range(40):
         text = " ".join(rng.choice(pool) if rng.random() < 0.7 else "other" for _ in range(rng.randint(1, 200)))
-        if rng.random() < 0.5:
+        if rng.random() < 0.7:
             text += " " + rng.choice(licenses.TEMPLATES)[1]
         words = licenses.license_words(text)
         index = licenses.Index(licenses.TEMPLATES, {w.encode(): rng.randint(0, 9) for w in pool}, containment)
-        got = Counter((m[0], round(m[3], 9)) for m in index.matches(words))
-        want = Counter()
-        for b in range(0, max(1, len(words)), licenses.STRIDE):
-            block = set(words[b : b + licenses.BLOCK])
-            for label, t in licenses.TEMPLATES:
-                own = set(licenses.license_words(t))
-                if len(own & block) >= containment * len(own) - 1e-9:
-                    want[label, round(len(own & block) / len(own), 9)] += 1
+        places, ranks = index.held(words)
+        got = {(t, places[s] if s < e else None, places[e - 1]) for t, s, e in index.joined(places, ranks)}
+        want = set()
+        for t, (_, template) in enumerate(licenses.TEMPLATES):
+            own = set(licenses.license_words(template))
+            stride = licenses.stride_of(len(template.split()))
+            for b in range(0, max(1, len(words)), stride):
+                block = words[b : b + 2 * stride]
+                if len(own & set(block)) >= containment * len(own) - 1e-9:
+                    there = [i for i, w in enumerate(block, b) if w in index.rank]
+                    want.add((t, there[0], there[-1]))
         assert got == want
 
 
-def test_license_labels(spark):
+def test_notices_of_any_length_are_found_wherever_they_begin(spark):
+    import random
+
+    rng, texts = random.Random(9), []
+    for label, t in licenses.TEMPLATES:
+        for lead in (0, 1, 13, 40, 77, 300):
+            words = t.split()
+            if len(words) > 20:  # a word in thirty is another one
+                for k in range(rng.randrange(30), len(words), 30):
+                    words[k] = "else"
+            texts.append((label, "x " * lead + " ".join(words[:7]) + "\n * " + " ".join(words[7:]) + " y" * rng.randrange(50)))
+    long = [f"w{k}" for k in range(90)]
+    texts.append(("own", "a b " * 30 + " ".join(long)))
+    frame = spark.createDataFrame([(str(i), t, "c") for i, (_, t) in enumerate(texts)], "doc_id string, text string, label string")
+    got = {}
+    for r in licenses.find(frame, [*licenses.TEMPLATES, ("own", " ".join(long))]).collect():
+        got.setdefault(r.doc_id, set()).add(r.label)
+    assert all(label in got.get(str(i), ()) for i, (label, _) in enumerate(texts))
+
+
+def test_words_of_a_notice_alone_are_none(spark):
+    """The words must stand near each other and in order."""
+    rows = ["the mit professor said students were licensed to drive under a provisional license", "license mit the under licensed", "licensed words under words the words mit words words license", "licensed under the new mit license"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert {r.doc_id: r.labels for r in licenses.query(frame).collect()} == {0: "", 1: "", 2: "", 3: "mit"}
+    assert licenses.in_order([1, 2, 3, 2], [2, 3, 1, 2]) == 3 and licenses.in_order([], [1]) == 0
+
+
+def test_license_labels(docs, rows, spark):
     texts = ["Released under the\nMIT License.", "Licensed under the Apache License, Version 2.0.", "nothing", "licensed under the GNU General Public License, version 3"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: (r.labels, r.score) for r in licenses.query(frame).collect()}
     assert got == {0: ("mit", 1.0), 1: ("apache", 1.0), 2: ("", 0.0), 3: ("gpl", 1.0)}
+    awkward = licenses.query(docs).select("labels", "score").collect()
+    assert len(awkward) == len(rows) and Counter(r.labels for r in awkward) == {"": len(rows) - 1, "cc-by,gpl,mit,reserved": 1}
+    assert all(0 <= r.score <= 1 for r in awkward) and licenses.find(docs).count() >= 5
 
 
 def test_base_scores(docs, rows):
@@ -436,6 +540,37 @@ def test_every_link_of_a_page_is_an_edge(spark):
     assert {r.page_id for r in urls.judge(frame).where("verdict = 'block'").collect()} == {0}
 
 
+def test_links_agree_with_sql(spark):
+    """Blocks reach aliases over links of every form, in both engines."""
+    import duckdb
+
+    pages = [
+        ("https://a.io/d/p", '<link rel="canonical" href="https://a.io/c"><META content="0; URL=https://x.org/es/1" http-equiv=Refresh>', True),
+        ("https://a.io/c", "", True),
+        ("HTTPS://A.io/c#part", None, True),
+        ("https://b.org/es/q/p?q", "<link href=page2 rel=canonical><link rel='x canonical' href='../x/./y?z&amp;w'>", True),
+        ("https://b.org/es/q/page2", "", True),
+        ("http://c.io/x/y?z&w", "<link rel=canonical href='//B.org/es/x/y?z&amp;w'>", True),
+        ("https://c.io/one", "<link rel=canonical href=one><meta http-equiv=refresh content='5;url=\"//d.net/de/8\"'>", False),
+        ("https://e.org/es/f/", """<meta http-equiv="refresh" content="0; url='/g>h?u=http://y.io'"><link rel=canonical href="?k">""", True),
+        ("https://e.org/g>h?u=http://y.io", "", True),
+        ("https://f.org/es/b/c/", '<link rel=canonical href="..">', True),
+        ("https://f.org/es/b/", '<link rel=stylesheet href="https://z.io/" title="rel=canonical">', True),
+        ("https://z.io/", '<link rel=canonical href="mailto:x@y.z"><link rel=canonical href="#top">', False),
+        ("nothing", '<link rel=canonical href="/home">', False),
+        ("https://example.com/en/7", '<link rel=canonical href="https://x.org/es/1">', False),
+        ("https://g.io/" + "long/" * 3000, "x" * 300_000 + '<link rel=canonical href="https://x.org/es/1">', True),
+        (None, '<link rel=canonical href="https://x.org/es/1">', False),
+        ("https://h.io/", None, False),
+    ]
+    frame = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = sorted(map(tuple, urls.judge(frame).collect()))
+    db = duckdb.connect()
+    db.register("pages", frame.toPandas())
+    assert got == sorted(db.execute(urls.oracle()).fetchall())
+    assert [g[4] == "block" for g in got] == [blocked for _, _, blocked in pages]
+
+
 def test_components_of_chains_and_hubs(spark):
     from driftline.llm.common import Scratch, components
 
