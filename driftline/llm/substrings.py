@@ -32,10 +32,10 @@ from .common import Scratch, small_batches
 WINDOW, ANCHOR = 13, 6
 PATTERNS = 30_000
 #: Bytes of a chunk (but a text is never cut), words of a shard, and how many shards there are at least.
-CHUNK_BYTES, SHARD_WORDS, SHARDS = 8 << 20, 1 << 22, 64
-#: Words become letters from here on, above all surrogates; FOREIGN stands for a word that no phrase of an automaton has, and for a
-#: text's end.
-FIRST, FOREIGN = 0x10000, 1
+CHUNK_BYTES, SHARD_WORDS, SHARDS = 4 << 20, 1 << 22, 64
+#: A word becomes LETTERS letters of BASE, each place with letters of its own, so that matches begin where words do. An automaton
+#: looks through a node's letters one by one, so there must not be many. FOREIGN stands for words that no phrase of an automaton has.
+LETTERS, BASE, FIRST, FOREIGN = 3, 64, 0x100, 1
 _U = np.uint64
 _NONE = np.iinfo(np.int64).max
 
@@ -190,27 +190,41 @@ def _first(chunk: Chunk, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return recurring, copy
 
 
-def occurrences(letters: np.ndarray, phrases: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def coded(words: np.ndarray) -> np.ndarray:
+    """Words, as numbers below BASE ** LETTERS, as rows of letters."""
+    return np.stack([words // BASE**k % BASE + (FIRST + k * BASE) for k in range(LETTERS)], -1).astype("<u4")
+
+
+def text_of(letters: np.ndarray) -> str:
+    return letters.tobytes().decode("utf-32-le")
+
+
+def occurrences(words: np.ndarray, phrases: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where phrases (rows of WINDOW words as numbers) stand in a row of words: last places, and the phrases' holders.
 
-    The phrases are compiled PATTERNS at a time, and all words are streamed through each automaton.
+    Up to PATTERNS phrases are compiled at a time, fewer if they have too many different words for the letters, and all words are
+    streamed through each automaton; of several foreign words in a row one.
     """
-    ends, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(phrases), PATTERNS):
-        own = phrases[at : at + PATTERNS]
-        used, code = np.unique(own, return_inverse=True)
-        coded = (code.reshape(own.shape) + FIRST).astype("<u4")
+    ends, held, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < len(phrases):
+        size = min(PATTERNS, BASE**LETTERS // WINDOW)
+        used, code = np.unique(phrases[at : at + size], return_inverse=True)
         automaton = ahocorasick.Automaton()
-        for row, holder in zip(coded, holders[at : at + PATTERNS].tolist(), strict=True):
-            automaton.add_word(row.tobytes().decode("utf-32-le"), holder)
+        written, width = text_of(coded(code.reshape(-1, WINDOW))), WINDOW * LETTERS
+        for i, holder in enumerate(holders[at : at + size].tolist()):
+            automaton.add_word(written[i * width : (i + 1) * width], holder)
         automaton.make_automaton()
-        letter = np.full(max(int(letters.max(initial=0)), int(used.max())) + 2, FOREIGN, "<u4")
-        letter[used] = np.arange(len(used)) + FIRST
-        found = list(automaton.iter(letter[letters].tobytes().decode("utf-32-le")))
-        if found:
-            pairs = np.asarray(found, np.int64)
-            ends.append(pairs[:, 0])
-            held.append(pairs[:, 1])
+        number = np.full(max(int(words.max(initial=0)), int(used.max())) + 1, -1)
+        number[used] = np.arange(len(used))
+        streamed = number[words]
+        foreign = streamed < 0
+        place = np.flatnonzero(~foreign | np.concatenate(([True], ~foreign[:-1])))
+        letters = coded(streamed[place])
+        letters[foreign[place]] = FOREIGN
+        found = np.asarray(list(automaton.iter(text_of(letters))), np.int64).reshape(-1, 2)
+        ends.append(place[found[:, 0] // LETTERS])
+        held.append(found[:, 1])
+        at += size
     return np.concatenate(ends), np.concatenate(held)
 
 
@@ -219,8 +233,12 @@ def covered(chunk: Chunk, answers: pa.Table) -> np.ndarray:
     recurring, copy = _first(chunk, answers)
     recurs, held = _heard(answers, WINDOWS)
     marks = np.zeros(len(chunk.hashes) + 1, np.int64)
-    if recurs.any():
-        place = chunk.candidates(recurring, copy)[3][recurs]
+    _, least, many, place = chunk.candidates(recurring, copy)
+    # a phrase that only its first holder has in this chunk covers nothing here
+    use = recurs.copy()
+    use[recurs] = many[recurs] | (least[recurs] > held)
+    place, held = place[use], held[use[recurs]]
+    if len(place):
         low = max(1, len(chunk.hashes) - 1).bit_length()
         names, word = grouped(chunk.hashes >> _U(low), 64 - low)  # numbers of words; should the lower bits matter, all of them count
         if len(names) != len(np.unique(chunk.hashes)):
