@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -76,7 +77,10 @@ def ranked(rows: DataFrame, group: str) -> DataFrame:
     together."""
     context = rows.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="driftline-"))
+        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="driftline-"))
     # the partition must not change between the two uses, so it is written with the row
     rows = rows.select(F.col(group).alias("of"), "v").repartitionByRange("of", "v")
     placed = rows.withColumn("part", F.spark_partition_id()).checkpoint()
@@ -119,24 +123,64 @@ def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def bootstrap(rows: DataFrame, key: str, value: str, draws: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Interval of a mean by resampling, for tables of any size: each row counts in each draw as often as a Poisson variable
-    of mean 1 says, which a hash of draw and key decides. Rows meet a fixed number of draws, never each other."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(key).cast("string")).cast("binary"))
-    unit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
+#: Draws that one digest decides: its eight-digit quarters.
+QUARTERS = 4
+
+
+def drawn(rows: DataFrame, key: str, sums: dict[str, Column], draws: int, seed: int) -> DataFrame:
+    """draw, w and the weighted sums of columns for each of so many draws, in which each row counts as often as a Poisson variable of
+    mean 1 says. A hash of draw and key decides, four draws a digest. Rows meet a fixed number of draws, never each other."""
+    digests = -(-draws // QUARTERS)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("digest").cast("string"), F.col(key).cast("string")).cast("binary"))
     chance = [0.36787944117144233]  # of a count of 0, then 1, 2 and so on
     for k in range(1, 12):
         chance.append(chance[-1] / k)
-    weight = sum(((unit >= sum(chance[: k + 1])).cast("int") for k in range(12)), F.lit(0))
-    drawn = rows.select(key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
-    means = drawn.groupBy("draw").agg((F.sum(F.col("v") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m")).where("m IS NOT NULL")
-    place = means.agg(F.array_sort(F.collect_list("m")).alias("m"))
+    own = rows.select(F.col(key), *[c.alias(n) for n, c in sums.items()], F.explode(F.sequence(F.lit(0), F.lit(digests - 1))).alias("digest")).withColumn("hash", digest)
+    unit = [F.conv(F.substring("hash", 8 * q + 1, 8), 16, 10).cast("long") / float(1 << 32) for q in range(QUARTERS)]
+    own = own.select("*", *[u.alias(f"u{q}") for q, u in enumerate(unit)])
+    weight = [sum(((F.col(f"u{q}") >= sum(chance[: k + 1])).cast("int") for k in range(12)), F.lit(0)) for q in range(QUARTERS)]
+    own = own.select("digest", *sums, *[w.alias(f"w{q}") for q, w in enumerate(weight)])
+    made = own.groupBy("digest").agg(*[F.struct(F.lit(q).alias("q"), F.sum(f"w{q}").alias("w"), *[F.sum(F.col(n) * F.col(f"w{q}")).alias(n) for n in sums]).alias(f"s{q}") for q in range(QUARTERS)])
+    each = made.select("digest", F.explode(F.array(*[f"s{q}" for q in range(QUARTERS)])).alias("s"))
+    return each.select((F.col("digest") * QUARTERS + F.col("s.q")).alias("draw"), "s.w", *[f"s.{n}" for n in sums]).where(F.col("draw") < draws)
+
+
+def bootstrap(rows: DataFrame, key: str, value: str, draws: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Interval of a mean by resampling, for tables of any size."""
+    means = drawn(rows, key, {"v": F.col(value).cast("double")}, draws, seed).select((F.col("v") / F.nullif(F.col("w"), F.lit(0))).alias("m")).where("m IS NOT NULL")
+    place = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # a number for each draw
     low, high = F.greatest(F.lit(0), F.floor(F.size("m") * alpha / 2)), F.greatest(F.lit(0), F.floor(F.size("m") * (1 - alpha / 2)) - 1)
     whole = rows.agg(F.count(value).alias("n"), F.avg(F.col(value).cast("double")).alias("estimate"))
     bounds = place.select(F.get("m", low.cast("int")).alias("lower"), F.get("m", high.cast("int")).alias("upper"))
     return whole.join(bounds)
 
 
+def bootstrap_recovery(rows: DataFrame, key: str, stale: Column, refreshed: Column, arm: Column, draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """One row: recovery and its interval by resampling queries, 4 digits, and how many draws had nothing to recover (degenerate)."""
+    arms = {n: truth(c).cast("long") for n, c in (("s", stale), ("f", refreshed), ("a", arm))}
+    got = drawn(rows, key, arms, draws, seed).select(recovery(F.col("s").cast("double"), F.col("f").cast("double"), F.col("a").cast("double")).alias("m"))
+    place = got.agg(F.array_sort(F.collect_list("m")).alias("m"), F.count_if(F.col("m").isNull()).alias("degenerate"))  # a number for each draw
+    at = lambda share: F.get("m", F.least(F.size("m") - 1, F.floor(F.size("m") * share)).cast("int"))
+    whole = rows.agg(F.round(recovery(*[F.sum(c).cast("double") for c in arms.values()]), 4).alias("point"))
+    return whole.join(place.select("degenerate", F.round(at(0.025), 4).alias("lower"), F.round(at(0.975), 4).alias("upper")))
+
+
+def bootstrap_recovery_exact(rows: list[tuple[int, int, int]], draws: int = 10_000, seed: int = 0) -> dict:
+    """The interval that resampling a run's queries (stale, refreshed, arm: 1 or 0) with Python's generator gives; for a run's few rows."""
+    held = np.asarray(rows, np.float64).reshape(-1, 3)
+    out: dict = {"n_boot": draws, "degenerate": 0, "point": None, "lower": None, "upper": None}
+    if not len(held):
+        return out | {"degenerate": draws}
+    share = lambda m: (m[2] - m[0]) / (m[1] - m[0]) if m[1] != m[0] else None
+    found = [share(held[i].sum(0) / len(held)) for i in itertools.islice(choices(len(held), seed), draws)]
+    good = sorted(x for x in found if x is not None)
+    if not good:
+        return out | {"degenerate": draws}
+    point = share(held.sum(0) / len(held))
+    at = lambda p: round(good[min(len(good) - 1, int(p * len(good)))], 4)
+    return out | {"degenerate": draws - len(good), "point": None if point is None else round(point, 4), "lower": at(0.025), "upper": at(0.975)}
+
+
 def choices(n: int, seed: int) -> Iterator[np.ndarray]:
     """Without end, the n places that n calls of choice() of Python's generator take of n values."""
     bits, (*key, pos) = np.random.MT19937(), random.Random(seed).getstate()[1]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, recovery, truth, wilson
+from ..functions.text import AFFIRMATIVE, GROUPED, LISTED, SCALAR, SEVERAL, cue
 
 #: Arms and their columns.
 ARMS = {"stale": "baseline_ok", "refreshed": "refreshed_schema_ok", "error_feedback": "error_feedback_ok", "mediated": "mcp_ok"}
@@ -73,6 +74,38 @@ def pooled(rows: DataFrame, *by: str) -> DataFrame:
     return got.select(*by, "n", *[F.round(r, 6).alias(f"{a}_ex") for a, r in rate.items()], F.round(low, 6).alias("lower"), F.round(high, 6).alias("upper"), F.round(recovered, 6).alias("recovery"))
 
 
+def silent_detection(rows: DataFrame) -> DataFrame:
+    """One row: of scored queries that were wrong unaided, how many the mediated arm flagged as silent failures (tp), how many it called
+    valid though they stayed wrong (fn), and the share flagged."""
+    wrong = ~truth(F.col("baseline_ok"))
+    got = scored(rows).agg(
+        F.count_if(wrong & (F.col("mcp_verdict") == "silent_failure")).alias("tp"),
+        F.count_if(wrong & (F.col("mcp_verdict") == "valid") & ~truth(F.col("mcp_ok"))).alias("fn"),
+    )
+    return got.select("*", F.round(ratio(F.col("tp"), F.col("tp") + F.col("fn")), 6).alias("rate"))
+
+
+def by_bucket(rows: DataFrame, bucket: str = "bucket") -> DataFrame:
+    """For each bucket: n, each arm's accuracy (4 digits) with its bounds, and the recovery of the mediated and the error feedback arm
+    from these rounded accuracies."""
+    got = rows.groupBy(bucket).agg(F.count("*").alias("n"), *[F.sum(truth(F.col(c)).cast("long")).alias(f"{a}_k") for a, c in ARMS.items()])
+    rate = {a: F.round(ratio(F.col(f"{a}_k"), F.col("n")), 4) for a in ARMS}
+    bounds = {a: [F.round(c, 6) for c in wilson(F.col(f"{a}_k"), F.col("n"))] for a in ARMS}
+    named = [x for a in ARMS for x in (rate[a].alias(f"ex_{a}"), bounds[a][0].alias(f"{a}_lower"), bounds[a][1].alias(f"{a}_upper"))]
+    return got.select(bucket, "n", *named, *[F.round(recovery(rate["stale"], rate["refreshed"], rate[a]), 4).alias(f"rr_{a}") for a in ("mediated", "error_feedback")])
+
+
+def suspicions(question: Column, n_rows: Column, n_columns: Column, zero: Column) -> dict[str, Column]:
+    """Rules that flag an answer by its shape: one column for several attributes, nothing (or a counted zero) where something is asked for,
+    several rows for one value, one row for a list."""
+    return {
+        "arity_low": cue(question, SEVERAL) & (n_columns == 1),
+        "affirmative_empty": cue(question, AFFIRMATIVE) & ((n_rows == 0) | zero),
+        "scalar_multi_rows": cue(question, SCALAR) & ~cue(question, GROUPED) & (n_rows > 1),
+        "list_single_row": cue(question, LISTED) & (n_rows == 1),
+    }
+
+
 def category(ok: Column, error: Column, verdict: Column, ran: Column) -> Column:
     """Why a query is wrong, the first that holds."""
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from itertools import zip_longest
 
@@ -87,12 +88,34 @@ def stale_merge_filter(sql: str, events: list[dict]) -> list[Mutant]:
     return []
 
 
+def families(sql: str, columns: dict[str, list[str]], events: list[dict] | None = None, expanded: bool = False) -> list[list[Mutant]]:
+    out = [drop_where(sql), swap_aggregate(sql), wrong_column(sql, columns), stale_merge_filter(sql, events or [])]
+    return out + [shift_limit(sql), wrong_join_key(sql, columns)] if expanded else out
+
+
 def mutants(sql: str, columns: dict[str, list[str]], events: list[dict] | None = None, expanded: bool = False) -> list[Mutant]:
     """All families' mutants, one of each family in turn."""
-    families = [drop_where(sql), swap_aggregate(sql), wrong_column(sql, columns), stale_merge_filter(sql, events or [])]
-    if expanded:
-        families += [shift_limit(sql), wrong_join_key(sql, columns)]
-    return [m for turn in zip_longest(*families) for m in turn if m]
+    return [m for turn in zip_longest(*families(sql, columns, events, expanded)) for m in turn if m]
+
+
+def same_answer(a: DataFrame, b: DataFrame, ordered: bool) -> bool:
+    """Whether two results are equal: row by row if the order counts, read side by side up to the first difference; else as bags."""
+    if not ordered:
+        return same_rows(a, b)
+    if [t for _, t in a.dtypes] != [t for _, t in b.dtypes]:
+        return False
+    return all(x is not None and y is not None and tuple(x) == tuple(y) for x, y in zip_longest(a.toLocalIterator(), b.toLocalIterator()))
+
+
+def label_counts(cases: list[dict]) -> dict[str, dict[str, int]]:
+    """How many cases there are by label and by mutation."""
+    return {key: dict(sorted(Counter(c[key] for c in cases).items())) for key in ("label", "mutation")}
+
+
+def label_frame(spark: SparkSession, cases: list[dict]) -> DataFrame:
+    """Cases as a table, to be written and scored."""
+    names = ("id", "question", "sql", "label", "mutation", "source_query_id")
+    return spark.createDataFrame([tuple(c[n] for n in names) for c in cases], ", ".join(f"{n} string" for n in names))
 
 
 def label(spark: SparkSession, items: list[dict], columns: dict[str, list[str]], most_valid: int = 2, most_silent: int = 4, expanded: bool = False, run: Callable[[str], DataFrame] | None = None) -> list[dict]:
@@ -115,8 +138,10 @@ def label(spark: SparkSession, items: list[dict], columns: dict[str, list[str]],
         for name, sql in mutants(item["gold_post"], columns, item.get("events"), expanded):
             if counts["silent_failure"] >= most_silent:
                 break
+            if " ".join(sql.lower().split()) == " ".join(item["gold_post"].lower().split()):
+                continue
             try:
-                wrong = not same_rows(run(sql), gold)
+                wrong = not same_answer(run(sql), gold, "ORDER" in outline(item["gold_post"]).main.clauses)
             except Exception:
                 continue
             if wrong:

@@ -7,7 +7,8 @@ import warnings
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import AFFIRMATIVE, STOP, SYNONYMS
 from .sqltext import outline, parses
@@ -15,12 +16,14 @@ from .sqltext import outline, parses
 EXECUTION_ERROR, SILENT_FAILURE, VALID = "execution_error", "silent_failure", "valid"
 TOKEN_THRESHOLD, EMBEDDING_THRESHOLD = 0.10, 0.45
 Similarity = Callable[[str, str], float]
+#: Rows of a result that a verdict looks at and keeps; of the others only the number counts.
+SHOWN = 2
 
 
 @dataclass
 class Verdict:
     verdict: str
-    rows: list[Row] | None = None
+    rows: list[Row] | None = None  # the first few
     row_count: int | None = None
     error: str | None = None
     paraphrase: str | None = None
@@ -31,11 +34,12 @@ class Verdict:
         return {k: v for k, v in asdict(self).items() if k != "rows"}
 
 
-def execute(spark: SparkSession, sql: str, most: int | None = None) -> tuple[bool, list[Row] | str]:
-    """Runs a query. Errors of analysis and of execution come back as text. most, if given, bounds the rows fetched."""
+def execute(spark: SparkSession, sql: str) -> tuple[bool, DataFrame | str]:
+    """Runs a query whole, without fetching its rows. Errors of analysis and of execution come back as text."""
     try:
         frame = spark.sql(sql)
-        return True, (frame.collect() if most is None else frame.take(most))
+        frame.write.format("noop").mode("overwrite").save()
+        return True, frame
     except Exception as e:
         return False, str(e)
 
@@ -74,6 +78,17 @@ def affirmative(question: str) -> bool:
     return re.search(AFFIRMATIVE, question, re.IGNORECASE) is not None
 
 
+def _count(frame: DataFrame) -> int:
+    """How many rows there are, each made whole, so that none can hide an error."""
+    n = F.count("*").alias("n")
+    seen = F.max(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in _names(frame)])).alias("seen")
+    return frame.toDF(*_names(frame)).agg(n, seen).first()["n"]
+
+
+def _names(frame: DataFrame) -> list[str]:
+    return [f"c{i}" for i in range(len(frame.columns))]
+
+
 def zero_count(rows: list[Row], sql: str) -> bool:
     """Whether the result is a single zero that an aggregate made."""
     return len(rows) == 1 and len(rows[0]) == 1 and rows[0][0] in (0, "0") and any(c in outline(sql).calls for c in ("count", "sum", "avg"))
@@ -81,12 +96,16 @@ def zero_count(rows: list[Row], sql: str) -> bool:
 
 def validate(spark: SparkSession, sql: str, question: str, threshold: float = TOKEN_THRESHOLD, similarity: Similarity | None = None) -> Verdict:
     """An error first; then too little in common with the question; then nothing where something was asked for."""
-    ok, got = execute(spark, sql)
-    if not ok:
-        return Verdict(EXECUTION_ERROR, error=got)
+    try:
+        frame = spark.sql(sql)
+        first = frame.take(SHOWN)
+        n = len(first) if len(first) < SHOWN else _count(frame)
+    except Exception as e:
+        return Verdict(EXECUTION_ERROR, error=str(e))
     said = paraphrase(sql)
     near = (similarity or overlap)(said, question)
-    out = Verdict(VALID, got, len(got), None, said, near)
+    got = first
+    out = Verdict(VALID, first, n, None, said, near)
     if near < threshold:
         out.verdict, out.reason = SILENT_FAILURE, "low_semantic_similarity" if similarity else "low_token_overlap"
     elif affirmative(question) and (not got or zero_count(got, sql)):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats, text
 from .operators import evaluate, evolve, joins
-from .plans import relink, schema
+from .plans import mutate, relink, schema, validate, workload
 from .sources import catalog, results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,10 +55,10 @@ def both(name: str, sql: str, spark_sql: str | None = None) -> None:
 # The relational surface.
 both("rel_project_concat", "SELECT c_custkey, c_name || ' - ' || c_mktsegment AS label FROM {customer}")
 both("rel_filter_eq", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderpriority = '1-URGENT'")
-both("rel_filter_range", "SELECT p_partkey, p_size FROM {part} WHERE p_size > 10 AND p_size <= 20 AND p_retailprice >= 1000")
+both("rel_filter_range", "SELECT p_partkey, p_size FROM {part} WHERE p_size > 10 AND p_size <= 20 AND p_retailprice < 910 AND p_partkey >= 5")
 both("rel_between", "SELECT p_partkey, p_size FROM {part} WHERE p_size BETWEEN 5 AND 15")
 both("rel_like_ci", "SELECT p_partkey, p_type FROM {part} WHERE p_type ILIKE '%steel' OR p_name ILIKE 'a%' OR p_brand ILIKE '%#2%'")
-both("rel_not_null", "SELECT event_id, event_type FROM {events} WHERE value IS NOT NULL")
+both("rel_not_null", "SELECT event_id, event_type, nullif(event_type, 'click') AS kind FROM {events} WHERE nullif(event_type, 'click') IS NOT NULL")
 both("rel_text_date", "SELECT o_orderkey, substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10) AS day FROM {orders} WHERE substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10) >= '1995-01-01' AND substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10) < '1996-01-01'", "SELECT o_orderkey, substr(CAST(o_orderdate AS STRING), 1, 10) AS day FROM {orders} WHERE substr(CAST(o_orderdate AS STRING), 1, 10) >= '1995-01-01' AND substr(CAST(o_orderdate AS STRING), 1, 10) < '1996-01-01'")
 both("rel_join2", "SELECT c_mktsegment, COUNT(*) AS n, ROUND(AVG(o_totalprice), 4) AS mean_price FROM {customer} JOIN {orders} ON c_custkey = o_custkey GROUP BY c_mktsegment")
 both("rel_join3", "SELECT n_name, COUNT(*) AS n, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {nation} JOIN {customer} ON n_nationkey = c_nationkey JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY n_name")
@@ -71,7 +71,7 @@ both("rel_order_by_alias", "SELECT o_orderpriority, COUNT(*) AS n FROM {orders}
 both("rel_topk", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 both("rel_having", "SELECT o_custkey, COUNT(*) AS n FROM {orders} GROUP BY o_custkey HAVING COUNT(*) > 15")
 both("rel_scalar_subquery", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT AVG(o_totalprice) * 1.8 FROM {orders})")
-both("rel_scalar_subquery_substr", "SELECT c_name FROM {customer} WHERE c_name = (SELECT MIN(SUBSTR(c_name, 1, 1)) FROM {customer})")
+both("rel_scalar_subquery_substr", "SELECT c_custkey, c_mktsegment FROM {customer} WHERE SUBSTR(c_mktsegment, 1, 1) = (SELECT MIN(SUBSTR(c_mktsegment, 1, 1)) FROM {customer})")
 both("rel_component_recovery", "SELECT c_custkey, SUBSTR(v, 1, INSTR(v, ' - ') - 1) AS first_part FROM (SELECT c_custkey, c_name || ' - ' || c_mktsegment AS v FROM {customer}) x")
 both("rel_cast_coalesce", "SELECT l_returnflag, SUM(CAST(COALESCE(l_linenumber, 0) AS BIGINT)) AS lines FROM {lineitem} GROUP BY l_returnflag", None)
 ORACLE["rel_cast_coalesce"] = "SELECT l_returnflag, SUM(COALESCE(l_linenumber, 0))::BIGINT AS lines FROM lineitem GROUP BY l_returnflag"
@@ -187,6 +187,9 @@ def stratified_first_k(spark: SparkSession, t: Tables) -> DataFrame:
 OLD = {"singer": [("Singer_ID", "INTEGER"), ("Name", "TEXT"), ("Age", "INTEGER")], "concert": [("Concert_ID", "INTEGER"), ("Year", "INTEGER")]}
 
 
+VENUE = [("Venue_ID", "INTEGER"), ("City", "TEXT")]
+
+
 def _values(tables: dict[str, list[tuple[str, str]]]) -> str:
     rows = [f"('{t}', '{c}', '{k}', {i})" for t, cs in tables.items() for i, (c, k) in enumerate(cs)]
     return f"(VALUES {', '.join(rows)}) AS c(table_name, column_name, data_type, ordinal)"
@@ -224,15 +227,15 @@ def schema_synthetic(spark: SparkSession, t: Tables) -> DataFrame:
     return catalog.synthetic(spark, 100)
 
 
-def _change(name: str, new: dict[str, list[tuple[str, str]]], sql: str, strict_merge: bool = False) -> None:
-    """A classified difference between OLD and new, with SQL that finds it from the two catalogs."""
+def _change(name: str, new: dict[str, list[tuple[str, str]]], sql: str, strict_merge: bool = False, old: dict[str, list[tuple[str, str]]] = OLD) -> None:
+    """A classified difference between two catalogs, with SQL that finds it from them."""
 
     def run(spark: SparkSession, root: str) -> DataFrame:
-        events = schema.difference(catalog.from_columns(spark, OLD), catalog.from_columns(spark, new), strict_merge)
+        events = schema.difference(catalog.from_columns(spark, old), catalog.from_columns(spark, new), strict_merge)
         return schema.events_frame(spark, events).select("op", F.coalesce("from", "source", F.array_join("sources", ","), "column", "table").alias("before"), F.coalesce("to", "target", F.array_join("targets", ","), "column", "table").alias("after"))
 
     QUERIES[name] = run
-    ORACLE[name] = f"WITH pre AS (SELECT * FROM {_values(OLD)}), post AS (SELECT * FROM {_values(new)}), gone AS (SELECT * FROM pre WHERE table_name NOT IN (SELECT table_name FROM post)), fresh AS (SELECT * FROM post WHERE table_name NOT IN (SELECT table_name FROM pre)), lost AS (SELECT * FROM pre WHERE table_name IN (SELECT table_name FROM post) AND (table_name, lower(column_name)) NOT IN (SELECT table_name, lower(column_name) FROM post)), got AS (SELECT * FROM post WHERE table_name IN (SELECT table_name FROM pre) AND (table_name, lower(column_name)) NOT IN (SELECT table_name, lower(column_name) FROM pre)) " + sql
+    ORACLE[name] = f"WITH pre AS (SELECT * FROM {_values(old)}), post AS (SELECT * FROM {_values(new)}), gone AS (SELECT * FROM pre WHERE table_name NOT IN (SELECT table_name FROM post)), fresh AS (SELECT * FROM post WHERE table_name NOT IN (SELECT table_name FROM pre)), lost AS (SELECT * FROM pre WHERE table_name IN (SELECT table_name FROM post) AND (table_name, lower(column_name)) NOT IN (SELECT table_name, lower(column_name) FROM post)), got AS (SELECT * FROM post WHERE table_name IN (SELECT table_name FROM pre) AND (table_name, lower(column_name)) NOT IN (SELECT table_name, lower(column_name) FROM pre)) " + sql
 
 
 _SHAPE = "(SELECT table_name, list_sort(list(lower(column_name) || ' ' || lower(data_type))) AS shape, list_sort(list(lower(data_type))) AS types, list(lower(column_name)) AS names FROM {0} GROUP BY table_name)"
@@ -253,8 +256,9 @@ _change(
 )
 _change(
     "schema_classify_merge",
-    {"singer": OLD["singer"], "played": [("Concert_ID", "INTEGER"), ("Year", "INTEGER"), ("Place", "TEXT")]},
-    "SELECT 'TABLE_REMOVE' AS op, table_name AS before, table_name AS after FROM gone GROUP BY table_name UNION ALL SELECT 'TABLE_ADD', table_name, table_name FROM fresh GROUP BY table_name",
+    {"venue": VENUE, "billing": [("Singer_ID", "INTEGER"), ("Name", "TEXT"), ("Age", "INTEGER"), ("Fee", "REAL")]},
+    f"SELECT 'TABLE_MERGE' AS op, string_agg(a.table_name, ',' ORDER BY a.table_name) AS before, b.table_name AS after FROM {_SHAPE.format('gone')} a JOIN {_SHAPE.format('fresh')} b ON list_has_all(b.names, a.names) GROUP BY b.table_name HAVING count(*) >= 2",
+    old={"singer": OLD["singer"], "fees": [("Singer_ID", "INTEGER"), ("Fee", "REAL")], "venue": VENUE},
 )
 _change(
     "schema_classify_column_rename",
@@ -411,18 +415,33 @@ def json_props(spark: SparkSession, t: Tables) -> DataFrame:
 
 
 _CDF = [sum(0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800, 39916800)[: k + 1]) for k in range(12)]
+_UNIT = "('0x' || substr(md5('0:' || d // 4 || ':' || {0}), 8 * (d % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_WEIGHT = " + ".join(f"(u >= {c!r})::INTEGER" for c in _CDF)
 
 
-@query(f"WITH w AS (SELECT d, v, {' + '.join(f'(u >= {c!r})::INTEGER' for c in _CDF)} AS w FROM (SELECT d, o_totalprice AS v, ('0x' || substr(md5('0:' || d || ':' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM orders, generate_series(0, 19) AS g(d))), m AS (SELECT list_sort(list(m)) AS m FROM (SELECT sum(v * w) / sum(w) AS m FROM w GROUP BY d)) SELECT (SELECT COUNT(*) FROM orders) AS n, (SELECT ROUND(AVG(o_totalprice), 4) FROM orders) AS estimate, ROUND(m[1], 4) AS lower, ROUND(m[19], 4) AS upper FROM m")
+@query(f"WITH w AS (SELECT d, v, {_WEIGHT} AS w FROM (SELECT d, o_totalprice AS v, {_UNIT.format('o_orderkey')} AS u FROM orders, generate_series(0, 999) AS g(d))), m AS (SELECT list_sort(list(m)) AS m FROM (SELECT sum(v * w) / sum(w) AS m FROM w GROUP BY d)) SELECT (SELECT COUNT(*) FROM orders) AS n, (SELECT ROUND(AVG(o_totalprice), 4) FROM orders) AS estimate, ROUND(m[26], 4) AS lower, ROUND(m[975], 4) AS upper FROM m")
 def stat_bootstrap_hash(spark: SparkSession, t: Tables) -> DataFrame:
-    got = stats.bootstrap(t["orders"], "o_orderkey", "o_totalprice", 20)
+    got = stats.bootstrap(t["orders"], "o_orderkey", "o_totalprice", 1000)
     return got.select("n", *[F.round(c, 4).alias(c) for c in ("estimate", "lower", "upper")])
 
 
-@query()
-def stat_bootstrap_interval(spark: SparkSession, t: Tables) -> DataFrame:
-    """The same with the reference's number of draws."""
-    return stats.bootstrap(t["orders"], "o_orderkey", "o_totalprice", 1000).select("n", *[F.round(c, 4).alias(c) for c in ("estimate", "lower", "upper")])
+@query(f"WITH q AS (SELECT doc_id, quality AS s, 1 AS f, greatest(quality, toxic) AS a FROM labels), w AS (SELECT d, s, f, a, {_WEIGHT} AS w FROM (SELECT d, s, f, a, {_UNIT.format('doc_id')} AS u FROM q, generate_series(0, 9999) AS g(d))), m AS (SELECT (sum(a * w) - sum(s * w)) / nullif(sum(f * w) - sum(s * w), 0)::DOUBLE AS m FROM w GROUP BY d), l AS (SELECT list_sort(list(m) FILTER (m IS NOT NULL)) AS m, COUNT(*) FILTER (m IS NULL) AS degenerate FROM m) SELECT (SELECT ROUND((sum(a) - sum(s)) / nullif(sum(f) - sum(s), 0)::DOUBLE, 4) FROM q) AS point, degenerate, ROUND(m[1 + floor(len(m) * 0.025)::INTEGER], 4) AS lower, ROUND(m[least(len(m), 1 + floor(len(m) * 0.975)::INTEGER)], 4) AS upper FROM l")
+def stat_bootstrap_recovery(spark: SparkSession, t: Tables) -> DataFrame:
+    return stats.bootstrap_recovery(t["labels"], "doc_id", F.col("quality"), F.lit(1), F.greatest("quality", "toxic"))
+
+
+@query(f"SELECT tp, fn, ROUND(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS rate FROM (SELECT COUNT(*) FILTER (baseline_ok = 0 AND mcp_verdict = 'silent_failure') AS tp, COUNT(*) FILTER (baseline_ok = 0 AND mcp_verdict = 'valid' AND mcp_ok = 0) AS fn FROM {_RUNS})")
+def stat_silent_detection(spark: SparkSession, t: Tables) -> DataFrame:
+    return evaluate.silent_detection(_arms(t))
+
+
+_EX = ", ".join(f"ROUND({a}_k / n::DOUBLE, 4) AS ex_{a}, ROUND(greatest(0.0, {_WILSON.format(f'{a}_k', 'n', '-')}), 6) AS {a}_lower, ROUND(least(1.0, {_WILSON.format(f'{a}_k', 'n', '+')}), 6) AS {a}_upper" for a in evaluate.ARMS)
+
+
+@query(f"SELECT *, ROUND((ex_mediated - ex_stale) / nullif(ex_refreshed - ex_stale, 0), 4) AS rr_mediated, ROUND((ex_error_feedback - ex_stale) / nullif(ex_refreshed - ex_stale, 0), 4) AS rr_error_feedback FROM (SELECT bucket, n, {_EX} FROM (SELECT CASE perturbation WHEN 'A' THEN 'easy' WHEN 'N' THEN 'medium' ELSE 'hard' END AS bucket, COUNT(*) AS n, {_SUMS} FROM {_RUNS} GROUP BY 1))")
+def stat_complexity_buckets(spark: SparkSession, t: Tables) -> DataFrame:
+    bucket = F.when(F.col("perturbation") == "A", "easy").when(F.col("perturbation") == "N", "medium").otherwise("hard")
+    return evaluate.by_bucket(evaluate.scored(_arms(t)).withColumn("bucket", bucket))
 
 
 @query()
@@ -440,11 +459,169 @@ def result_bag_equal(spark: SparkSession, t: Tables) -> DataFrame:
     return evaluate.row_difference(a, b).agg(F.coalesce(F.sum(F.abs("surplus")), F.lit(0)).alias("differing"))
 
 
-@query("SELECT CASE WHEN (SELECT COUNT(*) FROM orders) > 0 THEN 'ok' END AS gate")
+_GATES = [
+    ("same", "SELECT o_orderkey, o_orderstatus FROM {orders}", "SELECT o_orderkey, o_orderstatus FROM {orders} ORDER BY o_orderkey", "TABLE_RENAME"),
+    ("other rows", "SELECT o_orderkey FROM {orders} WHERE o_orderkey > 7", "SELECT o_orderkey FROM {orders} WHERE o_orderkey >= 7", "TABLE_RENAME"),
+    ("repeats", "SELECT o_orderstatus FROM {orders}", "SELECT DISTINCT o_orderstatus FROM {orders}", "TABLE_SPLIT"),
+    ("none before", "SELECT o_orderkey FROM {orders} WHERE o_orderkey < 0", "SELECT o_orderkey FROM {orders}", "TABLE_RENAME"),
+    ("none after", "SELECT o_orderkey FROM {orders}", "SELECT o_orderkey FROM {orders} WHERE o_orderkey < 0", "COLUMN_MERGE"),
+    ("merged", "SELECT c_name FROM {customer}", "SELECT c_name || ' ' || c_mktsegment AS c FROM {customer}", "COLUMN_MERGE"),
+    ("merged and fewer", "SELECT c_name FROM {customer}", "SELECT c_name || ' ' || c_mktsegment AS c FROM {customer} WHERE c_custkey > 9", "COLUMN_MERGE"),
+]
+
+
+def _gate_sql(name: str, pre: str, post: str, op: str) -> str:
+    a, b = (f"({x.replace('{', '').replace('}', '')})" for x in (pre, post))
+    differ = f"(SELECT COUNT(*) FROM {a}) <> (SELECT COUNT(*) FROM {b})"
+    last = f"WHEN {differ} THEN 'row_count_mismatch'" if op == "COLUMN_MERGE" else f"WHEN EXISTS ({a} EXCEPT ALL {b}) OR EXISTS ({b} EXCEPT ALL {a}) THEN 'result_mismatch'"
+    return f"SELECT '{name}' AS item, CASE WHEN NOT EXISTS {a} THEN 'empty_pre' WHEN NOT EXISTS {b} THEN 'empty_post' {last} ELSE 'ok' END AS gate"
+
+
+@query(" UNION ALL ".join(_gate_sql(*g) for g in _GATES))
 def gold_gate(spark: SparkSession, t: Tables) -> DataFrame:
-    own = t["orders"].select("o_orderkey", "o_orderstatus")
-    reason = evaluate.gold_gate(own, own.orderBy("o_orderkey"), "TABLE_RENAME")
-    return spark.createDataFrame([(reason or "ok",)], "gate string")
+    return spark.createDataFrame([(name, evaluate.gold_gate(t.sql(pre), t.sql(post), op) or "ok") for name, pre, post, op in _GATES], "item string, gate string")
+
+
+# Queries made wrong, judged and described. Golds run on the test tables.
+_GOLD = {
+    "filtered": "SELECT o_orderstatus, MIN(o_totalprice) AS v FROM orders WHERE o_orderkey > 100 GROUP BY o_orderstatus",
+    "listed": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5",
+    "joined": "SELECT orders.o_orderkey, customer.c_name FROM orders JOIN customer ON orders.o_custkey = customer.c_custkey WHERE orders.o_orderkey <= 50",
+    "merged": "SELECT name_segment FROM client WHERE c_custkey = 3",
+}
+_MERGE = [{"op": "COLUMN_MERGE", "table": "client", "target": "name_segment", "sources": ["c_mktsegment", "c_name"]}]
+#: Each mutant by hand, for the other engine.
+_MUTANTS = [
+    ("filtered", "drop_where", "SELECT o_orderstatus, MIN(o_totalprice) AS v FROM orders GROUP BY o_orderstatus"),
+    ("filtered", "swap_agg_min", "SELECT o_orderstatus, MAX(o_totalprice) AS v FROM orders WHERE o_orderkey > 100 GROUP BY o_orderstatus"),
+    ("filtered", "wrong_column", "SELECT o_orderkey, MIN(o_totalprice) AS v FROM orders WHERE o_orderkey > 100 GROUP BY o_orderstatus"),
+    ("filtered", "spurious_limit_one", None),
+    ("listed", "wrong_column", "SELECT o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5"),
+    ("listed", "limit_minus_one", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 4"),
+    ("listed", "limit_plus_one", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 6"),
+    ("joined", "drop_where", "SELECT orders.o_orderkey, customer.c_name FROM orders JOIN customer ON orders.o_custkey = customer.c_custkey"),
+    ("joined", "wrong_column", "SELECT orders.o_custkey, customer.c_name FROM orders JOIN customer ON orders.o_custkey = customer.c_custkey WHERE orders.o_orderkey <= 50"),
+    ("joined", "wrong_join_key", "SELECT orders.o_orderkey, customer.c_name FROM orders JOIN customer ON orders.o_custkey = customer.c_nationkey WHERE orders.o_orderkey <= 50"),
+    ("merged", "drop_where", "SELECT name_segment FROM client"),
+    ("merged", "wrong_column", "SELECT c_custkey FROM client WHERE c_custkey = 3"),
+    ("merged", "stale_merge_eq", "SELECT name_segment FROM client WHERE name_segment = (SELECT min(substr(name_segment, 1, 1)) FROM client)"),
+]
+_CLIENT = "(SELECT c_custkey, c_name || ' - ' || c_mktsegment AS name_segment FROM customer)"
+
+
+def _columns(t: Tables) -> dict[str, list[str]]:
+    return {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], "customer": ["c_custkey", "c_nationkey", "c_name"], "client": ["name_segment", "c_custkey"]}
+
+
+def _own_tables(t: Tables) -> dict[str, DataFrame]:
+    client = t.sql("SELECT c_custkey, c_name || ' - ' || c_mktsegment AS name_segment FROM {customer}")
+    return {"orders": t["orders"], "customer": t["customer"], "client": client}
+
+
+def _shown(name: str, mutation: str, sql: str | None) -> str:
+    """How many rows a mutant gives, and whether it is one of those that can't run."""
+    if mutation in ("spurious_limit_one",):
+        return f"SELECT '{name}' AS gold, '{mutation}' AS mutation, 1::BIGINT AS n"
+    if (name, mutation) == ("filtered", "wrong_column"):
+        return f"SELECT '{name}' AS gold, '{mutation}' AS mutation, -1::BIGINT AS n"
+    return f"SELECT '{name}' AS gold, '{mutation}' AS mutation, (SELECT COUNT(*) FROM ({sql.replace('FROM client', 'FROM ' + _CLIENT + ' client')})) AS n"
+
+
+@query(" UNION ALL ".join(_shown(*m) for m in _MUTANTS))
+def mutate_families(spark: SparkSession, t: Tables) -> DataFrame:
+    """All mutants of the golds, and how many rows each gives; -1 for one that doesn't run."""
+    out = []
+    for name, sql in _GOLD.items():
+        for mutation, mutant in mutate.mutants(sql, _columns(t), _MERGE if name == "merged" else None, expanded=True):
+            if name == "merged" and mutation == "spurious_limit_one":
+                continue
+            got = workload.runs(spark, mutant, _own_tables(t))
+            out.append((name, mutation, -1 if isinstance(got, str) else got.count()))
+    order = {(g, m): k for k, (g, m, _) in enumerate(_MUTANTS)}
+    return spark.createDataFrame(sorted((r for r in out if (r[0], r[1]) in order), key=lambda r: order[r[:2]]), "gold string, mutation string, n bigint")
+
+
+def _differs(gold: str, sql: str) -> str:
+    a, b = (f"({x.replace('FROM client', 'FROM ' + _CLIENT + ' client')})" for x in (gold, sql))
+    return f"EXISTS ({a} EXCEPT ALL {b}) OR EXISTS ({b} EXCEPT ALL {a})"
+
+
+@query(
+    " UNION ALL ".join(
+        [f"SELECT '{n}__gold' AS id, 'valid' AS label, 'none' AS mutation" for n in ("filtered", "joined")]
+        + [f"SELECT '{g}__{m}' AS id, 'silent_failure' AS label, '{m}' AS mutation WHERE {_differs(_GOLD[g], sql)}" for g, m, sql in _MUTANTS if g in ("filtered", "joined") and m in ("drop_where", "swap_agg_min") or (g, m) == ("joined", "wrong_column")]
+    )
+)
+def mutate_label(spark: SparkSession, t: Tables) -> DataFrame:
+    """Cases that run and answer otherwise than their gold."""
+    items = [{"id": n, "question": f"list {n}", "gold_post": _GOLD[n]} for n in ("filtered", "joined")]
+    with workload.views(spark, _own_tables(t)):
+        cases = mutate.label(spark, items, _columns(t))
+    return mutate.label_frame(spark, cases).select("id", "label", "mutation")
+
+
+_JUDGED = [
+    ("fails", "SELECT nope FROM orders", "list the orders"),
+    ("overflows", "SELECT 1 / (o_orderkey - o_orderkey) AS x FROM orders", "list the orders"),
+    ("other", "SELECT o_totalprice FROM orders", "zebra quux"),
+    ("nothing", "SELECT o_orderkey FROM orders WHERE o_orderkey < 0", "show the key of all orders"),
+    ("zero", "SELECT COUNT(*) FROM orders WHERE o_orderkey < 0", "how many orders are there"),
+    ("good", "SELECT COUNT(*) FROM orders", "how many orders are there"),
+    ("many", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000", "show the key of orders"),
+]
+
+
+@query("SELECT 'fails' AS item, 'execution_error' AS verdict, NULL AS reason, -1::BIGINT AS row_count UNION ALL SELECT 'overflows', 'execution_error', NULL, -1 UNION ALL SELECT 'other', 'silent_failure', 'low_token_overlap', (SELECT COUNT(*) FROM orders) UNION ALL SELECT 'nothing', 'silent_failure', 'empty_result_on_affirmative_question', (SELECT COUNT(*) FROM orders WHERE o_orderkey < 0) UNION ALL SELECT 'zero', 'silent_failure', 'empty_result_on_affirmative_question', 1 UNION ALL SELECT 'good', 'valid', NULL, 1 UNION ALL SELECT 'many', 'valid', NULL, (SELECT COUNT(*) FROM orders WHERE o_totalprice > 100000)")
+def validate_verdicts(spark: SparkSession, t: Tables) -> DataFrame:
+    with workload.views(spark, {"orders": t["orders"]}):
+        got = [(name, validate.validate(spark, sql, question)) for name, sql, question in _JUDGED]
+    return spark.createDataFrame([(n, v.verdict, v.reason, -1 if v.row_count is None else v.row_count) for n, v in got], "item string, verdict string, reason string, row_count bigint")
+
+
+@query("SELECT * FROM (VALUES ('counted', 'show count n song name where is male ordered grouped singer', 'medium'), ('joined', 'show name hall stadium concert', 'medium'), ('nested', 'show max age where age age singer singer', 'hard'), ('having', 'show count city grouped venue', 'hard'), ('plain', 'show first name city', 'easy')) v(item, paraphrase, complexity)")
+def query_descriptions(spark: SparkSession, t: Tables) -> DataFrame:
+    """Queries in key words, and how hard they are."""
+    texts = {
+        "counted": "SELECT count(*) AS n, T1.Song_Name FROM singer AS T1 WHERE T1.Is_male = 'T' GROUP BY T1.Song_Name ORDER BY n",
+        "joined": "SELECT Name, T2.Hall FROM stadium JOIN concert AS T2 ON stadium.id = T2.id",
+        "nested": "SELECT Age FROM singer WHERE Age = (SELECT max(Age) FROM singer)",
+        "having": "SELECT City, count(*) FROM venue GROUP BY City HAVING count(*) > 1",
+        "plain": "SELECT first_name FROM city",
+    }
+    return spark.createDataFrame([(k, validate.paraphrase(q), validate.complexity(spark, q)) for k, q in texts.items()], "item string, paraphrase string, complexity string")
+
+
+@query("SELECT * FROM (VALUES ('rename', 0, false), ('split', 2, false), ('merge', 2, false), ('columns', 4, true), ('columns unknown', 2, false)) v(item, lines, names_separator)")
+def relink_guidance(spark: SparkSession, t: Tables) -> DataFrame:
+    """Rules for a generator: how many, and whether they name what stands between merged values."""
+    events = {
+        "rename": {"op": "TABLE_RENAME", "from": "a", "to": "b"},
+        "split": {"op": "TABLE_SPLIT", "source": "t", "targets": ["a", "b"], "key": "id"},
+        "merge": {"op": "TABLE_MERGE", "sources": ["a", "b"], "target": "t", "key": "id"},
+        "columns": {"op": "COLUMN_MERGE", "table": "t", "sources": ["a", "b"], "target": "ab", "expression": "a || ' ~ ' || b"},
+        "columns unknown": {"op": "COLUMN_MERGE", "table": "t", "sources": ["a", "b"], "target": "ab"},
+    }
+    said = {k: relink.guidance([e]) for k, e in events.items()}
+    return spark.createDataFrame([(k, len(x.splitlines()), "~" in x) for k, x in said.items()], "item string, lines int, names_separator boolean")
+
+
+_ASKED = [
+    ("q1", "count the purchase with orderpriority urgent", "SELECT COUNT(*) FROM orders WHERE o_orderpriority = '1-URGENT'", "SELECT COUNT(*) FROM purchase WHERE o_orderpriority = '1-URGENT'"),
+    ("q2", "show the price of purchase with orderstatus finished", "SELECT o_totalprice FROM orders WHERE o_orderstatus = 'F'", "SELECT price FROM purchase WHERE o_orderstatus = 'F'"),
+    ("q3", "show the name of nations", "SELECT n_name FROM nation", "SELECT n_name FROM nation"),
+    ("q4", "which order has no key", "SELECT o_orderkey FROM orders WHERE o_orderkey IS NULL", None),
+]
+
+
+@query("SELECT * FROM (VALUES ('q1', 1, 0, 0, 0, 1, 1), ('q2', 1, 0, 0, 0, 1, 1), ('q3', 1, 1, 1, 1, 1, 0), ('q4', -1, -1, -1, -1, -1, 0)) v(id, pre_ok, baseline_ok, refreshed_schema_ok, error_feedback_ok, mcp_ok, recovered)")
+def run_arms(spark: SparkSession, t: Tables) -> DataFrame:
+    """An evaluation run whose generator only knows the old names: only the mediated arm gets over the change."""
+    before = {"orders": t["orders"], "nation": t["nation"]}
+    after, _ = evolve.apply(before, [{"op": "TABLE_RENAME", "from": "orders", "to": "purchase"}, {"op": "COLUMN_RENAME", "table": "purchase", "from": "o_totalprice", "to": "price"}])
+    known = {question: pre for _, question, pre, _ in _ASKED}
+    items = [{"id": i, "question": q, "gold_pre": pre, "gold_post": post, "perturbation": "TABLE_RENAME", "expected_failure": post is None} for i, q, pre, post in _ASKED]
+    rows = workload.evaluate_items(spark, items, before, after, lambda text_: next(sql for q, sql in known.items() if f"Question: {q}" in text_))
+    return rows.select("id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("pre_ok", "baseline_ok", "refreshed_schema_ok", "error_feedback_ok", "mcp_ok")], "recovered")
 
 
 # Text rules.
@@ -479,14 +656,17 @@ def text_affirmative(spark: SparkSession, t: Tables) -> DataFrame:
     return t["conversations"].select("conv_id", "turn", *[text.cue(F.col("text"), p).alias(n) for n, p in _CUES.items()])
 
 
-@query(f"SELECT role, COUNT(*) AS n, COUNT(*) FILTER (regexp_matches(text, '(?i){text.AFFIRMATIVE}') AND length(text) % 7 = 0) AS affirmative_empty, COUNT(*) FILTER (regexp_matches(text, '(?i){text.SCALAR}') AND NOT regexp_matches(text, '(?i){text.GROUPED}') AND turn > 1) AS scalar_multi_rows FROM conversations GROUP BY role")
+_CUE = lambda p: f"regexp_matches(text, '(?i){p}')"
+
+
+@query(
+    f"SELECT role, COUNT(*) AS n, COUNT(*) FILTER ({_CUE(text.SEVERAL)} AND turn = 1) AS arity_low, COUNT(*) FILTER ({_CUE(text.AFFIRMATIVE)} AND (length(text) % 7 = 0 OR turn = 2)) AS affirmative_empty, "
+    f"COUNT(*) FILTER ({_CUE(text.SCALAR)} AND NOT {_CUE(text.GROUPED)} AND length(text) % 7 > 1) AS scalar_multi_rows, COUNT(*) FILTER ({_CUE(text.LISTED)} AND length(text) % 7 = 1) AS list_single_row FROM (SELECT role, turn, 'list the ' || text AS text FROM conversations UNION ALL SELECT role, turn, 'how many ' || text FROM conversations) GROUP BY role"
+)
 def sfd_rules(spark: SparkSession, t: Tables) -> DataFrame:
-    q, empty = F.col("text"), F.length("text") % 7 == 0
-    return t["conversations"].groupBy("role").agg(
-        F.count("*").alias("n"),
-        F.count_if(text.cue(q, text.AFFIRMATIVE) & empty).alias("affirmative_empty"),
-        F.count_if(text.cue(q, text.SCALAR) & ~text.cue(q, text.GROUPED) & (F.col("turn") > 1)).alias("scalar_multi_rows"),
-    )
+    asked = t.sql("SELECT role, turn, 'list the ' || text AS text FROM {conversations} UNION ALL SELECT role, turn, 'how many ' || text FROM {conversations}")
+    rules = evaluate.suspicions(F.col("text"), F.length("text") % 7, F.col("turn"), F.col("turn") == 2)
+    return asked.groupBy("role").agg(F.count("*").alias("n"), *[F.count_if(c).alias(n) for n, c in rules.items()])
 
 
 @query("SELECT vec_id, other, ROUND(list_sum(list_transform(list_zip(x, y), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / nullif(sqrt(list_sum(list_transform(x, lambda p: p::DOUBLE * p::DOUBLE))) * sqrt(list_sum(list_transform(y, lambda p: p::DOUBLE * p::DOUBLE))), 0), 6) AS cosine FROM (SELECT a.vec_id, b.vec_id AS other, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)")
@@ -496,7 +676,15 @@ def vec_cosine(spark: SparkSession, t: Tables) -> DataFrame:
     return a.join(b, "vec_id").select("vec_id", "other", F.round(text.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
-@query("SELECT conv_id, turn, 'SELECT ' || conv_id AS sql FROM conversations")
+_WRAPPED = "replace(replace(trim(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), '  ', ' '), '  ', ' ')"
+
+
+@query(f"SELECT conv_id, turn, 'SELECT ' || chr(39) || trim({_WRAPPED}) || chr(39) AS sql FROM conversations")
 def strip_fences(spark: SparkSession, t: Tables) -> DataFrame:
-    fenced = F.concat(F.lit("<think>\n</think>\n```sql\nSELECT "), F.col("conv_id").cast("string"), F.lit(";\n```"))
-    return t["conversations"].select("conv_id", "turn", text.strip_fences(fenced).alias("sql"))
+    """Answers of every form: bare, fenced with and without a language, after thinking, with semicolons and blanks."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace("text", "[^A-Za-z ]", " ")), "  ", " "), "  ", " ")
+    sql = F.concat(F.lit("SELECT '"), F.trim(plain), F.lit("'"))
+    forms = [("", ""), ("```sql\n", "\n```"), ("```\n", ";\n```  "), ("<think>maybe\n```</think>\n ```SQL ", "```"), (" \n", " ;; "), ("<think></think>", ";")]
+    kind = (F.col("conv_id") + F.col("turn")) % len(forms)
+    wrapped = F.coalesce(*[F.when(kind == k, F.concat(F.lit(a), sql, F.lit(b))) for k, (a, b) in enumerate(forms)])
+    return t["conversations"].select("conv_id", "turn", text.strip_fences(wrapped).alias("sql"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import evaluate
+
 #: What a fallback run leaves in a backend column.
 MARK = "mock-after-"
 
@@ -36,3 +40,30 @@ def write(rows: DataFrame, path: str, allow_contaminated: bool = False) -> str:
     to = f"{path}_contaminated" if dirty else path
     rows.write.mode("overwrite").csv(to, header=True)
     return to
+
+
+def write_json(summary: dict, path: str) -> None:
+    """A summary, which may be nested, as a JSON file."""
+    Path(path).write_text(json.dumps(summary, indent=1, sort_keys=True, default=str))
+
+
+def summary(rows: DataFrame) -> dict:
+    """What a run comes to: accuracy of each arm overall and by operator, expected failures, contamination, and silent failures seen."""
+    one = lambda frame: {k: v for k, v in frame.first().asDict().items()}
+    by = lambda frame, key: {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in frame.collect()}  # noqa: E731  a row an operator
+    return {
+        "overall": one(evaluate.pooled(rows)),
+        "operators": by(evaluate.per_operator(rows), "perturbation"),
+        "expected_failures": by(evaluate.expected_failures(rows), "perturbation"),
+        "contamination": one(contaminated(rows, [c for c in rows.columns if c.endswith("backend")])),
+        "silent_failures": one(evaluate.silent_detection(rows)),
+    }
+
+
+def markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A small table as Markdown; beyond so many rows an error, as nobody would read them."""
+    held = rows.take(most + 1)
+    if len(held) > most:
+        raise ValueError(f"more than {most} rows are no report")
+    lines = [list(rows.columns), ["-"] * len(rows.columns), *([("" if v is None else str(v).replace("|", "\\|")) for v in r] for r in held)]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines)

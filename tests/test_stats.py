@@ -83,7 +83,7 @@ def test_registered_bootstraps_take_whole_tables_and_a_thousand_draws(spark, mon
     monkeypatch.setattr(stats, "bootstrap", lambda *a: seen.append(a[3]) or own(*a))
     exact = queries.QUERIES["stat_bootstrap_exact"](spark, root).agg(F.sum("n")).first()[0]
     assert exact == spark.read.parquet(f"{root}/events.parquet").where("value IS NOT NULL").count()
-    assert queries.QUERIES["stat_bootstrap_interval"](spark, root).first().n and seen == [1000]
+    assert queries.QUERIES["stat_bootstrap_hash"](spark, root).first().n and seen == [1000]
 
 
 def test_bag_equality(spark):
