@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+from collections import Counter
 
 import pytest
 
@@ -214,3 +215,66 @@ def test_pipeline(spark, docs, empty, tmp_path):
             last = k == len(corpus_pipeline.STAGES) - 1
             assert back.columns[: len(frame.columns)] == frame.columns and len(back.columns) == len(frame.columns) + last
             assert back.count() == 0 if frame is empty else back.count() > 0
+
+
+def test_pipeline_against_brute_force(spark, rows, tmp_path):
+    """Every stage's decision by other means: SQL for votes and mixing, plain loops for near copies, passages and secrets."""
+    import math
+
+    import corpus_pipeline
+    import duckdb
+    import pandas as pd
+
+    from driftline.llm import mixing, quality
+
+    rng, w = random.Random(21), vocabulary(22, 300)
+    asked = [prose(rng, w, 30) for _ in range(4)]
+    held = {d: (d, t, lang, source, n) for d, t, lang, source, n in rows if d is not None and d != 3}
+    for k in range(60):
+        text = prose(rng, w, rng.randint(25, 90))
+        if k % 6 == 1:
+            text += " " + asked[k % 4] + " end"
+        if k % 6 == 2:
+            text += f" password = hunter{k}x and AKIA{'Z' * 16} or {'0f' * 13}"
+        if k % 6 == 3:
+            text = held[997 + k][1].replace(" ", "  ", 1) if 997 + k in held else text
+        if k % 6 == 4:
+            text = " ".join(x + "###" for x in text.split())
+        held[1000 + k] = (1000 + k, text, "en", f"s{k % 4}", len(text))
+    docs = sorted(held.values())
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id, r.repetition, r.text, r.source, r.n_chars) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    def sql(text, now):
+        db = duckdb.connect()
+        db.register("documents", pd.DataFrame(now, columns=names).astype({"n_chars": "Int64"}))
+        return db.execute(text).df()
+
+    voted = sql(quality.oracle(), docs)
+    good = set(voted[voted.kept].doc_id)
+    now = [d for d in docs if d[0] in good]
+    groups = brute.near_groups([d[:2] for d in now])
+    now = [d for d, g in zip(now, groups, strict=True) if d[0] == min(e[0] for e, h in zip(now, groups, strict=True) if h == g)]
+    now = [d for d in now if not any(brute.passages(d[1], a) for a in asked)]
+    clean = []
+    for d, text, lang, source, n in now:
+        out, at = [], 0
+        for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in brute.secrets(text)):
+            if s >= at:
+                out += [text[at:s], "[SECRET]"]
+            at = max(at, e)
+        changed = "".join([*out, text[at:]])
+        clean.append((d, changed, lang, source, n if changed == text else len(changed)))
+    want = []
+    by_id = {d[0]: d for d in clean}
+    for r in sql(mixing.oracle(), clean).itertuples():
+        _, text, _, source, n = by_id[r.doc_id]
+        for k in range(math.ceil(r.taken / r.size) if r.taken else 0):
+            part = r.taken - k * r.size
+            cut = text if part >= r.size else " ".join(brute.words(text)[:part])
+            want.append((r.doc_id, k + 1, cut, source, n if part >= r.size else len(cut)))
+    assert [g[:4] for g in got] == sorted(x[:4] for x in want) and Counter(g[4] for g in got) == Counter(x[4] for x in want)
+    assert len(good) < len(docs) and len(now) < len(good) and any("[SECRET]" in g[2] for g in got)

@@ -325,6 +325,20 @@ def test_base_scores(docs, rows):
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-9)
 
 
+def test_scores_of_awkward_rows(docs, rows):
+    import math
+
+    got = language_model.query(docs).collect()
+    assert len(got) == len(rows) and all(r.score < 0 and math.isfinite(r.score) for r in got)
+    alike = {}
+    for r in got:
+        if r.n_tokens == 1:  # null, empty and blank texts
+            alike.setdefault("none", set()).add(round(r.score, 9))
+    assert len(alike["none"]) == 1
+    repeated = Counter((r.doc_id, round(r.score, 9)) for r in got if r.doc_id == rows[5][0])
+    assert list(repeated.values()) == [3]
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language_model.query(docs).where("held_out").selectExpr("sum(score) / sum(n_tokens) AS s", "sum(base_score) / sum(n_tokens) AS b").first()
