@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import stats, text
 from .operators import evaluate, evolve, joins
 from .plans import mutate, relink, schema, validate, workload
-from .sources import catalog, results
+from .sources import benchmark, catalog, results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -688,3 +688,78 @@ def strip_fences(spark: SparkSession, t: Tables) -> DataFrame:
     kind = (F.col("conv_id") + F.col("turn")) % len(forms)
     wrapped = F.coalesce(*[F.when(kind == k, F.concat(F.lit(a), sql, F.lit(b))) for k, (a, b) in enumerate(forms)])
     return t["conversations"].select("conv_id", "turn", text.strip_fences(wrapped).alias("sql"))
+
+
+# Catalog and benchmark pieces over the test tables.
+@query("SELECT * FROM (VALUES ('as it is', false, 0), ('other order', false, 0), ('renamed', true, 1), ('retyped', true, 0), ('first look', true, 0)) v(look, changed, events)")
+def schema_changes(spark: SparkSession, t: Tables) -> DataFrame:
+    """What a cache of schemas says of looks at a schema: the first one, the same, and changed ones against the one before."""
+    looks = {
+        "first look": {"nation": t["nation"]},
+        "as it is": {"nation": t["nation"]},
+        "other order": {"nation": t["nation"].select(*reversed(t["nation"].columns))},
+        "renamed": {"state": t["nation"]},
+        "retyped": {"state": t["nation"].withColumn("n_nationkey", F.col("n_nationkey").cast("string"))},
+    }
+    cache, out = schema.SchemaCache(), []
+    for name, frames in looks.items():
+        got = cache.look("db", catalog.describe(spark, frames))
+        out.append((name, got["changed"], len(schema.events_text(got["events"]).splitlines())))
+    return spark.createDataFrame(out, "look string, changed boolean, events int")
+
+
+@query("SELECT * FROM (VALUES ('again', true), ('other order', true), ('repartitioned', true), ('a row less', false), ('other specification', false)) v(tables, same)")
+def evolve_content_hash(spark: SparkSession, t: Tables) -> DataFrame:
+    """Whether tables have the hash of the customers: rows and specifications count, order and partitions don't."""
+    specs = [{"op": "TABLE_RENAME", "from": "a", "to": "b"}]
+    own = evolve.content_hash({"customer": t["customer"]}, specs)
+    others = {
+        "again": (t["customer"], specs),
+        "other order": (t["customer"].orderBy(F.desc("c_custkey")), specs),
+        "repartitioned": (t["customer"].repartition(7), specs),
+        "a row less": (t["customer"].where("c_custkey > 1"), specs),
+        "other specification": (t["customer"], []),
+    }
+    return spark.createDataFrame([(k, evolve.content_hash({"customer": f}, s) == own) for k, (f, s) in others.items()], "tables string, same boolean")
+
+
+@query("SELECT * FROM (VALUES ('plain', 'id, name'), ('blanks and brackets', 'id, Percent (%) Free (K-12), full name'), ('foreign keys', 'id, town_id'), ('list', 'a, b')) v(definition, columns)")
+def benchmark_columns(spark: SparkSession, t: Tables) -> DataFrame:
+    entries = {
+        "plain": "CREATE TABLE t (id integer primary key, name text)",
+        "blanks and brackets": {"ddl": "t (id int, Percent (%) Free (K-12) real, full name text, primary key(id))"},
+        "foreign keys": "t (id int, foreign key(town_id) references town(id) integer, foreign key(id) references u(id))",
+        "list": {"ddl": "broken", "columns": ["a", "foreign key(b) references u(b)", "A"]},
+    }
+    return spark.createDataFrame([(k, ", ".join(benchmark.entry_columns(e))) for k, e in entries.items()], "definition string, columns string")
+
+
+_SPEC = {
+    "old_new_table_mapping": {"orders": "sale", "lineitem": "sale"},
+    "query": "SELECT COUNT(*) FROM lineitem AS T1 INNER JOIN orders AS T2 ON T1.l_orderkey = T2.o_orderkey",
+    "new_relevant_table": {"sale": "sale (o_orderkey int, o_orderstatus text, l_quantity real, price_orders real)"},
+    "deduplicate_new_column_to_old_table_old_table_mapping": {"price_orders": {"old_table": "orders", "old_column": "o_totalprice"}},
+}
+
+
+@query("SELECT o_orderstatus, COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS quantity, ROUND(MAX(o_totalprice), 2) AS price FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderstatus")
+def benchmark_merge(spark: SparkSession, t: Tables) -> DataFrame:
+    """A merge as a benchmark's item describes it: joined as its query joins, with the columns that its definition lists."""
+    made = benchmark.materialize({"orders": t["orders"], "lineitem": t["lineitem"]}, {"op": "TABLE_MERGE", "spec": _SPEC})["sale"]
+    return made.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.max("price_orders"), 2).alias("price"))
+
+
+@query("SELECT c_custkey, coalesce(CAST(c_name AS VARCHAR), '') || ' ' || coalesce(CAST(c_mktsegment AS VARCHAR), '') AS label FROM customer")
+def benchmark_column_merge(spark: SparkSession, t: Tables) -> DataFrame:
+    """A merge of columns that only shows in a table's columns before and after."""
+    own = t["customer"].select("c_custkey", "c_name", "c_mktsegment")
+    item = {"op": "COLUMN_MERGE", "spec": {"new_relevant_table": {"customer": "customer (c_custkey int, label text)"}}}
+    return benchmark.materialize({"customer": own}, item)["customer"].select("c_custkey", "label")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000")
+def benchmark_split(spark: SparkSession, t: Tables) -> DataFrame:
+    """A split as an item describes it, and the old table joined again from its parts."""
+    spec = {"old_new_table_column_mapping": {"customer": ["named", "money"]}, "new_relevant_table": {"named": {"columns": ["c_custkey", "c_name"]}, "money": "money (c_custkey int, c_acctbal real)"}}
+    made = benchmark.materialize({"customer": t["customer"]}, {"op": "TABLE_SPLIT", "spec": spec})
+    return made["named"].join(made["money"], "c_custkey").where("c_acctbal > 5000").select("c_custkey", "c_name")
