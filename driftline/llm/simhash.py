@@ -150,20 +150,20 @@ def links(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     count = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") for k in range(QUARTERS)]
     code = lambda p: ((p[0] * 17 + p[1]) * 17 + p[2]) * 17 + p[3]
     tiled = nodes.select("fp", code(count).alias("tile"))
-    # at most 17 ** 4 tiles and 21 neighbours each (for radius 2) whatever the corpus holds: small enough to broadcast
+    # at most 17 ** 4 = 83,521 rows whatever the corpus holds: small enough to broadcast
     tiles = scratch.keep(tiled.groupBy("tile").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")
     split = scratch.keep(tiled.join(F.broadcast(tiles), "tile").select("fp", "tile", part.alias("part")))
     quarter = [F.floor(F.col("tile") / 17 ** (QUARTERS - 1 - k)).cast("int") % 17 for k in range(QUARTERS)]
+    # of each fingerprint's tile the later ones within the radius, and its own; what joins is no more than the list of tiles
     step = F.explode(F.array(*[F.array(*map(F.lit, d)) for d in neighbours(radius)]))
     moved = [F.col("p")[k] + F.col("d")[k] for k in range(QUARTERS)]
     inside = F.forall(F.array(*moved), lambda x: (x >= 0) & (x <= 16))
-    pairs = tiles.select("tile", F.array(*quarter).alias("p"), step.alias("d")).where(inside).select("tile", code(moved).alias("to"))
-    to = tiles.select(F.col("tile").alias("to"), F.col("parts").alias("to_parts"))
-    pairs = scratch.keep(pairs.join(F.broadcast(to), "to"))
+    near = split.select("fp", "tile", "part", F.array(*quarter).alias("p"), step.alias("d")).where(inside).select("fp", "tile", "part", code(moved).alias("at"))
+    to = tiles.select(F.col("tile").alias("at"), F.col("parts").alias("to_parts"))
     # every part meets itself, later parts of its own tile, and all parts of later tiles within the radius
     own = split.select(F.col("tile").alias("at"), F.col("part").alias("at_part"), "fp", F.lit(True).alias("own"))
-    sent = split.join(F.broadcast(pairs), "tile").select("fp", "tile", "part", F.col("to").alias("at"), F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)).alias("at_part"))
+    sent = near.join(F.broadcast(to), "at").where("at != tile OR to_parts > 1").withColumn("at_part", F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)))
     sent = sent.where("at != tile OR at_part > part").select("at", "at_part", "fp", F.lit(False).alias("own"))
 
     def compare(group: pa.Table) -> pa.Table:
