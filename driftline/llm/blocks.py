@@ -7,6 +7,8 @@ that what is done for each word is done in arrays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +89,59 @@ def chunks(texts: list[str | bytes | None]) -> Iterator[tuple[int, list[bytes]]]
         yield first, group
 
 
+def distinct_words(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different hash stands first, in the order of hashes, and for each place which of them stands there."""
+    low = max(1, len(h) - 1).bit_length()  # all but the lowest bits tell words apart, hardly ever not
+    distinct, which = grouped(h >> _U(low), 64 - low)
+    first = _firsts(which, len(distinct))
+    if (h[first][which] != h).any():
+        distinct, which = np.unique(h, return_inverse=True)
+        first = _firsts(which, len(distinct))
+    return first, which
+
+
+def _firsts(which: np.ndarray, n: int) -> np.ndarray:
+    first = np.full(n, len(which))
+    np.minimum.at(first, which, np.arange(len(which)))
+    return first
+
+
+@dataclass
+class Texts:
+    """Whole texts of a chunk: the batches without their text that they came with, how many words each has, and of all words in a row
+    the hashes, the sizes and the letters."""
+
+    batches: list[pa.RecordBatch]
+    counts: np.ndarray
+    hashes: np.ndarray
+    sizes: np.ndarray
+    letters: np.ndarray
+
+    def column(self, name: str) -> pa.Array:
+        return pa.concat_arrays([b.column(name) for b in self.batches])
+
+
+def read_chunks(batches: Iterator[pa.RecordBatch], most: int, lower: bool = False) -> Iterator[Texts]:
+    """Rows with a text as chunks of about so many words and texts; lower makes A-Z small."""
+    held: list[tuple] = []
+    n = 0
+    for b in batches:
+        for first, group in chunks(b.column("text").to_pylist()):
+            joined = b" ".join(group)
+            data = np.frombuffer((joined.lower() if lower else joined) + b" ", np.uint8)
+            starts, ends = word_spans(data)
+            counts = np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in group])), prepend=0)
+            runs = np.diff(np.concatenate(([0], np.stack([starts, ends], 1).reshape(-1), [len(data)])))
+            letters = data[np.repeat(np.arange(len(runs)) % 2 == 1, runs)]
+            held.append((b.slice(first, len(group)).drop_columns(["text"]), counts, hashed_spans(data, starts, ends), ends - starts, letters))
+            n += len(starts) + len(group)
+            if n >= most:
+                yield Texts([x[0] for x in held], *(np.concatenate([x[k] for x in held]) for k in range(1, 5)))
+                held, n = [], 0
+    if held:
+        yield Texts([x[0] for x in held], *(np.concatenate([x[k] for x in held]) for k in range(1, 5)))
+
+
 def pack(a: np.ndarray) -> bytes:
     """Whole numbers from 0 on in as few bytes each as the largest needs: all lowest bytes first, so that the mostly empty higher ones
     stand together and compress well. The last byte says how many there are of each."""
@@ -132,6 +187,13 @@ def batch_of(schema: list[tuple[str, pa.DataType]], found: list[tuple]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
 
 
-def few_rows(spark: SparkSession) -> None:
-    """Rows are blocks from here on: few to a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+@contextmanager
+def few_rows(spark: SparkSession) -> Iterator[None]:
+    """Rows are blocks while this lasts: few to a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

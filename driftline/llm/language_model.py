@@ -31,7 +31,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BINARY, LONG, batch_of, chunks, cut, few_rows, grouped, hashed_spans, mix, pack, shard_limits, unpack, word_spans
+from .blocks import BINARY, LONG, batch_of, cut, distinct_words, few_rows, grouped, mix, pack, read_chunks, shard_limits, unpack
 from .common import Scratch, small_batches
 
 SWEEPS, KEPT = 2, 2  # a row of pairs has the tables of two states
@@ -213,62 +213,29 @@ def spelled(letters: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (rid, doc_id, held, text) as chunks."""
-    ids, helds, rids, counts, hashes, sizes, letters = [], [], [], [], [], [], []
-    tokens = 0
-
-    def whole() -> pa.RecordBatch:
-        count, h, size, data = np.concatenate(counts), np.concatenate(hashes), np.concatenate(sizes), np.concatenate(letters)
-        ends = np.cumsum(count)
-        h, size = np.insert(h, ends, _U(END_HASH)), np.insert(size, ends, 0)
-        # all but the lowest bits tell words of a chunk apart, hardly ever not
-        low = max(1, len(h) - 1).bit_length()
-        distinct, which = grouped(h >> _U(low), 64 - low)
-        first = np.full(len(distinct), len(h))
-        np.minimum.at(first, which[::-1], np.arange(len(h))[::-1])
-        if (h[first][which] != h).any():
-            distinct, which = np.unique(h, return_inverse=True)
-            np.minimum.at(first := np.full(len(distinct), len(h)), which, np.arange(len(h)))
+    for texts in read_chunks(batches, CHUNK_TOKENS, lower=True):
+        ends = np.cumsum(texts.counts)
+        h, size = np.insert(texts.hashes, ends, _U(END_HASH)), np.insert(texts.sizes, ends, 0)
+        first, which = distinct_words(h)
         # tokens are places in the order of how often words stand, so that most of them are small
-        rank = np.empty(len(distinct), np.int64)
-        rank[np.argsort(-np.bincount(which), kind="stable")] = np.arange(len(distinct))
-        train = np.repeat(~np.concatenate(helds), count + 1)
-        held = pa.array([np.concatenate(helds)], pa.list_(pa.bool_()))
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(-np.bincount(which), kind="stable")] = np.arange(len(first))
+        held = texts.column("held")
+        train = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), texts.counts + 1)
+        whole = pa.array([0, len(texts.counts)], pa.int32())
         columns = {
-            "cid": pa.array([rids[0]], pa.int64()),
-            "doc_id": pa.ListArray.from_arrays(pa.array([0, len(count)], pa.int32()), pa.concat_arrays(ids)),
-            "held": held,
-            "size": pa.array([count + 1], pa.list_(pa.int64())),
+            "cid": texts.column("rid").slice(0, 1),
+            "doc_id": pa.ListArray.from_arrays(whole, texts.column("doc_id")),
+            "held": pa.ListArray.from_arrays(whole, held),
+            "size": pa.array([texts.counts + 1], pa.list_(pa.int64())),
             "token": pa.array([pack(rank[which])], pa.binary()),
             "rank": pa.array([pack(rank)], pa.binary()),
             "h": pa.array([h[first].astype("<u8").tobytes()], pa.binary()),
-            "c": pa.array([pack(np.bincount(which, weights=train, minlength=len(distinct)).astype(np.int64))], pa.binary()),
+            "c": pa.array([pack(np.bincount(which, weights=train, minlength=len(first)).astype(np.int64))], pa.binary()),
             "letters": pa.array([pack(size[first])], pa.binary()),
-            "spelled": pa.array([cut(data, size, first).tobytes()], pa.binary()),
+            "spelled": pa.array([cut(texts.letters, size, first).tobytes()], pa.binary()),
         }
-        for x in (ids, helds, rids, counts, hashes, sizes, letters):
-            x.clear()
-        return pa.RecordBatch.from_pydict(columns)
-
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        for first, group in chunks(texts):
-            data = np.frombuffer(b" ".join(group).lower() + b" ", np.uint8)
-            starts, ends = word_spans(data)
-            limits = np.cumsum([len(t) + 1 for t in group])
-            ids.append(b.column("doc_id").slice(first, len(group)))
-            helds.append(b.column("held").slice(first, len(group)).to_numpy(zero_copy_only=False).astype(bool))
-            rids.append(b.column("rid")[first].as_py())
-            counts.append(np.diff(np.searchsorted(starts, limits), prepend=0))
-            hashes.append(hashed_spans(data, starts, ends))
-            sizes.append(ends - starts)
-            blank = np.diff(np.concatenate(([0], np.stack([starts, ends], 1).reshape(-1), [len(data)])))
-            letters.append(data[np.repeat(np.arange(len(blank)) % 2 == 1, blank)])
-            tokens += len(starts) + len(group)
-            if tokens >= CHUNK_TOKENS:
-                tokens = 0
-                yield whole()
-    if ids:
-        yield whole()
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def vocabulary(chunked: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
@@ -662,50 +629,50 @@ def query(docs: DataFrame) -> DataFrame:
     tokens, n_docs = sizes.agg(F.sum("n"), F.sum("d")).first()
     if not tokens:
         return spark.createDataFrame([], schema)
-    few_rows(spark)
-    word_shards, pair_shards = (max(least, -(-tokens // each)) for least, each in ((WORD_SHARDS, WORD_TOKENS), (PAIR_SHARDS, PAIR_TOKENS)))
-    words_ = vocabulary(read, word_shards, scratch)
-    blocks = scratch.keep(words_.where("cid IS NULL").drop("cid"))
-    counted = {r.ws: r for r in blocks.select("ws", "v", "types", "tokens").collect()}  # a row a shard
-    offsets = np.concatenate(([0], np.cumsum([counted[k].v if k in counted else 0 for k in range(word_shards)])))
-    n, v, start = sum(r.tokens for r in counted.values()), sum(r.types for r in counted.values()), int(offsets[-1])
-    chunked = _numbered(read, words_, offsets, n, v, scratch)
-    most = max(HOT, tokens // HOT_WORDS)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [offsets[ws] + np.flatnonzero(unpack(c) > most) for ws, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["id"])
-
-    hot = np.sort(blocks.select("ws", "c").mapInArrow(frequent, "id bigint").toArrow().column(0).to_numpy())  # at most HOT_WORDS
-    deal = Deal(start, np.append(hot, start) if n_docs > most else hot, pair_shards)
-    scratch.drop(read, words_)
-    pairs = _first_seats(chunked, deal, scratch)
-    discount, model = discount_of(pairs), Words(scratch)
-    ups, sums = [], []  # of the states that are kept, the last one last
-    for sweep in range(SWEEPS + 1):
-        ups.append(_parents(pairs, blocks, offsets, model, scratch))
-        sums.append(spark.sparkContext.broadcast(Sums(pairs)))  # at most HOT_WORDS + 1 rows
-        if sweep < SWEEPS:
-            following = _redrawn(pairs, ups[-1], sums[-1], deal, discount, sweep, scratch)
-            scratch.drop(pairs)
-            pairs = following
-        while len(ups) > KEPT:
-            scratch.drop(ups.pop(0))
-            sums.pop(0)
-    answers = _answers(pairs, ups, sums, chunked, deal, discount, scratch)
-    scratch.drop(pairs, blocks, *ups)
-    answered = answers[0]
-    for more in answers[1:]:
-        answered = answered.unionByName(more)
-
-    def scored(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        size, token, ids = np.asarray(left.column("size")[0].as_py()), *(unpack(left.column(c)[0].as_py()) for c in ("token", "id"))
-        got = sorted((r["shard"], r["p"]) for r in right.select(["shard", "p"]).to_pylist())
-        p = np.concatenate([np.frombuffer(x, "<f4") for _, x in got]).astype(np.float64)
-        score = np.add.reduceat(p[deal.pairs(size, token, ids)[3]], np.cumsum(size) - size)
-        flat = lambda c: left.column(c).combine_chunks().flatten()
-        columns = [flat("doc_id"), flat("held"), flat("size"), flat("known"), pa.array(np.full(len(size), n), pa.int64()), flat("base"), pa.array(score)]
-        return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return chunked.groupBy("cid").cogroup(answered.groupBy("cid")).applyInArrow(scored, schema)
+    with few_rows(spark):
+        word_shards, pair_shards = (max(least, -(-tokens // each)) for least, each in ((WORD_SHARDS, WORD_TOKENS), (PAIR_SHARDS, PAIR_TOKENS)))
+        words_ = vocabulary(read, word_shards, scratch)
+        blocks = scratch.keep(words_.where("cid IS NULL").drop("cid"))
+        counted = {r.ws: r for r in blocks.select("ws", "v", "types", "tokens").collect()}  # a row a shard
+        offsets = np.concatenate(([0], np.cumsum([counted[k].v if k in counted else 0 for k in range(word_shards)])))
+        n, v, start = sum(r.tokens for r in counted.values()), sum(r.types for r in counted.values()), int(offsets[-1])
+        chunked = _numbered(read, words_, offsets, n, v, scratch)
+        most = max(HOT, tokens // HOT_WORDS)
+
+        def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [offsets[ws] + np.flatnonzero(unpack(c) > most) for ws, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["id"])
+
+        hot = np.sort(blocks.select("ws", "c").mapInArrow(frequent, "id bigint").toArrow().column(0).to_numpy())  # at most HOT_WORDS
+        deal = Deal(start, np.append(hot, start) if n_docs > most else hot, pair_shards)
+        scratch.drop(read, words_)
+        pairs = _first_seats(chunked, deal, scratch)
+        discount, model = discount_of(pairs), Words(scratch)
+        ups, sums = [], []  # of the states that are kept, the last one last
+        for sweep in range(SWEEPS + 1):
+            ups.append(_parents(pairs, blocks, offsets, model, scratch))
+            sums.append(spark.sparkContext.broadcast(Sums(pairs)))  # at most HOT_WORDS + 1 rows
+            if sweep < SWEEPS:
+                following = _redrawn(pairs, ups[-1], sums[-1], deal, discount, sweep, scratch)
+                scratch.drop(pairs)
+                pairs = following
+            while len(ups) > KEPT:
+                scratch.drop(ups.pop(0))
+                sums.pop(0)
+        answers = _answers(pairs, ups, sums, chunked, deal, discount, scratch)
+        scratch.drop(pairs, blocks, *ups)
+        answered = answers[0]
+        for more in answers[1:]:
+            answered = answered.unionByName(more)
+
+        def scored(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            size, token, ids = np.asarray(left.column("size")[0].as_py()), *(unpack(left.column(c)[0].as_py()) for c in ("token", "id"))
+            got = sorted((r["shard"], r["p"]) for r in right.select(["shard", "p"]).to_pylist())
+            p = np.concatenate([np.frombuffer(x, "<f4") for _, x in got]).astype(np.float64)
+            score = np.add.reduceat(p[deal.pairs(size, token, ids)[3]], np.cumsum(size) - size)
+            flat = lambda c: left.column(c).combine_chunks().flatten()
+            columns = [flat("doc_id"), flat("held"), flat("size"), flat("known"), pa.array(np.full(len(size), n), pa.int64()), flat("base"), pa.array(score)]
+            return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        return chunked.groupBy("cid").cogroup(answered.groupBy("cid")).applyInArrow(scored, schema)

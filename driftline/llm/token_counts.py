@@ -1,31 +1,37 @@
 """Token counts under a unigram vocabulary, by dynamic programming over a trie of pre-tokens.
 
-A text's pre-tokens are its words, each with the mark of a preceding blank. Distinct pre-tokens are inserted in a trie,
-and the forward score of a prefix (that of its best division into pieces) is computed once, when its node is made: all
-pre-tokens that share the prefix share it. A node only has to look at pieces that end at it, which a second, reversed
-trie of the vocabulary finds while walking towards the root. A pre-token's token count is stored at its last node.
-
-A worker keeps its trie between batches and tasks and starts anew when it reaches NODES nodes, so that its memory is
-bounded whatever the corpus holds; results don't depend on that. Counting shuffles nothing.
+A text's pre-tokens are its words, each with the mark of a preceding blank. Documents are read in chunks, which send each different
+word once to a shard, words that begin alike to the same one. A shard inserts its words in a trie in sorted order, so that of all its
+nodes only those on the way to the last word need be held: the forward score of a prefix (that of its best division into pieces) is
+computed once, when its node is made, and all pre-tokens that share the prefix share it. A node only has to look at pieces
+that end at it, which a second, reversed trie of the vocabulary finds while walking towards the root. A pre-token's token count
+stands at its last node, and goes back to the chunks that asked.
+
+Documents are read twice, once for their words and once for their counts; what lies between is a table of a byte for each word
+of a chunk. Should the second reading not be that of the first, which a digest of each chunk shows, an error is raised.
 """
 
 from __future__ import annotations
 
 import math
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import small_batches
+from .blocks import BINARY, LONG, Texts, batch_of, cut, distinct_words, hashed_spans, mix, pack, read_chunks, unpack
+from .common import Scratch, small_batches
 
 #: The public vocabulary; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-NODES = 700_000
+#: Words of a chunk (but a text is never cut), how many shards there are at least (else as many as the session's shuffle partitions),
+#: and the first letters that decide which shard a word goes to.
+CHUNK_WORDS, SHARDS, LEAD = 1 << 20, 64, 4
 #: An unknown character scores so much less than the worst piece, and becomes one token for each of its bytes.
 UNKNOWN = 10.0
 
@@ -40,77 +46,79 @@ def pieces(path: str = VOCABULARY) -> dict[str, float]:
 
 
 class Trie:
-    """Pre-tokens seen, with a forward score and token count for each prefix. Letters are code points."""
+    """Forward scores and token counts along the way to the last pre-token; the root is the empty prefix."""
 
     def __init__(self, scores: dict[str, float]):
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN
-        self.single = {ord(p) for p in scores if len(p) == 1}
-        # the vocabulary read backwards: from a node's last letter towards the root; the score stands under -1
+        self.single = {p for p in scores if len(p) == 1}
+        # the vocabulary read backwards: from a node's last letter towards the root; the score stands under None
         self.back: dict = {}
         for piece, score in scores.items():
             node = self.back
             for letter in reversed(piece):
-                node = node.setdefault(ord(letter), {})
-            node[-1] = score
+                node = node.setdefault(letter, {})
+            node[None] = score
+        self.made = 0
         self.clear()
 
     def clear(self) -> None:
-        #: Child by parent and letter in one number.
-        self.child: dict[int, int] = {}
-        self.parent, self.letter, self.score, self.count = array("i", [-1]), array("i", [-1]), array("d", [0.0]), array("i", [0])
+        self.letters, self.scores, self.counts = [""], [0.0], [0]
 
-    def _grow(self, node: int, letter: int) -> int:
+    def _grow(self, letter: str) -> None:
         """Adds a node and computes its forward score from its ancestors'. Of equal scores the longest last piece wins."""
-        parent, letters, scores = self.parent, self.letter, self.score
+        letters, scores = self.letters, self.scores
         best, count = -math.inf, 0
-        back, at = self.back.get(letter), node
+        back, at = self.back.get(letter), len(scores) - 1
         while back is not None:
-            own = back.get(-1)
+            own = back.get(None)
             if own is not None and (own := own + scores[at]) >= best:
-                best, count = own, self.count[at] + 1
-            back, at = back.get(letters[at]) if at else None, parent[at]
-        if letter not in self.single and (unknown := scores[node] + self.unknown) > best:
-            best, count = unknown, self.count[node] + len(chr(letter).encode("utf-8", "surrogatepass"))
-        new = len(parent)
-        self.child[node << 21 | letter] = new
-        parent.append(node)
+                best, count = own, self.counts[at] + 1
+            back, at = back.get(letters[at]) if at else None, at - 1
+        if letter not in self.single and (unknown := scores[-1] + self.unknown) > best:
+            best, count = unknown, self.counts[-1] + len(letter.encode("utf-8", "surrogatepass"))
         letters.append(letter)
         scores.append(best)
-        self.count.append(count)
-        return new
-
-    def tokens(self, word: str) -> int:
-        """How many tokens the best division of BLANK and word has."""
-        node, child = 0, self.child
-        for letter in map(ord, BLANK + word):
-            following = child.get(node << 21 | letter)
-            node = self._grow(node, letter) if following is None else following
-        return self.count[node]
-
-
-_TRIES: dict[str, tuple[Trie, dict[bytes, int]]] = {}
+        self.counts.append(count)
+        self.made += 1
+
+    def tokens(self, words: list[str]) -> list[int]:
+        """How many tokens the best division of BLANK and each word has; sorted words share all that they can."""
+        out, before = [], ""
+        for word in words:
+            word = BLANK + word
+            same, most = 0, min(len(word), len(before))
+            while same < most and word[same] == before[same]:
+                same += 1
+            for row in (self.letters, self.scores, self.counts):
+                del row[same + 1 :]
+            for letter in word[same:]:
+                self._grow(letter)
+            out.append(self.counts[-1])
+            before = word
+        self.clear()
+        return out
 
 
-def _trie(path: str, scores: Broadcast) -> tuple[Trie, dict[bytes, int]]:
-    """This worker's trie, and the counts stored at terminal nodes by pre-token."""
-    if path not in _TRIES:
-        _TRIES[path] = Trie(scores.value), {}
-    return _TRIES[path]
+def _read(texts: Texts, shards: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's name and digest, the place of each different word in the order of shards, shard limits, and for each place of
+    the texts which word stands there."""
+    first, which = distinct_words(texts.hashes)
+    start, size = (np.cumsum(texts.sizes) - texts.sizes)[first], texts.sizes[first]
+    lead = np.zeros(len(first), np.uint64)
+    for k in range(LEAD):
+        long = size > k
+        lead[long] = lead[long] << np.uint64(8) | texts.letters[start[long] + k].astype(np.uint64)
+    shard = (mix(lead + np.uint64(1)) >> np.uint64(32)).astype(np.int64) * shards >> 32
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    digest = int(np.bitwise_xor.reduce(texts.hashes[first]).view(np.int64)) if len(first) else 0
+    limits = np.searchsorted(shard[order], np.arange(shards + 1))
+    return texts.column("rid")[0].as_py(), digest, first[order], limits, place[which]
 
 
-def count(text: str | None, trie: Trie, terminal: dict[bytes, int], most: int = NODES) -> tuple[int, int]:
-    """Words and tokens of a whole text."""
-    words = text.encode("utf-8", "surrogatepass").split() if text else []
-    get, total = terminal.get, 0
-    for w in words:
-        n = get(w)
-        if n is None:
-            if len(trie.parent) > most:
-                terminal.clear()
-                trie.clear()
-            n = terminal[w] = trie.tokens(w.decode("utf-8", "surrogatepass"))
-        total += n
-    return len(words), total
+_ASK = [("shard", LONG), ("cid", LONG), ("digest", LONG), ("sizes", BINARY), ("letters", BINARY)]
+_ANSWER = [("cid", LONG), ("shard", LONG), ("digest", LONG), ("counts", BINARY)]
 
 
 def query(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -120,14 +128,54 @@ def query(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     give no rows; other columns are not looked at. Texts are counted whole. Only the driver reads path; executors get its pieces,
     of which a vocabulary file holds no more than fit in memory.
     """
-    small_batches(docs.sparkSession)
-    scores = docs.sparkSession.sparkContext.broadcast(pieces(path))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "token-counts")
+    small_batches(spark)
+    scores: Broadcast = spark.sparkContext.broadcast(pieces(path))
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, terminal = _trie(path, scores)
-        for b in batches:
-            counts = [count(t, trie, terminal) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, n_words bigint, n_tokens bigint")
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+
+    shards = max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in read_chunks(batches, CHUNK_WORDS):
+            cid, digest, first, limits, _ = _read(texts, shards)
+            size, letters = texts.sizes[first], cut(texts.letters, texts.sizes, first)
+            ends = np.append(0, np.cumsum(size))
+            yield batch_of(_ASK, [(k, cid, digest, pack(size[s:e]), letters[ends[s] : ends[e]].tobytes()) for k, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
+
+    def answer(key: tuple, group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        sizes = [unpack(r["sizes"]) for r in rows]
+        size, data = np.concatenate(sizes), np.frombuffer(b"".join([r["letters"] for r in rows]), np.uint8)
+        ends = np.cumsum(size)
+        first, which = distinct_words(hashed_spans(data, ends - size, ends))
+        words = [data[e - n : e].tobytes().decode("utf-8", "surrogatepass") for e, n in zip(ends[first].tolist(), size[first].tolist(), strict=True)]
+        order = sorted(range(len(words)), key=words.__getitem__)
+        counts = np.empty(len(words), np.int64)
+        counts[order] = Trie(scores.value).tokens([words[i] for i in order])
+        told, upto = counts[which], np.cumsum([len(x) for x in sizes]).tolist()
+        return pa.Table.from_batches([batch_of(_ANSWER, [(r["cid"], r["shard"], r["digest"], pack(told[s:e])) for r, s, e in zip(rows, [0, *upto], upto)])])
+
+    def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in read_chunks(batches, CHUNK_WORDS):
+            cid, digest, _, _, token = _read(texts, shards)
+            ids = pa.ListArray.from_arrays(pa.array([0, len(texts.counts)], pa.int32()), texts.column("doc_id"))
+            columns = [pa.array([cid], LONG), pa.array([digest], LONG), ids, pa.array([pack(texts.counts)], BINARY), pa.array([pack(token)], BINARY)]
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "digest", "doc_id", "sizes", "token"])
+
+    def total(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ((digest, ids, sizes, token),) = zip(*(left.column(c) for c in ("digest", "doc_id", "sizes", "token")), strict=True)
+        token, sizes = unpack(token.as_py()), unpack(sizes.as_py())
+        rows = sorted(right.to_pylist(), key=lambda r: r["shard"])
+        if {r["digest"] for r in rows} != ({digest.as_py()} if len(token) else set()):
+            raise RuntimeError("the documents were not the same when they were read again")
+        counts = np.concatenate([np.zeros(0, np.int64), *(unpack(r["counts"]) for r in rows)])
+        sums = np.append(0, np.cumsum(counts[token]))
+        limits = np.append(0, np.cumsum(sizes))
+        return pa.table({"doc_id": ids.values, "n_words": pa.array(sizes), "n_tokens": pa.array(sums[limits[1:]] - sums[limits[:-1]])})
+
+    asked = own.mapInArrow(ask, "shard bigint, cid bigint, digest bigint, sizes binary, letters binary")
+    answers = scratch.keep(asked.groupBy("shard").applyInArrow(answer, "cid bigint, shard bigint, digest bigint, counts binary"))
+    again = own.mapInArrow(chunk_rows, f"cid bigint, digest bigint, doc_id array<{doc_id}>, sizes binary, token binary")
+    return again.groupBy("cid").cogroup(answers.groupBy("cid")).applyInArrow(total, f"doc_id {doc_id}, n_words bigint, n_tokens bigint")

@@ -475,14 +475,23 @@ def test_token_counts(docs, rows):
     assert got == Counter((d, len(brute.words(t)), sum(known[w] for w in brute.words(t))) for d, t, *_ in rows)
 
 
-def test_a_small_trie_counts_alike():
+def test_a_prefix_is_computed_once():
     scores = {"▁": -3.0, "a": -2.0, "b": -2.0, "ab": -3.0, "▁a": -4.0}
-    trie, held = token_counts.Trie(scores), {}
-    texts = ["ab a b", "abab é", "b" * 50, ""]
-    free = [token_counts.count(t, trie, held) for t in texts]
-    trie, held = token_counts.Trie(scores), {}
-    assert [token_counts.count(t, trie, held, most=3) for t in texts] == free
-    assert free[0] == (3, 5) and free[3] == (0, 0)
+    words = sorted(["ab", "a", "b", "abab", "é", "b" * 50, "abé", "ab"])
+    trie = token_counts.Trie(scores)
+    together = trie.tokens(words)
+    assert trie.made == 1 + len({w[:k] for w in words for k in range(1, len(w) + 1)})
+    assert together == [token_counts.Trie(scores).tokens([w])[0] for w in words] and dict(zip(words, together, strict=True))["ab"] == 2
+    assert trie.tokens(["b"]) == [2] and trie.tokens([]) == []
+
+
+def test_documents_must_be_the_same_when_read_again(spark):
+    """A column that is made anew each time shows at once."""
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.concat(F.lit("a "), F.uuid()).alias("text"))
+    fixed = docs.withColumn("text", F.concat(F.lit("a b"), F.col("doc_id").cast("string")))
+    assert token_counts.query(fixed).count() == 20
+    with pytest.raises(Exception, match="not the same"):
+        token_counts.query(docs.withColumn("text", F.udf(lambda: __import__("uuid").uuid4().hex).asNondeterministic()())).collect()
 
 
 def test_mixing_agrees_with_sql(spark, docs, tmp_path):
