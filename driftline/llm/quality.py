@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, Scratch, words
+from .common import BLANKS, Scratch, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -78,7 +78,9 @@ def repeated(w: Column) -> Column:
             ),
         )
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    # words are hashed once, and windows from the hashes of their words
+    window = lambda h: F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    hashes = let(F.transform(w, lambda x: F.xxhash64(x)), window)
     counted = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
     return F.when(F.size(w) < WINDOW, 0).otherwise(counted)
 
