@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.evaluate import same_rows
+from ..operators.evaluate import gold_gate, same_rows
 from ..sources import catalog
 from .generate import strip_fences
 from .relink import guidance, relink
@@ -67,6 +67,17 @@ def exec_match(spark: SparkSession, predicted: str | None, gold: str | None, tab
     return not isinstance(got, str) and not isinstance(want, str) and same_rows(got, want)
 
 
+def gate(spark: SparkSession, item: dict, pre: Tables, post: Tables) -> str | None:
+    """Why an item can't be scored, or None: its right queries must run, have rows, and the same ones (of merged columns as many)."""
+    before, after = runs(spark, item["gold_pre"], pre), runs(spark, item["gold_post"], post)
+    for side, got in (("pre", before), ("post", after)):
+        if isinstance(got, str):
+            return f"execution_error_{side}"
+        if got.isEmpty():
+            return f"empty_{side}"
+    return gold_gate(before, after, item.get("op") or item["perturbation"])
+
+
 @dataclass
 class Change:
     """What all items of one run share: tables before and after, their schemas as text, and the events between them."""

@@ -466,11 +466,15 @@ _GATES = [
     ("none before", "SELECT o_orderkey FROM {orders} WHERE o_orderkey < 0", "SELECT o_orderkey FROM {orders}", "TABLE_RENAME"),
     ("none after", "SELECT o_orderkey FROM {orders}", "SELECT o_orderkey FROM {orders} WHERE o_orderkey < 0", "COLUMN_MERGE"),
     ("merged", "SELECT c_name FROM {customer}", "SELECT c_name || ' ' || c_mktsegment AS c FROM {customer}", "COLUMN_MERGE"),
+    ("fails before", "SELECT nope FROM {orders}", "SELECT o_orderkey FROM {orders}", "TABLE_RENAME"),
+    ("fails after", "SELECT o_orderkey FROM {orders}", "SELECT 1 / (o_orderkey - o_orderkey) AS x FROM {orders}", "TABLE_RENAME"),
     ("merged and fewer", "SELECT c_name FROM {customer}", "SELECT c_name || ' ' || c_mktsegment AS c FROM {customer} WHERE c_custkey > 9", "COLUMN_MERGE"),
 ]
 
 
 def _gate_sql(name: str, pre: str, post: str, op: str) -> str:
+    if name.startswith("fails"):
+        return f"SELECT '{name}' AS item, 'execution_error_{'pre' if name == 'fails before' else 'post'}' AS gate"
     a, b = (f"({x.replace('{', '').replace('}', '')})" for x in (pre, post))
     differ = f"(SELECT COUNT(*) FROM {a}) <> (SELECT COUNT(*) FROM {b})"
     last = f"WHEN {differ} THEN 'row_count_mismatch'" if op == "COLUMN_MERGE" else f"WHEN EXISTS ({a} EXCEPT ALL {b}) OR EXISTS ({b} EXCEPT ALL {a}) THEN 'result_mismatch'"
@@ -479,7 +483,10 @@ def _gate_sql(name: str, pre: str, post: str, op: str) -> str:
 
 @query(" UNION ALL ".join(_gate_sql(*g) for g in _GATES))
 def gold_gate(spark: SparkSession, t: Tables) -> DataFrame:
-    return spark.createDataFrame([(name, evaluate.gold_gate(t.sql(pre), t.sql(post), op) or "ok") for name, pre, post, op in _GATES], "item string, gate string")
+    plain = lambda sql: sql.replace("{", "").replace("}", "")
+    tables = {"orders": t["orders"], "customer": t["customer"]}
+    items = [(name, {"gold_pre": plain(pre), "gold_post": plain(post), "perturbation": op}) for name, pre, post, op in _GATES]
+    return spark.createDataFrame([(name, workload.gate(spark, item, tables, tables) or "ok") for name, item in items], "item string, gate string")
 
 
 # Queries made wrong, judged and described. Golds run on the test tables.
@@ -751,9 +758,10 @@ def benchmark_merge(spark: SparkSession, t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, coalesce(CAST(c_name AS VARCHAR), '') || ' ' || coalesce(CAST(c_mktsegment AS VARCHAR), '') AS label FROM customer")
 def benchmark_column_merge(spark: SparkSession, t: Tables) -> DataFrame:
-    """A merge of columns that only shows in a table's columns before and after."""
+    """A merge of columns that only shows in the definitions before and after."""
     own = t["customer"].select("c_custkey", "c_name", "c_mktsegment")
-    item = {"op": "COLUMN_MERGE", "spec": {"new_relevant_table": {"customer": "customer (c_custkey int, label text)"}}}
+    tables = {"relevant_table": {"customer": "customer (c_custkey int, c_name text, c_mktsegment text)"}, "new_relevant_table": {"customer": "customer (c_custkey int, label text)"}}
+    item = {"op": "COLUMN_MERGE", "spec": tables}
     return benchmark.materialize({"customer": own}, item)["customer"].select("c_custkey", "label")
 
 

@@ -15,11 +15,11 @@ from ..plans.sqltext import outline
 
 #: Operators and their files, and words that are types in definitions.
 FILES = {
-    "TABLE_RENAME": "rename_table.json",
-    "COLUMN_RENAME": "rename_column.json",
-    "TABLE_SPLIT": "split_table.json",
-    "TABLE_MERGE": "merge_table.json",
-    "COLUMN_MERGE": "split_or_merge_column.json",
+    "TABLE_RENAME": "rename_tables_bird_dev.json",
+    "COLUMN_RENAME": "rename_columns_bird_dev.json",
+    "TABLE_SPLIT": "split_tables_bird_dev.json",
+    "TABLE_MERGE": "merge_tables_bird_dev_revised_finally.json",
+    "COLUMN_MERGE": "bird_split_or_merge_columns.json",
 }
 TYPES = frozenset("text integer real blob numeric date datetime int float boolean time timestamp".split())
 FOREIGN = re.compile(r"foreign\s+key\s*\(\s*([^)]+?)\s*\)", re.IGNORECASE)
@@ -108,13 +108,16 @@ def materialize(tables: evolve.Tables, item: dict) -> evolve.Tables:
     """The tables after an item's change. A change that its specification can't describe raises ValueError."""
     op, spec = item["op"], item["spec"]
     if op == "TABLE_RENAME":
-        for old, new in spec["old_new_table_mapping"].items():
+        for old, new in spec["old_new_table_mappings"].items():
             tables = evolve.rename_table(tables, old, new)
         return tables
-    new_tables = spec.get("new_relevant_table", {})
+    new_tables = spec.get("new_relevant_table") or {}
     if op == "COLUMN_RENAME":
-        for table, entry in new_tables.items():
-            tables = evolve.rename_by_position(tables, table, entry_columns(entry))
+        for table, entry in spec["relevant_table"].items():
+            old, new = entry_columns(entry), entry_columns(new_tables.get(table))
+            if len(old) != len(new):
+                raise ValueError(f"{table} has {len(old)} columns before and {len(new)} after")
+            tables = evolve.rename_columns(tables, table, {a: b for a, b in zip(old, new, strict=True) if a != b})
         return tables
     if op == "TABLE_SPLIT":
         for old, parts in spec["old_new_table_column_mapping"].items():
@@ -130,13 +133,35 @@ def materialize(tables: evolve.Tables, item: dict) -> evolve.Tables:
     if op == "TABLE_MERGE":
         return _merged(tables, spec, new_tables)
     if op == "COLUMN_MERGE":
-        for table, entry in new_tables.items():
-            target, sources = evolve.merged_columns(tables[table].columns, entry_columns(entry))
+        table, merges = column_merges(spec)
+        for target, sources in merges.items():
             tables = evolve.merge_columns(tables, table, sources, target)
         return tables
     raise ValueError(f"no such operator: {op}")
 
 
+def column_merges(spec: dict) -> tuple[str, dict[str, list[str]]]:
+    """The table whose columns merge, and each new column's sources: as the specification lists them, else as the definitions before
+    and after show, sources in their old order."""
+    old, new = spec.get("relevant_table"), spec.get("new_relevant_table")
+    if not isinstance(new, dict):
+        raise ValueError("the specification has no tables")
+    after = {table: entry_columns(entry) for table, entry in new.items()}
+    if listed := spec.get("column_changes"):
+        wanted = {c.lower() for c in listed}
+        for table, columns in after.items():
+            if wanted <= {c.lower() for c in columns}:
+                return table, listed
+        raise ValueError(f"no table has {sorted(listed)}")
+    for table, columns in after.items():
+        try:
+            target, sources = evolve.merged_columns(entry_columns((old or {}).get(table)), columns)
+            return table, {target: sources}
+        except ValueError:
+            continue
+    raise ValueError("the definitions don't show one merge")
+
+
 def _merged(tables: evolve.Tables, spec: dict, new_tables: dict) -> evolve.Tables:
     """Two tables as one, with the columns that the specification lists: taken from where it says, else from the first table that has
     them, else by a name that ends with its table's."""
