@@ -34,9 +34,10 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 TILE_ROWS = 2048
 #: For near copies: shingle, similarity, words of fingerprint, the radius within which pairs are candidates (a pair at 0.8 differs in
 #: 38.7 of 256 bits on average, deviation 5.7; very short ones in 48, deviation 6.2) and that of its first word, where it only
-#: spares looking at the others; rows of a tile part; rows and words of a part of a group.
+#: spares looking at the others; rows of a tile part; rows of a group that is not yet cut,
+#: and rows and words of a part of one.
 NEAR_SHINGLE, SIMILARITY, WIDTH, NEAR_RADIUS, FIRST_RADIUS, NEAR_ROWS = 5, 0.8, 4, 64, 23, 32768
-GROUP_ROWS, GROUP_WORDS = 4096, 4_000_000
+GROUP_SPREAD, GROUP_ROWS, GROUP_WORDS = 64, 4096, 4_000_000
 #: Cells of one comparison and hashes counted at once.
 CELLS, HASHES = 1 << 20, 1 << 16
 QUARTERS = 4
@@ -223,34 +224,49 @@ def near_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return own.unionByName(sent).groupBy("at", "at_part").applyInArrow(compare, "a bigint, b bigint")
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets, as sorted arrays, have the similarity."""
-    few, many = sorted((len(a), len(b)))
-    if few < SIMILARITY * many:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= SIMILARITY * (few + many - both)
+class Sets:
+    """Shingle sets of a part of a group, as numbers in a row."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.asarray([len(x) for x in sets], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        names, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.held = np.zeros(len(names), bool)
+
+    def alike(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Whether set i has the similarity with each of the sets j, which are sorted."""
+        own = self.flat[self.start[i] : self.start[i] + self.size[i]]
+        self.held[own] = True
+        if 4 * len(j) > len(self.size):  # all at once
+            both = np.add.reduceat(self.held[self.flat], self.start, dtype=np.int64)[j]
+        else:
+            size = self.size[j]
+            at = np.repeat(self.start[j] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            both = np.add.reduceat(self.held[self.flat[at]], np.cumsum(size) - size, dtype=np.int64)
+        self.held[own] = False
+        return both >= SIMILARITY * (self.size[i] + self.size[j] - both)
 
 
 def confirmed(own: int, prints: np.ndarray, sets: list[np.ndarray], across: bool) -> list[tuple[int, int]]:
     """Links, as places, that join the first so many rows with each other (or only with the rest, if across) into the groups
     that all pairs within the radius and of the similarity make: at most one a row. A pair that wouldn't join two groups isn't looked at."""
     root, out = np.arange(len(prints)), []
+    held = Sets(sets) if sets else None
     for i in range(own):
         j = np.arange(own if across else i + 1, len(prints))
-        j = j[root[j] != root[i]]
+        few, many = np.minimum(held.size[j], held.size[i]), np.maximum(held.size[j], held.size[i])
+        j = j[(root[j] != root[i]) & (few >= SIMILARITY * many)]
+        bits = np.zeros(len(j), np.int64)
         for k in range(WIDTH):  # bit counts of a row against all that may still be near
-            bits = np.bitwise_count(prints[i, k] ^ prints[j, k]) + (bits if k else np.int64(0))
+            bits += np.bitwise_count(prints[i, k] ^ prints[j, k])
             near = bits <= (FIRST_RADIUS if k == 0 else NEAR_RADIUS)
             j, bits = j[near], bits[near]
-        j = j[np.argsort(bits, kind="stable")]
-        while len(j):
-            if alike(sets[i], sets[j[0]]):
-                out.append((i, int(j[0])))
-                root[root == root[j[0]]] = root[i]
-                j = j[root[j] != root[i]]
-            else:
-                j = j[1:]
+        if not len(j):
+            continue
+        j = j[held.alike(i, j)]
+        others, first = np.unique(root[j], return_index=True)
+        out += [(i, x) for x in j[first].tolist()]
+        root[np.isin(root, others)] = root[i]
     return out
 
 
@@ -271,7 +287,8 @@ def near_groups(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFram
     """node and root for all nodes (rid, digest, id, copies, fp, n) that are near copies of another, by their shingle sets."""
     candidates = components(scratch.keep(near_links(nodes, scratch)), scratch).withColumnRenamed("root", "cand")
     members = scratch.keep(nodes.join(candidates, F.col("rid") == F.col("node")).drop("node"))
-    parts = F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_WORDS)).cast("int")
+    spread = F.ceil(F.sqrt(F.count("*") / GROUP_SPREAD))  # so that both the pairs of parts and what each holds grow with a group's root
+    parts = F.greatest(spread, F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_WORDS)).cast("int")
     sizes = scratch.keep(members.groupBy("cand").agg(parts.alias("parts")))
     placed = scratch.keep(members.join(sizes, "cand").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts").cast("long")).cast("int")))
     texts = one_row_each(docs.select("doc_id", "text"), placed.select("digest", "id", "copies", "rid", "fp", "cand", "part", "parts"), scratch)
