@@ -136,10 +136,17 @@ def read_chunks(batches: Iterator[pa.RecordBatch], most: int, lower: bool = Fals
             held.append((b.slice(first, len(group)).drop_columns(["text"]), counts, hashed_spans(data, starts, ends), ends - starts, letters))
             n += len(starts) + len(group)
             if n >= most:
-                yield Texts([x[0] for x in held], *(np.concatenate([x[k] for x in held]) for k in range(1, 5)))
-                held, n = [], 0
+                n = 0
+                yield _joined(held)
     if held:
-        yield Texts([x[0] for x in held], *(np.concatenate([x[k] for x in held]) for k in range(1, 5)))
+        yield _joined(held)
+
+
+def _joined(held: list[tuple]) -> Texts:
+    """The pieces of a chunk as one; the pieces go, so that memory doesn't hold both."""
+    out = Texts([x[0] for x in held], *(np.concatenate([x[k] for x in held]) for k in range(1, 5)))
+    held.clear()
+    return out
 
 
 def pack(a: np.ndarray) -> bytes:

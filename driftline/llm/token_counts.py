@@ -31,7 +31,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Words of a chunk (but a text is never cut), how many shards there are at least (else as many as the session's shuffle partitions),
 #: and the first letters that decide which shard a word goes to.
-CHUNK_WORDS, SHARDS, LEAD = 1 << 20, 64, 4
+CHUNK_WORDS, SHARDS, LEAD = 1 << 19, 128, 4
 #: An unknown character scores so much less than the worst piece, and becomes one token for each of its bytes.
 UNKNOWN = 10.0
 
