@@ -477,8 +477,8 @@ class Words:
 
     def rated(self, words_: DataFrame) -> DataFrame:
         """ws and up, each word's probability without context, from the seats of the last sweep; words without customers are the
-        unknown one."""
-        sent = words_.sparkSession.sparkContext.broadcast(self.state)
+        unknown one. What it reads goes with sent, which can be destroyed once the result is written."""
+        sent = self.sent = words_.sparkSession.sparkContext.broadcast(self.state)
         discount, customers = self.discount, self.customers
 
         def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -542,6 +542,7 @@ def _parents(pairs: DataFrame, blocks: DataFrame, offsets: np.ndarray, model: Wo
         return pa.Table.from_batches([batch_of([("shard", LONG), ("ws", LONG), ("up", BINARY)], out)])
 
     rated = scratch.keep(model.rated(words_))
+    model.sent.destroy()
     out = scratch.keep(sent.select("ws", "shard", "rank").groupBy("ws").cogroup(rated.groupBy("ws")).applyInArrow(answer, "shard bigint, ws bigint, up binary"))
     scratch.drop(sent, words_, rated)
     return out
