@@ -8,8 +8,10 @@ compared, so that no task holds more than a bounded number of rows whatever a ti
 
 keep_one() is for near copies in general: five-word shingles at a similarity of 0.8 or more. Fingerprints of four words that
 count each different shingle once give candidates, within a radius that pairs of that similarity hardly ever exceed; their tiles
-are classes of length, as texts of that similarity differ in length by no more than a factor of 1.25. Candidates' groups are then
-compared by their shingle sets, and a link only counts if these have the similarity. Groups of any size are cut into parts of
+are classes of length. Candidates' groups are then compared by their shingle sets, and a link only counts if these have the
+similarity: of the smaller set's shingles the other has four fifths or more, and it has four fifths or more of the other's number. (By
+what both have over what either has, a text in which one word of thirty is another falls to 0.7, far below what a reader takes for
+a near copy.) Groups of any size are cut into parts of
 bounded rows and words, and every pair of parts is compared.
 
 A pair of parts doesn't give its links, which grow with the square of a group, but a star for each of its connected
@@ -32,11 +34,11 @@ from .common import Scratch, components, small_batches
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 TILE_ROWS = 2048
-#: For near copies: shingle, similarity, words of fingerprint, the radius within which pairs are candidates (a pair at 0.8 differs in
-#: 38.7 of 256 bits on average, deviation 5.7; very short ones in 48, deviation 6.2) and that of its first word, where it only
-#: spares looking at the others; rows of a tile part; rows of a group that is not yet cut,
-#: and rows and words of a part of one.
-NEAR_SHINGLE, SIMILARITY, WIDTH, NEAR_RADIUS, FIRST_RADIUS, NEAR_ROWS = 5, 0.8, 4, 64, 23, 32768
+#: For near copies: shingle, similarity, words of fingerprint, how many of these are compared for all pairs and the radius in them,
+#: the radius in all of them, and rows of a tile part. A pair at the similarity differs in 52 of 256 bits on average, deviation 6.5
+#: (26 of 128, 4.6), and in 63, deviation 6.9 (32 of 128, 4.9), if its sizes differ as much as they may; beyond the radii lie at most
+#: three in a thousand. A group that is not yet cut has so many rows, a part of one so many rows and words.
+NEAR_SHINGLE, SIMILARITY, WIDTH, WHOLE, FIRST_RADIUS, NEAR_RADIUS, NEAR_ROWS = 5, 0.8, 4, 2, 46, 82, 32768
 GROUP_SPREAD, GROUP_ROWS, GROUP_WORDS = 64, 4096, 4_000_000
 #: Cells of one comparison and hashes counted at once.
 CELLS, HASHES = 1 << 20, 1 << 16
@@ -93,11 +95,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def stars(own: int, words: list[np.ndarray], radii: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def stars(own: int, words: list[np.ndarray], radii: list[int], whole: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Edges, as places, that join the first so many fingerprints with all that are near, a star for each group.
 
-    words hold the fingerprints' first words, second words and so on; near means that the words up to each one differ in no
-    more bits than its radius says.
+    words hold the fingerprints' first words, second words and so on; near means that the first so many words together differ in no
+    more bits than the first radius says, and those up to each further one than the next. Only the first are compared for all pairs.
 
     Works block by block. Each block's links are mapped to the groups found so far before they are looked at, so only
     links that still join two groups are followed.
@@ -107,10 +109,12 @@ def stars(own: int, words: list[np.ndarray], radii: list[int]) -> tuple[np.ndarr
     rows = max(1, CELLS // max(1, size))
     for at in range(0, own, rows):
         far = np.bitwise_count(first[at : min(own, at + rows), None] ^ first[None, :])
+        for word in words[1:whole]:
+            far += np.bitwise_count(word[at : min(own, at + rows), None] ^ word[None, :])
         i, j = np.nonzero(far <= radii[0])
-        if len(words) > 1:
+        if len(words) > whole:
             bits = far[i, j].astype(np.int64)
-            for word, radius in zip(words[1:], radii[1:], strict=True):
+            for word, radius in zip(words[whole:], radii[1:], strict=True):
                 bits += np.bitwise_count(word[i + at] ^ word[j])
                 near = bits <= radius
                 i, j, bits = i[near], j[near], bits[near]
@@ -211,13 +215,13 @@ def near_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     near = split.withColumn("at", F.explode(F.array(F.col("tile"), F.col("tile") + 1))).join(F.broadcast(to), "at")
     sent = near.where("at != tile OR to_parts > 1").withColumn("at_part", F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)))
     sent = sent.where("at != tile OR at_part > part").select("at", "at_part", "rid", "fp", F.lit(False).alias("own"))
-    radii = [FIRST_RADIUS, *[NEAR_RADIUS] * (WIDTH - 1)]
+    radii = [FIRST_RADIUS, *[NEAR_RADIUS] * (WIDTH - WHOLE)]
 
     def compare(group: pa.Table) -> pa.Table:
         mine, rid = group.column("own").to_numpy(zero_copy_only=False).astype(bool), group.column("rid").to_numpy()
         order = np.lexsort((rid, ~mine))
         fp = group.column("fp").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, WIDTH)[order]
-        a, b = stars(int(mine.sum()), [np.ascontiguousarray(fp[:, k]) for k in range(WIDTH)], radii)
+        a, b = stars(int(mine.sum()), [np.ascontiguousarray(fp[:, k]) for k in range(WIDTH)], radii, WHOLE)
         rid = rid[order]
         return pa.table({"a": pa.array(rid[a], pa.int64()), "b": pa.array(rid[b], pa.int64())})
 
@@ -244,7 +248,8 @@ class Sets:
             at = np.repeat(self.start[j] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             both = np.add.reduceat(self.held[self.flat[at]], np.cumsum(size) - size, dtype=np.int64)
         self.held[own] = False
-        return both >= SIMILARITY * (self.size[i] + self.size[j] - both)
+        few, many = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        return (both >= SIMILARITY * few) & (few >= SIMILARITY * many)
 
 
 def confirmed(own: int, prints: np.ndarray, sets: list[np.ndarray], across: bool) -> list[tuple[int, int]]:
@@ -259,8 +264,9 @@ def confirmed(own: int, prints: np.ndarray, sets: list[np.ndarray], across: bool
         bits = np.zeros(len(j), np.int64)
         for k in range(WIDTH):  # bit counts of a row against all that may still be near
             bits += np.bitwise_count(prints[i, k] ^ prints[j, k])
-            near = bits <= (FIRST_RADIUS if k == 0 else NEAR_RADIUS)
-            j, bits = j[near], bits[near]
+            if k >= WHOLE - 1:
+                near = bits <= (FIRST_RADIUS if k < WHOLE else NEAR_RADIUS)
+                j, bits = j[near], bits[near]
         if not len(j):
             continue
         j = j[held.alike(i, j)]

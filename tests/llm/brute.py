@@ -77,7 +77,8 @@ def simhash(docs, radius=2):
 
 
 def near_groups(docs, similarity=0.8):
-    """Groups of texts whose sets of five-word shingles have at least this similarity, directly or through others."""
+    """Groups of texts of whose sets of five-word shingles the smaller has at least this share in the other, and of the other's number,
+    directly or through others."""
     sets = []
     for _, t in docs:
         w = words(lower(t))
@@ -85,8 +86,8 @@ def near_groups(docs, similarity=0.8):
     group = list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
-            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-            if not either or both >= similarity * either:
+            both, (few, many) = len(sets[i] & sets[j]), sorted((len(sets[i]), len(sets[j])))
+            if both >= similarity * few and few >= similarity * many:
                 group = [group[j] if g == group[i] else g for g in group]
     return group
 
