@@ -6,7 +6,8 @@ that what is done for each word is done in arrays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -194,6 +195,30 @@ def batch_of(schema: list[tuple[str, pa.DataType]], found: list[tuple]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not every C library has it
+    _TRIM = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def lean_batches(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that releases its memory when its task is done. A worker that waits for the next one would else keep the most
+    that it ever used."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return each
+
+
 @contextmanager
 def few_rows(spark: SparkSession) -> Iterator[None]:
     """Rows are blocks while this lasts: few to a batch."""

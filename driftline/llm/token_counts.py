@@ -23,7 +23,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BINARY, LONG, Texts, batch_of, cut, distinct_words, hashed_spans, mix, pack, read_chunks, unpack
+from .blocks import BINARY, LONG, batch_of, cut, distinct_words, hashed_spans, lean_batches, mix, pack, read_chunks, unpack, Texts
 from .common import Scratch, small_batches
 
 #: The public vocabulary; a parameter of every function here.
@@ -99,6 +99,16 @@ class Trie:
         return out
 
 
+_KNOWN: list = []
+
+
+def _trie(scores: dict[str, float]) -> Trie:
+    """This worker's trie; what is read backwards is made once for a vocabulary."""
+    if not _KNOWN or _KNOWN[0] is not scores:
+        _KNOWN[:] = [scores, Trie(scores)]
+    return _KNOWN[1]
+
+
 def _read(texts: Texts, shards: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's name and digest, the place of each different word in the order of shards, shard limits, and for each place of
     the texts which word stands there."""
@@ -153,7 +163,7 @@ def query(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         words = [data[e - n : e].tobytes().decode("utf-8", "surrogatepass") for e, n in zip(ends[first].tolist(), size[first].tolist(), strict=True)]
         order = sorted(range(len(words)), key=words.__getitem__)
         counts = np.empty(len(words), np.int64)
-        counts[order] = Trie(scores.value).tokens([words[i] for i in order])
+        counts[order] = _trie(scores.value).tokens([words[i] for i in order])
         told, upto = counts[which], np.cumsum([len(x) for x in sizes]).tolist()
         return pa.Table.from_batches([batch_of(_ANSWER, [(r["cid"], r["shard"], r["digest"], pack(told[s:e])) for r, s, e in zip(rows, [0, *upto], upto)])])
 
@@ -175,7 +185,7 @@ def query(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         limits = np.append(0, np.cumsum(sizes))
         return pa.table({"doc_id": ids.values, "n_words": pa.array(sizes), "n_tokens": pa.array(sums[limits[1:]] - sums[limits[:-1]])})
 
-    asked = own.mapInArrow(ask, "shard bigint, cid bigint, digest bigint, sizes binary, letters binary")
+    asked = own.mapInArrow(lean_batches(ask), "shard bigint, cid bigint, digest bigint, sizes binary, letters binary")
     answers = scratch.keep(asked.groupBy("shard").applyInArrow(answer, "cid bigint, shard bigint, digest bigint, counts binary"))
-    again = own.mapInArrow(chunk_rows, f"cid bigint, digest bigint, doc_id array<{doc_id}>, sizes binary, token binary")
+    again = own.mapInArrow(lean_batches(chunk_rows), f"cid bigint, digest bigint, doc_id array<{doc_id}>, sizes binary, token binary")
     return again.groupBy("cid").cogroup(answers.groupBy("cid")).applyInArrow(total, f"doc_id {doc_id}, n_words bigint, n_tokens bigint")
