@@ -31,7 +31,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BINARY, LONG, batch_of, cut, distinct_words, few_rows, grouped, mix, pack, read_chunks, shard_limits, unpack
+from .blocks import BINARY, LONG, batch_of, cut, distinct_words, few_rows, grouped, lean_batches, mix, pack, read_chunks, shard_limits, unpack
 from .common import Scratch, small_batches
 
 SWEEPS, KEPT = 2, 2  # a row of pairs has the tables of two states
@@ -49,7 +49,7 @@ _CLASS[ord("0") : ord("9") + 1] = 27
 _CLASS[128:192], _CLASS[192:256] = 30, 29  # a word's end is never part of a context
 DEPTH = 3
 #: Tokens of a chunk (but a text is never cut), of a shard of pairs, and of a shard of words, and how many shards there are at least.
-CHUNK_TOKENS, PAIR_TOKENS, WORD_TOKENS, PAIR_SHARDS, WORD_SHARDS = 1 << 20, 1 << 19, 1 << 22, 64, 16
+CHUNK_TOKENS, PAIR_TOKENS, WORD_TOKENS, PAIR_SHARDS, WORD_SHARDS = 1 << 19, 1 << 19, 1 << 22, 64, 16
 #: A word that stands more often is a hot context, but never so many words that they'd be more than HOT_WORDS.
 HOT, HOT_WORDS = 1 << 18, 1 << 20
 PASSES = 3
@@ -189,7 +189,8 @@ def log_letters(state: dict) -> np.ndarray:
     if name not in _DENSE:
         while len(_DENSE) >= 2:
             _DENSE.pop(next(iter(_DENSE)))
-        _DENSE[name] = np.log(predictions(state["seats"])[-1])
+        dense = predictions(state["seats"]).pop()
+        _DENSE[name] = np.log(dense, out=dense)
     return _DENSE[name]
 
 
@@ -267,7 +268,7 @@ def vocabulary(chunked: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
         return pa.Table.from_batches([batch_of(out, found)])
 
     ddl = "ws bigint, cid bigint, h binary, c binary, letters binary, spelled binary"
-    dealt = chunked.select("cid", "h", "c", "letters", "spelled").mapInArrow(deal, ddl)
+    dealt = chunked.select("cid", "h", "c", "letters", "spelled").mapInArrow(lean_batches(deal), ddl)
     return scratch.keep(dealt.groupBy("ws").applyInArrow(merge, ddl + ", v bigint, types bigint, tokens bigint"))
 
 
@@ -362,7 +363,7 @@ def _first_seats(chunked: DataFrame, deal: Deal, scratch: Scratch) -> DataFrame:
         c = np.add.reduceat(c, new)
         return _pair_row(key[0].as_py(), b[new], w[new], c, np.minimum(c, 1), np.zeros(0, np.int64), deal)
 
-    sent = chunked.select("held", "size", "token", "id").mapInArrow(send, "shard bigint, b binary, n binary, w binary, c binary")
+    sent = chunked.select("held", "size", "token", "id").mapInArrow(lean_batches(send), "shard bigint, b binary, n binary, w binary, c binary")
     return scratch.keep(sent.groupBy("shard").applyInArrow(gather, _PAIRS))
 
 
@@ -397,7 +398,7 @@ class Sums:
                 columns = [np.concatenate([np.zeros(0, np.int64), *map(unpack, batch.column(n).to_pylist())]) for n in ("hot_b", "hot_c", "hot_t")]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["b", "c", "t"])
 
-        rows = pairs.select("hot_b", "hot_c", "hot_t").mapInArrow(each, "b bigint, c bigint, t bigint")
+        rows = pairs.select("hot_b", "hot_c", "hot_t").mapInArrow(lean_batches(each), "b bigint, c bigint, t bigint")
         got = rows.groupBy("b").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).orderBy("b").toArrow()  # at most HOT_WORDS + 1 rows
         self.b, self.c, self.t = (got.column(n).to_numpy() for n in "bct")
 
@@ -427,8 +428,8 @@ def discount_of(rows: DataFrame) -> float:
 class Words:
     """The restaurant without context and its parent of letters, as the sampler goes on."""
 
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.letters, self.sweep, self.state, self.discount = scratch, Letters(), 0, None, 0.5
+    def __init__(self) -> None:
+        self.letters, self.sweep, self.state, self.discount = Letters(), 0, None, 0.5
 
     @staticmethod
     def _draw(block: dict, state: dict, discount: float) -> tuple[np.ndarray, np.ndarray]:
@@ -466,7 +467,7 @@ class Words:
                         opened += int(tables.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(np.concatenate(cells), -1)), pa.array(np.append(np.concatenate(sums), opened))], names=["code", "n"])
 
-            cells = words_.select("h", "letters", "spelled", "c").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+            cells = words_.select("h", "letters", "spelled", "c").mapInArrow(lean_batches(run), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
             got = cells.orderBy("code").toArrow()  # at most CLASSES ** DEPTH * SYMBOLS + 1 rows
             codes, counts = got.column("code").to_numpy(), got.column("n").to_numpy()
             sent.destroy()
@@ -481,18 +482,16 @@ class Words:
         sent = self.sent = words_.sparkSession.sparkContext.broadcast(self.state)
         discount, customers = self.discount, self.customers
 
+        def spelled_by(block: dict) -> np.ndarray:
+            codes, start = spelled(np.frombuffer(block["spelled"], np.uint8), unpack(block["letters"]))
+            return Words._spelling(codes, start, sent.value)
+
         def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = []
-            for b in batches:
-                for block in b.to_pylist():
-                    codes, start = spelled(np.frombuffer(block["spelled"], np.uint8), unpack(block["letters"]))
-                    spelling = Words._spelling(codes, start, sent.value)
-                    out.append((block["ws"], spelling.astype("<f8").tobytes(), float(spelling[unpack(block["c"]) > 0].sum())))
-            yield batch_of([("ws", LONG), ("spelling", BINARY), ("p", pa.float64())], out)
+            p = sum(float(spelled_by(block)[unpack(block["c"]) > 0].sum()) for b in batches for block in b.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.float64())], names=["p"])
 
-        rows = words_.select("ws", "letters", "spelled", "c").mapInArrow(known, "ws bigint, spelling binary, p double")
-        spelling = self.scratch.keep(rows)
-        unknown = max(1.0 - (spelling.agg(F.sum("p")).first()[0] or 0.0), 1e-6)
+        held = words_.select("letters", "spelled", "c").mapInArrow(lean_batches(known), "p double")
+        unknown = max(1.0 - (held.agg(F.sum("p")).first()[0] or 0.0), 1e-6)
 
         def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -500,13 +499,13 @@ class Words:
                 for block in b.to_pylist():
                     state, count = sent.value, unpack(block["c"])
                     tables, _ = Words._draw(block, state["before"], discount)
-                    p = np.where(count > 0, np.frombuffer(block["spelling"], "<f8"), unknown)
+                    p = np.where(count > 0, spelled_by(block), unknown)
                     own = np.maximum(count - discount * tables, 0)
                     up = (own + (WORD_STRENGTH + discount * state["tables"]) * p) / (WORD_STRENGTH + customers)
                     out.append((block["ws"], up.astype("<f8").tobytes()))
                 yield batch_of([("ws", LONG), ("up", BINARY)], out)
 
-        return words_.join(spelling.select("ws", "spelling"), "ws").select("ws", "h", "letters", "spelled", "c", "spelling").mapInArrow(rate, "ws bigint, up binary")
+        return words_.select("ws", "h", "letters", "spelled", "c").mapInArrow(lean_batches(rate), "ws bigint, up binary")
 
 
 def _parents(pairs: DataFrame, blocks: DataFrame, offsets: np.ndarray, model: Words, scratch: Scratch) -> DataFrame:
@@ -523,7 +522,7 @@ def _parents(pairs: DataFrame, blocks: DataFrame, offsets: np.ndarray, model: Wo
                 limits = np.searchsorted(w, offsets)
                 yield batch_of(schema, [(ws, shard, pack(w[s:e] - offsets[ws]), pack(k[s:e])) for ws, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)) if s < e])
 
-    sent = scratch.keep(pairs.select("shard", "w", "t").mapInArrow(send, "ws bigint, shard bigint, rank binary, k binary"))
+    sent = scratch.keep(pairs.select("shard", "w", "t").mapInArrow(lean_batches(send), "ws bigint, shard bigint, rank binary, k binary"))
 
     def customers(key: tuple, group: pa.Table) -> pa.Table:
         ws = key[0].as_py()
@@ -541,10 +540,10 @@ def _parents(pairs: DataFrame, blocks: DataFrame, offsets: np.ndarray, model: Wo
         out = [(r["shard"], r["ws"], up[unpack(r["rank"])].tobytes()) for r in left.select(["shard", "ws", "rank"]).to_pylist()]
         return pa.Table.from_batches([batch_of([("shard", LONG), ("ws", LONG), ("up", BINARY)], out)])
 
-    rated = scratch.keep(model.rated(words_))
-    model.sent.destroy()
+    rated = model.rated(words_)
     out = scratch.keep(sent.select("ws", "shard", "rank").groupBy("ws").cogroup(rated.groupBy("ws")).applyInArrow(answer, "shard bigint, ws bigint, up binary"))
-    scratch.drop(sent, words_, rated)
+    model.sent.destroy()
+    scratch.drop(sent, words_)
     return out
 
 
@@ -603,7 +602,7 @@ def _answers(pairs: DataFrame, ups: list[DataFrame], sums: list[Broadcast], chun
     none = [F.lit(None).cast(t).alias(c) for c, t in (("cid", "bigint"), ("b", "binary"), ("n", "binary"), ("w", "binary"))]
     out = []
     for turn in range(PASSES):
-        asked = chunked.select("cid", "size", "token", "id").mapInArrow(lambda batches, turn=turn: ask(batches, turn), ddl)
+        asked = chunked.select("cid", "size", "token", "id").mapInArrow(lean_batches(lambda batches, turn=turn: ask(batches, turn)), ddl)
         for k, frame in enumerate(ups):
             asked = asked.unionByName(frame.where(F.col("shard") % PASSES == turn).select("shard", F.lit(k).cast("bigint").alias("state"), "ws", "up", *none))
         own = pairs.where(F.col("shard") % PASSES == turn)
@@ -625,7 +624,7 @@ def query(docs: DataFrame) -> DataFrame:
     schema = f"doc_id {doc_id}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     own = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out(F.col("doc_id")).alias("held"), "text")
     ddl = f"cid bigint, doc_id array<{doc_id}>, held array<boolean>, size array<bigint>, token binary, rank binary, h binary, c binary, letters binary, spelled binary"
-    read = scratch.keep(own.mapInArrow(_chunk, ddl))
+    read = scratch.keep(own.mapInArrow(lean_batches(_chunk), ddl))
     sizes = read.select(F.aggregate("size", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"), F.size("size").alias("d"))
     tokens, n_docs = sizes.agg(F.sum("n"), F.sum("d")).first()
     if not tokens:
@@ -645,11 +644,11 @@ def query(docs: DataFrame) -> DataFrame:
                 found = [offsets[ws] + np.flatnonzero(unpack(c) > most) for ws, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["id"])
 
-        hot = np.sort(blocks.select("ws", "c").mapInArrow(frequent, "id bigint").toArrow().column(0).to_numpy())  # at most HOT_WORDS
+        hot = np.sort(blocks.select("ws", "c").mapInArrow(lean_batches(frequent), "id bigint").toArrow().column(0).to_numpy())  # at most HOT_WORDS
         deal = Deal(start, np.append(hot, start) if n_docs > most else hot, pair_shards)
         scratch.drop(read, words_)
         pairs = _first_seats(chunked, deal, scratch)
-        discount, model = discount_of(pairs), Words(scratch)
+        discount, model = discount_of(pairs), Words()
         ups, sums = [], []  # of the states that are kept, the last one last
         for sweep in range(SWEEPS + 1):
             ups.append(_parents(pairs, blocks, offsets, model, scratch))
