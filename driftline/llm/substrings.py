@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BINARY, LONG, STEPS, batch_of, chunks, distinct_words, few_rows, hashed_words, rolled, shard_limits
+from .blocks import BINARY, LONG, STEPS, batch_of, chunks, distinct_words, few_rows, hashed_words, lean_batches, rolled, shard_limits
 from .common import Scratch, small_batches
 
 WINDOW, ANCHOR = 13, 6
@@ -259,7 +259,7 @@ def _stripped(docs: DataFrame, schema: str, row: Callable[[bytes, np.ndarray], t
     small_batches(spark)
     scratch = Scratch(spark, "substrings")
     own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = scratch.keep(own.mapInArrow(_chunk, "cid bigint, ids array<bigint>, named array<boolean>, texts array<binary>, n bigint"))
+    held = scratch.keep(own.mapInArrow(lean_batches(_chunk), "cid bigint, ids array<bigint>, named array<boolean>, texts array<binary>, n bigint"))
     n_words = held.agg(F.sum("n")).first()[0] or 0
     shards = max(SHARDS, -(-n_words // SHARD_WORDS))
     with few_rows(spark):
@@ -289,7 +289,7 @@ def _stripped(docs: DataFrame, schema: str, row: Callable[[bytes, np.ndarray], t
 
         kinds = {"bigint": LONG, "string": pa.string(), "spans": pa.list_(pa.struct([("start", LONG), ("end", LONG)]))}
         more, types = zip(*((f.split()[0], kinds["spans" if "array" in f else f.split()[1]]) for f in schema.split("; ")), strict=True)
-        told = scratch.keep(held.select(*names).mapInArrow(first_ask, _ASK_DDL).groupBy("shard", "kind").applyInArrow(_answers, _ANSWER_DDL))
+        told = scratch.keep(held.select(*names).mapInArrow(lean_batches(first_ask), _ASK_DDL).groupBy("shard", "kind").applyInArrow(_answers, _ANSWER_DDL))
         by_chunk = lambda frame: frame.groupBy("cid")
         asked = by_chunk(held.select(*names)).cogroup(by_chunk(told)).applyInArrow(second_ask, _ASK_DDL)
         more_told = scratch.keep(asked.groupBy("shard", "kind").applyInArrow(_answers, _ANSWER_DDL))
