@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_model, licenses, mixing, quality, secrets, simhash, substrings, token_counts, urls
+from . import decontaminate, language_model, licenses, mixing, packing, quality, secrets, simhash, substrings, token_counts, urls
 
 
 def _over(table: str, run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scans": _over("documents", licenses.query),
         "op9_language_model": _over("documents", language_model.query),
         "op10_simhash": _over("documents", simhash.query),
+        "op11_packing": _over("documents", packing.query),
     }
 
 
