@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_model, licenses, mixing, packing, quality, secrets, simhash, substrings, token_counts, urls, whitening
+from . import alignment, decontaminate, language_model, licenses, mixing, packing, quality, secrets, simhash, substrings, token_counts, urls, whitening
 
 
 def _over(table: str, run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash": _over("documents", simhash.query),
         "op11_packing": _over("documents", packing.query),
         "op12_whitening": _over("embeddings", whitening.query),
+        "op13_tokenizer_alignment": _over("documents", alignment.query),
     }
 
 
