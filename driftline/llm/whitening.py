@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
-from itertools import combinations_with_replacement
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,10 @@ BLOCK, LIMB = 1 << 12, 20
 DIGITS = 8
 #: Entries beyond these bounds are taken as the bounds, so that differences of two fit 64 bits.
 MOST = 1 << 61
+#: Rounds of rotations at most; two or three do.
+SWEEPS = 12
 #: An eigenvalue below so much of the largest, for each dimension, is none.
-NOTHING = 2.0**-48
+NOTHING = 2.0**-96
 
 
 def whole(vectors: np.ndarray, scale: int = SCALE, shift: int = SHIFT) -> np.ndarray:
@@ -151,15 +153,38 @@ def fit(vectors: DataFrame, scale: int = SCALE, shift: int = SHIFT) -> Fit | Non
 
     products = exact_sums(vectors, second)
     rest = [s - n * int(c) for s, c in zip(sums, centre, strict=True)]
-    covariance = np.empty((dims, dims))
-    trace = Fraction(0)
+    covariance = np.empty((dims, dims), object)  # times n * n
     for (i, j), total in products.items():
-        exact = Fraction(n * total - rest[i] * rest[j], n * n)
-        covariance[i, j] = covariance[j, i] = float(exact)
-        trace += exact if i == j else 0
-    values, columns = np.linalg.eigh(covariance)
+        covariance[i, j] = covariance[j, i] = n * total - rest[i] * rest[j]
+    values, axes = eigen(covariance, n * n)
     order = [k for k in np.argsort(-values, kind="stable") if values[k] > NOTHING * dims * max(values.max(), 0.0)]
-    return Fit(n, sums, values[order], columns[:, order].T, float(trace))
+    return Fit(n, sums, values[order], axes[order], float(Fraction(sum(covariance.diagonal()), n * n)))
+
+
+def eigen(exact: np.ndarray, divisor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and unit vectors, as rows, of a matrix of whole numbers over a divisor. The usual routine errs by a share of the largest
+    eigenvalue, which can be more than a small one; so the matrix is turned by its vectors in exact numbers, and what is then left
+    beside the diagonal is rotated away, which errs by a share of each."""
+    scaled = lambda m, bits: np.array([[float(Fraction(int(v), divisor << bits)) for v in row] for row in m])
+    _, columns = np.linalg.eigh(scaled(exact, 0))
+    turn = np.array([[int(v) for v in row] for row in np.rint(columns * 2.0**52)], object)
+    m, axes = scaled(turn.T.dot(exact).dot(turn), 104), columns.T.copy()
+    for _ in range(SWEEPS):
+        turned = False
+        for p, q in combinations(range(len(m)), 2):
+            if abs(m[p, q]) <= 2.0**-53 * np.sqrt(abs(m[p, p] * m[q, q])):
+                continue
+            turned = True
+            theta = (m[q, q] - m[p, p]) / (2 * m[p, q])
+            t = (1.0 if theta >= 0 else -1.0) / (abs(theta) + np.hypot(1.0, theta))
+            c = 1 / np.hypot(1.0, t)
+            rotation = np.array([[c, -t * c], [t * c, c]])
+            m[[p, q]] = rotation @ m[[p, q]]
+            m[:, [p, q]] = m[:, [p, q]] @ rotation.T
+            axes[[p, q]] = rotation @ axes[[p, q]]
+        if not turned:
+            break
+    return m.diagonal().copy(), axes / np.linalg.norm(axes, axis=1, keepdims=True)
 
 
 def _deviations(z: np.ndarray, n: int, rest: list[int]) -> list[int | None]:
