@@ -31,46 +31,52 @@ from .common import Scratch, batches_of
 TOKENIZER, CAPACITY, END = "/opt/tokenizers/word_bpe_49k.json", 2048, 1
 #: Full windows of a part are numbered from (part + 1) times this on, shared ones from 0 on.
 PART = 1 << 40
-#: Words and pre-tokens that a worker keeps the ids of.
-KEPT_WORDS = 1 << 19
+#: Different words and pre-tokens that a worker keeps the ids of, and words of texts that are encoded at once.
+KEPT_WORDS, AT_ONCE = 1 << 19, 1 << 17
 #: Windows whose rows pass to the JVM at once, and texts that come from it.
 ROWS, TEXTS = 2048, 256
 
-_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Printable ASCII and the letters of Latin-1, which composing leaves alone and which lower-case one by one; and how the tokenizer parts them.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 class Encoder:
     """Ids of texts by the words between ASCII blanks.
 
     The tokenizer drops blanks, never joins what they part, and lowers single characters, so a text's ids are those of its words in a
-    row and each word is looked up once. Words of printable ASCII go through the tokenizer's model by pre-token; others, and those that
-    may hold a special token, through the whole tokenizer.
+    row and each word is looked up once. Plain words go through the tokenizer's model by pre-token; others, and those that may hold a
+    special token, through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.letters = str.maketrans({c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))})
         self.words: dict[bytes, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
 
     def _pretoken(self, text: str) -> bytes:
         ids = self.pretokens.get(text)
         if ids is None:
-            ids = self.pretokens[text] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+            ids = self.pretokens[text] = np.array([t.id for t in self.model.tokenize(text.translate(self.letters))], "<u4").tobytes()
         return ids
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > KEPT_WORDS:
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > KEPT_WORDS:
             self.words.clear()
+            new = words
         if len(self.pretokens) > KEPT_WORDS:
             self.pretokens.clear()
         others = []
-        for word in words:
+        for word in new:
             text = word.decode("utf-8", "replace")
-            if text.isascii() and text.isprintable() and "<|" not in text:
+            if _PLAIN.fullmatch(text) and "<|" not in text:
                 self.words[word] = b"".join([self._pretoken(p) for p in _PRETOKEN.findall(text.lower())])
             else:
                 others.append((word, text))
@@ -80,13 +86,19 @@ class Encoder:
 
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
+        group, size = [], 0
         for text in texts:
-            words = text.split() if text else []
-            try:
-                yield b"".join(map(self.words.__getitem__, words))
-            except KeyError:
-                self._learn(set(words))  # also words that are known: the table may have been cleared
-                yield b"".join(map(self.words.__getitem__, words))
+            group.append(text.split() if text else [])
+            size += len(group[-1])
+            if size > AT_ONCE:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
+        self._learn(set().union(*group))
+        for words in group:
+            yield b"".join(map(self.words.__getitem__, words))
 
 
 _ENCODERS: dict[str, Encoder] = {}
