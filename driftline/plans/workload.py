@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.evaluate import gold_gate, same_rows
 from ..sources import catalog
 from .generate import strip_fences
+from .keys import facts
 from .relink import guidance, relink
 from .schema import difference, events_text, prompt_text
 from .service import prompt
@@ -93,6 +94,8 @@ class Change:
     def __post_init__(self) -> None:
         described = [catalog.describe(self.spark, t) for t in (self.pre, self.post)]
         self.events = difference(*described, self.strict_merge)
+        self.columns = [{n: f.dtypes for n, f in t.items()} for t in (self.pre, self.post)]
+        self.facts = facts(self.post, self.events)
         self.pre_text, self.post_text = map(prompt_text, described)
         self.rules = guidance(self.events)
 
@@ -120,7 +123,7 @@ def mediated(change: Change, question: str, sql: str) -> tuple[str, str, str, fl
     nothing was found though something was asked for and there are rules about merged or split tables. Gives the query, how it
     was rewritten, the verdict and the milliseconds of rewriting."""
     began = time.perf_counter()
-    got = relink(change.spark, sql, change.events, change.post_text)
+    got = relink(change.spark, sql, change.events, change.post_text, None, *change.columns, change.facts)
     took = 1e3 * (time.perf_counter() - began)
     now, verdict = got["sql"], change.judge(got["sql"], question)
     if verdict.verdict in (SILENT_FAILURE, EXECUTION_ERROR):

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import stats, text
 from .operators import evaluate, evolve, joins
-from .plans import mutate, relink, schema, validate, workload
+from .plans import keys, mutate, relink, schema, validate, workload
 from .sources import benchmark, catalog, results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +128,65 @@ def evolve_split_rejoin(spark: SparkSession, t: Tables) -> DataFrame:
     return t.sql("SELECT o_orderstatus, ROUND(SUM(o_totalprice), 2) AS total FROM {view} GROUP BY o_orderstatus", view=spark.sql(view, **after))
 
 
+#: Stale queries in which a name's meaning depends on where it stands; each shows k and v.
+NESTED = {
+    "a definition hides the table": "WITH orders AS (SELECT c_custkey AS o_custkey, c_mktsegment AS o_orderstatus FROM customer) SELECT o_orderstatus AS k, COUNT(*) AS v FROM orders GROUP BY o_orderstatus",
+    "a definition reads the table it hides": "WITH orders AS (SELECT * FROM orders WHERE o_totalprice > 100000) SELECT o_orderstatus AS k, COUNT(*) AS v FROM orders GROUP BY o_orderstatus",
+    "a derived table's column": "SELECT x.o_orderstatus AS k, COUNT(*) AS v FROM (SELECT o_orderstatus FROM orders) x GROUP BY x.o_orderstatus",
+    "a derived table's star": "SELECT t.o_orderstatus AS k, SUM(o_custkey) AS v FROM (SELECT * FROM orders) t GROUP BY t.o_orderstatus",
+    "a chain of definitions": "WITH a AS (SELECT o_custkey, o_orderstatus FROM orders), b(s) AS (SELECT o_orderstatus FROM a WHERE o_custkey > 10) SELECT s AS k, COUNT(*) AS v FROM b GROUP BY s",
+    "a join by a shared name": "SELECT c_mktsegment AS k, COUNT(*) AS v FROM orders JOIN (SELECT c_custkey AS o_custkey, c_mktsegment FROM customer) c USING (o_custkey) GROUP BY c_mktsegment",
+    "a join by all shared names": "SELECT c_mktsegment AS k, COUNT(*) AS v FROM orders NATURAL JOIN (SELECT c_custkey AS o_custkey, c_mktsegment FROM customer) c GROUP BY c_mktsegment",
+    "an inner column of the same name": "SELECT o_orderpriority AS k, (SELECT COUNT(DISTINCT o_orderstatus) FROM (SELECT c_mktsegment AS o_orderstatus FROM customer) y) AS v FROM orders GROUP BY o_orderpriority",
+    "an outer column from within": "SELECT c_mktsegment AS k, COUNT(*) AS v FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') GROUP BY c_mktsegment",
+    "an alias of the column's name": "SELECT o_orderpriority AS k, MAX(o_orderstatus) AS v FROM (SELECT o_orderpriority, COUNT(*) AS o_orderstatus FROM orders GROUP BY o_orderpriority, o_orderstatus) n GROUP BY o_orderpriority",
+    "both sides of a union": "SELECT k, COUNT(*) AS v FROM (SELECT o_orderstatus AS k FROM orders UNION ALL SELECT c_mktsegment FROM customer) u GROUP BY k",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{case.replace(chr(39), chr(39) * 2)}' AS reading, CAST(k AS VARCHAR) AS k, CAST(v AS BIGINT) AS v FROM ({sql})" for case, sql in NESTED.items()))
+def relink_nested(spark: SparkSession, t: Tables) -> DataFrame:
+    """Stale queries over a renamed table with renamed columns give what they gave, in whatever scope names stand."""
+    before = {n: t[n] for n in ("orders", "customer")}
+    specs = [{"op": "TABLE_RENAME", "from": "orders", "to": "purchases"}, {"op": "COLUMN_RENAME", "table": "purchases", "from": "o_orderstatus", "to": "order status"}, {"op": "COLUMN_RENAME", "table": "purchases", "from": "o_custkey", "to": "buyer"}]
+    after, made = evolve.apply(before, specs)
+    columns = [{n: f.dtypes for n, f in tables.items()} for tables in (before, after)]
+    with workload.views(spark, after):
+        frames = [spark.sql(relink.relink(spark, sql, made.events, pre=columns[0], post=columns[1])["sql"]).select(F.lit(case).alias("reading"), F.col("k").cast("string"), F.col("v").cast("long")) for case, sql in NESTED.items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _over_split(spark: SparkSession, t: Tables, table: str, key: str, parts: dict[str, list[str]], sql: str) -> DataFrame:
+    """A stale query over a table that was split, by definitions that leave out only parts which the tables' keys allow."""
+    before = {table: t[table]}
+    after = evolve.split_table(before, table, key, parts)
+    events = [{"op": "TABLE_SPLIT", "source": table, "targets": list(parts), "key": key}]
+    columns = [{n: f.dtypes for n, f in tables.items()} for tables in (before, after)]
+    with workload.views(spark, after):
+        return spark.sql(relink.relink(spark, sql, events, pre=columns[0], post=columns[1], facts=keys.facts(after, events))["sql"])
+
+
+@query("SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus")
+def relink_split_unique(spark: SparkSession, t: Tables) -> DataFrame:
+    """Orders have one row a key in each part, so only the part in use is read."""
+    return _over_split(spark, t, "orders", "o_orderkey", {"order_head": ["o_orderstatus", "o_custkey"], "order_money": ["o_totalprice"]}, "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus")
+
+
+@query("SELECT l_returnflag, COUNT(*) AS n FROM lineitem a JOIN (SELECT l_orderkey FROM lineitem) b USING (l_orderkey) GROUP BY l_returnflag")
+def relink_split_repeated(spark: SparkSession, t: Tables) -> DataFrame:
+    """Parts of lineitem repeat their key, so the other part counts though no column of it is used, and the join stays."""
+    return _over_split(spark, t, "lineitem", "l_orderkey", {"line_state": ["l_returnflag"], "line_goods": ["l_partkey", "l_quantity"]}, "SELECT l_returnflag, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag")
+
+
+@query("SELECT a.table_name, a.is_unique, b.included FROM (SELECT 'customer' AS table_name, COUNT(*) = COUNT(DISTINCT c_custkey) AS is_unique FROM customer UNION ALL SELECT 'orders', COUNT(*) = COUNT(DISTINCT o_custkey) FROM orders) a JOIN (SELECT 'customer' AS table_name, NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS included UNION ALL SELECT 'orders', NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))) b USING (table_name)")
+def key_facts(spark: SparkSession, t: Tables) -> DataFrame:
+    """Whether a key is unique in each of two tables, and whether the other has all of its keys."""
+    tables = {"customer": t["customer"].select(F.col("c_custkey").alias("k")), "orders": t["orders"].select(F.col("o_custkey").alias("k"))}
+    counts = keys.key_counts(tables, "k")
+    told = counts.agg(*[F.struct(F.lit(n).alias("table_name"), F.bool_and(F.col(n) <= 1).alias("is_unique"), F.bool_and((F.col(n) == 0) | (F.col(o) > 0)).alias("included")).alias(n) for n, o in (("customer", "orders"), ("orders", "customer"))])
+    return told.select(F.explode(F.array("customer", "orders")).alias("x")).select("x.table_name", "x.is_unique", "x.included")
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def evolve_split_one_side(spark: SparkSession, t: Tables) -> DataFrame:
     """A query that uses one side of a split reads that side alone."""

@@ -1,8 +1,10 @@
 import pytest
 
 from driftline.plans.mutate import drop_where, label, mutants, shift_limit, stale_merge_filter, swap_aggregate, wrong_column, wrong_join_key
-from driftline.plans.relink import compatible_views, guidance, relink, rewrite
+from driftline.plans.keys import facts
+from driftline.plans.relink import compatible_views, guidance, relink, rewrite, same_plan, with_old_tables
 from driftline.plans.validate import complexity
+from driftline.queries import QUERIES
 
 TABLE = {"op": "TABLE_RENAME", "from": "singer", "to": "artist"}
 COLUMN = {"op": "COLUMN_RENAME", "table": "artist", "from": "Name", "to": "stage"}
@@ -31,6 +33,115 @@ def test_chained_and_swapped_renames_happen_at_once():
     assert rewrite("SELECT a.x FROM a JOIN b ON a.k = b.k", swap) == "SELECT b.x FROM b JOIN a ON b.k = a.k"
 
 
+PRE = {"singer": [("id", "int"), ("Name", "string"), ("age", "int")], "concert": [("id", "int"), ("Name", "string")], "pet": [("id", "int"), ("kind", "string")]}
+POST = {"artist": [("id", "int"), ("Stage Name", "string"), ("age", "int")], "concert": PRE["concert"], "pet": PRE["pet"]}
+STAGE = {"op": "COLUMN_RENAME", "table": "artist", "from": "Name", "to": "Stage Name"}
+FRONT = "WITH singer AS (SELECT id, `Stage Name` AS Name, age FROM artist)"
+
+
+@pytest.mark.parametrize(
+    ("sql", "method"),
+    [
+        ("SELECT Name, count(*) FROM singer s WHERE age > 3 GROUP BY Name HAVING count(*) > 1 ORDER BY Name", "ast"),
+        ("WITH singer AS (SELECT id, Name FROM concert) SELECT Name FROM singer", "ast"),
+        ("SELECT x.Name FROM (SELECT Name FROM singer) x", "ast"),
+        ("SELECT (SELECT MAX(Name) FROM concert) FROM singer", "ast"),
+        ("SELECT id FROM singer WHERE EXISTS (SELECT 1 FROM pet WHERE kind > Name)", "ast"),
+        ("SELECT Name FROM pet LATERAL VIEW explode(array('x')) v AS Name", "ast"),
+        ("SELECT id FROM concert WHERE id IN (SELECT s.id FROM singer s WHERE s.Name = concert.Name)", "ast"),
+        ("SELECT t.Name FROM (SELECT * FROM singer) t", "views"),
+        ("SELECT Name FROM (SELECT * FROM singer)", "views"),
+        ("SELECT singer.age FROM singer JOIN concert USING (Name)", "views"),
+        ("SELECT age FROM singer NATURAL JOIN concert", "views"),
+        ("SELECT count(*) AS Name FROM singer GROUP BY Name ORDER BY Name", "views"),
+        ("WITH singer AS (SELECT * FROM singer WHERE age > 3) SELECT Name FROM singer", "views"),
+        ("WITH a AS (SELECT Name, id FROM singer), b(n) AS (SELECT Name FROM a) SELECT n FROM b", "views"),
+        ("SELECT Name FROM singer UNION ALL SELECT kind FROM pet", "ast"),
+        ("SELECT a.Name FROM singer a, singer b WHERE a.id = b.age", "ast"),
+    ],
+)
+def test_nested_names_mean_what_they_meant(spark, sql, method):
+    """On rows: the old text on the old tables against the new one on the new tables."""
+    data = {"singer": [(1, "a", 5), (2, "b", 2), (3, "b", 9)], "concert": [(1, "b"), (2, "z")], "pet": [(1, "cat"), (2, "dog")]}
+    got = relink(spark, sql, [TABLE, STAGE], pre=PRE, post=POST)
+    assert got["method"] == method
+
+    def run(text, tables, names):
+        own = spark.newSession()
+        for name, rows in zip(names, data.values(), strict=True):
+            own.createDataFrame(rows, ", ".join(f"`{c}` {k}" for c, k in tables[name])).createOrReplaceTempView(name)
+        return sorted(map(tuple, own.sql(text).collect()))
+
+    assert run(sql, PRE, ["singer", "concert", "pet"]) == run(got["sql"], POST, ["artist", "concert", "pet"])
+
+
+def test_swapped_tables_are_defined_behind_one_another(spark):
+    events = [{"op": "TABLE_RENAME", "from": "a", "to": "b"}, {"op": "TABLE_RENAME", "from": "b", "to": "a"}]
+    columns = {"a": [("x", "int")], "b": [("x", "int")]}
+    got = relink(spark, "SELECT (SELECT max(x) FROM a), (SELECT max(x) FROM b)", events, pre=columns, post=columns)
+    assert got == {"sql": "SELECT (SELECT max(x) FROM b), (SELECT max(x) FROM a)", "method": "ast", "applied": events}
+    text = with_old_tables("SELECT a.x, b.x FROM a, b", events, columns | {"a": [("x", "int"), ("y", "int")]}, columns)
+    assert text == "WITH a_before AS (SELECT x FROM b), b_before AS (SELECT x FROM a), a AS (SELECT * FROM a_before), b AS (SELECT * FROM b_before) SELECT a.x, b.x FROM a, b"
+
+
+def test_names_with_a_database(spark):
+    got = relink(spark, "SELECT db.singer.Name FROM db.singer", [TABLE, STAGE], pre=PRE, post=POST)
+    assert got["sql"] == "SELECT db.artist.`Stage Name` FROM db.artist"
+    assert with_old_tables("SELECT * FROM db.singer", [TABLE, STAGE], PRE, POST) is None
+
+
+def test_a_plan_tells_wrong_texts_from_right_ones(spark):
+    events = [TABLE, STAGE]
+    assert same_plan(spark, "SELECT Name FROM singer", "SELECT `Stage Name` FROM artist", events, PRE, POST)
+    assert same_plan(spark, "SELECT Name FROM singer", "SELECT Name FROM concert", events, PRE, POST) is False
+    assert same_plan(spark, "SELECT id FROM singer", "SELECT id FROM pet", events, PRE, POST) is False
+    assert same_plan(spark, "SELECT Name FROM singer", "SELECT Name FROM artist", events, PRE, POST) is False
+    assert same_plan(spark, "SELECT nope FROM singer", "SELECT nope FROM artist", events, PRE, POST) is None
+
+
+def test_added_columns_do_not_matter_unless_all_are_read(spark):
+    wider = POST | {"artist": [*POST["artist"], ("born", "date")]}
+    assert relink(spark, "SELECT Name FROM singer", [TABLE, STAGE], pre=PRE, post=wider)["method"] == "ast"
+    got = relink(spark, "SELECT * FROM singer", [TABLE, STAGE], pre=PRE, post=wider)
+    assert got["sql"] == FRONT + " SELECT * FROM singer"
+
+
+@pytest.mark.parametrize(("second", "dropped"), [([1, 2, 3], True), ([1, 2, 3, 4], True), ([1, 2], False), ([1, 2, 3, 3], False), ([1, 2, 3, None], False)])
+def test_a_part_is_left_out_only_if_keys_allow_it(spark, second, dropped):
+    event = {"op": "TABLE_SPLIT", "source": "t", "targets": ["a", "b"], "key": "id"}
+    a = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "id int, x int")
+    b = spark.createDataFrame([(k, 0) for k in second], "id int, y int")
+    found = facts({"a": a, "b": b}, [event])
+    view = compatible_views([event], {"t": ["id", "x", "y"]}, {"a": ["id", "x"], "b": ["id", "y"]}, {"x"}, found)["t"]
+    assert ("JOIN" not in view) == dropped
+    got = spark.sql(view.replace("FROM a", "FROM {a} AS a").replace("JOIN b", "JOIN {b} AS b"), a=a, b=b)
+    whole = spark.sql("SELECT a.id, a.x FROM {a} AS a JOIN {b} AS b ON a.id = b.id", a=a, b=b)
+    assert sorted(got.collect()) == sorted(whole.collect())
+
+
+def test_null_keys_of_the_part_in_use_keep_the_join(spark):
+    event = {"op": "TABLE_SPLIT", "source": "t", "targets": ["a", "b"], "key": "id"}
+    a, b = spark.createDataFrame([(1, 1), (None, 2)], "id int, x int"), spark.createDataFrame([(1, 1)], "id int, y int")
+    assert not facts({"a": a, "b": b}, [event]).matched_once("a", "b")
+    empty = facts({"a": a.limit(0), "b": b}, [event])
+    assert empty.matched_once("a", "b") and empty.unique == {"a", "b"}
+
+
+@pytest.mark.parametrize(("keys_", "plain"), [([1, 2, 3], True), ([1, 1, 2], False), ([1, None], False)])
+def test_merged_parts_are_distinct_unless_the_key_is_unique(spark, keys_, plain):
+    event = {"op": "TABLE_MERGE", "sources": ["a", "b"], "target": "m", "key": "id"}
+    found = facts({"m": spark.createDataFrame([(k, 1, 2) for k in keys_], "id int, x int, y int")}, [event])
+    view = compatible_views([event], {"a": ["id", "x"]}, {"m": ["id", "x", "y"]}, None, found)["a"]
+    assert view == f"SELECT {'' if plain else 'DISTINCT '}id, x FROM m"
+
+
+def test_plans_of_split_tables(spark):
+    root = "/root/testdata/sf0.001"
+    plan = lambda name: QUERIES[name](spark, root)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan("relink_split_unique") and "Project [o_orderstatus" in plan("relink_split_unique")
+    assert "Join Inner" in plan("relink_split_repeated")
+
+
 def test_methods(spark):
     assert relink(spark, "SELECT 1", [])["method"] == "noop"
     assert relink(spark, "SELEC FROM", [TABLE])["method"] == "parse_error"
