@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,6 +56,11 @@ class Table:
     name: str
     columns: dict[str, tuple[str, str]]
 
+    @cached_property
+    def text(self) -> str:
+        """The columns as the canonical string of a schema has them; what a catalog says, so it is made once."""
+        return "||".join(f"{c}|{kind}" for c, (_, kind) in sorted(self.columns.items()))
+
     def types(self) -> tuple[str, ...]:
         return tuple(sorted(t for _, t in self.columns.values()))
 
@@ -69,7 +75,10 @@ def tables_of(rows: Iterable[tuple[str, str, str, int]]) -> dict[str, Table]:
     held: dict[str, dict[str, tuple[str, str]]] = defaultdict(dict)
     for table, column, kind, _ in sorted(rows, key=lambda r: (r[0], r[3])):
         held[table][column.lower()] = (column, kind.lower())
-    return {t: Table(t, c) for t, c in held.items()}
+    out = {t: Table(t, c) for t, c in held.items()}
+    for t in out.values():
+        t.text  # noqa: B018  with the catalog at hand
+    return out
 
 
 def _collect(catalog: DataFrame) -> dict[str, Table]:
@@ -128,34 +137,74 @@ def _renamed_with_columns(pre, post, gone, new):
     return out, kept, [t for t in new if t not in taken]
 
 
+class Containment:
+    """Which of many sets of columns lie within one. Sets are filed under their rarest column, so only those whose rarest column is among
+    the given ones are looked at; tables with the same columns are one set."""
+
+    def __init__(self, tables: Iterable[tuple[str, Table]]):
+        self.names: dict[frozenset[str], dict[str, None]] = {}
+        for name, table in tables:
+            self.names.setdefault(frozenset(table.columns), {})[name] = None
+        frequency = Counter(c for columns in self.names for c in columns)
+        self.filed: dict[str, list[frozenset[str]]] = defaultdict(list)
+        for columns in self.names:
+            if columns:
+                self.filed[min(columns, key=lambda c: (frequency[c], c))].append(columns)
+
+    def within(self, columns: Iterable[str], strictly: bool = False) -> list[str]:
+        """Names, sorted, of the tables whose columns are all among these; strictly if they are fewer."""
+        given = frozenset(columns)
+        found = (s for c in given for s in self.filed.get(c, ()) if s <= given and not (strictly and s == given))
+        return sorted(n for s in found for n in self.names[s])
+
+    def take(self, name: str, table: Table) -> None:
+        self.names[frozenset(table.columns)].pop(name)
+
+
 def _split(pre, post, gone, new):
     """A table that is gone whose columns several new ones divide, all sharing a key."""
-    out, kept, free = [], [], list(new)
+    out, kept, index, taken = [], [], Containment((a, post[a]) for a in new), set()
     for t in gone:
         names = set(pre[t].columns)
-        parts = [a for a in free if post[a].columns and set(post[a].columns) < names]
+        parts = index.within(names, strictly=True)
         shared = set.intersection(names, *(set(post[a].columns) for a in parts))
         if len(parts) >= 2 and shared and names <= set().union(*(post[a].columns for a in parts)):
             out.append({"op": "TABLE_SPLIT", "source": t, "targets": parts, "key": pre[t].written(min(shared))})
-            free = [a for a in free if a not in parts]
+            for a in parts:
+                index.take(a, post[a])
+            taken.update(parts)
         else:
             kept.append(t)
-    return out, kept, free
+    return out, kept, [a for a in new if a not in taken]
 
 
 def _merged(pre, post, gone, new):
     """A new table whose columns are those of several that are gone, all sharing a key."""
-    out, left, kept = [], list(gone), []
+    out, kept, index, taken = [], [], Containment((r, pre[r]) for r in gone), set()
     for t in new:
         names = set(post[t].columns)
-        parts = [r for r in left if set(pre[r].columns) <= names]
+        parts = index.within(names)
         shared = set.intersection(names, *(set(pre[r].columns) for r in parts))
         if len(parts) >= 2 and shared and names <= set().union(*(pre[r].columns for r in parts)):
             out.append({"op": "TABLE_MERGE", "sources": parts, "target": t, "key": pre[parts[0]].written(min(shared))})
-            left = [r for r in left if r not in parts]
+            for r in parts:
+                index.take(r, pre[r])
+            taken.update(parts)
         else:
             kept.append(t)
-    return out, left, kept
+    return out, [r for r in gone if r not in taken], kept
+
+
+def containment(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """The same for catalogs of any size: outer_table and inner_table for each table of inner whose columns are all among those of a table of
+    outer, without case. Each inner table is joined by its rarest column alone, and what that finds is compared as sets."""
+    columns = lambda df: df.select("table_name", F.lower("column_name").alias("c")).distinct()
+    a, b = columns(outer), columns(inner)
+    rarest = b.join(b.groupBy("c").agg(F.count("*").alias("n")), "c").groupBy("table_name").agg(F.min(F.struct("n", "c"))["c"].alias("c"), F.collect_list("c").alias("needs"))
+    sets = a.groupBy("table_name").agg(F.collect_list("c").alias("has"))
+    pairs = rarest.select(F.col("table_name").alias("inner_table"), "c", "needs").join(a.select(F.col("table_name").alias("outer_table"), "c"), "c")
+    held = pairs.join(sets.withColumnRenamed("table_name", "outer_table"), "outer_table")
+    return held.where(F.size(F.array_except("needs", "has")) == 0).select("outer_table", "inner_table")
 
 
 def _columns(pre: Table, post: Table, name: str, strict_merge: bool, merges: bool = True) -> Iterator[dict]:
@@ -188,8 +237,8 @@ def events_text(events: list[dict]) -> str:
 
 def hashed(tables: dict[str, Table]) -> str:
     """The fingerprint of a schema that is at hand, as fingerprint() makes it from a catalog."""
-    named = sorted((name.lower(), "||".join(f"{c}|{kind.lower()}" for c, (_, kind) in sorted(t.columns.items()))) for name, t in tables.items())
-    return hashlib.sha256("$$".join(f"{n}:{columns}" for n, columns in named).encode()).hexdigest()
+    named = sorted([(name.lower(), t.text) for name, t in tables.items()])
+    return hashlib.sha256("$$".join([f"{n}:{columns}" for n, columns in named]).encode()).hexdigest()
 
 
 def first_renamed(tables: dict[str, Table], to: str = "renamed") -> dict[str, Table]:

@@ -244,7 +244,7 @@ def stratified_first_k(spark: SparkSession, t: Tables) -> DataFrame:
 
 
 # Schemas. Catalogs are given as rows, so that both engines see the same names and types.
-OLD = {"singer": [("Singer_ID", "INTEGER"), ("Name", "TEXT"), ("Age", "INTEGER")], "concert": [("Concert_ID", "INTEGER"), ("Year", "INTEGER")]}
+OLD = {"vessel": [("Vessel_ID", "INTEGER"), ("Label", "TEXT"), ("Built", "INTEGER")], "dock": [("Dock_ID", "INTEGER"), ("Year", "INTEGER")]}
 
 
 VENUE = [("Venue_ID", "INTEGER"), ("City", "TEXT")]
@@ -301,43 +301,107 @@ def _change(name: str, new: dict[str, list[tuple[str, str]]], sql: str, strict_m
 _SHAPE = "(SELECT table_name, list_sort(list(lower(column_name) || ' ' || lower(data_type))) AS shape, list_sort(list(lower(data_type))) AS types, list(lower(column_name)) AS names FROM {0} GROUP BY table_name)"
 _change(
     "schema_classify_table_rename",
-    {"artist": OLD["singer"], "concert": OLD["concert"]},
+    {"boat": OLD["vessel"], "dock": OLD["dock"]},
     f"SELECT 'TABLE_RENAME' AS op, a.table_name AS before, b.table_name AS after FROM {_SHAPE.format('gone')} a JOIN {_SHAPE.format('fresh')} b USING (shape)",
 )
 _change(
     "schema_classify_combined",
-    {"artist": [("Singer_ID", "INTEGER"), ("Full_Name", "TEXT"), ("Age", "INTEGER")], "concert": OLD["concert"]},
+    {"boat": [("Vessel_ID", "INTEGER"), ("Long_Label", "TEXT"), ("Built", "INTEGER")], "dock": OLD["dock"]},
     f"SELECT 'TABLE_RENAME' AS op, a.table_name AS before, b.table_name AS after FROM {_SHAPE.format('gone')} a JOIN {_SHAPE.format('fresh')} b USING (types) UNION ALL SELECT 'COLUMN_RENAME', g.column_name, f.column_name FROM gone g JOIN fresh f ON g.data_type = f.data_type WHERE lower(g.column_name) NOT IN (SELECT lower(column_name) FROM fresh) AND lower(f.column_name) NOT IN (SELECT lower(column_name) FROM gone)",
 )
 _change(
     "schema_classify_split",
-    {"singer_age": [("Singer_ID", "INTEGER"), ("Age", "INTEGER")], "singer_name": [("Singer_ID", "INTEGER"), ("Name", "TEXT")], "concert": OLD["concert"]},
+    {"vessel_built": [("Vessel_ID", "INTEGER"), ("Built", "INTEGER")], "vessel_label": [("Vessel_ID", "INTEGER"), ("Label", "TEXT")], "dock": OLD["dock"]},
     f"SELECT 'TABLE_SPLIT' AS op, a.table_name AS before, string_agg(b.table_name, ',' ORDER BY b.table_name) AS after FROM {_SHAPE.format('gone')} a JOIN {_SHAPE.format('fresh')} b ON list_has_all(a.names, b.names) GROUP BY a.table_name HAVING count(*) >= 2",
 )
 _change(
     "schema_classify_merge",
-    {"venue": VENUE, "billing": [("Singer_ID", "INTEGER"), ("Name", "TEXT"), ("Age", "INTEGER"), ("Fee", "REAL")]},
+    {"venue": VENUE, "billing": [("Vessel_ID", "INTEGER"), ("Label", "TEXT"), ("Built", "INTEGER"), ("Fee", "REAL")]},
     f"SELECT 'TABLE_MERGE' AS op, string_agg(a.table_name, ',' ORDER BY a.table_name) AS before, b.table_name AS after FROM {_SHAPE.format('gone')} a JOIN {_SHAPE.format('fresh')} b ON list_has_all(b.names, a.names) GROUP BY b.table_name HAVING count(*) >= 2",
-    old={"singer": OLD["singer"], "fees": [("Singer_ID", "INTEGER"), ("Fee", "REAL")], "venue": VENUE},
+    old={"vessel": OLD["vessel"], "fees": [("Vessel_ID", "INTEGER"), ("Fee", "REAL")], "venue": VENUE},
 )
 _change(
     "schema_classify_column_rename",
-    {"singer": [("Singer_ID", "INTEGER"), ("stage_name", "TEXT"), ("Age", "INTEGER")], "concert": OLD["concert"]},
+    {"vessel": [("Vessel_ID", "INTEGER"), ("call_label", "TEXT"), ("Built", "INTEGER")], "dock": OLD["dock"]},
     "SELECT 'COLUMN_RENAME' AS op, l.column_name AS before, g.column_name AS after FROM lost l JOIN got g ON l.table_name = g.table_name AND l.data_type = g.data_type",
 )
 _change(
     "schema_classify_column_merge",
-    {"singer": [("Singer_ID", "INTEGER"), ("name_age", "TEXT")], "concert": OLD["concert"]},
+    {"vessel": [("Vessel_ID", "INTEGER"), ("label_built", "TEXT")], "dock": OLD["dock"]},
     "SELECT 'COLUMN_MERGE' AS op, (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM lost) AS before, (SELECT column_name FROM got) AS after",
     strict_merge=True,
 )
 _change(
     "schema_classify_add_remove",
-    {"singer": [("Singer_ID", "INTEGER"), ("Name", "TEXT"), ("Fee", "REAL")], "venue": [("Venue_ID", "INTEGER")]},
+    {"vessel": [("Vessel_ID", "INTEGER"), ("Label", "TEXT"), ("Fee", "REAL")], "venue": [("Venue_ID", "INTEGER")]},
     "SELECT 'TABLE_REMOVE' AS op, table_name AS before, table_name AS after FROM gone GROUP BY table_name UNION ALL SELECT 'TABLE_ADD', table_name, table_name FROM fresh GROUP BY table_name UNION ALL SELECT 'COLUMN_REMOVE', column_name, column_name FROM lost UNION ALL SELECT 'COLUMN_ADD', column_name, column_name FROM got",
 )
 
 
+# The same over the catalog of the given tables: what a change makes of all of them.
+_ALL = f"SELECT table_name, lower(column_name) AS c, data_type AS k, ordinal FROM {_INFO}"
+
+
+def _held(spark: SparkSession, t: Tables) -> DataFrame:
+    return catalog.describe(spark, {n: t[n] for n in catalog.TABLES})
+
+
+def _parts(whole: DataFrame) -> DataFrame:
+    """Each table of a catalog as two: its first column stands in both, the others in turns. Tables of three columns or more."""
+    wide = whole.groupBy("table_name").agg(F.max("ordinal").alias("last")).where("last >= 2")
+    half = F.when(F.col("ordinal") == 0, F.array(F.lit("odd"), F.lit("even"))).otherwise(F.array(F.when(F.col("ordinal") % 2 == 1, "odd").otherwise("even")))
+    own = whole.join(wide, "table_name").select("table_name", F.explode(half).alias("half"), "column_name", "data_type", "ordinal")
+    return own.withColumn("table_name", F.concat_ws("_", "table_name", "half")).drop("half")
+
+
+_WIDE = f"(SELECT table_name, first(c ORDER BY ordinal) AS key FROM ({_ALL}) GROUP BY table_name HAVING count(*) >= 3)"
+
+
+@query(f"SELECT table_name, 'TABLE ' || table_name || ' ( ' || string_agg(column_name || ' ' || data_type, ', ' ORDER BY ordinal) || ' )' AS line FROM {_INFO} GROUP BY table_name")
+def schema_prompt_tables(spark: SparkSession, t: Tables) -> DataFrame:
+    return schema.prompt_block(_held(spark, t))
+
+
+def _by_table(whole: DataFrame, parts: DataFrame, merged: bool) -> DataFrame:
+    """Events of each wide table and its parts, pairs side by side; merged if the parts come first."""
+    name = F.regexp_replace("table_name", "_(odd|even)$", "")
+    sides = [df.select("*", name.alias("pair"), F.lit(side).alias("side")) for df, side in ((whole, "post" if merged else "pre"), (parts, "pre" if merged else "post"))]
+    events = schema.difference_of_pairs(sides[0].join(parts.select(name.alias("pair")).distinct(), "pair").unionByName(sides[1]))
+    return events.select(F.from_json("event", schema.EVENTS).alias("e")).select("e.*")
+
+
+@query(f"SELECT 'TABLE_SPLIT' AS op, table_name AS source, table_name || '_even,' || table_name || '_odd' AS targets, key FROM {_WIDE}")
+def schema_split_tables(spark: SparkSession, t: Tables) -> DataFrame:
+    whole = _held(spark, t)
+    return _by_table(whole, _parts(whole), False).select("op", "source", F.array_join("targets", ",").alias("targets"), "key")
+
+
+@query(f"SELECT 'TABLE_MERGE' AS op, table_name || '_even,' || table_name || '_odd' AS sources, table_name AS target, key FROM {_WIDE}")
+def schema_merge_tables(spark: SparkSession, t: Tables) -> DataFrame:
+    whole = _held(spark, t)
+    return _by_table(whole, _parts(whole), True).select("op", F.array_join("sources", ",").alias("sources"), "target", "key")
+
+
+_AFTER = f"SELECT table_name, c, k, ordinal FROM ({_ALL}) WHERE table_name NOT LIKE 'p%' AND ordinal <> 2 UNION ALL SELECT table_name, 'added', 'date', 99 FROM ({_ALL}) WHERE table_name NOT LIKE 'p%' AND ordinal = 0 UNION ALL SELECT 'new_' || table_name, c, k, ordinal FROM ({_ALL}) WHERE table_name LIKE 'e%' AND ordinal = 0"
+
+
+@query(f"WITH pre AS ({_ALL}), post AS ({_AFTER}) SELECT 'TABLE_REMOVE' AS op, table_name AS \"table\", NULL::VARCHAR AS \"column\" FROM pre WHERE table_name NOT IN (SELECT table_name FROM post) GROUP BY table_name UNION ALL SELECT 'TABLE_ADD', table_name, NULL FROM post WHERE table_name NOT IN (SELECT table_name FROM pre) GROUP BY table_name UNION ALL SELECT 'COLUMN_REMOVE', table_name, c FROM pre WHERE table_name IN (SELECT table_name FROM post) AND (table_name, c) NOT IN (SELECT table_name, c FROM post) UNION ALL SELECT 'COLUMN_ADD', table_name, c FROM post WHERE table_name IN (SELECT table_name FROM pre) AND (table_name, c) NOT IN (SELECT table_name, c FROM pre)")
+def schema_add_remove_tables(spark: SparkSession, t: Tables) -> DataFrame:
+    """Tables whose names begin with p go, their like with e get another beside them, and the others lose their third column and get one."""
+    pre = _held(spark, t)
+    kept = pre.where("table_name NOT LIKE 'p%'")
+    added = kept.where("ordinal = 0").select("table_name", F.lit("added").alias("column_name"), F.lit("date").alias("data_type"), F.lit(99).alias("ordinal"))
+    beside = pre.where("table_name LIKE 'e%' AND ordinal = 0").withColumn("table_name", F.concat(F.lit("new_"), "table_name"))
+    post = kept.where("ordinal <> 2").unionByName(added).unionByName(beside)
+    return schema.events_frame(spark, schema.difference(pre, post)).select("op", "table", F.col("column"))
+
+
+@query(f"WITH x AS ({_ALL}), parts AS (SELECT table_name || '_' || unnest(CASE WHEN ordinal = 0 THEN ['odd', 'even'] WHEN ordinal % 2 = 1 THEN ['odd'] ELSE ['even'] END) AS table_name, c FROM x WHERE table_name IN (SELECT table_name FROM {_WIDE})) SELECT a.table_name AS outer_table, b.table_name AS inner_table FROM (SELECT table_name, list(c) AS has FROM x GROUP BY table_name) a JOIN (SELECT table_name, list(c) AS needs FROM parts GROUP BY table_name) b ON list_has_all(a.has, b.needs)")
+def schema_containment(spark: SparkSession, t: Tables) -> DataFrame:
+    whole = _held(spark, t)
+    return schema.containment(whole, _parts(whole))
+
+
 # Results and their scores. Three arms are derived from rows of lineitem.
 _ARMS = "SELECT l_returnflag AS perturbation, CAST(l_linenumber = 7 AS {0}) AS expected_failure, CAST(l_quantity > 30 AS {0}) AS baseline_ok, CAST(l_quantity > 10 AS {0}) AS refreshed_schema_ok, CAST(l_quantity > 28 AS {0}) AS error_feedback_ok, CAST(l_quantity > 15 OR l_discount > 0.05 AS {0}) AS mcp_ok, CASE WHEN l_tax > 0.04 THEN 'valid' ELSE 'silent_failure' END AS mcp_verdict FROM {1}"
 
@@ -645,13 +709,13 @@ def validate_verdicts(spark: SparkSession, t: Tables) -> DataFrame:
     return spark.createDataFrame([(n, v.verdict, v.reason, -1 if v.row_count is None else v.row_count) for n, v in got], "item string, verdict string, reason string, row_count bigint")
 
 
-@query("SELECT * FROM (VALUES ('counted', 'show count n song name where is male ordered grouped singer', 'medium'), ('joined', 'show name hall stadium concert', 'medium'), ('nested', 'show max age where age age singer singer', 'hard'), ('having', 'show count city grouped venue', 'hard'), ('plain', 'show first name city', 'easy')) v(item, paraphrase, complexity)")
+@query("SELECT * FROM (VALUES ('counted', 'show count n song name where is male ordered grouped vessel', 'medium'), ('joined', 'show name hall yard dock', 'medium'), ('nested', 'show max age where age age vessel vessel', 'hard'), ('having', 'show count city grouped venue', 'hard'), ('plain', 'show first name city', 'easy')) v(item, paraphrase, complexity)")
 def query_descriptions(spark: SparkSession, t: Tables) -> DataFrame:
     """Queries in key words, and how hard they are."""
     texts = {
-        "counted": "SELECT count(*) AS n, T1.Song_Name FROM singer AS T1 WHERE T1.Is_male = 'T' GROUP BY T1.Song_Name ORDER BY n",
-        "joined": "SELECT Name, T2.Hall FROM stadium JOIN concert AS T2 ON stadium.id = T2.id",
-        "nested": "SELECT Age FROM singer WHERE Age = (SELECT max(Age) FROM singer)",
+        "counted": "SELECT count(*) AS n, T1.Song_Name FROM vessel AS T1 WHERE T1.Is_male = 'T' GROUP BY T1.Song_Name ORDER BY n",
+        "joined": "SELECT Label, T2.Hall FROM yard JOIN dock AS T2 ON yard.id = T2.id",
+        "nested": "SELECT Built FROM vessel WHERE Built = (SELECT max(Built) FROM vessel)",
         "having": "SELECT City, count(*) FROM venue GROUP BY City HAVING count(*) > 1",
         "plain": "SELECT first_name FROM city",
     }

@@ -6,22 +6,22 @@ from driftline.plans.relink import compatible_views, guidance, relink, rewrite,
 from driftline.plans.validate import complexity
 from driftline.queries import QUERIES
 
-TABLE = {"op": "TABLE_RENAME", "from": "singer", "to": "artist"}
-COLUMN = {"op": "COLUMN_RENAME", "table": "artist", "from": "Name", "to": "stage"}
+TABLE = {"op": "TABLE_RENAME", "from": "vessel", "to": "boat"}
+COLUMN = {"op": "COLUMN_RENAME", "table": "boat", "from": "Label", "to": "sign"}
 
 
 @pytest.mark.parametrize(
     ("sql", "want"),
     [
-        ("SELECT Name FROM singer", "SELECT stage FROM artist"),
-        ("SELECT singer.Name FROM Singer WHERE singer.Age > 3", "SELECT artist.stage FROM artist WHERE artist.Age > 3"),
-        ("SELECT T1.Name, T2.Name FROM singer AS T1 JOIN stadium AS T2 ON T1.id = T2.id", "SELECT T1.stage, T2.Name FROM artist AS T1 JOIN stadium AS T2 ON T1.id = T2.id"),
-        ("SELECT Name FROM stadium", "SELECT Name FROM stadium"),
-        ("SELECT 'Name' FROM singer -- Name", "SELECT 'Name' FROM artist -- Name"),
-        ("SELECT x FROM t WHERE id IN (SELECT id FROM singer s WHERE s.Name = t.Name)", "SELECT x FROM t WHERE id IN (SELECT id FROM artist s WHERE s.stage = t.Name)"),
-        ("SELECT count(*) AS Name FROM singer GROUP BY Name", "SELECT count(*) AS Name FROM artist GROUP BY stage"),
-        ("WITH c AS (SELECT Name FROM singer) SELECT * FROM c", "WITH c AS (SELECT stage FROM artist) SELECT * FROM c"),
-        ("SELECT Name FROM singer UNION ALL SELECT Name FROM stadium", "SELECT stage FROM artist UNION ALL SELECT Name FROM stadium"),
+        ("SELECT Label FROM vessel", "SELECT sign FROM boat"),
+        ("SELECT vessel.Label FROM Vessel WHERE vessel.Built > 3", "SELECT boat.sign FROM boat WHERE boat.Built > 3"),
+        ("SELECT T1.Label, T2.Label FROM vessel AS T1 JOIN yard AS T2 ON T1.id = T2.id", "SELECT T1.sign, T2.Label FROM boat AS T1 JOIN yard AS T2 ON T1.id = T2.id"),
+        ("SELECT Label FROM yard", "SELECT Label FROM yard"),
+        ("SELECT 'Label' FROM vessel -- Label", "SELECT 'Label' FROM boat -- Label"),
+        ("SELECT x FROM t WHERE id IN (SELECT id FROM vessel s WHERE s.Label = t.Label)", "SELECT x FROM t WHERE id IN (SELECT id FROM boat s WHERE s.sign = t.Label)"),
+        ("SELECT count(*) AS Label FROM vessel GROUP BY Label", "SELECT count(*) AS Label FROM boat GROUP BY sign"),
+        ("WITH c AS (SELECT Label FROM vessel) SELECT * FROM c", "WITH c AS (SELECT sign FROM boat) SELECT * FROM c"),
+        ("SELECT Label FROM vessel UNION ALL SELECT Label FROM yard", "SELECT sign FROM boat UNION ALL SELECT Label FROM yard"),
     ],
 )
 def test_rewrite(sql, want):
@@ -33,36 +33,36 @@ def test_chained_and_swapped_renames_happen_at_once():
     assert rewrite("SELECT a.x FROM a JOIN b ON a.k = b.k", swap) == "SELECT b.x FROM b JOIN a ON b.k = a.k"
 
 
-PRE = {"singer": [("id", "int"), ("Name", "string"), ("age", "int")], "concert": [("id", "int"), ("Name", "string")], "pet": [("id", "int"), ("kind", "string")]}
-POST = {"artist": [("id", "int"), ("Stage Name", "string"), ("age", "int")], "concert": PRE["concert"], "pet": PRE["pet"]}
-STAGE = {"op": "COLUMN_RENAME", "table": "artist", "from": "Name", "to": "Stage Name"}
-FRONT = "WITH singer AS (SELECT id, `Stage Name` AS Name, age FROM artist)"
+PRE = {"vessel": [("id", "int"), ("Label", "string"), ("age", "int")], "dock": [("id", "int"), ("Label", "string")], "pet": [("id", "int"), ("kind", "string")]}
+POST = {"boat": [("id", "int"), ("Call Sign", "string"), ("age", "int")], "dock": PRE["dock"], "pet": PRE["pet"]}
+STAGE = {"op": "COLUMN_RENAME", "table": "boat", "from": "Label", "to": "Call Sign"}
+FRONT = "WITH vessel AS (SELECT id, `Call Sign` AS Label, age FROM boat)"
 
 
 @pytest.mark.parametrize(
     ("sql", "method"),
     [
-        ("SELECT Name, count(*) FROM singer s WHERE age > 3 GROUP BY Name HAVING count(*) > 1 ORDER BY Name", "ast"),
-        ("WITH singer AS (SELECT id, Name FROM concert) SELECT Name FROM singer", "ast"),
-        ("SELECT x.Name FROM (SELECT Name FROM singer) x", "ast"),
-        ("SELECT (SELECT MAX(Name) FROM concert) FROM singer", "ast"),
-        ("SELECT id FROM singer WHERE EXISTS (SELECT 1 FROM pet WHERE kind > Name)", "ast"),
-        ("SELECT Name FROM pet LATERAL VIEW explode(array('x')) v AS Name", "ast"),
-        ("SELECT id FROM concert WHERE id IN (SELECT s.id FROM singer s WHERE s.Name = concert.Name)", "ast"),
-        ("SELECT t.Name FROM (SELECT * FROM singer) t", "views"),
-        ("SELECT Name FROM (SELECT * FROM singer)", "views"),
-        ("SELECT singer.age FROM singer JOIN concert USING (Name)", "views"),
-        ("SELECT age FROM singer NATURAL JOIN concert", "views"),
-        ("SELECT count(*) AS Name FROM singer GROUP BY Name ORDER BY Name", "views"),
-        ("WITH singer AS (SELECT * FROM singer WHERE age > 3) SELECT Name FROM singer", "views"),
-        ("WITH a AS (SELECT Name, id FROM singer), b(n) AS (SELECT Name FROM a) SELECT n FROM b", "views"),
-        ("SELECT Name FROM singer UNION ALL SELECT kind FROM pet", "ast"),
-        ("SELECT a.Name FROM singer a, singer b WHERE a.id = b.age", "ast"),
+        ("SELECT Label, count(*) FROM vessel s WHERE age > 3 GROUP BY Label HAVING count(*) > 1 ORDER BY Label", "ast"),
+        ("WITH vessel AS (SELECT id, Label FROM dock) SELECT Label FROM vessel", "ast"),
+        ("SELECT x.Label FROM (SELECT Label FROM vessel) x", "ast"),
+        ("SELECT (SELECT MAX(Label) FROM dock) FROM vessel", "ast"),
+        ("SELECT id FROM vessel WHERE EXISTS (SELECT 1 FROM pet WHERE kind > Label)", "ast"),
+        ("SELECT Label FROM pet LATERAL VIEW explode(array('x')) v AS Label", "ast"),
+        ("SELECT id FROM dock WHERE id IN (SELECT s.id FROM vessel s WHERE s.Label = dock.Label)", "ast"),
+        ("SELECT t.Label FROM (SELECT * FROM vessel) t", "views"),
+        ("SELECT Label FROM (SELECT * FROM vessel)", "views"),
+        ("SELECT vessel.age FROM vessel JOIN dock USING (Label)", "views"),
+        ("SELECT age FROM vessel NATURAL JOIN dock", "views"),
+        ("SELECT count(*) AS Label FROM vessel GROUP BY Label ORDER BY Label", "views"),
+        ("WITH vessel AS (SELECT * FROM vessel WHERE age > 3) SELECT Label FROM vessel", "views"),
+        ("WITH a AS (SELECT Label, id FROM vessel), b(n) AS (SELECT Label FROM a) SELECT n FROM b", "views"),
+        ("SELECT Label FROM vessel UNION ALL SELECT kind FROM pet", "ast"),
+        ("SELECT a.Label FROM vessel a, vessel b WHERE a.id = b.age", "ast"),
     ],
 )
 def test_nested_names_mean_what_they_meant(spark, sql, method):
     """On rows: the old text on the old tables against the new one on the new tables."""
-    data = {"singer": [(1, "a", 5), (2, "b", 2), (3, "b", 9)], "concert": [(1, "b"), (2, "z")], "pet": [(1, "cat"), (2, "dog")]}
+    data = {"vessel": [(1, "a", 5), (2, "b", 2), (3, "b", 9)], "dock": [(1, "b"), (2, "z")], "pet": [(1, "cat"), (2, "dog")]}
     got = relink(spark, sql, [TABLE, STAGE], pre=PRE, post=POST)
     assert got["method"] == method
 
@@ -72,7 +72,7 @@ def test_nested_names_mean_what_they_meant(spark, sql, method):
             own.createDataFrame(rows, ", ".join(f"`{c}` {k}" for c, k in tables[name])).createOrReplaceTempView(name)
         return sorted(map(tuple, own.sql(text).collect()))
 
-    assert run(sql, PRE, ["singer", "concert", "pet"]) == run(got["sql"], POST, ["artist", "concert", "pet"])
+    assert run(sql, PRE, ["vessel", "dock", "pet"]) == run(got["sql"], POST, ["boat", "dock", "pet"])
 
 
 def test_swapped_tables_are_defined_behind_one_another(spark):
@@ -85,25 +85,25 @@ def test_swapped_tables_are_defined_behind_one_another(spark):
 
 
 def test_names_with_a_database(spark):
-    got = relink(spark, "SELECT db.singer.Name FROM db.singer", [TABLE, STAGE], pre=PRE, post=POST)
-    assert got["sql"] == "SELECT db.artist.`Stage Name` FROM db.artist"
-    assert with_old_tables("SELECT * FROM db.singer", [TABLE, STAGE], PRE, POST) is None
+    got = relink(spark, "SELECT db.vessel.Label FROM db.vessel", [TABLE, STAGE], pre=PRE, post=POST)
+    assert got["sql"] == "SELECT db.boat.`Call Sign` FROM db.boat"
+    assert with_old_tables("SELECT * FROM db.vessel", [TABLE, STAGE], PRE, POST) is None
 
 
 def test_a_plan_tells_wrong_texts_from_right_ones(spark):
     events = [TABLE, STAGE]
-    assert same_plan(spark, "SELECT Name FROM singer", "SELECT `Stage Name` FROM artist", events, PRE, POST)
-    assert same_plan(spark, "SELECT Name FROM singer", "SELECT Name FROM concert", events, PRE, POST) is False
-    assert same_plan(spark, "SELECT id FROM singer", "SELECT id FROM pet", events, PRE, POST) is False
-    assert same_plan(spark, "SELECT Name FROM singer", "SELECT Name FROM artist", events, PRE, POST) is False
-    assert same_plan(spark, "SELECT nope FROM singer", "SELECT nope FROM artist", events, PRE, POST) is None
+    assert same_plan(spark, "SELECT Label FROM vessel", "SELECT `Call Sign` FROM boat", events, PRE, POST)
+    assert same_plan(spark, "SELECT Label FROM vessel", "SELECT Label FROM dock", events, PRE, POST) is False
+    assert same_plan(spark, "SELECT id FROM vessel", "SELECT id FROM pet", events, PRE, POST) is False
+    assert same_plan(spark, "SELECT Label FROM vessel", "SELECT Label FROM boat", events, PRE, POST) is False
+    assert same_plan(spark, "SELECT nope FROM vessel", "SELECT nope FROM boat", events, PRE, POST) is None
 
 
 def test_added_columns_do_not_matter_unless_all_are_read(spark):
-    wider = POST | {"artist": [*POST["artist"], ("born", "date")]}
-    assert relink(spark, "SELECT Name FROM singer", [TABLE, STAGE], pre=PRE, post=wider)["method"] == "ast"
-    got = relink(spark, "SELECT * FROM singer", [TABLE, STAGE], pre=PRE, post=wider)
-    assert got["sql"] == FRONT + " SELECT * FROM singer"
+    wider = POST | {"boat": [*POST["boat"], ("born", "date")]}
+    assert relink(spark, "SELECT Label FROM vessel", [TABLE, STAGE], pre=PRE, post=wider)["method"] == "ast"
+    got = relink(spark, "SELECT * FROM vessel", [TABLE, STAGE], pre=PRE, post=wider)
+    assert got["sql"] == FRONT + " SELECT * FROM vessel"
 
 
 @pytest.mark.parametrize(("second", "dropped"), [([1, 2, 3], True), ([1, 2, 3, 4], True), ([1, 2], False), ([1, 2, 3, 3], False), ([1, 2, 3, None], False)])
@@ -145,13 +145,13 @@ def test_plans_of_split_tables(spark):
 def test_methods(spark):
     assert relink(spark, "SELECT 1", [])["method"] == "noop"
     assert relink(spark, "SELEC FROM", [TABLE])["method"] == "parse_error"
-    got = relink(spark, "SELECT Name FROM singer", [TABLE, COLUMN])
-    assert got == {"sql": "SELECT stage FROM artist", "method": "ast", "applied": [TABLE, COLUMN]}
+    got = relink(spark, "SELECT Label FROM vessel", [TABLE, COLUMN])
+    assert got == {"sql": "SELECT sign FROM boat", "method": "ast", "applied": [TABLE, COLUMN]}
     split = {"op": "TABLE_SPLIT", "source": "x", "targets": ["a", "b"], "key": "id"}
-    assert relink(spark, "SELECT Name FROM singer", [TABLE, split])["method"] == "ast"
+    assert relink(spark, "SELECT Label FROM vessel", [TABLE, split])["method"] == "ast"
     calls = []
-    got = relink(spark, "SELECT Name FROM singer", [TABLE, split], "schema", lambda s, e, t: calls.append(s) or "SELECT 2")
-    assert got["method"] == "llm" and calls == ["SELECT Name FROM artist"]
+    got = relink(spark, "SELECT Label FROM vessel", [TABLE, split], "schema", lambda s, e, t: calls.append(s) or "SELECT 2")
+    assert got["method"] == "llm" and calls == ["SELECT Label FROM boat"]
 
 
 def test_guidance_names_the_separator():

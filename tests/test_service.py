@@ -7,29 +7,29 @@ from driftline.plans.service import Service, ToolContext, answer, prompt, tool_l
 from driftline.sources import catalog
 from driftline.streaming.score import score_stream
 
-OLD = {"singer": [("Singer_ID", "int"), ("Name", "string"), ("Age", "int")]}
+OLD = {"vessel": [("Vessel_ID", "int"), ("Label", "string"), ("Built", "int")]}
 
 
 @pytest.fixture
 def service(spark):
-    frame = spark.createDataFrame([(1, "Joe", 52), (2, "Ann", 41)], "Singer_ID int, Name string, Age int")
-    frame.createOrReplaceTempView("artist")
-    return Service(spark, {"db": {"artist": frame}})
+    frame = spark.createDataFrame([(1, "Joe", 52), (2, "Ann", 41)], "Vessel_ID int, Label string, Built int")
+    frame.createOrReplaceTempView("boat")
+    return Service(spark, {"db": {"boat": frame}})
 
 
 def test_schema_resource(service):
     first = json.loads(service.schema("db"))
-    assert first["changed"] and first["events"] == [] and first["schema"] == "TABLE artist ( Singer_ID int, Name string, Age int )"
+    assert first["changed"] and first["events"] == [] and first["schema"] == "TABLE boat ( Vessel_ID int, Label string, Built int )"
     assert not json.loads(service.schema("db"))["changed"]
     with pytest.raises(FileNotFoundError):
         service.schema("other")
 
 
 def test_tools(spark, service):
-    context = ToolContext(service, "db", catalog.from_columns(spark, OLD), "how many singers")
-    assert context.call("schema_diff", "{}")["events"] == [{"op": "TABLE_RENAME", "from": "singer", "to": "artist"}]
-    assert context.call("query_relink", {"stale_sql": "SELECT Name FROM singer"})["sql"] == "SELECT Name FROM artist"
-    assert context.call("query_validate", json.dumps({"sql": "SELECT count(*) FROM artist"}))["verdict"] == "valid"
+    context = ToolContext(service, "db", catalog.from_columns(spark, OLD), "how many vessels")
+    assert context.call("schema_diff", "{}")["events"] == [{"op": "TABLE_RENAME", "from": "vessel", "to": "boat"}]
+    assert context.call("query_relink", {"stale_sql": "SELECT Label FROM vessel"})["sql"] == "SELECT Label FROM boat"
+    assert context.call("query_validate", json.dumps({"sql": "SELECT count(*) FROM boat"}))["verdict"] == "valid"
     assert "error" in context.call("query_validate", "{broken") and "error" in context.call("query_relink", {})
     with pytest.raises(KeyError):
         context.call("drop_everything", {})
@@ -37,29 +37,29 @@ def test_tools(spark, service):
 
 def test_capped_loop_scores_the_last_query(spark, service):
     context = ToolContext(service, "db", catalog.from_columns(spark, OLD), "names")
-    got = tool_loop(context, lambda calls: {"tool": "query_relink", "arguments": {"stale_sql": "SELECT Name FROM singer"}}, 2)
-    assert got["capped"] and got["sql"] == "SELECT Name FROM artist" and len(got["calls"]) == 2
+    got = tool_loop(context, lambda calls: {"tool": "query_relink", "arguments": {"stale_sql": "SELECT Label FROM vessel"}}, 2)
+    assert got["capped"] and got["sql"] == "SELECT Label FROM boat" and len(got["calls"]) == 2
     assert not tool_loop(context, lambda calls: {"sql": "SELECT 1"})["capped"]
 
 
 def test_answer(spark, service):
     pre, post = catalog.from_columns(spark, OLD), catalog.describe(spark, service.databases["db"])
-    got = answer(spark, "how many singers are there", "SELECT count(*) FROM singer", pre, post)
-    assert (got["sql"], got["verdict"]) == ("SELECT count(*) FROM artist", "valid")
-    got = answer(spark, "list the name of singers", "SELECT Name FROM singer WHERE Age > 99", pre, post, lambda *a: "SELECT Name FROM artist")
-    assert (got["sql"], got["verdict"]) == ("SELECT Name FROM artist", "valid")
+    got = answer(spark, "how many vessels are there", "SELECT count(*) FROM vessel", pre, post)
+    assert (got["sql"], got["verdict"]) == ("SELECT count(*) FROM boat", "valid")
+    got = answer(spark, "list the name of vessels", "SELECT Label FROM vessel WHERE Built > 99", pre, post, lambda *a: "SELECT Label FROM boat")
+    assert (got["sql"], got["verdict"]) == ("SELECT Label FROM boat", "valid")
 
 
 def test_generation(spark, service):
     assert strip_fences("<think>x</think>\n```sql\nSELECT 1;\n```") == "SELECT 1"
     fall = Fallback(lambda p: 1 / 0, stand_in, "hosted")
-    assert fall(prompt("how many artists", "TABLE artist ( Name string )")) == ("SELECT COUNT(*) FROM artist", "mock-after-hosted")
+    assert fall(prompt("how many boats", "TABLE boat ( Label string )")) == ("SELECT COUNT(*) FROM boat", "mock-after-hosted")
     with pytest.raises(ZeroDivisionError):
         Fallback(lambda p: 1 / 0, stand_in, "hosted", strict=True)("x")
-    assert repair(spark, "SELECT Nam FROM artist") == "SELECT Name FROM artist"
-    assert repair(spark, "SELECT Name FROM artist") is None and repair(spark, "SELECT x FROM nowhere") is None
+    assert repair(spark, "SELECT Nam FROM boat") == "SELECT Label FROM boat"
+    assert repair(spark, "SELECT Label FROM boat") is None and repair(spark, "SELECT x FROM nowhere") is None
 
 
 def test_stream_rules_agree_with_the_validator(spark):
-    rows = spark.createDataFrame([("how many singers", "show count singer", 1), ("list names", "show name singer", 0), ("zebra", "show age", 3), ("list", "show", None)], "question string, paraphrase string, row_count int")
+    rows = spark.createDataFrame([("how many vessels", "show count vessel", 1), ("list names", "show name vessel", 0), ("zebra", "show age", 3), ("list", "show", None)], "question string, paraphrase string, row_count int")
     assert [r.verdict for r in score_stream(rows).collect()] == ["valid", "silent_failure", "silent_failure", "execution_error"]

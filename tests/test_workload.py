@@ -186,11 +186,11 @@ def test_rules_on_a_stream(spark, tmp_path):
     from driftline.streaming.score import score_stream
 
     schema = "question string, paraphrase string, row_count int"
-    given = [("how many singers", "show count singer", 1), ("list names", "show name singer", 0), ("zebra", "show age", 3), ("list", "show", None)]
+    given = [("how many vessels", "show count vessel", 1), ("list names", "show name vessel", 0), ("zebra", "show age", 3), ("list", "show", None)]
     spark.createDataFrame(given, schema).repartition(2).write.parquet(f"{tmp_path}/in")
     stream = score_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
     assert stream.isStreaming
     run = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     run.awaitTermination(60)
     got = {r.question: r.verdict for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {"how many singers": "valid", "list names": "silent_failure", "zebra": "silent_failure", "list": "execution_error"}
+    assert got == {"how many vessels": "valid", "list names": "silent_failure", "zebra": "silent_failure", "list": "execution_error"}
