@@ -102,13 +102,17 @@ def validate(spark: SparkSession, sql: str, question: str, threshold: float = TO
         n = len(first) if len(first) < SHOWN else _count(frame)
     except Exception as e:
         return Verdict(EXECUTION_ERROR, error=str(e))
+    return weigh(sql, question, first, n, threshold, similarity)
+
+
+def weigh(sql: str, question: str, first: list[Row], n: int, threshold: float = TOKEN_THRESHOLD, similarity: Similarity | None = None) -> Verdict:
+    """The verdict on a query that runs, from its first rows and their number."""
     said = paraphrase(sql)
     near = (similarity or overlap)(said, question)
-    got = first
     out = Verdict(VALID, first, n, None, said, near)
     if near < threshold:
         out.verdict, out.reason = SILENT_FAILURE, "low_semantic_similarity" if similarity else "low_token_overlap"
-    elif affirmative(question) and (not got or zero_count(got, sql)):
+    elif affirmative(question) and (not first or zero_count(first, sql)):
         out.verdict, out.reason = SILENT_FAILURE, "empty_result_on_affirmative_question"
     return out
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats, text
 from .operators import evaluate, evolve, joins
-from .plans import keys, mutate, relink, schema, validate, workload
+from .plans import answers, keys, mutate, relink, schema, validate, workload
 from .sources import benchmark, catalog, results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -632,10 +632,12 @@ _MUTANTS = [
     ("listed", "limit_plus_one", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 6"),
     ("joined", "drop_where", "SELECT orders.o_orderkey, customer.c_name FROM orders JOIN customer ON orders.o_custkey = customer.c_custkey"),
     ("joined", "wrong_column", "SELECT orders.o_custkey, customer.c_name FROM orders JOIN customer ON orders.o_custkey = customer.c_custkey WHERE orders.o_orderkey <= 50"),
+    ("joined", "spurious_limit_one", None),
     ("joined", "wrong_join_key", "SELECT orders.o_orderkey, customer.c_name FROM orders JOIN customer ON orders.o_custkey = customer.c_nationkey WHERE orders.o_orderkey <= 50"),
     ("merged", "drop_where", "SELECT name_segment FROM client"),
     ("merged", "wrong_column", "SELECT c_custkey FROM client WHERE c_custkey = 3"),
     ("merged", "stale_merge_eq", "SELECT name_segment FROM client WHERE name_segment = (SELECT min(substr(name_segment, 1, 1)) FROM client)"),
+    ("merged", "spurious_limit_one", None),
 ]
 _CLIENT = "(SELECT c_custkey, c_name || ' - ' || c_mktsegment AS name_segment FROM customer)"
 
@@ -661,15 +663,11 @@ def _shown(name: str, mutation: str, sql: str | None) -> str:
 @query(" UNION ALL ".join(_shown(*m) for m in _MUTANTS))
 def mutate_families(spark: SparkSession, t: Tables) -> DataFrame:
     """All mutants of the golds, and how many rows each gives; -1 for one that doesn't run."""
-    out = []
-    for name, sql in _GOLD.items():
-        for mutation, mutant in mutate.mutants(sql, _columns(t), _MERGE if name == "merged" else None, expanded=True):
-            if name == "merged" and mutation == "spurious_limit_one":
-                continue
-            got = workload.runs(spark, mutant, _own_tables(t))
-            out.append((name, mutation, -1 if isinstance(got, str) else got.count()))
-    order = {(g, m): k for k, (g, m, _) in enumerate(_MUTANTS)}
-    return spark.createDataFrame(sorted((r for r in out if (r[0], r[1]) in order), key=lambda r: order[r[:2]]), "gold string, mutation string, n bigint")
+    held = answers.Answers(spark, _own_tables(t))
+    made = [(name, *m) for name, sql in _GOLD.items() for m in mutate.mutants(sql, _columns(t), _MERGE if name == "merged" else None, expanded=True)]
+    answers.ahead(spark, [(held, sql) for _, _, sql in made])
+    counts = [(name, mutation, -1 if (got := held.answer(sql)).error is not None else got.n) for name, mutation, sql in made]
+    return spark.createDataFrame(counts, "gold string, mutation string, n bigint")
 
 
 def _differs(gold: str, sql: str) -> str:
@@ -709,7 +707,7 @@ def validate_verdicts(spark: SparkSession, t: Tables) -> DataFrame:
     return spark.createDataFrame([(n, v.verdict, v.reason, -1 if v.row_count is None else v.row_count) for n, v in got], "item string, verdict string, reason string, row_count bigint")
 
 
-@query("SELECT * FROM (VALUES ('counted', 'show count n song name where is male ordered grouped vessel', 'medium'), ('joined', 'show name hall yard dock', 'medium'), ('nested', 'show max age where age age vessel vessel', 'hard'), ('having', 'show count city grouped venue', 'hard'), ('plain', 'show first name city', 'easy')) v(item, paraphrase, complexity)")
+@query("SELECT * FROM (VALUES ('counted', 'show count n song name where is male ordered grouped vessel', 'medium'), ('joined', 'show label hall yard dock', 'medium'), ('nested', 'show max built where built built vessel vessel', 'hard'), ('having', 'show count city grouped venue', 'hard'), ('plain', 'show first name city', 'easy')) v(item, paraphrase, complexity)")
 def query_descriptions(spark: SparkSession, t: Tables) -> DataFrame:
     """Queries in key words, and how hard they are."""
     texts = {

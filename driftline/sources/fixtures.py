@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from ..operators import evolve
 from ..plans.workload import Tables, runs
@@ -48,9 +48,9 @@ def check_corpus(spark: SparkSession, items: list[dict], pre: Tables, post: Tabl
             sql = item.get(key)
             if not sql:
                 continue
-            got: DataFrame | str = runs(spark, sql, tables)
-            if isinstance(got, str):
-                wrong.append(f"{item.get('id')}: {key} fails: {got.splitlines()[0]}")
-            elif got.isEmpty():
+            got = runs(spark, sql, tables)
+            if got.error is not None:
+                wrong.append(f"{item.get('id')}: {key} fails: {got.error.splitlines()[0]}")
+            elif not got.n:
                 wrong.append(f"{item.get('id')}: {key} has no rows")
     return wrong

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 from functools import reduce
 from pathlib import Path
 
@@ -27,6 +28,35 @@ def resume(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True) if system.exists(files) else spark.createDataFrame([], schema)
 
 
+#: A row of a run's log: what was appended, and what ended the run if something did.
+LOG = "at timestamp, status string, ids array<string>, failed_id string, error string"
+
+
+class RunTable:
+    """A run's rows and its log, as two tables that grow by one file an append, which is there whole or not at all."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        system = place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if system.exists(place) else self.spark.createDataFrame([], schema)
+
+    def rows(self) -> DataFrame:
+        return self._read("rows", self.schema)
+
+    def log(self) -> DataFrame:
+        return self._read("log", LOG)
+
+    def append(self, rows: list[tuple], status: str, failed_id: str | None = None, error: str | None = None) -> None:
+        """Rows whose first column is the id; they come before the log that tells of them."""
+        if rows:
+            self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(f"{self.path}/rows")
+        entry = (datetime.now(), status, [r[0] for r in rows], failed_id, error)
+        self.spark.createDataFrame([entry], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+
 def contaminated(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row: how many rows name a fallback backend in any of the columns (all strings by default), of how many."""
     names = columns if columns is not None else [c for c, t in rows.dtypes if t == "string"]

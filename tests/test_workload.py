@@ -6,7 +6,7 @@ import pytest
 
 from driftline.functions import stats
 from driftline.operators import evaluate, evolve
-from driftline.plans import workload
+from driftline.plans import answers, workload
 from driftline.plans.mutate import label_counts, label_frame, same_answer
 from driftline.sources import catalog, fixtures, results
 
@@ -194,3 +194,78 @@ def test_rules_on_a_stream(spark, tmp_path):
     run.awaitTermination(60)
     got = {r.question: r.verdict for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {"how many vessels": "valid", "list names": "silent_failure", "zebra": "silent_failure", "list": "execution_error"}
+
+
+def test_a_broken_run_is_taken_up(spark, tables, later, tmp_path):
+    """The generator fails at the third of four items; what was scored stays, and the second call only asks for the rest."""
+    items = [ITEMS[0], ITEMS[1], {**ITEMS[0], "id": "x", "question": "list each name of staff"}, {**ITEMS[1], "id": "y"}]
+    path, asked = f"{tmp_path}/run", []
+
+    def generate(prompt, breaks=True):
+        question = prompt.split("Question: ")[1].splitlines()[0]
+        if breaks and "each name" in question:
+            raise ConnectionError("gone away")
+        asked.append(question)
+        return ITEMS[1]["gold_pre"] if "towns" in question else ITEMS[0]["gold_pre"]
+
+    with pytest.raises(ConnectionError):
+        workload.evaluate_items(spark, items, tables, later, generate, path=path, batch=5)
+    kept = results.RunTable(spark, path, workload.ROW)
+    assert sorted(r.id for r in kept.rows().collect()) == ["a", "b"]
+    (entry,) = kept.log().collect()
+    assert (entry.status, entry.failed_id, entry.error, entry.ids) == ("failed", "x", "ConnectionError: gone away", ["a", "b"])
+    asked.clear()
+    steady = lambda prompt: generate(prompt, False)
+    got = workload.evaluate_items(spark, items, tables, later, steady, path=path, batch=1)
+    assert set(asked) == {"list each name of staff", ITEMS[1]["question"]} and [e.status for e in kept.log().orderBy("at").collect()] == ["failed", "running", "finished"]
+    whole = workload.evaluate_items(spark, items, tables, later, steady)
+    timed = [c for c in whole.columns if c.startswith("latency") or c == "ast_relink_ms"]
+    assert evaluate.same_rows(got.drop(*timed), whole.drop(*timed))
+    asked.clear()
+    again = workload.evaluate_items(spark, items, tables, later, steady, path=path)
+    assert not asked and again.count() == 4
+
+
+def executions(spark):
+    """Executions that ran a job, which registering a view doesn't."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    held = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return sum(held.apply(k).jobs().nonEmpty() for k in range(held.size()))
+
+
+def test_each_text_runs_once(spark, tables):
+    held = answers.Answers(spark, tables)
+    before = executions(spark)
+    assert held.same("SELECT name FROM employee", "SELECT name FROM employee ORDER BY name") and executions(spark) == before + 2
+    assert held.same("SELECT name FROM employee", "SELECT name FROM employee") and not held.same("SELECT 1 / 0", "SELECT 1")
+    assert executions(spark) == before + 3  # the division fails before it runs
+    answers.ahead(spark, [(held, "SELECT 1"), (held, "SELECT 2"), (held, "SELECT 2"), (held, "SELECT nope"), (held, None)])
+    assert executions(spark) == before + 4 and held.answer("SELECT nope").error and held.answer(None).error == "there is no query"
+
+
+def test_an_item_runs_no_query_twice(spark, tables, later):
+    change = workload.Change(spark, tables, later, stale)
+    before = executions(spark)
+    workload.answer_item(change, ITEMS[1])
+    assert executions(spark) == before + 2  # the one text, on the old tables and on the new ones
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [
+        ("VALUES (1, NULL)", "VALUES (NULL, 1)", False),
+        ("VALUES (1), (1), (2)", "VALUES (1), (2), (2)", False),
+        ("VALUES (1), (2)", "VALUES (2), (1)", True),
+        ("VALUES (array(1, NULL))", "VALUES (array(NULL, 1))", False),
+        ("VALUES (array(1, NULL))", "VALUES (array(1, NULL))", True),
+        ("VALUES (named_struct('a', 1, 'b', CAST(NULL AS INT)))", "VALUES (named_struct('a', CAST(NULL AS INT), 'b', 1))", False),
+        ("VALUES (-0.0D), (DOUBLE('NaN'))", "VALUES (DOUBLE('NaN')), (0.0D)", True),
+        ("VALUES ('')", "VALUES (CAST(NULL AS STRING))", False),
+        ("SELECT 1 WHERE false", "SELECT 2 WHERE false", True),
+        ("SELECT 1 WHERE false", "SELECT '2' WHERE false", False),
+        ("VALUES ('a', 'bc')", "VALUES ('ab', 'c')", False),
+    ],
+)
+def test_digests_tell_bags_apart(spark, a, b, same):
+    held = answers.Answers(spark, {})
+    assert held.same(a, b) is same and evaluate.same_rows(spark.sql(a), spark.sql(b)) is same
