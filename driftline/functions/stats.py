@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
+import operator
 import random
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,58 +65,73 @@ def mcnemar(rows: DataFrame, base: Column, challenger: Column) -> DataFrame:
     return counted.select("b", "c", statistic.alias("statistic"), p.alias("p_value"))
 
 
-def holm(rows: DataFrame, name: str = "name", p: str = "p_value") -> DataFrame:
-    """Holm's step-down adjustment; ties by name. A family of tests is a few rows."""
-    order = Window.orderBy(p, name)
-    placed = rows.withColumn("i", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    step = (F.col("m") - F.col("i") + 1) * F.col(p)
-    running = F.max(step).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return placed.select(name, p, F.round(F.least(F.lit(1.0), running), 6).alias("adjusted"))
-
-
-def ranked(rows: DataFrame, group: str) -> DataFrame:
-    """rows of group and v with i, the rank of v in its group (from 1), and n, the group's size. Rows are sorted by range over
-    all partitions and ranked from counts of the partitions before, so that no task holds a group; repeats of one value stay
-    together."""
+def _in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows dealt by range of the order, written with the number of their part, as that must not change between uses."""
     context = rows.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named and not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="driftline-"))
-    # the partition must not change between the two uses, so it is written with the row
-    rows = rows.select(F.col(group).alias("of"), "v").repartitionByRange("of", "v")
-    placed = rows.withColumn("part", F.spark_partition_id()).checkpoint()
-    counted = placed.groupBy("of", "part").agg(F.count("*").alias("k"))
+    return rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).checkpoint()
+
+
+def _of_parts(rows: DataFrame, value: Column, before: Callable[[float, float], float]) -> DataFrame:
+    """A row a part: what value comes to over all parts before it, in part and until, null for the first. Parts are as many as tasks."""
+    held = sorted((r["part"], r["x"]) for r in rows.groupBy("part").agg(value.alias("x")).collect())
+    upto = itertools.accumulate((x for _, x in held), before)
+    schema = f"part int, until {rows.groupBy('part').agg(value.alias('x')).schema['x'].dataType.simpleString()}"
+    return F.broadcast(rows.sparkSession.createDataFrame([(p, u) for (p, _), u in zip(held, [None, *upto], strict=False)], schema))
+
+
+def holm(rows: DataFrame, name: str = "name", p: str = "p_value") -> DataFrame:
+    """Holm's step-down adjustment; ties by name. Tests are dealt by range of p; a part's places follow from how many tests stand before
+    it, and its running maximum from the maxima before it, so a family of any size is no task's alone."""
+    placed = _in_order(rows.select(F.col(name).alias("name"), F.col(p).alias("p")), "p", "name")
+    own = Window.partitionBy("part").orderBy("p", "name")
+    m = placed.count()
+    place = F.row_number().over(own) + F.coalesce("until", F.lit(0))
+    stepped = placed.join(_of_parts(placed, F.count("*"), operator.add), "part", "left").withColumn("step", (m - place + 1) * F.col("p")).drop("until")
+    running = F.max("step").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = stepped.withColumn("running", running).join(_of_parts(stepped, F.max("step"), max), "part", "left")
+    return met.select(F.col("name").alias(name), F.col("p").alias(p), F.round(F.least(F.lit(1.0), F.greatest("running", "until")), 6).alias("adjusted"))
+
+
+def ranked(rows: DataFrame, group: str) -> DataFrame:
+    """For rows of group and v, each value once: k, how often its group has it; upto, the rank (from 1) of its last occurrence there; and n, the
+    group's size. Values are counted before they are sorted, so one of any frequency is one row; the rest is sorted by range over all
+    partitions and ranked from counts of the partitions before, so no task holds a group."""
+    counted = rows.select(F.col(group).alias("of"), "v").groupBy("of", "v").agg(F.count("*").alias("k"))
+    placed = _in_order(counted, "of", "v")
+    sums = placed.groupBy("of", "part").agg(F.sum("k").alias("k"))
     before = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("of")
-    offsets = counted.select(F.col("of").alias("to"), F.col("part").alias("at"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"), F.sum("k").over(whole).alias("n"))
-    own = F.row_number().over(Window.partitionBy("part", "of").orderBy("v"))
+    offsets = sums.select(F.col("of").alias("to"), F.col("part").alias("at"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"), F.sum("k").over(whole).alias("n"))
+    own = F.sum("k").over(Window.partitionBy("part", "of").orderBy("v"))
     met = placed.withColumn("own", own).join(offsets, F.col("of").eqNullSafe(F.col("to")) & (F.col("part") == F.col("at")))
-    return met.select(F.col("of").alias(group), "v", "n", (F.col("own") + F.col("before")).alias("i"))
+    return met.select(F.col("of").alias(group), "v", "k", "n", (F.col("own") + F.col("before")).alias("upto"))
 
 
 def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
     """For each group: n, mean, median, quartiles as medians of the lower and upper half (the middle left out), iqr,
-    95th percentile by nearest rank, min and max; 6 digits. Rows are ranked within groups, never gathered."""
+    95th percentile by nearest rank, min and max; 6 digits. Values are ranked within groups, never gathered."""
     v = F.col(value).cast("double")
     placed = ranked(rows.where(v.isNotNull()).select(group, v.alias("v")), group)
-    half = F.floor(F.col("n") / 2)
-    i, n = F.col("i"), F.col("n")
+    n, half = F.col("n"), F.floor(F.col("n") / 2)
+    at = lambda rank: F.max(F.when((rank > F.col("upto") - F.col("k")) & (rank <= F.col("upto")), F.col("v")))
 
     def middle(first: Column, size: Column) -> Column:
         """Mean of the one or two middle ranks of size ranks from first on."""
-        low, high = first + F.floor((size - 1) / 2), first + F.floor(size / 2)
-        return F.avg(F.when((i == low) | (i == high), F.col("v")))
+        return (at(first + F.floor((size - 1) / 2)) + at(first + F.floor(size / 2))) / 2
 
     least, most = F.min("v"), F.max("v")
     got = placed.groupBy(group).agg(
-        F.count("*").alias("n"),
-        F.avg("v").alias("mean"),
+        F.sum("k").alias("n"),
+        (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"),
         middle(F.lit(1), n).alias("median"),
-        F.coalesce(middle(F.lit(1), half), least).alias("q1"),
-        F.coalesce(middle(n - half + 1, half), most).alias("q3"),
-        F.max(F.when(i == F.ceil(95 * n / 100), F.col("v"))).alias("p95"),
+        F.when(F.max(half) > 0, middle(F.lit(1), half)).otherwise(least).alias("q1"),
+        F.when(F.max(half) > 0, middle(n - half + 1, half)).otherwise(most).alias("q3"),
+        at(F.ceil(95 * n / 100)).alias("p95"),
         least.alias("min"),
         most.alias("max"),
     )
@@ -123,30 +141,51 @@ def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-#: Draws that one digest decides: its eight-digit quarters.
-QUARTERS = 4
+#: Draws that one digest decides, its quarters of 32 bits, and rows whose weights are made at once.
+QUARTERS, BLOCK = 4, 64
+#: A quarter from here on, from there on and so on counts once more: distribution of a Poisson variable of mean 1, up to 12.
+_STEPS = np.array([math.ceil(sum(0.36787944117144233 / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12)], np.uint64)
+
+
+def _weights(keys: list[bytes], prefixes: list[bytes]) -> np.ndarray:
+    """How often each row counts in each draw."""
+    raw = b"".join([hashlib.md5(p + k).digest() for k in keys for p in prefixes])
+    unit = np.frombuffer(raw, ">u4").reshape(len(keys), -1).astype(np.uint32)
+    out = np.zeros(unit.shape, np.uint8)
+    for step in _STEPS[_STEPS < 2**32].astype(np.uint32):
+        out += unit >= step
+    return out
 
 
 def drawn(rows: DataFrame, key: str, sums: dict[str, Column], draws: int, seed: int) -> DataFrame:
     """draw, w and the weighted sums of columns for each of so many draws, in which each row counts as often as a Poisson variable of
-    mean 1 says. A hash of draw and key decides, four draws a digest. Rows meet a fixed number of draws, never each other."""
+    mean 1 says. A hash of draw and key decides, four draws a digest. A task adds up all its rows' weights into one vector of draws;
+    these are added element by element."""
     digests = -(-draws // QUARTERS)
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("digest").cast("string"), F.col(key).cast("string")).cast("binary"))
-    chance = [0.36787944117144233]  # of a count of 0, then 1, 2 and so on
-    for k in range(1, 12):
-        chance.append(chance[-1] / k)
-    own = rows.select(F.col(key), *[c.alias(n) for n, c in sums.items()], F.explode(F.sequence(F.lit(0), F.lit(digests - 1))).alias("digest")).withColumn("hash", digest)
-    unit = [F.conv(F.substring("hash", 8 * q + 1, 8), 16, 10).cast("long") / float(1 << 32) for q in range(QUARTERS)]
-    own = own.select("*", *[u.alias(f"u{q}") for q, u in enumerate(unit)])
-    weight = [sum(((F.col(f"u{q}") >= sum(chance[: k + 1])).cast("int") for k in range(12)), F.lit(0)) for q in range(QUARTERS)]
-    own = own.select("digest", *sums, *[w.alias(f"w{q}") for q, w in enumerate(weight)])
-    made = own.groupBy("digest").agg(*[F.struct(F.lit(q).alias("q"), F.sum(f"w{q}").alias("w"), *[F.sum(F.col(n) * F.col(f"w{q}")).alias(n) for n in sums]).alias(f"s{q}") for q in range(QUARTERS)])
-    each = made.select("digest", F.explode(F.array(*[f"s{q}" for q in range(QUARTERS)])).alias("s"))
-    return each.select((F.col("digest") * QUARTERS + F.col("s.q")).alias("draw"), "s.w", *[f"s.{n}" for n in sums]).where(F.col("draw") < draws)
+    names = list(sums)
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names) + 1, draws))
+        prefixes = [f"{seed}:{d}".encode() for d in range(digests)]
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            held = [np.ones(len(keys)), *(np.nan_to_num(batch.column(n).to_numpy(zero_copy_only=False), nan=0.0) if batch.column(n).null_count else batch.column(n).to_numpy(zero_copy_only=False) for n in names)]
+            values = np.stack([np.asarray(h, np.float64) for h in held])
+            for at in range(0, len(keys), BLOCK):
+                some = [b"" if k is None else b":" + k.encode() for k in keys[at : at + BLOCK]]
+                total += values[:, at : at + BLOCK] @ _weights(some, prefixes)[:, :draws].astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), *map(pa.array, total)], names=["draw", "w", *names])
+
+    own = rows.select(F.col(key).cast("string").alias("key"), *[c.cast("double").alias(n) for n, c in sums.items()]).repartition(tasks)
+    parts = own.mapInArrow(run, "draw bigint, w double, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("draw").agg(F.sum("w").alias("w"), *[F.sum(n).alias(n) for n in names])
 
 
 def bootstrap(rows: DataFrame, key: str, value: str, draws: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Interval of a mean by resampling, for tables of any size."""
+    rows = rows.where(F.col(value).isNotNull())
     means = drawn(rows, key, {"v": F.col(value).cast("double")}, draws, seed).select((F.col("v") / F.nullif(F.col("w"), F.lit(0))).alias("m")).where("m IS NOT NULL")
     place = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # a number for each draw
     low, high = F.greatest(F.lit(0), F.floor(F.size("m") * alpha / 2)), F.greatest(F.lit(0), F.floor(F.size("m") * (1 - alpha / 2)) - 1)

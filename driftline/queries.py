@@ -458,6 +458,12 @@ def stat_holm(spark: SparkSession, t: Tables) -> DataFrame:
     return stats.holm(t["nation"].select(F.col("n_name").alias("name"), ((F.col("n_nationkey") + 1) / 500.0).alias("p_value")))
 
 
+@query("WITH p AS (SELECT c_name AS name, ((c_custkey * 7919) % 100003 + 1) / 5000200.0::DOUBLE AS p_value FROM customer), o AS (SELECT *, row_number() OVER (ORDER BY p_value, name) AS i, count(*) OVER () AS m FROM p) SELECT name, p_value, ROUND(least(1.0, max((m - i + 1) * p_value) OVER (ORDER BY p_value, name ROWS UNBOUNDED PRECEDING)), 6) AS adjusted FROM o")
+def stat_holm_customers(spark: SparkSession, t: Tables) -> DataFrame:
+    """A family with a test for each customer."""
+    return stats.holm(t["customer"].select(F.col("c_name").alias("name"), ((F.col("c_custkey") * 7919 % 100003 + 1) / F.lit(5000200.0)).alias("p_value")))
+
+
 @query(f"SELECT l_returnflag, k, n, ROUND(greatest(0.0, {_WILSON.format('k', 'n', '-')}), 6) AS lower, ROUND(least(1.0, {_WILSON.format('k', 'n', '+')}), 6) AS upper FROM (SELECT l_returnflag, COUNT(*) FILTER (l_linestatus = 'F') AS k, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag)")
 def stat_wilson(spark: SparkSession, t: Tables) -> DataFrame:
     got = t["lineitem"].groupBy("l_returnflag").agg(F.count_if(F.col("l_linestatus") == "F").alias("k"), F.count("*").alias("n"))

@@ -55,6 +55,51 @@ def test_latency_of_no_group_and_of_nulls(spark):
     assert {r.g: (r.n, r.median) for r in stats.latency(rows, "g", "v").collect()} == {None: (2, 2.0), "b": (1, 2.0)}
 
 
+def test_a_value_of_any_frequency_is_one_row(spark):
+    """One value in 99 of a hundred rows, and a group of it alone."""
+    rows = spark.range(100_000).select((F.col("id") % 2).alias("g"), F.when((F.col("id") % 100 < 98) | (F.col("id") % 2 == 0), 7.0).otherwise(F.col("id").cast("double")).alias("v"))
+    held = stats.ranked(rows, "g").collect()
+    assert len(held) == 1002 and max(r.k for r in held) == 50_000 and all(r.n == 50_000 for r in held)
+    got = {r.g: (r.n, r.median, r.q1, r.q3, r.p95, r.min) for r in stats.latency(rows, "g", "v").collect()}
+    assert got[0] == (50_000, 7.0, 7.0, 7.0, 7.0, 7.0) and got[1] == (50_000, 7.0, 7.0, 7.0, 7.0, 7.0)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        tasks = stats.ranked(rows, "g").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset(key)
+    assert max(r["count"] for r in tasks) < 600  # of 100,000 rows
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_holm_over_many_parts(spark, n):
+    rng = random.Random(n)
+    tests = [(f"t{k:04d}", rng.choice([0.0001, 0.001, rng.random() / 100, rng.random()])) for k in range(n)]
+    got = {r.name: r.adjusted for r in stats.holm(spark.createDataFrame(tests, "name string, p_value double")).collect()}
+    running, want = 0.0, {}
+    for i, (p, name) in enumerate(sorted((p, name) for name, p in tests)):
+        running = max(running, (n - i) * p)
+        want[name] = round(min(1.0, running), 6)
+    assert got == pytest.approx(want)
+
+
+def test_weights_follow_from_key_and_draw_alone(spark):
+    """Against exploding rows by draws, over partitions of any number; null keys and null values too."""
+    import hashlib
+
+    held = [(k, float(k * k % 17) if k % 5 else None) for k in range(40)] + [(None, 3.0)]
+
+    def weight(draw, k):
+        text = f"3:{draw // 4}" + ("" if k is None else f":{k}")
+        u = int(hashlib.md5(text.encode()).hexdigest()[8 * (draw % 4) :][:8], 16) / 2**32
+        return sum(u >= sum(0.36787944117144233 / math.factorial(j) for j in range(i + 1)) for i in range(12))
+
+    for parts in (1, 3):
+        rows = spark.createDataFrame(held, "k int, v double").repartition(parts)
+        got = {r.draw: (r.w, r.v) for r in stats.drawn(rows, "k", {"v": F.col("v")}, 10, 3).collect()}
+        assert got == {d: (sum(weight(d, k) for k, _ in held), sum(weight(d, k) * (v or 0) for k, v in held)) for d in range(10)}
+
+
 def test_recovery_and_truth(spark):
     got = spark.range(1).select(stats.recovery(F.lit(0.2), F.lit(0.7), F.lit(0.6)), stats.recovery(F.lit(0.5), F.lit(0.5), F.lit(0.9)), stats.truth(F.lit("Yes")), stats.truth(F.lit(None))).first()
     assert got[0] == pytest.approx(0.8) and tuple(got)[1:] == (None, True, False)
