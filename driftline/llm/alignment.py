@@ -16,7 +16,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from itertools import chain, count
 
 import numpy as np
@@ -25,13 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import cut, lean_batches, pack, unpack
+from .blocks import cut, lean_batches, pack, release, unpack
 from .common import Scratch, batches_of
 
 #: The public tokenizers, parameters of every function here: a byte-level one that sees space+text, and one that adds the space itself.
 BYTES, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments of a chunk (but a text is never cut), those that are aligned at once, and texts that come from the JVM at once.
 CHUNK, AT_ONCE, TEXTS = 1 << 21, 1 << 13, 256
+#: Segments whose links and texts are made at once.
+SLICE = 1 << 15
+#: Rows that a task bundles at most before it sends them to their chunks.
+BUNDLE = 1 << 19
 #: Characters of alignments that pass to the JVM at once, if they are of more than one document.
 OUT = 1 << 23
 #: A group with more links than this is counted by its different ids.
@@ -152,8 +156,21 @@ def _counts(owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, minlength=n)
 
 
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, slice, slice]]:
+    """Some segments at a time, so that memory holds the intermediate arrays of few: the first one, the segments, and their tokens."""
+    limits = np.append(0, np.cumsum(sizes)).tolist()
+    for a in range(0, len(sizes), SLICE):
+        b = min(a + SLICE, len(sizes))
+        yield a, slice(a, b), slice(limits[a], limits[b])
+
+
 def links(tokens: np.ndarray, sizes: np.ndarray) -> Links:
     """Links of segments, given their tokens in a row and how many tokens each has. A link's code is its first id << 32 | its second."""
+    parts = [_links(tokens[within].astype(np.int64), sizes[some], first) for first, some, within in _slices(sizes)] or [_links(np.zeros(0, np.int64), sizes, 0)]
+    return Links(*(np.concatenate([getattr(x, f.name) for x in parts]) for f in fields(Links)))
+
+
+def _links(tokens: np.ndarray, sizes: np.ndarray, at: int) -> Links:
     n = len(sizes)
     segment = np.repeat(np.arange(n), sizes)
     kind, ids = tokens >> KIND, tokens & ((1 << KIND) - 1)
@@ -177,11 +194,15 @@ def links(tokens: np.ndarray, sizes: np.ndarray) -> Links:
     held = [np.concatenate(x) for x in zip(*parts, strict=True)]
     total = np.zeros(n, np.int64)
     np.add.at(total, owner, many)
-    return Links(_counts(segment[first], n), _counts(segment[~first], n), _counts(owner, n), total, *held)
+    return Links(_counts(segment[first], n), _counts(segment[~first], n), _counts(owner, n), total, (held[0] + at).astype(np.int32), held[1], held[2])
 
 
 def group_texts(tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """Each segment's groups as text: ids in decimal, those of a kind with commas, kinds with a bar, groups with semicolons."""
+    return [text for _, some, within in _slices(sizes) for text in _group_texts(tokens[within].astype(np.int64), sizes[some])]
+
+
+def _group_texts(tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     signs = np.frombuffer(b";,|,", np.uint8)
     kind, ids = tokens >> KIND, tokens & ((1 << KIND) - 1)
     names, which = np.unique(ids, return_inverse=True)
@@ -272,12 +293,37 @@ def align(docs: DataFrame, bytes_path: str = BYTES, pieces_path: str = PIECES) -
             segments = batch.column("segment").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(run(segments), pa.binary())], names=["segment", "tokens"])
 
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Alignments that go to the same chunk as one row: arrays instead of rows are what is shuffled."""
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BUNDLE:
+                yield from bundled(held)
+                held, rows = [], 0
+        if rows:
+            yield from bundled(held)
+
+    def bundled(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).sort_by("asked")
+        chunk, tokens = table.column("asked").to_numpy(), table.column("tokens").to_pylist()
+        place, size = table.column("place").to_numpy(), np.array([len(t) // 4 for t in tokens], np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            numbers = np.frombuffer(b"".join(tokens[a:b]), "<u4")
+            row = [int(chunk[a]), pack(place[a:b]), pack(size[a:b]), pack(numbers)]
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["asked", "places", "size", "tokens"])
+
     def gather(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of a chunk's segments in a row, how many each has, and of which segments its documents consist."""
-        order = np.argsort(right.column("place").to_numpy())
-        told = right.column("tokens").take(pa.array(order, pa.int64())).to_pylist()
-        size = np.array([len(t) // 4 for t in told], np.int64)
-        tokens = np.frombuffer(b"".join(told), "<u4").astype(np.int64)
+        rows = right.to_pylist()
+        place, size = (np.concatenate([unpack(r[c]) for r in rows] or [np.zeros(0, np.int64)]) for c in ("places", "size"))
+        tokens = np.concatenate([unpack(r["tokens"]).astype(np.uint32) for r in rows] or [np.zeros(0, np.uint32)])
+        order = np.argsort(place)
+        start = (np.cumsum(size) - size)[order]
+        size = size[order]
+        tokens = tokens[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         return tokens, size, unpack(left.column("sizes")[0].as_py()), unpack(left.column("which")[0].as_py())
 
     def counted(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -287,40 +333,44 @@ def align(docs: DataFrame, bytes_path: str = BYTES, pieces_path: str = PIECES) -
         good = _by_document(held.broken[which].astype(np.int64), sizes) == 0
         documents = _documents_of_pairs(held, pair, len(codes), sizes, which, good)
         used = documents > 0
-        row = [left.column("cid")[0].as_py(), tokens.astype("<u4").tobytes(), pack(size), codes[used], documents[used]]
+        row = [left.column("cid")[0].as_py(), pack(tokens), pack(size), codes[used], documents[used]]
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["cid", "tokens", "size", "pairs", "documents"])
+        out = pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["cid", "tokens", "size", "pairs", "documents"])
+        release()
+        return out
 
-    def composed(key: tuple, left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
-        sizes, which, size = (unpack(left.column(c)[0].as_py()) for c in ("sizes", "which", "size"))
-        tokens = np.frombuffer(left.column("tokens")[0].as_py(), "<u4").astype(np.int64)
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield from composed({name: batch.column(name)[row] for name in batch.schema.names})
+
+    def composed(chunk: dict[str, pa.Scalar]) -> Iterator[pa.RecordBatch]:
+        sizes, which, size, tokens = (unpack(chunk[c].as_py()) for c in ("sizes", "which", "size", "tokens"))
+        tokens = tokens.astype(np.uint32)
         held = links(tokens, size)
         good = (_by_document(held.broken[which].astype(np.int64), sizes) == 0) & (sizes > 0)
-        codes = right.column("pair").to_numpy()
+        codes, documents, best = (chunk[c].values.to_numpy(zero_copy_only=False) if chunk[c].is_valid else np.zeros(0, np.int64) for c in ("pair", "n", "best"))
         order = np.argsort(codes)
-        codes, documents, best = codes[order], right.column("n").to_numpy()[order], right.column("best").to_numpy()[order]
+        codes, documents, best = codes[order], documents[order], best[order]
         at = np.minimum(np.searchsorted(codes, held.code), max(0, len(codes) - 1))
         there = codes[at] == held.code if len(codes) else np.zeros(len(held.code), bool)  # not those of broken documents alone
         by_segment = [held.n_a, held.n_b, held.n_groups, held.n_links]
         for value in (best.astype(np.int64), documents):
             total = np.zeros(len(size), np.int64)
-            np.add.at(total, held.owner[there], (held.weight[there] * value[at[there]]))
+            np.add.at(total, held.owner[there], held.weight[there] * value[at[there]])
             by_segment.append(total)
         sums = [np.where(good, _by_document(x[which], sizes), 0) for x in by_segment]
         texts, limits = group_texts(tokens, size), np.append(0, np.cumsum(sizes)).tolist()
-        numbers, ids = which.tolist(), left.column("doc_id").combine_chunks().values
+        ids = chunk["doc_id"].values
         begin, groups, letters = 0, [], 0
         for i, fine in enumerate(good.tolist()):
-            groups.append(b";".join([texts[k] for k in numbers[limits[i] : limits[i + 1]]]) if fine else b"")
+            groups.append(b";".join([texts[k] for k in which[limits[i] : limits[i + 1]].tolist()]) if fine else b"")
             letters += len(groups[-1])
             if letters >= OUT or i + 1 == len(sizes):
                 columns = [ids.slice(begin, i + 1 - begin), *(pa.array(s[begin : i + 1]) for s in sums), pa.array(groups, pa.binary()).cast(pa.string())]
-                yield pa.Table.from_arrays(columns, names=["doc_id", *NUMBERS, "groups"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *NUMBERS, "groups"])
                 begin, groups, letters = i + 1, [], 0
 
-    def all_composed(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.concat_tables(composed(key, left, right))
-
     with batches_of(spark, TEXTS):
         chunks = scratch.keep(docs.select("doc_id", "text").mapInArrow(lean_batches(read), f"cid bigint, doc_id array<{kind}>, sizes binary, which binary, segments array<string>"), compression="zstd")
     with batches_of(spark, AT_ONCE):
@@ -328,19 +378,23 @@ def align(docs: DataFrame, bytes_path: str = BYTES, pieces_path: str = PIECES) -
         aligned = scratch.keep(different.mapInArrow(lean_batches(each), "segment string, tokens binary"), compression="zstd")
         asked = chunks.select(F.col("cid").alias("asked"), F.posexplode("segments").alias("place", "segment"))
         told = asked.join(aligned, "segment").select("asked", "place", "tokens")
+        bundles = scratch.keep(told.mapInArrow(lean_batches(bundle), "asked bigint, places binary, size binary, tokens binary"), compression="zstd")
+        scratch.drop(aligned)
         found = scratch.keep(
-            chunks.select("cid", "sizes", "which").groupBy("cid").cogroup(told.groupBy("asked")).applyInArrow(counted, "cid bigint, tokens binary, size binary, pairs array<bigint>, documents array<bigint>"),
+            chunks.select("cid", "sizes", "which").groupBy("cid").cogroup(bundles.groupBy("asked")).applyInArrow(counted, "cid bigint, tokens binary, size binary, pairs array<bigint>, documents array<bigint>"),
             compression="zstd",
         )
-    scratch.drop(aligned)
+    scratch.drop(bundles)
     pairs = found.select("cid", F.explode(F.arrays_zip("pairs", "documents")).alias("x")).select("cid", F.col("x.pairs").alias("pair"), F.col("x.documents").alias("n"))
     total = scratch.keep(pairs.groupBy("pair").agg(F.sum("n").alias("n")))
     a = F.shiftright("pair", 32).alias("a")
     most = total.groupBy(a).agg(F.max("n").alias("most"))
     known = total.select("pair", "n", a).join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    back = pairs.select(F.col("cid").alias("asked"), "pair").join(known, "pair")
+    # a chunk has its own pairs alone, of which there are fewer than links in it
+    back = pairs.select("cid", "pair").join(known, "pair").groupBy("cid").agg(F.collect_list(F.struct("pair", "n", "best")).alias("x"))
     whole = chunks.select("cid", "doc_id", "sizes", "which").join(found.select("cid", "tokens", "size"), "cid")
-    return whole.groupBy("cid").cogroup(back.groupBy("asked")).applyInArrow(all_composed, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in NUMBERS) + ", groups string")
+    joined = whole.join(back.select("cid", "x.pair", "x.n", "x.best"), "cid", "left").drop("cid")
+    return joined.mapInArrow(lean_batches(compose), f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in NUMBERS) + ", groups string")
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
