@@ -100,6 +100,16 @@ def test_weights_follow_from_key_and_draw_alone(spark):
         assert got == {d: (sum(weight(d, k) for k, _ in held), sum(weight(d, k) * (v or 0) for k, v in held)) for d in range(10)}
 
 
+def test_digests_are_those_of_the_library():
+    import hashlib
+
+    keys = [b"", b":1", b":" + b"x" * 40, b":" + b"y" * 52, b":" + b"z" * 300, ":é漢".encode()]
+    prefixes = [f"0:{d}".encode() for d in range(120)]
+    got = stats._weights(keys, prefixes)
+    units = [[int.from_bytes(hashlib.md5(p + k).digest()[4 * q :][:4], "big") for p in prefixes for q in range(4)] for k in keys]
+    assert got.tolist() == [[int((stats._STEPS <= u).sum()) for u in row] for row in units]
+
+
 def test_recovery_and_truth(spark):
     got = spark.range(1).select(stats.recovery(F.lit(0.2), F.lit(0.7), F.lit(0.6)), stats.recovery(F.lit(0.5), F.lit(0.5), F.lit(0.9)), stats.truth(F.lit("Yes")), stats.truth(F.lit(None))).first()
     assert got[0] == pytest.approx(0.8) and tuple(got)[1:] == (None, True, False)
