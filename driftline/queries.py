@@ -884,6 +884,29 @@ def benchmark_merge(spark: SparkSession, t: Tables) -> DataFrame:
     return made.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.max("price_orders"), 2).alias("price"))
 
 
+#: Golds whose join of orders with customer stands deep, beside other joins, without qualifiers, or in a USING.
+_JOINS = {
+    "nested": "SELECT n FROM (SELECT COUNT(*) AS n FROM orders AS T1 JOIN customer AS T2 ON T1.o_custkey = T2.c_custkey WHERE T1.o_orderkey IN (SELECT T1.l_orderkey FROM lineitem AS T1)) x",
+    "several": "SELECT T3.n_name FROM lineitem AS T4 JOIN orders AS T1 ON T4.l_orderkey = T1.o_orderkey JOIN customer AS T2 ON T2.c_custkey = T1.o_custkey JOIN nation AS T3 ON T3.n_nationkey = T2.c_nationkey",
+    "plain": "SELECT o_orderkey FROM orders, customer WHERE o_orderkey > 5 AND c_custkey = o_custkey",
+    "using": "SELECT o_orderkey FROM lineitem JOIN orders USING (l_orderkey) JOIN customer USING (c_custkey)",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{case}' AS gold, COUNT(*) AS n, ROUND(SUM(c_acctbal), 2) AS balance FROM orders JOIN customer ON o_custkey = c_custkey" for case in _JOINS))
+def benchmark_joins(spark: SparkSession, t: Tables) -> DataFrame:
+    """Merges of two tables on what each gold joins them on."""
+    made = []
+    for case, sql in _JOINS.items():
+        tables = {"orders": t["orders"].select("o_orderkey", "o_custkey"), "customer": t["customer"].select("c_custkey", "c_acctbal")}
+        if case == "using":
+            tables["orders"] = tables["orders"].withColumnRenamed("o_custkey", "c_custkey")
+        spec = {"old_new_table_mapping": {"orders": "deal", "customer": "deal"}, "new_relevant_table": {"deal": "deal (o_orderkey int, c_acctbal real)"}, "query": sql}
+        deal = benchmark.materialize(tables, {"op": "TABLE_MERGE", "spec": spec})["deal"]
+        made.append(deal.agg(F.lit(case).alias("gold"), F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")))
+    return reduce(DataFrame.unionByName, made)
+
+
 @query("SELECT c_custkey, coalesce(CAST(c_name AS VARCHAR), '') || ' ' || coalesce(CAST(c_mktsegment AS VARCHAR), '') AS label FROM customer")
 def benchmark_column_merge(spark: SparkSession, t: Tables) -> DataFrame:
     """A merge of columns that only shows in the definitions before and after."""

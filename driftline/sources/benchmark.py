@@ -11,7 +11,7 @@ import re
 from pathlib import Path
 
 from ..operators import evolve
-from ..plans.sqltext import outline
+from ..plans.sqltext import Outline, outline
 
 #: Operators and their files, and words that are types in definitions.
 FILES = {
@@ -89,18 +89,42 @@ def entry_columns(entry: object) -> list[str]:
     return ddl_columns(entry.get("ddl") or "")
 
 
-def joined_on(sql: str, first: str, second: str) -> tuple[str, str] | None:
-    """The columns that a query's first equality between two tables joins them on, the first table's first."""
+def joined_on(sql: str, first: str, second: str, columns: tuple[list[str], list[str]] | None = None) -> tuple[str, str] | None:
+    """The columns that a query joins two tables on, the first table's first: by its first equality of theirs, or by a USING behind one
+    of them. Qualifiers are read in the scope where they stand; a column without one is taken for the only table of the two in scope
+    that has it, if columns are given."""
     held = outline(sql)
     place = {id(t): i for i, t in enumerate(held.tokens)}
-    refs = {place[id(column)]: (scope.owner(q.word) or q.word, column.word) for q, column, scope in held.columns if q is not None}
-    for i, (table, column) in sorted(refs.items()):
-        if i + 4 in refs and held.tokens[i + 1].text == "=":
-            other, its = refs[i + 4]
-            if (table.lower(), other.lower()) == (first.lower(), second.lower()):
+    want = (first.lower(), second.lower())
+    has = [{c.lower() for c in own} for own in columns] if columns else [set(), set()]
+    refs: dict[int, tuple[str, str, int]] = {}  # by the first token: table, column, last token
+    for qualifier, column, scope in held.columns:
+        at = place[id(column)]
+        if qualifier is not None:
+            refs[place[id(qualifier)]] = ((scope.owner(qualifier.word) or qualifier.word).lower(), column.word, at)
+        else:
+            owners = [t for t, own in zip(want, has, strict=True) if column.word.lower() in own and t in {r.lower() for r in scope.relations.values()}]
+            if len(owners) == 1:
+                refs[at] = (owners[0], column.word, at)
+    for _, (table, column, last) in sorted(refs.items()):
+        if last + 2 in refs and held.tokens[last + 1].text == "=":
+            other, its, _ = refs[last + 2]
+            if (table, other) == want:
                 return column, its
-            if (other.lower(), table.lower()) == (first.lower(), second.lower()):
+            if (other, table) == want:
                 return its, column
+    return _using(held, place, want)
+
+
+def _using(held: Outline, place: dict[int, int], want: tuple[str, str]) -> tuple[str, str] | None:
+    """The first column of a USING whose table is one of the two, if the other stands before it in the same FROM."""
+    for i, t in enumerate(held.tokens):
+        if t.is_("USING") and i + 2 < len(held.tokens) and held.tokens[i + 1].text == "(":
+            scope = next((s for s in reversed(held.scopes) if "FROM" in s.clauses and s.clauses["FROM"][0] <= i < s.clauses["FROM"][1]), None)
+            begins = scope.clauses["FROM"][0] if scope else 0
+            before = [r.word.lower() for r in held.relations if begins <= place[id(r)] < i]
+            if before and before[-1] in want and (want[1] if before[-1] == want[0] else want[0]) in before[:-1]:
+                return held.tokens[i + 2].word, held.tokens[i + 2].word
     return None
 
 
@@ -174,7 +198,7 @@ def _merged(tables: evolve.Tables, spec: dict, new_tables: dict) -> evolve.Table
     own = [{c.lower(): c for c in tables[t].columns} for t in (first, second)]
     key = str(spec.get("new_table_primary_key") or "").strip(" '\"").lower()
     declared = ([own[0][key]], [own[1][key]]) if key in own[0] and key in own[1] else None
-    on = evolve.merge_key(tables[first], tables[second], joined_on(spec.get("query", ""), first, second), declared)
+    on = evolve.merge_key(tables[first], tables[second], joined_on(spec.get("query", ""), first, second, (tables[first].columns, tables[second].columns)), declared)
     taken = spec.get("deduplicate_new_column_to_old_table_old_table_mapping") or {}
     a, b = tables[first].alias("a"), tables[second].alias("b")
     picked = []
