@@ -15,9 +15,12 @@ from .common import Scratch, ascii_lower, components
 
 #: Verdict, host and path prefix. Fixed values.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: A tag that may hold a link, and an attribute of it (name, value with its quotes).
-TAG = r"""(?i)<(?:link|meta)\b(?:[^>"']++|"[^"]*+"|'[^']*+'){0,256}+>"""
+#: A tag that may hold a link, and an attribute of it (name, value with its quotes). Neither gives back what it has taken, so tags and
+#: attributes of any number and length are read in one go.
+TAG = r"""<(?:link|meta)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 ATTRIBUTE = r"""([^\s"'<>/=]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+#: What is no markup although it may look so: comments, and the text of scripts and styles; each to its end, or to that of the page.
+HIDDEN = r"<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)|<style\b.*?(?:</style|\z)"
 #: What a refresh leads to: after the seconds, with or without a name and quotes of its own.
 REFRESH = r"""(?is)^\s*[^;,\s]*(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|([^"'].*))"""
 
@@ -83,9 +86,10 @@ def address(url: Column) -> Column:
 
 def links(pages: DataFrame) -> DataFrame:
     """Edges a, b between different addresses that pages declare to be one: all canonical links and refreshes of a page, whatever
-    the order of attributes and quotes. Relative targets are taken from the page's address."""
+    the number and order of attributes and quotes, but not those in comments, scripts and styles. Relative targets are taken from the
+    page's address; a base that a page names is not looked at."""
     seen = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).where(F.col("html").rlike("(?i)canonical|http-equiv"))
-    tags = seen.select("url", F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag")).where(F.col("tag").rlike("(?i)canonical|http-equiv"))
+    tags = seen.select("url", F.explode(F.regexp_extract_all("html", F.lit(f"(?is){HIDDEN}|{TAG}"), F.lit(0))).alias("tag")).where(F.col("tag").rlike("(?i)^<(?:link|meta)") & F.col("tag").rlike("(?i)canonical|http-equiv"))
     tag = F.col("tag")
     canonical = tag.rlike("(?i)^<link") & F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "canonical")
     refresh = tag.rlike("(?i)^<meta") & (F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh")
@@ -137,7 +141,8 @@ def oracle(rules: list[tuple[str, str, str]] = RULES) -> str:
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES {values}),
 tag AS (
   SELECT url, lower(substr(tag, 2, 4)) AS kind, regexp_extract_all(tag, '[^\s"''<>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"''][^\s>]*)') AS own
-  FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)
+  FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)|<style\b.*?(?:</style|\z)|<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)
+  WHERE regexp_matches(tag, '(?i)^<(link|meta)')
 ), named AS (
   SELECT url, regexp_replace(trim(CASE
       WHEN kind = 'link' AND list_contains(regexp_split_to_array(lower({attribute("rel")}), '\s+'), 'canonical') THEN {attribute("href")}

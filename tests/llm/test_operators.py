@@ -585,6 +585,13 @@ def test_links_agree_with_sql(spark):
         ("https://g.io/" + "long/" * 3000, "x" * 300_000 + '<link rel=canonical href="https://x.org/es/1">', True),
         (None, '<link rel=canonical href="https://x.org/es/1">', False),
         ("https://h.io/", None, False),
+        ("https://i.io/", "<link " + " ".join(f'data-{k}="{k}"' for k in range(10_000)) + ' rel="canonical" href="https://x.org/es/1">', True),
+        ("https://j.io/", "<link " + "a " * 100_000 + """rel='canonical' title='<!--' href="https://x.org/es/1">""", True),
+        ("https://k.io/", '<!-- <link rel=canonical href="https://x.org/es/1"> -->', False),
+        ("https://l.io/", '<!-- a --><link rel=canonical href="https://x.org/es/1"><!-- b -->', True),
+        ("https://m.io/", """<script>var x = '<link rel="canonical" href="https://x.org/es/1">';</script><style><meta http-equiv=refresh content="0;https://x.org/es/1"></style>""", False),
+        ("https://n.io/", '<SCRIPT src=x></SCRIPT><link rel=canonical href="https://x.org/es/1">', True),
+        ("https://o.io/", '<!-- never closed <link rel=canonical href="https://x.org/es/1">', False),
     ]
     frame = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(pages)], "page_id bigint, url string, html string")
     got = sorted(map(tuple, urls.judge(frame).collect()))
