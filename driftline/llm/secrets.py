@@ -14,7 +14,10 @@ import binascii
 import hashlib
 import json
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,12 +41,15 @@ ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----(
 #: What starts a JSON object, a DER sequence or an SSH frame inside of a run; and runs with the lines that go on with them, where line
 #: ends may be written as escapes.
 HEADER = re.compile(r"e(?=[w-z0-3][A-Za-z0-9+/_-]{9})")
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+RUN = re.compile(r"[A-Za-z0-9+/_-]*+")
+REST = re.compile(r"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 INNER = re.compile(r"M(?=[A-P])|b(?=3BlbnNzaC1rZXktdjEA)")
 SSH_FRAME = b"openssh-key-v1\0"
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{40,}+(?:(?:[\x20\t]*+(?:\r?\n|\\[nr]))++[\x20\t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
 BREAK = re.compile(r"\\[nr]|[\s=]")
 DEEPEST = 12
+#: A private key's outer sequence has ten values at most.
+MOST_VALUES = 16
 
 
 def unbase64(s: str) -> bytes | None:
@@ -166,18 +172,108 @@ def confirmed(run: str) -> str | None:
     return None
 
 
+class Decoded:
+    """Bytes of a base64 run from a place on, decoded only where they are asked for."""
+
+    def __init__(self, run: str, at: int, end: int | None = None):
+        self.run, self.at, self.end = run, at, len(run) if end is None else end
+        self.length = (self.end - at) * 3 // 4
+
+    def part(self, start: int, end: int) -> bytes:
+        first, last = start // 3, -(-min(end, self.length) // 3)
+        return (unbase64(self.run[self.at + 4 * first : min(self.at + 4 * last, self.end)]) or b"")[start - 3 * first : end - 3 * first]
+
+    def number(self, start: int) -> int | None:
+        four = self.part(start, start + 4)
+        return int.from_bytes(four, "big") if len(four) == 4 else None
+
+
+def json_size(head: Decoded) -> int | None:
+    """How many bytes the JSON object at the beginning has, with the blanks behind it; None if there is none. What is no JSON shows within a
+    window of the text, which grows only while the object goes on."""
+    window = 256
+    while True:
+        raw = head.part(0, window)
+        text = raw.decode("utf-8", "replace")
+        try:
+            end = json.JSONDecoder().raw_decode(text)[1]
+            if "\ufffd" in text[:end]:  # it may be meant, or no UTF-8
+                return head.length
+            return len(text[: len(text) - len(text[end:].lstrip(" \t\r\n"))].encode())
+        except RecursionError:
+            return None
+        except ValueError as e:
+            unfinished = isinstance(e, json.JSONDecodeError) and (e.pos >= len(text) - 8 or e.msg.startswith("Unterminated"))
+            if window >= head.length or not unfinished:
+                return None
+            window *= 4
+
+
 def inner_tokens(text: str) -> Iterator[tuple[int, int]]:
-    """Signed tokens wherever their header starts, also behind other characters of the alphabet."""
-    upto = 0
+    """Signed tokens wherever their header starts, also behind other characters of the alphabet. A run's end and what follows it are
+    looked up once for all headers that may start in it, and only a header whose JSON ends with the run is read whole."""
+    upto, stop, rest = 0, -1, None
     for m in HEADER.finditer(text):
         at = m.start()
         if at < upto or not re.match(rb"\{\s*\"", unbase64(text[at : at + 12]) or b""):
             continue
-        if (t := TOKEN.match(text, at)) and is_signed_token(t[0]):
-            upto = t.end()
+        if at >= stop:
+            stop = RUN.match(text, at).end()
+            rest = REST.match(text, stop)
+        if rest is None:
+            continue
+        head = Decoded(text, at, stop)
+        if json_size(head) == head.length and is_signed_token(text[at:stop] + rest[0]):
+            upto = rest.end()
             yield at, upto
 
 
+def key_size(data: Decoded) -> int:
+    """How many bytes a DER sequence has in all that may be a private key, as its own header and those of its values say; 0 for others. Values
+    are stepped over by their lengths, of which a key has few, so that only what may be one is decoded whole."""
+
+    def header(at: int) -> tuple[int, int, int] | None:
+        """Tag, where the content begins, and where it ends."""
+        raw = data.part(at, at + 6)
+        size = der_size(raw)
+        return (raw[0], at + 2 + (raw[1] & 0x7F if raw[1] & 0x80 else 0), at + size) if size else None
+
+    outer = header(0)
+    if outer is None or not 24 <= outer[2] <= data.length:
+        return 0
+    at, seen = outer[1], 0
+    while at < outer[2]:
+        own = header(at)
+        if own is None or own[2] > outer[2] or seen > MOST_VALUES:
+            return 0
+        if not seen:
+            small = own[0] == 0x02 and own[2] == own[1] + 1 and data.part(own[1], own[2])[0] < 3
+            if not small and not (own[0] == 0x30 and data.part(own[1], own[1] + 1) == b"\x06"):
+                return 0
+        at, seen = own[2], seen + 1
+    return outer[2] if seen >= 2 else 0
+
+
+def frame_size(data: Decoded) -> int:
+    """How many bytes an SSH frame has in all, by the lengths of its fields; 0 if they don't lead to an end within data."""
+    at = len(SSH_FRAME)
+    for _ in range(3):
+        n = data.number(at)
+        if n is None or n > data.length:
+            return 0
+        at += 4 + n
+    keys = data.number(at)
+    if keys is None or not 1 <= keys <= 16:
+        return 0
+    at += 4
+    for _ in range(keys + 1):
+        n = data.number(at)
+        if n is None or at + 4 + n > data.length:
+            return 0
+        at += 4 + n
+    return at
+
+
 def der_size(data: bytes) -> int:
     """How many bytes the DER value that data starts with has in all, as its header says; 0 if it says none."""
     if len(data) < 2 or data[1] < 0x80:
@@ -187,28 +283,56 @@ def der_size(data: bytes) -> int:
 
 
 def inner_keys(text: str) -> Iterator[tuple[str, int, int]]:
-    """Keys wherever they start in a run, whatever follows them there, and also over the ends of lines."""
+    """Keys wherever they start in a run, whatever follows them there, and also over the ends of lines. A key says its own length; it is
+    decoded once its headers lead there, and an SSH frame must end with a line."""
     for m in WRAPPED.finditer(text):
-        gone = {i for b in BREAK.finditer(m[0]) for i in range(b.start(), b.end())}
-        places = [i for i in range(len(m[0])) if i not in gone]
-        run, upto = "".join(m[0][i] for i in places), 0
+        if not INNER.search(m[0]):
+            continue
+        run, places = _unbroken(m[0])
+        upto, last_failed = 0, -1
         for start in INNER.finditer(run):
             at = start.start()
             if at < upto:
                 continue
-            head, kind, end = unbase64(run[at : at + 12]) or b"", None, len(run)
+            data, kind = Decoded(run, at), None
             if run[at] == "M":
-                size = der_size(head)
+                size = key_size(data)
                 end = at + -(-size * 4 // 3)
-                if 24 <= size and end <= len(run) and is_der_key(unbase64(run[at:end]) or b""):
+                if size and is_der_key(unbase64(run[at:end]) or b""):
                     kind = "der"
-            else:  # it ends where its line or one of those that follow does
-                ends = [i + 1 for i in range(at, len(run)) if i + 1 == len(run) or places[i + 1] > places[i] + 1]
-                end = next((e for e in reversed(ends) if is_ssh_key(unbase64(run[at:e]) or b"")), 0)
-                kind = "ssh" if end else None
+            else:
+                size = frame_size(data)
+                end = at + -(-size * 4 // 3)
+                if size and end != last_failed and (end == len(run) or places[end] > places[end - 1] + 1):
+                    kind = "ssh" if is_ssh_key(unbase64(run[at:end]) or b"") else None
+                    last_failed = -1 if kind else end
             if kind:
-                upto, last = end, m.start() + places[end - 1] + 1
-                yield kind, m.start() + places[at], last + len(re.match("={0,2}", text[last : last + 2])[0])
+                upto, last = end, m.start() + int(places[end - 1]) + 1
+                yield kind, m.start() + int(places[at]), last + len(re.match("={0,2}", text[last : last + 2])[0])
+
+
+def _unbroken(wrapped: str) -> tuple[str, range | array]:
+    """A run without its line ends, and where each of its characters stood."""
+    places, pieces, at = array("q"), [], 0
+    for b in BREAK.finditer(wrapped):
+        pieces.append(wrapped[at : b.start()])
+        places.extend(range(at, b.start()))
+        at = b.end()
+    if not pieces:
+        return wrapped, range(len(wrapped))
+    pieces.append(wrapped[at:])
+    places.extend(range(at, len(wrapped)))
+    return "".join(pieces), places
+
+
+def _apart(spans: list[tuple[str, int, int]], sure: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Spans that lie in none of those that are sure."""
+    held = sorted((s, e) for _, s, e in sure)
+    starts, ends = [s for s, _ in held], list(accumulate((e for _, e in held), max))
+    for kind, s, e in spans:
+        k = bisect_right(starts, s)
+        if not k or ends[k - 1] < e:
+            yield kind, s, e
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -232,7 +356,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 sure.append(("pem", m.start(), m.end()))
     if LONG.search(text):
         more = [("jwt", *span) for span in inner_tokens(text)] + list(inner_keys(text))
-        sure += [(k, s, e) for k, s, e in more if not any(x <= s and e <= y for _, x, y in sure)]
+        sure += list(_apart(more, sure))
     out += sure
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 

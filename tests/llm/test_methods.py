@@ -278,3 +278,40 @@ def test_pipeline_against_brute_force(spark, rows, tmp_path):
             want.append((r.doc_id, k + 1, cut, source, n if part >= r.size else len(cut)))
     assert [g[:4] for g in got] == sorted(x[:4] for x in want) and Counter(g[4] for g in got) == Counter(x[4] for x in want)
     assert len(good) < len(docs) and len(now) < len(good) and any("[SECRET]" in g[2] for g in got)
+
+
+def long_der(size, fill):
+    """A key's header that claims so many bytes, and what it would hold."""
+    return b"\x30\x82" + size.to_bytes(2, "big") + b"\x02\x01\x00" + fill
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "\n".join([b64(FRAME[:60]).rstrip("=")[:76]] * 26_000),
+        "\n".join([b64(FRAME)[:-8]] * 5_000),
+        b64(long_der(60_000, b"\x02\x01\x05")) * 140_000,
+        b64(long_der(60_000, b"\x04\x82\x75\x30\x04")) * 100_000,
+        "MIIE" * 400_000,
+        url64(b'{"alg":"x"') * 140_000 + ".x.y",
+        (url64(b'{"a":') + "x") * 200_000 + ".e30.x",
+        f"{JWT} " * 12_000,
+        "eyJ" * 660_000,
+        (JWT + ".") * 12_000,
+    ],
+    ids=["headers of frames", "frames cut short", "claims", "strings that end early", "claims side by side", "open headers", "nested headers", "tokens", "starts of headers", "tokens in a row"],
+)
+def test_long_texts_end_soon(text):
+    import time
+
+    began = time.process_time()
+    secrets.find(text)
+    assert time.process_time() - began < 10
+
+
+def test_spans_within_others_go_once():
+    rng = random.Random(8)
+    make = lambda: [("k", s := rng.randrange(100), s + rng.randrange(1, 30)) for _ in range(40)]
+    for _ in range(50):
+        spans, sure = make(), make()[:10]
+        assert list(secrets._apart(spans, sure)) == [(k, s, e) for k, s, e in spans if not any(x <= s and e <= y for _, x, y in sure)]
