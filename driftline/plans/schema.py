@@ -14,10 +14,11 @@ import json
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from datetime import datetime
 from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENTS = "op string, `from` string, `to` string, table string, `column` string, source string, sources array<string>, target string, targets array<string>, key string"
@@ -260,15 +261,47 @@ def difference_of_pairs(catalogs: DataFrame, key: str = "pair") -> DataFrame:
     return catalogs.groupBy(key).applyInPandas(run, f"{key} {kind}, place int, event string")
 
 
+SNAPSHOT = "name string, version bigint, at timestamp, fingerprint string, tables string"
+
+
+class Snapshots:
+    """Schemas seen under each name, as a table that grows by one file a change. A file is there whole or not at all, and the last version
+    counts, so looks from other processes see the last one that was put, and never half of one."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _rows(self) -> DataFrame:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return self.spark.read.schema(SNAPSHOT).parquet(self.path) if system.exists(place) else self.spark.createDataFrame([], SNAPSHOT)
+
+    def last(self, name: str) -> tuple[int, str, dict[str, Table]] | None:
+        """Version, fingerprint and tables of the last snapshot; of two writers' with one version the later one."""
+        row = self._rows().where(F.col("name") == name).orderBy(F.desc("version"), F.desc("at"), "fingerprint").first()
+        return None if row is None else (row.version, row.fingerprint, tables_of(tuple(r) for r in json.loads(row.tables)))
+
+    def put(self, name: str, version: int, fingerprint: str, tables: dict[str, Table]) -> None:
+        rows = [(t, c, kind, i) for t, x in tables.items() for i, (c, kind) in enumerate(x.columns.values())]
+        self.spark.createDataFrame([(name, version, datetime.now(), fingerprint, json.dumps(rows))], SNAPSHOT).coalesce(1).write.mode("append").parquet(self.path)
+
+    def history(self, name: str) -> DataFrame:
+        return self._rows().where(F.col("name") == name).select("version", "at", "fingerprint").orderBy("version", "at")
+
+
 class SchemaCache:
-    """The last schema seen under each name; the first look at one counts as a change from nothing."""
+    """The last schema seen under each name; the first look at one counts as a change from nothing. With a table of snapshots, looks of
+    other sessions count as well."""
 
-    def __init__(self) -> None:
-        self.seen: dict[str, tuple[str, dict[str, Table]]] = {}
+    def __init__(self, kept: Snapshots | None = None) -> None:
+        self.seen: dict[str, tuple[int, str, dict[str, Table]]] = {}
+        self.kept = kept
 
     def look(self, name: str, catalog: DataFrame) -> dict:
         print_, tables = fingerprint(catalog).first(), _collect(catalog)
         now = print_["fingerprint"] if print_ else ""
-        before, old = self.seen.get(name, ("", None))
-        self.seen[name] = (now, tables)
+        version, before, old = (self.kept.last(name) if self.kept else self.seen.get(name)) or (0, "", None)
+        self.seen[name] = (version + 1, now, tables)
+        if self.kept and before != now:
+            self.kept.put(name, version + 1, now, tables)
         return {"pre_fingerprint": before, "post_fingerprint": now, "changed": before != now, "events": [] if old is None or before == now else difference(old, tables)}

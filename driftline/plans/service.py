@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import catalog
 from .relink import Rewriter, relink
-from .schema import SchemaCache, difference, events_text, prompt_text
+from .schema import SchemaCache, Snapshots, difference, events_text, prompt_text
 from .validate import Similarity, validate
 
 #: What each tool takes, for callers that list tools.
@@ -22,10 +23,11 @@ TOOLS = {
 
 
 class Service:
-    """Databases are sets of named DataFrames, under an id each."""
+    """Databases are sets of named DataFrames, under an id each. With a path for snapshots, changes since the last look are those since
+    any session's."""
 
-    def __init__(self, spark: SparkSession, databases: dict[str, dict[str, DataFrame]]):
-        self.spark, self.databases, self.cache = spark, databases, SchemaCache()
+    def __init__(self, spark: SparkSession, databases: dict[str, dict[str, DataFrame]], snapshots: str | None = None):
+        self.spark, self.databases, self.cache = spark, databases, SchemaCache(Snapshots(spark, snapshots) if snapshots else None)
 
     def _tables(self, name: str) -> dict[str, DataFrame]:
         if name not in self.databases:
@@ -79,6 +81,30 @@ class ToolContext:
         return out
 
 
+def serve(service: Service, asked: Iterable[str], told: TextIO) -> None:
+    """Answers requests line by line: each is a JSON object with an id of any kind, a method (tools, schema, relink or validate) and its
+    params; each answer has that id and a result, or an error's text. A line that can't be read is answered too."""
+    methods = {
+        "tools": lambda: TOOLS,
+        "schema": lambda database: json.loads(service.schema(database)),
+        "relink": service.relink,
+        "validate": lambda database, sql, question: service.validate(database, sql, question),
+    }
+    for line in asked:
+        if not line.strip():
+            continue
+        request: dict = {}
+        try:
+            request = json.loads(line)
+            if request["method"] not in methods:
+                raise KeyError(f"no method {request['method']}")
+            out = {"result": methods[request["method"]](**request.get("params", {}))}
+        except Exception as e:  # the loop goes on; whoever asked learns of it
+            out = {"error": f"{type(e).__name__}: {e}"}
+        told.write(json.dumps({"id": request.get("id") if isinstance(request, dict) else None} | out, default=str) + "\n")
+        told.flush()
+
+
 def tool_loop(context: ToolContext, generate: Callable[[list[dict]], dict], most: int = 8) -> dict:
     """Lets a generator call tools until it answers with sql. When turns run out, the last query that a tool saw counts."""
     for _ in range(most):

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from driftline.plans.generate import Fallback, repair, stand_in, strip_fences
-from driftline.plans.service import Service, ToolContext, answer, prompt, tool_loop
+from driftline.plans.service import Service, ToolContext, answer, prompt, serve, tool_loop
 from driftline.sources import catalog
 from driftline.streaming.score import score_stream
 
@@ -63,3 +63,38 @@ def test_generation(spark, service):
 def test_stream_rules_agree_with_the_validator(spark):
     rows = spark.createDataFrame([("how many vessels", "show count vessel", 1), ("list names", "show name vessel", 0), ("zebra", "show age", 3), ("list", "show", None)], "question string, paraphrase string, row_count int")
     assert [r.verdict for r in score_stream(rows).collect()] == ["valid", "silent_failure", "silent_failure", "execution_error"]
+
+
+def test_two_sessions_share_snapshots(spark, tmp_path):
+    path = f"{tmp_path}/snapshots"
+    make = lambda session, name, columns: {"db": {name: session.createDataFrame([], columns)}}
+    first = Service(spark, make(spark, "vessel", "id int, label string"), path)
+    seen = json.loads(first.schema("db"))
+    assert seen["changed"] and seen["events"] == [] and not json.loads(first.schema("db"))["changed"]
+    other = spark.newSession()
+    second = Service(other, make(other, "boat", "id int, label string"), path)
+    got = json.loads(second.schema("db"))
+    assert got["events"] == [{"op": "TABLE_RENAME", "from": "vessel", "to": "boat"}] and got["pre_fingerprint"] == seen["post_fingerprint"]
+    back = json.loads(first.schema("db"))  # the other session's look was the last
+    assert back["events"] == [{"op": "TABLE_RENAME", "from": "boat", "to": "vessel"}]
+    assert [r.version for r in first.cache.kept.history("db").collect()] == [1, 2, 3]
+    assert first.cache.kept.last("none") is None
+
+
+def test_requests_line_by_line(spark, service):
+    import io
+
+    asked = [
+        {"id": 1, "method": "tools"},
+        {"id": 2, "method": "schema", "params": {"database": "db"}},
+        {"id": "c", "method": "relink", "params": {"sql": "SELECT Label FROM vessel", "events": [{"op": "TABLE_RENAME", "from": "vessel", "to": "boat"}]}},
+        {"id": 4, "method": "validate", "params": {"database": "db", "sql": "SELECT COUNT(*) FROM boat", "question": "how many boats"}},
+        {"id": 5, "method": "drop"},
+        {"id": 6, "method": "schema", "params": {"database": "none"}},
+    ]
+    told = io.StringIO()
+    serve(service, [*map(json.dumps, asked), "", "{broken", "[]"], told)
+    got = [json.loads(x) for x in told.getvalue().splitlines()]
+    assert [g["id"] for g in got] == [1, 2, "c", 4, 5, 6, None, None]
+    assert "query_relink" in got[0]["result"] and got[1]["result"]["changed"] and got[2]["result"]["sql"] == "SELECT Label FROM boat"
+    assert got[3]["result"]["verdict"] == "valid" and all("error" in g for g in got[4:])
