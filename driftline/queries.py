@@ -402,6 +402,31 @@ def schema_containment(spark: SparkSession, t: Tables) -> DataFrame:
     return schema.containment(whole, _parts(whole))
 
 
+@query(f"SELECT table_name AS source, 'TABLE_SPLIT: the columns of ' || table_name || ' are in [' || table_name || '_even, ' || table_name || '_odd], which share ' || key || '.' || chr(10) || '- Read from those of them that hold a column in use, joined on ' || key || '.' AS rules FROM {_WIDE}")
+def relink_guidance_tables(spark: SparkSession, t: Tables) -> DataFrame:
+    """What a generator is told of each given table's split."""
+    whole = _held(spark, t)
+    events = [{k: v for k, v in r.asDict().items() if v is not None} for r in _by_table(whole, _parts(whole), False).collect()]  # an event a table
+    return spark.createDataFrame([(e["source"], relink.guidance([e])) for e in events], "source string, rules string")
+
+
+@query(f"SELECT table_name, string_agg(column_name, ', ' ORDER BY ordinal) AS columns FROM {_INFO} GROUP BY table_name")
+def benchmark_columns_tables(spark: SparkSession, t: Tables) -> DataFrame:
+    """Columns as they are read back from definitions of the given tables."""
+    kind = F.when(F.col("data_type").isin("bigint", "int"), "integer").when(F.col("data_type") == "double", "real").otherwise("text")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.concat_ws(" ", "column_name", kind).alias("c")))), lambda x: x["c"]), ", ")
+    made = _held(spark, t).groupBy("table_name").agg(body.alias("body")).select("table_name", F.format_string("CREATE TABLE %s (%s)", "table_name", "body").alias("ddl"))
+    return spark.createDataFrame([(r.table_name, ", ".join(benchmark.ddl_columns(r.ddl))) for r in made.collect()], "table_name string, columns string")  # a definition a table
+
+
+@query(f"SELECT a.table_name, 'show count ' || lower(replace(a.column_name, '_', ' ')) || ' n where ' || lower(replace(b.column_name, '_', ' ')) || ' grouped ' || a.table_name AS paraphrase, 'medium' AS complexity FROM {_INFO} a JOIN {_INFO} b ON a.table_name = b.table_name AND a.ordinal = 0 AND b.ordinal = 1")
+def query_descriptions_tables(spark: SparkSession, t: Tables) -> DataFrame:
+    """A query over each given table in key words, and how hard it is."""
+    first = _held(spark, t).where("ordinal < 2").groupBy("table_name").agg(F.max_by("column_name", -F.col("ordinal")).alias("a"), F.max_by("column_name", "ordinal").alias("b")).collect()
+    texts = {r.table_name: f"SELECT {r.a}, COUNT(*) AS n FROM {r.table_name} WHERE {r.b} IS NOT NULL GROUP BY {r.a}" for r in first}
+    return spark.createDataFrame([(name, validate.paraphrase(sql), validate.complexity(spark, sql)) for name, sql in texts.items()], "table_name string, paraphrase string, complexity string")
+
+
 # Results and their scores. Three arms are derived from rows of lineitem.
 _ARMS = "SELECT l_returnflag AS perturbation, CAST(l_linenumber = 7 AS {0}) AS expected_failure, CAST(l_quantity > 30 AS {0}) AS baseline_ok, CAST(l_quantity > 10 AS {0}) AS refreshed_schema_ok, CAST(l_quantity > 28 AS {0}) AS error_feedback_ok, CAST(l_quantity > 15 OR l_discount > 0.05 AS {0}) AS mcp_ok, CASE WHEN l_tax > 0.04 THEN 'valid' ELSE 'silent_failure' END AS mcp_verdict FROM {1}"
 
