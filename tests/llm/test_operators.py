@@ -625,3 +625,25 @@ def test_registered_queries_agree_with_their_sql(spark):
     con = engine(root)
     for name, sql in queries.oracle_sql().items():
         assert shown(queries.queries()[name](spark, root).toPandas()) == shown(con.execute(sql).df()), name
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_scratch_tables_of_large_rows_have_small_row_groups(spark, repeated):
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from driftline.llm.common import Scratch
+
+    def blocks(batches):
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                yield pa.RecordBatch.from_pydict({"id": [i], "texts": [[random.Random(f"{i} {j * (not repeated)}").randbytes(1 << 19) for j in range(2)]]})
+
+    held = Scratch(spark, "test").keep(spark.range(0, 60, 1, 1).mapInArrow(blocks, "id bigint, texts array<binary>"))
+    (name,) = held.inputFiles()
+    meta = pq.ParquetFile(name.removeprefix("file:")).metadata
+    groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == held.count() == 60
+    assert max(g.total_byte_size for g in groups) <= 16 << 20
