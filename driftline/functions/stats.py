@@ -141,8 +141,8 @@ def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-#: Draws that one digest decides, its quarters of 32 bits, and rows whose weights are made at once.
-QUARTERS, BLOCK = 4, 32
+#: Draws that one digest decides, its quarters of 32 bits, and digests made at once: a processor's own cache holds their words.
+QUARTERS, BLOCK = 4, 1 << 15
 #: A quarter from here on, from there on and so on counts once more: distribution of a Poisson variable of mean 1, up to 12.
 _STEPS = np.array([math.ceil(sum(0.36787944117144233 / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12)], np.uint64)
 
@@ -155,68 +155,89 @@ _STATE = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 _LONGEST = 55
 
 
-def _digests(blocks: np.ndarray) -> np.ndarray:
-    """MD5 of messages of one padded block each, as four big-endian words; all messages at once, step by step."""
-    words = np.ascontiguousarray(blocks.view("<u4").T)
-    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in _STATE)
+def _digests(words: list[np.ndarray | None]) -> tuple[np.ndarray, ...]:
+    """MD5 of messages of one padded block each, as four numbers; all messages at once, step by step. Words that all messages have as zero
+    are None and take no step's time."""
+    shape = next(w.shape for w in words if w is not None)
+    a, b, c, d = (np.full(shape, x, np.uint32) for x in _STATE)
     f, g = np.empty_like(a), np.empty_like(a)
     for i in range(64):
         turn = i // 16
         if turn == 0:  # (b and c) or (not b and d), and so on
-            np.bitwise_xor(c, d, out=f)
-            np.bitwise_and(f, b, out=f)
-            np.bitwise_xor(f, d, out=f)
+            np.bitwise_xor(c, d, f)
+            np.bitwise_and(f, b, f)
+            np.bitwise_xor(f, d, f)
         elif turn == 1:
-            np.bitwise_xor(b, c, out=f)
-            np.bitwise_and(f, d, out=f)
-            np.bitwise_xor(f, c, out=f)
+            np.bitwise_xor(b, c, f)
+            np.bitwise_and(f, d, f)
+            np.bitwise_xor(f, c, f)
         elif turn == 2:
-            np.bitwise_xor(b, c, out=f)
-            np.bitwise_xor(f, d, out=f)
+            np.bitwise_xor(b, c, f)
+            np.bitwise_xor(f, d, f)
         else:
-            np.invert(d, out=f)
-            np.bitwise_or(f, b, out=f)
-            np.bitwise_xor(f, c, out=f)
-        f += a
-        f += words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[turn] % 16]
-        f += np.uint32(_SINES[i])
+            np.invert(d, f)
+            np.bitwise_or(f, b, f)
+            np.bitwise_xor(f, c, f)
+        np.add(f, a, f)
+        word = words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[turn] % 16]
+        if word is not None:
+            np.add(f, word, f)
+        np.add(f, np.uint32(_SINES[i]), f)
         by = np.uint32(_TURNS[turn][i % 4])
-        np.left_shift(f, by, out=g)
-        np.right_shift(f, np.uint32(32) - by, out=f)
-        f |= g
-        f += b
+        np.left_shift(f, by, g)
+        np.right_shift(f, np.uint32(32) - by, f)
+        np.bitwise_or(f, g, f)
+        np.add(f, b, f)
         a, b, c, d, f = d, f, b, c, a
-    return np.stack([x + np.uint32(y) for x, y in zip((a, b, c, d), _STATE, strict=True)], axis=1).byteswap()
+    for x, y in zip((a, b, c, d), _STATE, strict=True):
+        x += np.uint32(y)
+    return a, b, c, d
+
+
+def _words(keys: list[bytes], prefixes: list[bytes]) -> list[np.ndarray | None]:
+    """The padded blocks of each key, all of one length, behind each prefix, word by word."""
+    size, start, out = len(keys[0]), 0, [None] * 16
+    for length, group in itertools.groupby(prefixes, len):  # they come by length
+        own = [p.ljust(64, b"\0") for p in group]
+        ends = [(b"\0" * length + k + b"\x80").ljust(56, b"\0") + (8 * (length + size)).to_bytes(8, "little") for k in keys]
+        head, tail = (np.frombuffer(b"".join(x), "<u4").reshape(-1, 16).T for x in (own, ends))
+        for i in range(16):
+            if head[i].any() or tail[i].any():
+                if out[i] is None:
+                    out[i] = np.zeros((len(keys), len(prefixes)), np.uint32)
+                np.bitwise_or(head[i], tail[i][:, None], out[i][:, start : start + len(own)])
+        start += len(own)
+    return out
 
 
-def _weights(keys: list[bytes], prefixes: list[bytes]) -> np.ndarray:
-    """How often each row counts in each draw: quarters of the digests of each prefix and key."""
-    unit = np.empty((len(keys), len(prefixes), QUARTERS), np.uint32)
-    short = np.array([len(k) + len(prefixes[-1]) <= _LONGEST for k in keys], bool)
-    some = [k for k, s in zip(keys, short, strict=True) if s]
-    if some:
-        size = np.array([len(k) for k in some])
-        padded = np.zeros((len(some), 64), np.uint8)
-        for row, k in zip(padded, some, strict=True):
-            row[: len(k) + 1] = np.frombuffer(k + b"\x80", np.uint8)
-        start = 0
-        for length, group in itertools.groupby(prefixes, len):  # they come by length
-            own = np.frombuffer(b"".join(group), np.uint8).reshape(-1, length)
-            blocks = np.empty((len(some), len(own), 64), np.uint8)
-            blocks[:, :, :length] = own
-            blocks[:, :, length:] = padded[:, None, : 64 - length]
-            blocks[:, :, 56:58] = (8 * (size + length)).astype("<u2").view(np.uint8).reshape(-1, 1, 2)
-            unit[short, start : start + len(own)] = _digests(blocks.reshape(-1, 64)).reshape(len(some), len(own), QUARTERS)
-            start += len(own)
-    for i in np.flatnonzero(~short).tolist():
-        unit[i] = np.frombuffer(b"".join([hashlib.md5(p + keys[i]).digest() for p in prefixes]), ">u4").reshape(-1, QUARTERS)
-    unit = unit.reshape(len(keys), -1)
-    out = np.zeros(unit.shape, np.uint8)
-    for step in _STEPS[_STEPS < 2**32].astype(np.uint32):
+def _counts(unit: np.ndarray) -> np.ndarray:
+    """How often a quarter counts. Few reach the later steps; only these are held against them."""
+    steps = _STEPS[_STEPS < 2**32].astype(np.uint32)
+    out = (unit >= steps[0]).view(np.uint8)
+    for step in steps[1:5]:
         out += unit >= step
+    rare = np.nonzero(unit >= steps[5])
+    out[rare] += np.searchsorted(steps[5:], unit[rare], "right").astype(np.uint8)
     return out
 
 
+def _weights(keys: list[bytes], prefixes: list[bytes]) -> np.ndarray:
+    """How often each row counts in each draw: quarters of the digests of each prefix and key."""
+    out = np.empty((len(keys), len(prefixes), QUARTERS), np.uint8)
+    sizes = np.array([len(k) for k in keys])
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        own = [keys[i] for i in at.tolist()]
+        if size + len(prefixes[-1]) <= _LONGEST:
+            quarters = _digests(_words(own, prefixes))
+        else:
+            quarters = np.frombuffer(b"".join([hashlib.md5(p + k).digest() for k in own for p in prefixes]), "<u4").reshape(len(own), -1, QUARTERS).transpose(2, 0, 1)
+        at = slice(None) if len(at) == len(keys) else at
+        for i, quarter in enumerate(quarters):
+            out[at, :, i] = _counts(quarter.byteswap())
+    return out.reshape(len(keys), -1)
+
+
 def drawn(rows: DataFrame, key: str, sums: dict[str, Column], draws: int, seed: int) -> DataFrame:
     """draw, w and the weighted sums of columns for each of so many draws, in which each row counts as often as a Poisson variable of
     mean 1 says. A hash of draw and key decides, four draws a digest. A task adds up all its rows' weights into one vector of draws;
@@ -229,13 +250,14 @@ def drawn(rows: DataFrame, key: str, sums: dict[str, Column], draws: int, seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names) + 1, draws))
         prefixes = [f"{seed}:{d}".encode() for d in range(digests)]
+        block = max(1, BLOCK // digests)
         for batch in batches:
-            keys = batch.column("key").to_pylist()
+            keys = [b"" if k is None else b":" + k.encode() for k in batch.column("key").to_pylist()]
             held = [np.ones(len(keys)), *(np.nan_to_num(batch.column(n).to_numpy(zero_copy_only=False), nan=0.0) if batch.column(n).null_count else batch.column(n).to_numpy(zero_copy_only=False) for n in names)]
-            values = np.stack([np.asarray(h, np.float64) for h in held])
-            for at in range(0, len(keys), BLOCK):
-                some = [b"" if k is None else b":" + k.encode() for k in keys[at : at + BLOCK]]
-                total += values[:, at : at + BLOCK] @ _weights(some, prefixes)[:, :draws].astype(np.float64)
+            order = sorted(range(len(keys)), key=lambda i: len(keys[i]))  # keys of one length have the same words empty
+            keys, values = [keys[i] for i in order], np.stack([np.asarray(h, np.float64) for h in held])[:, order]
+            for at in range(0, len(keys), block):
+                total += values[:, at : at + block] @ _weights(keys[at : at + block], prefixes)[:, :draws].astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), *map(pa.array, total)], names=["draw", "w", *names])
 
     own = rows.select(F.col(key).cast("string").alias("key"), *[c.cast("double").alias(n) for n, c in sums.items()]).repartition(tasks)

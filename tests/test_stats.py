@@ -2,6 +2,7 @@ import math
 import random
 from statistics import mean, median
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -204,3 +205,19 @@ def test_stratified_sample_takes_all_merges(spark):
     rows = [("TABLE_RENAME", "d", i) for i in range(9)] + [("COLUMN_MERGE", "d", i) for i in range(9)]
     got = evolve.stratified(spark.createDataFrame(rows, "op string, db_id string, train_idx int"))
     assert [tuple(r) for r in got.collect()] == [("COLUMN_MERGE", "d", i) for i in range(9)] + [("TABLE_RENAME", "d", i) for i in range(4)]
+
+
+def test_digests_hold_only_words_that_differ():
+    """Blocks laid out whole take over a hundred bytes a digest, and a pass for each of their words."""
+    import hashlib
+    import tracemalloc
+
+    keys, prefixes = [b":%d" % (10**6 + 37 * k) for k in range(131)], [f"0:{d}".encode() for d in range(250)]
+    tracemalloc.start()
+    got = stats._weights(keys, prefixes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    units = np.frombuffer(b"".join([hashlib.md5(p + k).digest() for k in keys for p in prefixes]), ">u4").astype(np.int64)
+    want = np.searchsorted(stats._STEPS.astype(np.int64), units, "right")
+    assert want.max() > 6 and (got.ravel() == want).all()
+    assert most < 100 * len(keys) * len(prefixes)
