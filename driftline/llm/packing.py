@@ -17,9 +17,11 @@ import os
 import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,22 +33,41 @@ from .common import Scratch, batches_of
 TOKENIZER, CAPACITY, END = "/opt/tokenizers/word_bpe_49k.json", 2048, 1
 #: Full windows of a part are numbered from (part + 1) times this on, shared ones from 0 on.
 PART = 1 << 40
-#: Different words and pre-tokens that a worker keeps the ids of, and words of texts that are encoded at once.
-KEPT_WORDS, AT_ONCE = 1 << 19, 1 << 17
+#: Different words that a worker keeps the ids of, bytes of texts that are encoded at once, and words whose ids are laid out at once.
+KEPT_WORDS, AT_ONCE, WORDS = 1 << 20, 1 << 20, 1 << 17
 #: Windows whose rows pass to the JVM at once, and texts that come from it.
 ROWS, TEXTS = 2048, 256
 
-#: Printable ASCII and the letters of Latin-1, which composing leaves alone and which lower-case one by one; and how the tokenizer parts them.
+#: Printable ASCII and the letters of Latin-1, which composing leaves alone and which lower-case one by one; and how the tokenizer parts
+#: lines of them.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-z0-9ß-öø-ÿ]+")
+#: Stands for the end of a line among ids.
+_LINE = b"\xff\xff\xff\xff"
+#: What a pair of bytes leads to: the bit that lowers the first, and 1 if the tokenizer parts them whatever is around them.
+_LOWER, _PART = 0x20, 1
+
+
+def _pairs() -> np.ndarray:
+    """By first byte * 256 + second. An upper-case letter before a byte that may begin a combining mark stays, since what they compose to
+    depends on its case. What follows an apostrophe may belong to it, as in 's."""
+    letter, digit, mark = (np.array([c < 128 and test(chr(c)) for c in range(256)]) for test in (str.isalpha, str.isdigit, lambda x: "!" <= x <= "~" and not x.isalnum()))
+    free = mark & (np.arange(256) != ord("'"))
+    parted = np.outer(letter, digit | mark) | np.outer(digit, letter | digit | mark) | np.outer(free, letter) | np.outer(mark, digit)
+    upper = letter & (np.arange(256) < ord("a"))
+    return (parted * _PART + np.outer(upper, np.arange(256) < 0xC4) * _LOWER).astype(np.uint8).ravel()
+
+
+_PAIRS = _pairs()
 
 
 class Encoder:
     """Ids of texts by the words between ASCII blanks.
 
     The tokenizer drops blanks, never joins what they part, and lowers single characters, so a text's ids are those of its words in a
-    row and each word is looked up once. Plain words go through the tokenizer's model by pre-token; others, and those that may hold a
-    special token, through the whole tokenizer.
+    row and each word is looked up once. ASCII letters are lowered and parted from digits and punctuation before, which leaves fewer
+    different words. New words are learned many at a time, as lines of one text: plain ones by pre-token through the tokenizer's model;
+    others, and those that may hold a special token, through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -56,49 +77,89 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.letters = str.maketrans({c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))})
+        self.letters = {c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
+        self.bytes = [i.to_bytes(4, "little") for i in range(1 + max(self.whole.get_vocab().values()))]
         self.words: dict[bytes, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
 
-    def _pretoken(self, text: str) -> bytes:
-        ids = self.pretokens.get(text)
-        if ids is None:
-            ids = self.pretokens[text] = np.array([t.id for t in self.model.tokenize(text.translate(self.letters))], "<u4").tobytes()
-        return ids
-
-    def _learn(self, words: set[bytes]) -> None:
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words.clear()
-            new = words
-        if len(self.pretokens) > KEPT_WORDS:
-            self.pretokens.clear()
-        others = []
-        for word in new:
-            text = word.decode("utf-8", "replace")
+    def _learned(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain, lines, others, ids = [], [], [], {}
+        for word, text in zip(words, b"\n".join(words).decode("utf-8", "replace").split("\n"), strict=True):
             if _PLAIN.fullmatch(text) and "<|" not in text:
-                self.words[word] = b"".join([self._pretoken(p) for p in _PRETOKEN.findall(text.lower())])
+                plain.append(word)
+                lines.append(text)
             else:
                 others.append((word, text))
+        if plain:
+            found = _PRETOKEN.findall("\n".join(lines).lower())
+            held = self._pretokens(set(found) - {"\n"}) | {"\n": _LINE}
+            joined = b"".join(map(held.__getitem__, found))
+            ends = (np.flatnonzero(np.frombuffer(joined, "<u4") == np.frombuffer(_LINE, "<u4")) * 4).tolist()
+            for word, at, end in zip(plain, [0, *(e + 4 for e in ends)], [*ends, len(joined)], strict=True):
+                ids[word] = joined[at:end]
         if others:
             for (word, _), got in zip(others, self.whole.encode_batch_fast([t for _, t in others], add_special_tokens=False), strict=True):
-                self.words[word] = np.array(got.ids, "<u4").tobytes()
+                ids[word] = np.array(got.ids, "<u4").tobytes()
+        return ids
+
+    def _pretokens(self, different: set[str]) -> dict[str, bytes]:
+        tokenize, of, letters = self.model.tokenize, self.bytes, "\n".join(different)
+        for letter, model in self.letters.items():  # what comes in is none of what goes out
+            letters = letters.replace(letter, model)
+        return {text: b"".join([of[t.id] for t in tokenize(x)]) for text, x in zip(different, letters.split("\n"), strict=True)}
 
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         group, size = [], 0
         for text in texts:
-            group.append(text.split() if text else [])
+            group.append(text or b"")
             size += len(group[-1])
             if size > AT_ONCE:
                 yield from self._group(group)
                 group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
-        self._learn(set().union(*group))
-        for words in group:
-            yield b"".join(map(self.words.__getitem__, words))
+        if group:
+            yield from self._group(group)
+
+    def _group(self, group: list[bytes]) -> Iterator[bytes]:
+        split = pc.ascii_split_whitespace(_parted(group))
+        coded = split.values.view(pa.large_binary()).dictionary_encode()
+        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        held = list(map(self.words.get, words))
+        if new := [i for i, h in enumerate(held) if h is None]:
+            learned = self._learned([words[i] for i in new])
+            if len(self.words) + len(new) > KEPT_WORDS:
+                self.words.clear()
+            self.words |= learned
+            for i in new:
+                held[i] = learned[words[i]]
+        ids = np.frombuffer(b"".join(held), "<u4")
+        many = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        first = np.cumsum(many) - many
+        for a, b in pairwise(split.offsets.to_pylist()):
+            yield b"".join([_laid_out(ids, first, many, index[at : min(at + WORDS, b)]) for at in range(a, b, WORDS)])
+
+
+def _parted(texts: list[bytes]) -> pa.Array:
+    """Texts with ASCII letters lowered and blanks where _PAIRS says so, but for texts that may hold a special token."""
+    joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    ends = np.cumsum([0] + [len(t) + 1 for t in texts])
+    pairs = joined.astype(np.uint16) << 8
+    pairs[:-1] |= joined[1:]
+    marks = _PAIRS[pairs]
+    for text, at in zip(texts, ends.tolist()):
+        if b"<|" in text:
+            marks[at : at + len(text)] = 0
+    blanks = np.flatnonzero(marks & _PART) + 1
+    parted = np.insert(joined | marks & _LOWER, blanks, ord(" "))
+    ends += np.searchsorted(blanks, ends)
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(parted)])
+
+
+def _laid_out(ids: np.ndarray, first: np.ndarray, many: np.ndarray, index: np.ndarray) -> bytes:
+    """Ids of the words numbered by index, of which each has so many from its first on."""
+    counts = many[index]
+    at = np.repeat(first[index] - (np.cumsum(counts) - counts), counts)
+    at += np.arange(len(at))
+    return ids[at].tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from itertools import product
 
 import numpy as np
 import pytest
@@ -45,6 +46,37 @@ def test_forgotten_words_are_learned_again(monkeypatch):
     assert first == again
 
 
+def test_ids_of_any_mix_of_characters():
+    """Letters, digits, marks, apostrophes, blanks, combining marks, special tokens, sigmas and broken UTF-8 beside each other."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    parts = ["a", "B", "H", "s", "'", "'s", "'T", "'re", "7", ".", ",", "-", "<", "|", "=", " ", "\n", "\x1c", "\x00", "̱", "̌", "̸", "̊", "é", "É", "×", "Σ", "ß", "İ", "漢", "٣", "\x85", "\xa0", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))).encode() for _ in range(20000)]
+    texts += [bytes(rng.choices(b"aB's.7 <|\n\xc3\xa9\xcc\xb1\xe2\x82\xff", k=rng.randint(0, 10))) for _ in range(20000)] + [None, b"x"]
+    whole = Tokenizer.from_file(packing.TOKENIZER)
+    want = [e.ids for e in whole.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Encoder(packing.TOKENIZER).ids(texts)] == want
+    assert list(packing.Encoder(packing.TOKENIZER).ids([])) == []
+
+
+def test_long_texts_are_laid_out_in_parts(monkeypatch):
+    texts = [b"one Two, three" * 50, None, b"four 'five's 6"] * 3
+    want = list(packing.Encoder(packing.TOKENIZER).ids(texts))
+    for name, size in (("WORDS", 2), ("AT_ONCE", 20), ("AT_ONCE", 0)):
+        monkeypatch.setattr(packing, name, size)
+        assert list(packing.Encoder(packing.TOKENIZER).ids(texts)) == want
+
+
+def test_words_that_differ_by_case_and_punctuation_are_learned_once():
+    """What is paid for a word is paid for few: 40 forms of each of 500 words, and numbers by their digits."""
+    words = ["w" + "".join(c) for c in product("abcde", "fghij", "klmno", "pqrs")]
+    forms = [f"{a}{w}{b}" for w in words for w in (w, w.capitalize()) for a in ("", "(", "-", "7") for b in ("", ",", ".", "!", ").")]
+    encode = packing.Encoder(packing.TOKENIZER)
+    assert sum(map(len, encode.ids([" ".join(forms).encode(), " ".join(map(str, range(10000))).encode()])))
+    assert len(encode.words) < len(words) + 30
+
+
 def ids_of(texts):
     from tokenizers import Tokenizer
 
